@@ -1,7 +1,8 @@
-"""Token ids of whole texts, by the ``tokenizers`` library, with a bounded cache of text segments.
+"""Token ids of whole texts, by the ``tokenizers`` library, with bounded caches of text segments and words.
 
-A byte-level or word-level BPE never merges across the gap before a run of blanks, so a text is cut there
-and each distinct segment is encoded once per worker. Texts with other Unicode spaces are encoded whole.
+A byte-level or word-level BPE never merges across the gap before a run of blanks, so a text is cut there and each
+distinct segment is encoded once per worker. Segments of plain Latin letters are cut to words by the vocabulary's own
+pattern and given to its BPE model; all others, and texts with other Unicode spaces, go through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -9,54 +10,118 @@ from __future__ import annotations
 import json
 import re
 
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS, CACHE_WORDS = 500_000, 500_000
 _SEGMENT = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+\Z")
 _ODD_SPACE = re.compile("[" + "".join(map(chr, (0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 _ODD_ASCII = re.compile("[\x0b\x0c\x1c-\x1f]")
-_LOADED: dict[str, "SegmentEncoder"] = {}
+#: Letters beyond this are left to the tokenizer, whose Unicode tables may be of another version.
+_PLAIN_BELOW = "ɐ"
+#: The word patterns of byte-level BPE, with and without blanks.
+_BLANK_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BARE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LOADED: dict[str, SegmentEncoder] = {}
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE's printable stand-in for each byte: itself where printable, else the next free code from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class _Cache(dict):
+    """Computes what is missing; empties itself when full."""
+
+    def __init__(self, most: int, make):
+        self.most, self.make = most, make
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        out = self[key] = self.make(key)
+        return out
 
 
 class SegmentEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids. Memory is bounded by CACHE_SEGMENTS short segments."""
+    """Encodes texts to little-endian unsigned 32-bit ids. Memory is bounded by the two cache sizes."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        pre, norm = model.get("pre_tokenizer") or {}, model.get("normalizer")
-        self.keeps_spaces = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm
-        parts = pre.get("pretokenizers", [{}])
-        self.drops_spaces = pre.get("type") == "Sequence" and parts[0].get("behavior") == "Removed" and bool(parts[0].get("invert"))
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            spec = json.load(f)
+        pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+        parts = pre.get("pretokenizers") or [{}]
+        self.keeps_spaces = pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space") and not norm
+        known = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+        self.drops_spaces = (
+            pre.get("type") == "Sequence" and (norm or {}).get("normalizers") == known and parts[0].get("pattern", {}).get("Regex") == _BARE_WORDS and parts[0].get("behavior") == "Removed"
+        )
+        self.words = regex.compile(_BLANK_WORDS if self.keeps_spaces else _BARE_WORDS)
+        self.special = tuple(t["content"] for t in spec.get("added_tokens") or [])
+        self.special_start = re.compile("[" + re.escape("".join({t[0] for t in self.special})) + "]" if self.special else r"(?!)")
+        self.letters = byte_letters()
+        self.model = self.tokenizer.model
+        self.word_cache = _Cache(CACHE_WORDS, self._word)
+        self.cache = _Cache(CACHE_SEGMENTS, self._segment)
+        self.after_blank = _Cache(CACHE_SEGMENTS, lambda part: self._segment(" " + part))
+
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.newline = self._whole("\n")
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.id_bytes.__getitem__, ids))
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        shown = word.encode().decode("latin-1").translate(self.letters)
+        return self._bytes([t.id for t in self.model.tokenize(shown)])
+
+    def _segment(self, text: str) -> bytes:
+        """A run of blanks, if kept, and the characters up to the next."""
+        if not text:
+            return b""
+        bare = text[1:] if text[0] == " " and self.keeps_spaces else text
+        if not (text.isascii() or max(text) < _PLAIN_BELOW):
+            return self._whole(text)
+        if not self.keeps_spaces:
+            text = bare = text.lower()
+        if bare.isalpha():  # one word, the usual case
+            return self.word_cache[text]
+        if bare[:-1].isalpha() and bare[-1] in ".,;:!?":
+            return self.word_cache[text[:-1]] + self.word_cache[text[-1]]
+        if self.special_start.search(text) and any(s in text for s in self.special):
+            return self._whole(text)
+        return b"".join(map(self.word_cache.__getitem__, self.words.findall(text)))
 
     def segments(self, text: str) -> list[str] | None:
         if self.drops_spaces:
             return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if self.keeps_spaces and (text.isascii() and not _ODD_ASCII.search(text) or not _ODD_SPACE.search(text)):
+        if self.keeps_spaces and not (_ODD_ASCII if text.isascii() else _ODD_SPACE).search(text):
             return _SEGMENT.findall(text)
         return None
 
+    def _lone_blanks(self, text: str) -> bool:
+        """Every space and newline stands alone between other characters, and there is no other blank."""
+        return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\t", "\r"))
+
+    def _text(self, text: str) -> bytes:
+        segs = self.segments(text) if self.drops_spaces else None
+        if segs is None and self.keeps_spaces and self._lone_blanks(text) and not (_ODD_ASCII if text.isascii() else _ODD_SPACE).search(text):
+            first, after, out = self.cache.__getitem__, self.after_blank.__getitem__, []
+            for line in text.split("\n"):
+                parts = line.split(" ")
+                out.append(first(parts[0]) + b"".join(map(after, parts[1:])))
+            return self.newline.join(out)
+        segs = self.segments(text) if segs is None else segs
+        return self._whole(text) if segs is None else b"".join(map(self.cache.__getitem__, segs))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.segments(t) for t in texts]
-        if len(self.cache) > CACHE_SEGMENTS:
-            self.cache.clear()
-        cache, missing = self.cache, set()
-        for segs in cut:
-            if segs is not None:
-                missing.update(segs)
-        missing.difference_update(cache)
-        new = list(missing)
-        for i in range(0, len(new), 20_000):
-            cache.update(zip(new[i : i + 20_000], self._encode(new[i : i + 20_000])))
-        get = cache.__getitem__
-        return [self._encode([t])[0] if segs is None else b"".join(map(get, segs)) for t, segs in zip(texts, cut)]
+        return [self._text(t) for t in texts]
 
 
 def encoder(path: str) -> SegmentEncoder:
@@ -67,7 +132,7 @@ def encoder(path: str) -> SegmentEncoder:
 
 
 def groups_of(texts: list[str], chars: int = 4_000_000):
-    """Slices of a batch that hold about ``chars`` characters, so that few segments are new at once."""
+    """Slices of a batch that hold about ``chars`` characters."""
     start, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t)

@@ -44,8 +44,14 @@ def test_plan_places_every_piece_once(counts):
             assert offset == at
             at += length
         assert at <= capacity
-    total = sum(n * c for n, c in counts.items())
-    assert len(bins) <= 11 * max(-(-total // capacity), sum(c for n, c in counts.items() if 2 * n > capacity), sum(c for n, c in counts.items() if 3 * n > capacity) / 2) / 9 + 1.5
+    first_fit = []
+    for n in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
+        k = next((k for k, used in enumerate(first_fit) if used + n <= capacity), None)
+        if k is None:
+            first_fit.append(n)
+        else:
+            first_fit[k] += n
+    assert len(bins) <= 1.2 * len(first_fit) + 1
 
 
 def _docs(spark, rows):
