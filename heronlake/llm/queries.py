@@ -9,6 +9,40 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_format_preserving_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronlake.llm.pii import pseudonymise_documents
+
+    # the key belongs in a secret store; this one only makes results repeatable
+    return pseudonymise_documents(_table(spark, sf_dir, "documents"), key="repeatable-example-key").select("doc_id", "text", "pii")
+
+
+def op2_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from heronlake.llm.collision_search import search
+
+    rows = _table(spark, sf_dir, "embeddings")
+    return search(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from heronlake.llm.language_id import fit, predict, remainder
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs.where(remainder("doc_id") != 2))
+    held_out = F.coalesce(remainder("doc_id") == 2, F.lit(False)).alias("held_out")
+    return predict(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronlake.llm.licences import classify, fit
+
+    docs = _table(spark, sf_dir, "documents")
+    return classify(docs, fit(spark, docs.where("text IS NOT NULL")))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,7 +67,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_best_fit_packing, op8_token_store, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_format_preserving_pii, op2_collision_search, op3_language_id, op6_licence_classifier, op7_best_fit_packing, op8_token_store, op9_exact_dedup)}
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
