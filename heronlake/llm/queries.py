@@ -36,6 +36,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronlake.llm.jaccard_join import linked_groups
+
+    return linked_groups(_table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronlake.llm.chat import as_transcripts, fit, parse, render
+
+    lines = as_transcripts(_table(spark, sf_dir, "conversations"))
+    return render(parse(lines.drop("role"), fit(lines), ["turn", "idx"]))
+
+
 def op6_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heronlake.llm.licences import classify, fit
 
@@ -67,7 +80,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_format_preserving_pii, op2_collision_search, op3_language_id, op6_licence_classifier, op7_best_fit_packing, op8_token_store, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_format_preserving_pii, op2_collision_search, op3_language_id, op4_jaccard_join, op5_chat_format, op6_licence_classifier, op7_best_fit_packing, op8_token_store, op9_exact_dedup)}
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
