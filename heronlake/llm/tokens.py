@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 
-CACHE_SEGMENTS, CACHE_WORDS = 500_000, 500_000
+CACHE_SEGMENTS, CACHE_WORDS = 400_000, 300_000
 _SEGMENT = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+\Z")
 _ODD_SPACE = re.compile("[" + "".join(map(chr, (0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 _ODD_ASCII = re.compile("[\x0b\x0c\x1c-\x1f]")
@@ -30,15 +30,19 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Cache(dict):
-    """Computes what is missing; empties itself when full."""
+    """Computes what is missing. When full, its entries become the old ones, of which those asked for again come back."""
 
     def __init__(self, most: int, make):
-        self.most, self.make = most, make
+        self.most, self.make, self.old = most // 2, make, {}
 
     def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        out = self[key] = self.make(key)
+        self[key] = out
         return out
 
 
