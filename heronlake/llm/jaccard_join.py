@@ -2,12 +2,12 @@
 
 Documents with the same word sequence form one node. Nodes meet where they share one of the KEYS smallest shingle hashes:
 of two sets with Jaccard similarity s, none of the KEYS smallest hashes of their union is common with probability
-(1 - s) ** KEYS, below 4e-15 at 0.75, less than that two of their 64-bit shingle hashes collide.
+(1 - s) ** KEYS, below 3e-10 at exactly 0.75 and falling steeply above it.
 
 The nodes that meet at a key form a signature tree, ordered by size: inner nodes hold OR-combined shingle bitmaps and
 size ranges. A dual traversal drops pairs of tree nodes whose greatest possible overlap is too small. What remains is
 verified exactly on whole texts. Pairs already known to be connected are skipped, so that a group of n near copies takes
-about n verifications; what a skipped pair could add is looked for again until nothing is left to verify.
+about n verifications. A cell in which a pair turned out not to be linked is looked at again, until none is left.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from heronlake.llm.components import components
 from heronlake.llm.shared import stage
 
-WORDS, KEYS, FIRST_KEYS = 5, 24, 4
+WORDS, KEYS, FIRST_KEYS = 5, 16, 4
 #: Nodes in one cell of a key's tree; nodes whose sets meet in one verifying group, about.
-CELL_NODES, GROUP_NODES = 2048, 256
+CELL_NODES, GROUP_NODES, SMALL_CELL = 2048, 256, 12
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _P = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -192,6 +192,33 @@ def cell_pairs(sizes: np.ndarray, bits: list[np.ndarray], labels: np.ndarray, fa
     return out
 
 
+def small_cell_pairs(sizes: list[int], bits: list[bytes], labels: list[bytes], failed: set[tuple[int, int]], spare: int) -> list[tuple[int, int]]:
+    """The same for a few nodes, whose tree would have a single leaf: bitmaps as whole numbers, every pair looked at."""
+    n = len(sizes)
+    ints, root, used, out = [int.from_bytes(b, "little") for b in bits], list(labels), [0] * n, []
+    for i in range(n):
+        for j in range(i):
+            if labels[i] == labels[j] or 4 * sizes[i] < 3 * sizes[j] or 4 * sizes[j] < 3 * sizes[i] or (i, j) in failed or (j, i) in failed:
+                continue
+            if root[i] == root[j] and not (used[i] < spare and used[j] < spare):
+                continue
+            x, y, wx, wy = ints[i], ints[j], len(bits[i]), len(bits[j])
+            if wx > wy:
+                x = (x >> (8 * wy)) | (x & ((1 << (8 * wy)) - 1))
+            elif wy > wx:
+                y = (y >> (8 * wx)) | (y & ((1 << (8 * wx)) - 1))
+            both = (x & y).bit_count()
+            shared = min(sizes[i] - x.bit_count(), sizes[j] - y.bit_count()) + both
+            if 7 * shared >= 3 * (sizes[i] + sizes[j]):
+                out.append((i, j))
+                used[i] += 1
+                used[j] += 1
+                if root[i] != root[j]:
+                    old, new = root[j], root[i]
+                    root = [new if r == old else r for r in root]
+    return out
+
+
 def labels_of(labels: np.ndarray) -> np.ndarray:
     return np.unique(labels, return_inverse=True)[1].astype(np.int64)
 
@@ -217,7 +244,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _cells(key_rows: DataFrame, nodes: DataFrame, failed: DataFrame | None, spare: int) -> DataFrame:
-    """a, b: the pairs that the signature trees of all keys leave to verify. ``key_rows``: key, node, label."""
+    """key, a, b: the pairs that the signature trees of the keys leave to verify. ``key_rows``: key, node, label."""
     sized = key_rows.groupBy("key").agg(F.count("*").alias("g"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     tiles = F.ceil(F.col("g") / CELL_NODES).cast("int")
     rows = key_rows.join(sized.select("key", tiles.alias("tiles")), "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
@@ -232,31 +259,34 @@ def _cells(key_rows: DataFrame, nodes: DataFrame, failed: DataFrame | None, spar
     cells = rows.join(known, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def pairs(own: pd.DataFrame) -> list[tuple[bytes, bytes]]:
-            names = [bytes(x) for x in own["node"]]
-            place = {x: k for k, x in enumerate(names)}
-            bad = {(k, place[bytes(o)]) for k, f in enumerate(own["failed"]) if f is not None for o in f if bytes(o) in place}
-            labels = np.array([int.from_bytes(bytes(x)[:8], "big") for x in own["label"]], np.uint64)
-            got = cell_pairs(own["n"].to_numpy(np.int64), [np.frombuffer(x, "<u8") for x in own["bits"]], labels, bad, spare)
+        def pairs(own: list[tuple]) -> list[tuple]:
+            names = [bytes(r[0]) for r in own]
+            bad: set[tuple[int, int]] = set()
+            if any(r[4] is not None for r in own):
+                place = {x: k for k, x in enumerate(names)}
+                bad = {(k, place[bytes(o)]) for k, r in enumerate(own) if r[4] is not None for o in r[4] if bytes(o) in place}
+            if len(own) <= SMALL_CELL:
+                got = small_cell_pairs([r[1] for r in own], [bytes(r[2]) for r in own], [bytes(r[3]) for r in own], bad, spare)
+            else:
+                labels = np.array([int.from_bytes(bytes(r[3])[:8], "big") for r in own], np.uint64)
+                got = cell_pairs(np.array([r[1] for r in own], np.int64), [np.frombuffer(r[2], "<u8") for r in own], labels, bad, spare)
             return [(min(names[a], names[b]), max(names[a], names[b])) for a, b in got]
 
-        held, at = [], None
+        held: list[tuple] = []
+        at = None
         for pdf in batches:
-            cell = list(zip(pdf["key"], pdf["i"], pdf["j"]))
-            cuts = [0, *[k for k in range(1, len(cell)) if cell[k] != cell[k - 1]], len(cell)]
             out = []
-            for lo, hi in zip(cuts, cuts[1:]):
-                if held and cell[lo] != at:
-                    out += pairs(pd.concat(held) if len(held) > 1 else held[0])
-                    held = []
-                at = cell[lo]
-                held.append(pdf.iloc[lo:hi])
+            for key, i, j, *row in zip(*(pdf[c].tolist() for c in ("key", "i", "j", "node", "n", "bits", "label", "failed"))):
+                if (key, i, j) != at:
+                    out += [(at[0], a, b) for a, b in pairs(held)] if len(held) > 1 else []
+                    held, at = [], (key, i, j)
+                held.append(tuple(row))
             if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
-        if held:
-            yield pd.DataFrame(pairs(pd.concat(held)), columns=["a", "b"])
+                yield pd.DataFrame(out, columns=["key", "a", "b"])
+        if len(held) > 1 and (out := [(at[0], a, b) for a, b in pairs(held)]):
+            yield pd.DataFrame(out, columns=["key", "a", "b"])
 
-    return cells.mapInPandas(run, "a binary, b binary").distinct()
+    return cells.mapInPandas(run, "key long, a binary, b binary")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
@@ -294,6 +324,20 @@ def _verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
     return dealt.groupBy("grp").cogroup(known.groupBy("grp")).applyInPandas(compare, "a binary, b binary, linked boolean")
 
 
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, label after new links: only the labels that they connect are worked on."""
+    if labels is None:
+        return stage(components(links), "labels")
+    end = lambda c: F.coalesce(F.col(f"{c}_label"), F.col(c)).alias(c)
+    mapped = links
+    for c in ("a", "b"):
+        mapped = mapped.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left")
+    moved = stage(components(mapped.select(end("a"), end("b")).where("a <> b")), "moved").withColumnRenamed("label", "to")
+    old = labels.join(moved.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    fresh = moved.select("node", F.col("to").alias("label")).join(labels.select("node"), "node", "left_anti")
+    return stage(old.unionByName(fresh), "labels")
+
+
 def linked_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
@@ -304,19 +348,21 @@ def linked_groups(docs: DataFrame) -> DataFrame:
     meta = stage(signatures(docs), "signatures")
     spark = docs.sparkSession
     real = meta.where("n > 0")
-    nodes = real.select("node", "n", "bits", "keys").dropDuplicates(["node"])
+    distinct = stage(real.select("node", "n", "bits", "keys").dropDuplicates(["node"]), "nodes")
+    nodes = distinct.select("node", "n", "bits")
     owners = real.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    keyed = nodes.select("node", F.posexplode("keys").alias("k", "key"))
-    labels = edges = tested = None
+    keyed = distinct.select("node", F.posexplode("keys").alias("k", "key"))
+    labels = tested = again = None
     step = 0
     while True:
-        now = keyed.where(F.col("k") < FIRST_KEYS) if step == 0 else keyed
+        now = keyed.where(F.col("k") < FIRST_KEYS) if step == 0 else keyed if step == 1 else keyed.join(again, "key", "left_semi")
         if labels is not None:
             now = now.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         else:
             now = now.withColumn("label", F.col("node"))
         failed = tested.where("NOT linked") if tested is not None else None
-        pairs = _cells(now.select("key", "node", "label"), nodes.select("node", "n", "bits"), failed, 0 if step < 2 else 4 ** (step - 1))
+        cells = stage(_cells(now.select("key", "node", "label"), nodes, failed, 0 if step < 2 else 4 ** (step - 1)), "cells")
+        pairs = cells.select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = stage(pairs, "candidates")
@@ -326,8 +372,10 @@ def linked_groups(docs: DataFrame) -> DataFrame:
         else:
             found = stage(_verify(pairs, docs, owners), "verified")
             tested = found if tested is None else stage(tested.unionByName(found), "tested")
-            edges = tested.where("linked").select("a", "b")
-            labels = stage(components(edges), "labels")
+            labels = _joined(labels, found.where("linked").select("a", "b"))
+            again = stage(cells.join(found.where("NOT linked"), ["a", "b"], "left_semi").select("key").distinct(), "again")
+            if step > 0 and again.isEmpty():
+                break
         step += 1
     if labels is None:
         labels = spark.createDataFrame([], "node binary, label binary")
