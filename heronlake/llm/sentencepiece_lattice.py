@@ -44,14 +44,17 @@ def piece_table(spark: SparkSession, model_file: str) -> tuple[DataFrame, dict]:
         "most": max(map(len, names)),
         "first_byte": first_byte,
         "unk": sp.unk_id(),
-        "inside": frozenset(p[i : i + 2] for p in names for i in range(len(p) - 1)),
+        "inside": frozenset(pair for p in names for pair in zip(p, p[1:])),
     }
     return spark.createDataFrame(rows, "piece string, id int, score double"), info
 
 
 def units_of(word: str, inside: frozenset) -> list[str]:
     """Cut a word wherever no piece holds the two neighbouring characters; no merge can cross there."""
-    cuts = [0, *[i + 1 for i in range(len(word) - 1) if word[i : i + 2] not in inside], len(word)]
+    odd = [i for i, pair in enumerate(zip(word, word[1:]), 1) if pair not in inside]
+    if not odd:
+        return [word]
+    cuts = [0, *odd, len(word)]
     return [word[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
@@ -226,7 +229,7 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     spark = docs.sparkSession
     pieces, info = piece_table(spark, model_file)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    used = source.mapInPandas(_blocks(info["inside"], "units"), "block binary, k int, unit string")
+    used = stage(source.mapInPandas(_blocks(info["inside"], "units"), "block binary, k int, unit string"), "used")
     rows = source.mapInPandas(_blocks(info["inside"], "documents"), "block binary, doc_id long, codes binary")
     coded = stage(encode_units(used.select("unit"), pieces, info), "units")
     known = used.join(coded, "unit", "left").select("block", "k", "ids")
