@@ -1 +1,96 @@
-"""Queries."""
+"""Queries of item extraction (Q)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from heronlake.operators import items as Q
+from heronlake.plans.base import query
+from heronlake.plans.tables import page_text, table, with_tables
+
+
+def _pages(spark, sf):
+    """Documents' lines dressed as papers: section headers, mains, lettered subs, options and lone marks by place."""
+    p = page_text(spark, sf)
+    dressed = F.transform(F.split("text", "\n"), lambda x, i: _dress(x, i))
+    return p.select("document_id", "page_number", F.array_join(dressed, "\n").alias("text"))
+
+
+def _dress(x, i):
+    short = F.substring(x, 1, 60)
+    n = (F.floor(i / 8) + 1).cast("string")
+    k = i % 8
+    return F.when(k == 0, F.concat(F.lit("Section "), F.char((F.floor(i / 8) % 3 + 65).cast("int")))).when(k == 1, F.concat(F.lit("Q"), n, F.lit(". "), short, F.lit(" [5]"))).when(k == 2, F.concat(F.lit("(a) "), short)).when(k == 3, "(a) red (b) blue (c) green").when(k == 4, F.concat(F.lit("(b) "), short)).when(k == 5, "5 marks").otherwise(short)
+
+
+_LINES = """pg AS (SELECT document_id, page_number, list_transform(string_split(text, chr(10)), lambda x, i: CASE (i - 1) % 8 WHEN 0 THEN 'Section ' || chr(CAST((i - 1) // 8 % 3 + 65 AS INTEGER)) WHEN 1 THEN 'Q' || ((i - 1) // 8 + 1) || '. ' || x[1:60] || ' [5]' WHEN 2 THEN '(a) ' || x[1:60] WHEN 3 THEN '(a) red (b) blue (c) green' WHEN 4 THEN '(b) ' || x[1:60] WHEN 5 THEN '5 marks' ELSE x[1:60] END) AS l FROM page_text),
+    ln AS (SELECT document_id, page_number * 100000 + u.i - 1 AS ord, page_number, u.i - 1 AS i, l[u.i] AS line FROM pg, unnest(range(1, len(l) + 1)) AS u(i))"""
+
+
+@query("q01_classify_lines", sql=with_tables("page_text", then=f", {_LINES} SELECT document_id, ord, CASE i % 8 WHEN 0 THEN 'section' WHEN 1 THEN 'main' WHEN 2 THEN 'sub' WHEN 3 THEN 'option_row' WHEN 4 THEN 'sub' ELSE 'marks' END AS kind FROM ln WHERE i % 8 < 6 AND NOT (i % 8 IN (2, 4) AND length(line) < 6)"))
+def q01(spark, sf):
+    i = F.col("ord") % 100000
+    c = Q.classify_lines(_pages(spark, sf))
+    return c.where((i % 8 < 6) & ~((i % 8).isin(2, 4) & (F.length("line") < 6))).select("document_id", "ord", "kind")
+
+
+@query("q02_carry_section", sql=with_tables("page_text", then=f", {_LINES} SELECT document_id, ord, last_value(CASE WHEN i % 8 = 0 THEN line[9:9] END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY ord) AS section FROM ln"))
+def q02(spark, sf):
+    return Q.carry_section(Q.classify_lines(_pages(spark, sf))).select("document_id", "ord", "section")
+
+
+def _questions(spark, sf):
+    q = Q.segment_questions(Q.carry_section(Q.classify_lines(_pages(spark, sf))))
+    marks, text = Q.parse_marks(F.col("text"))
+    return q.withColumn("marks", marks).withColumn("text", text)
+
+
+@query("q03_segment_questions")
+def q03(spark, sf):
+    return _questions(spark, sf)
+
+
+@query("q04_split_inline", sql="SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN ['red', 'blue', 'green'] END AS options, CASE WHEN p_partkey % 3 = 0 THEN ['name it', 'draw it'] END AS items FROM part")
+def q04(spark, sf):
+    k = F.col("p_partkey")
+    row = F.when(k % 2 == 0, "(a) red (b) blue (c) green").otherwise("(a) red only")
+    line = F.when(k % 3 == 0, "1. name it 2. draw it").otherwise("1. name it")
+    return table(spark, sf, "part").select("p_partkey", Q.split_option_row(row).alias("options"), Q.split_inline_items(line).alias("items"))
+
+
+@query("q05_parse_marks", sql="SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 5.0 WHEN 1 THEN 3.0 WHEN 2 THEN 2.0 END AS marks, CASE p_partkey % 5 WHEN 3 THEN 'Name it [50]' WHEN 4 THEN 'Name 2x [5]' ELSE 'Name it' END AS text FROM part")
+def q05(spark, sf):
+    k = F.col("p_partkey") % 5
+    t = F.when(k == 0, "Name it [5]").when(k == 1, "Name it (3 marks)").when(k == 2, "Name it marks = 2").when(k == 3, "Name it [50]").otherwise("Name 2x [5]")
+    marks, text = Q.parse_marks(t)
+    return table(spark, sf, "part").select("p_partkey", marks.alias("marks"), text.alias("text"))
+
+
+@query("q06_repair_orphan_marks", sql="SELECT o_custkey AS document_id, o_orderkey AS ord, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderkey % 7 + 1 AS DOUBLE) END AS marks FROM orders")
+def q06(spark, sf):
+    o = table(spark, sf, "orders")
+    q = o.select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("ord"), F.lit(None).cast("string").alias("parent_question_number"), F.lit(None).cast("double").alias("marks"))
+    lone = o.select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 7 + 1).cast("double").alias("marks"))
+    more = lone.where("document_id % 2 = 1").withColumn("ord", F.col("ord") + 10**9)
+    return Q.repair_orphan_marks(q, lone.union(more)).select("document_id", "ord", "marks")
+
+
+@query("q07_classify_item_type", sql="SELECT l_orderkey, l_linenumber, count(*) AS n, max(CASE WHEN l_linenumber % 4 >= 2 THEN 'MCQ' WHEN l_linenumber = 5 THEN 'TRUE_FALSE' WHEN l_linenumber = 4 THEN 'FILL_IN_THE_BLANK' WHEN l_quantity >= 4 THEN 'LONG_ANSWER' ELSE 'SHORT_ANSWER' END) AS type FROM lineitem GROUP BY ALL")
+def q07(spark, sf):
+    n = F.col("l_linenumber")
+    text = F.when(n == 5, "State True or False").when(n == 4, "The ____ is red").otherwise("Name it")
+    kind = Q.classify_item_type(n % 4, text, F.col("l_quantity"))
+    return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.max(kind).alias("type"))
+
+
+@query("q08_dedupe_items", sql="SELECT doc_id % 30 AS document_id, min(doc_id) AS ord FROM documents WHERE length(trim(text[1:12])) >= 5 GROUP BY doc_id % 30, regexp_replace(lower(text[1:12]), '[^a-z0-9]', '', 'g')")
+def q08(spark, sf):
+    q = table(spark, sf, "documents").select((F.col("doc_id") % 30).alias("document_id"), F.col("doc_id").alias("ord"), F.substring("text", 1, 12).alias("text"))
+    return Q.dedupe_items(q).select("document_id", "ord")
+
+
+@query("q09_locate_page", sql=with_tables("page_text", then=", q AS (SELECT document_id, page_number AS ord, text[5:80] AS text FROM page_text WHERE text <> ''), n AS (SELECT document_id, count(*) AS n FROM page_text GROUP BY 1) SELECT q.document_id, q.ord, CASE WHEN n = 1 THEN 1 ELSE (SELECT min(p.page_number) FROM page_text p WHERE p.document_id = q.document_id AND contains(lower(p.text), lower(q.text[1:30]))) END AS page_number FROM q JOIN n USING (document_id)"))
+def q09(spark, sf):
+    p = page_text(spark, sf)
+    q = p.where("text <> ''").select("document_id", F.col("page_number").alias("ord"), F.substring("text", 5, 76).alias("text"))
+    return Q.locate_page(q, p).select("document_id", "ord", "page_number")
