@@ -314,3 +314,21 @@ def structure_signature(items: DataFrame) -> DataFrame:
     sig = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("slot_index", "type", "marks", "n_parts"))), lambda x: F.struct(x["slot_index"], x["type"], x["marks"], x["n_parts"])))
     per = items.groupBy("paper_id", "run").agg(sig.alias("s"))
     return per.groupBy("paper_id").agg(F.count("*").alias("runs"), F.countDistinct("s").alias("signatures")).withColumn("invariant", F.col("signatures") == 1)
+
+
+#: Words that frame an image question and claim nothing.
+IMAGE_WORDS = (
+    "observe look identify examine study notice locate view see find read picture image diagram illustration figure photo photograph scene shown show depicted given provided displayed "
+    "refer reference carefully closely clearly mention describe explain tell answer write point foreground background left right top bottom middle center above below behind front beside next side corner position"
+).split()
+
+
+def visual_grounding(units: DataFrame, evidence: DataFrame, image_terms: DataFrame, terms: int = DEFAULT.evidence_terms) -> DataFrame:
+    """question_id, part, from_notes, from_image, ok: terms of image items, framing words aside, in the notes or else in the image."""
+    e = evidence.where("rank <= 5").groupBy("slot_key").agg(F.array_distinct(F.flatten(F.collect_list(content_terms(F.col("text"))))).alias("known"))
+    v = image_terms.groupBy("slot_key").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("seen"))
+    empty = F.array().cast("array<string>")
+    j = units.withColumn("t", F.filter(content_terms(F.col("text")), lambda w: ~w.isin(*IMAGE_WORDS))).join(e, "slot_key", "left").join(v, "slot_key", "left")
+    notes = F.array_intersect("t", F.coalesce("known", empty))
+    image = F.array_intersect(F.array_except("t", F.coalesce("known", empty)), F.coalesce("seen", empty))
+    return j.select("question_id", "part", F.size(notes).alias("from_notes"), F.size(image).alias("from_image"), (F.size(notes) + F.size(image) >= terms).alias("ok"))

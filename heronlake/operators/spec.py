@@ -347,3 +347,55 @@ def detect_unit_topic(slots: DataFrame) -> DataFrame:
     topic = F.nullif(F.trim(F.substring(text, 1, 60)), F.lit(""))
     level = F.when(F.col("explicit_unit").isNotNull() | seen(text).isNotNull(), "HIGH").when(from_paper.isNotNull(), "MEDIUM").when(topic.isNotNull(), "MEDIUM").otherwise("LOW")
     return slots.select("slot_id", unit.alias("unit"), topic.alias("topic"), level.alias("confidence"), ((level == "LOW") & F.col("image")).alias("review"))
+
+
+def paper_header(docs: DataFrame) -> DataFrame:
+    """document_id, class, subject, duration, maximum_marks, session, school of a paper's first lines."""
+    t = F.coalesce("text", F.lit(""))
+    pick = lambda p: F.nullif(F.trim(F.regexp_extract(t, p, 1)), F.lit(""))
+    lines = F.filter(F.slice(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), 1, 14), lambda x: x.rlike(r"(?i)\b(school|academy|college|vidyalaya|institute)\b") & (F.length(x) <= 80))
+    return docs.select(
+        "document_id",
+        pick(r"(?i)\bclass\s*[:\-]?\s*([ivxlc]+|\d{1,2})\b").alias("class"),
+        pick(r"(?i)\bsubject\s*[:\-]\s*([^\n]{2,40})").alias("subject"),
+        pick(r"(?i)\b(?:time|duration)\s*(?:allowed)?\s*[:\-]\s*([^\n]{2,30})").alias("duration"),
+        pick(r"(?i)\b(?:maximum|max\.?|total)\s*marks\s*[:\-]?\s*(\d{1,3})").try_cast("int").alias("maximum_marks"),
+        pick(r"(\b20\d{2}\s*[-–/]\s*(?:20)?\d{2}\b)").alias("session"),
+        F.get(lines, 0).alias("school"),
+    )
+
+
+def paper_instructions(docs: DataFrame, most: int = 8) -> DataFrame:
+    """document_id, ord, line: the first lines after an instructions heading, up to a section, a question or a marks expression."""
+    l = docs.select("document_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line", F.trim("line"))
+    start = F.col("line").rlike(r"(?i)^(?:general\s+)?instructions?\s*:?$")
+    stop = F.col("line").rlike(r"(?i)^(?:section|part)\s+[A-Z]\b|^Q\s*\.?\s*\d+|\d+\s*[xX×]\s*\d+\s*=\s*\d+")
+    w = Window.partitionBy("document_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.min(F.when(start, F.col("i"))).over(w)
+    rows = l.withColumn("first", first)
+    rows = rows.withColumn("ended", F.max(F.when(stop & (F.col("i") > F.col("first")), 1).otherwise(0)).over(w))
+    rows = rows.where("i > first AND ended = 0 AND line <> ''")
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("document_id").orderBy("i"))).where(F.col("ord") <= most).select("document_id", "ord", "line")
+
+
+def build_from_form(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(slots with items, errors) of form rows (slot_id, type, item_count, option_count, difficulty, mode, values, total).
+
+    Marks per item come from the values, or from the total where it divides evenly.
+    """
+    per = F.when(F.col("mode") == "perItem", F.transform(F.sequence(F.lit(1), F.greatest("item_count", F.lit(1))), lambda i: F.get("values", i - 1)))
+    whole = F.transform(F.sequence(F.lit(1), F.greatest("item_count", F.lit(1))), lambda _: F.when(F.col("total") % F.col("item_count") == 0, F.col("total") / F.col("item_count")))
+    marks = F.coalesce(per, whole)
+    items = F.transform(marks, lambda m, i: F.struct(F.char(i + 97).alias("label"), m.alias("marks")))
+    total = F.when(F.col("mode") == "perItem", F.aggregate(F.filter("values", lambda v: v.isNotNull()), F.lit(0.0), lambda a, v: a + v)).otherwise(F.col("total"))
+    slots = rows.where("item_count >= 1").select("slot_id", normalize_type(F.col("type")).alias("type"), items.alias("items"), total.alias("total_marks"), "difficulty")
+    rules = [
+        (F.col("item_count") < 1, "item_count"),
+        (normalize_type(F.col("type")) == "UNKNOWN", "type"),
+        ((F.col("mode") == "perItem") & (F.size("values") != F.col("item_count")), "marks_count"),
+        ((F.col("mode") == "whole") & ~(F.col("total") > 0), "total"),
+        ((normalize_type(F.col("type")) == "MCQ") & (F.coalesce("option_count", F.lit(0)) < 2), "options"),
+        (~F.col("difficulty").isin("Easy", "Medium", "Difficult", "Hard"), "difficulty"),
+    ]
+    errors = rows.select("slot_id", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for c, n in rules]))).alias("error"))
+    return slots, errors

@@ -76,7 +76,7 @@ def w14(spark, sf):
 
 @query("w14_expire_stream", sql="SELECT user_id AS job_id, max(event_id) AS last_event_id FROM events GROUP BY 1")
 def w14s(spark, sf):
-    rows = P.drain(P.expiring_stream(as_job_events(P.read_events(spark, f"{sf}/events.parquet"))), "expire", _scratch(spark, "stream"))
+    rows = P.drain(P.expiring_stream(as_job_events(P.read_events(spark, f"{sf}/events.parquet"))), "expire", _scratch(spark, "stream"), once=True)
     return rows.groupBy("job_id").agg(F.max("last_event_id").alias("last_event_id"))
 
 

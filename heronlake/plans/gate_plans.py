@@ -265,3 +265,13 @@ def v29(spark, sf):
     s = slots(spark, sf).select("paper_id", "slot_id", "slot_index", F.lit("MCQ").alias("type"), F.col("total_marks").alias("marks"), F.lit(1).alias("n_parts"))
     hard = s.withColumn("n_parts", F.when(F.col("slot_id") % 50 == 0, 2).otherwise(1))
     return V.structure_signature(s.withColumn("run", F.lit("Easy")).unionByName(hard.withColumn("run", F.lit("Hard"))))
+
+
+_FRAME_WORDS = "[" + ", ".join(f"'{w}'" for w in V.IMAGE_WORDS) + "]"
+
+
+@query("v09_visual_grounding", sql=with_tables("candidates", then=f", u AS (SELECT question_id, paper_id % 40 AS slot_key, list_filter({terms_sql(_W5.format(a=1, b=12))}, lambda w: NOT list_contains({_FRAME_WORDS}, w)) AS t FROM candidates), e AS (SELECT doc_id % 30 AS slot_key, list_distinct(flatten(list({terms_sql('text')}))) AS known FROM documents WHERE doc_id // 30 + 1 <= 5 GROUP BY 1), v AS (SELECT item_id AS slot_key, {terms_sql('text')} AS seen FROM benchmark), g AS (SELECT question_id, len(list_intersect(t, coalesce(known, []))) AS a, len(list_filter(t, lambda w: NOT list_contains(coalesce(known, []), w) AND list_contains(coalesce(seen, []), w))) AS b FROM u LEFT JOIN e USING (slot_key) LEFT JOIN v USING (slot_key)) SELECT question_id, 'whole' AS part, a AS from_notes, b AS from_image, a + b >= 2 AS ok FROM g"))
+def v09(spark, sf):
+    c = candidates(spark, sf).select("question_id", F.lit("whole").alias("part"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("text"), (F.col("paper_id") % 40).alias("slot_key"))
+    e = chunks(spark, sf).select((F.col("doc_id") % 30).alias("slot_key"), (F.floor(F.col("doc_id") / 30) + 1).alias("rank"), "text")
+    return V.visual_grounding(c, e, table(spark, sf, "benchmark").select(F.col("item_id").alias("slot_key"), X.content_terms(F.col("text")).alias("terms")))

@@ -259,3 +259,39 @@ def b29(spark, sf):
 @query("b30_total_drift", sql=with_tables("papers", _S, _I, then=f", {_ITEMS_NULL}, g AS (SELECT slot_id, CASE WHEN count(marks) = count(*) THEN sum(marks) END AS s FROM it GROUP BY 1), t AS (SELECT paper_id, round(sum(coalesce(s, total_marks)), 1) AS total FROM slots LEFT JOIN g USING (slot_id) GROUP BY 1) SELECT paper_id, declared_total, total, declared_total <> total AS drifted FROM papers JOIN t USING (paper_id)"))
 def b30(spark, sf):
     return B.total_drift(papers(spark, sf), slots(spark, sf), _items_null(spark, sf))
+
+
+def _head(spark, sf):
+    i = F.col("doc_id").cast("string")
+    head = F.concat(F.lit("Green School "), i, F.lit("\nClass: 8 Session 2023-24\nSubject: Science\nTime: 3 hours  Maximum Marks: "), (F.col("doc_id") % 90 + 10).cast("string"), F.lit("\nGeneral Instructions:\nAnswer all.\nWrite neatly.\n\nNo books.\nSection A\nAfter.\n"), "text")
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), head.alias("text"))
+
+
+@query("b01_paper_header", sql="SELECT doc_id AS document_id, '8' AS class, 'Science' AS subject, '3 hours  Maximum Marks: ' || (doc_id % 90 + 10) AS duration, CAST(doc_id % 90 + 10 AS INTEGER) AS maximum_marks, '2023-24' AS session, 'Green School ' || doc_id AS school FROM documents")
+def b01(spark, sf):
+    return B.paper_header(_head(spark, sf))
+
+
+@query("b02_paper_instructions", sql="SELECT doc_id AS document_id, i AS ord, ['Answer all.', 'Write neatly.', 'No books.'][i] AS line FROM documents, range(1, 4) r(i)")
+def b02(spark, sf):
+    return B.paper_instructions(_head(spark, sf))
+
+
+_FORM = "f AS (SELECT o_orderkey AS slot_id, o_orderkey % 4 AS n, CASE WHEN o_orderkey % 7 = 0 THEN 'strange' WHEN o_orderkey % 2 = 0 THEN 'mcq' ELSE 'short answer' END AS type, o_orderkey % 3 AS oc, o_orderkey % 5 = 0 AS per, o_orderkey % 6 AS total FROM orders)"
+
+
+def _form(spark, sf):
+    i = F.col("o_orderkey")
+    kind = F.when(i % 7 == 0, "strange").when(i % 2 == 0, "mcq").otherwise("short answer")
+    return table(spark, sf, "orders").select(i.alias("slot_id"), kind.alias("type"), (i % 4).cast("int").alias("item_count"), (i % 3).cast("int").alias("option_count"), F.lit("Easy").alias("difficulty"), F.when(i % 5 == 0, "perItem").otherwise("whole").alias("mode"), F.array(F.lit(1.0), F.lit(2.0)).alias("values"), (i % 6).cast("double").alias("total"))
+
+
+@query("b31_build_from_form", sql=f"WITH {_FORM} SELECT slot_id, CASE WHEN slot_id % 7 = 0 THEN 'UNKNOWN' WHEN slot_id % 2 = 0 THEN 'MCQ' ELSE 'SHORT_ANSWER' END AS type, n AS items, CASE WHEN per THEN 1.0 WHEN total % n = 0 THEN total / n::DOUBLE END AS first_marks, CASE WHEN per THEN 3.0 ELSE total END AS total_marks FROM f WHERE n >= 1")
+def b31(spark, sf):
+    made, _ = B.build_from_form(_form(spark, sf))
+    return made.select("slot_id", "type", F.size("items").alias("items"), F.get("items", 0)["marks"].alias("first_marks"), "total_marks")
+
+
+@query("b31_form_errors", sql=f"WITH {_FORM} SELECT slot_id, 'item_count' AS error FROM f WHERE n < 1 UNION ALL SELECT slot_id, 'type' FROM f WHERE slot_id % 7 = 0 UNION ALL SELECT slot_id, 'marks_count' FROM f WHERE per AND n <> 2 UNION ALL SELECT slot_id, 'total' FROM f WHERE NOT per AND total = 0 UNION ALL SELECT slot_id, 'options' FROM f WHERE slot_id % 7 <> 0 AND slot_id % 2 = 0 AND oc < 2")
+def b31e(spark, sf):
+    return B.build_from_form(_form(spark, sf))[1]

@@ -81,8 +81,11 @@ def expiring_stream(stream: DataFrame, ttl_ms: int = 1_800_000) -> DataFrame:
     return stream.groupBy("job_id").transformWithStateInPandas(ExpiringJobs(ttl_ms), "job_id long, last_event_id long", "Update", "ProcessingTime")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "update") -> DataFrame:
-    """Run a stream over what is there and give all rows it emitted, from files in the checkpoint folder."""
+def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "update", once: bool = False) -> DataFrame:
+    """Run a stream over what is there and give all rows it emitted, from files in the checkpoint folder.
+
+    ``once`` runs a single batch: a stream with processing-time state never counts as finished.
+    """
     spark = stream.sparkSession
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -92,7 +95,7 @@ def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "update") -
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch_id_{batch_id}")
 
     try:
-        q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}-log").trigger(availableNow=True).start()
+        q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}-log").trigger(**({"once": True} if once else {"availableNow": True})).start()
         q.awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
