@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from heronlake.operators import store as S
+from heronlake.sources import store as S
 from heronlake.plans.base import query
 from heronlake.plans.tables import chunks, edges, library, nodes, page_text, table, with_tables
 

@@ -6,7 +6,7 @@ from heronlake.functions import text as X
 from heronlake.operators import graph as G
 from heronlake.operators import retrieval as R
 from heronlake.operators import spec as B
-from heronlake.operators import store as S
+from heronlake.sources import store as S
 
 
 def one(spark, expr, *values):
