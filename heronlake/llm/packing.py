@@ -19,11 +19,12 @@ CAPACITY = 2048
 GROUP_ROWS = 20_000
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False, keep_words: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): token ids of each whole text and the end id, cut to pieces.
 
     A null text counts as empty and gives the end id alone. Longer documents are cut so that the first piece
     takes the remainder. Repeated rows and null doc_ids give pieces like any other row; other columns are ignored.
+    ``keep_words`` leaves encoded words to the worker's next task; without it each task ends with empty caches.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,6 +48,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
                         at, k, size = at + size, k + 1, capacity
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
                 yield out.astype({"doc_id": "Int64"})
+        if not keep_words:
+            enc.forget()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, schema)
@@ -138,11 +141,11 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, keep_words: bool = True) -> DataFrame:
     """All documents in as few sequences of at most ``capacity`` tokens as the matching finds."""
     from heronlake.llm.shared import stage
 
-    return place(stage(token_pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    return place(stage(token_pieces(docs, tokenizer, capacity, end_id, keep_words=keep_words), "pieces"), capacity)
 
 
 def sequences(packed_with_ids: DataFrame) -> DataFrame:

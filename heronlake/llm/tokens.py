@@ -124,6 +124,12 @@ class SegmentEncoder:
         segs = self.segments(text) if segs is None else segs
         return self._whole(text) if segs is None else b"".join(map(self.cache.__getitem__, segs))
 
+    def forget(self) -> None:
+        """Give the caches' memory back, where a worker goes on to other work."""
+        for cache in (self.cache, self.after_blank, self.word_cache):
+            cache.clear()
+            cache.old = {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         return [self._text(t) for t in texts]
 
