@@ -51,7 +51,8 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2,048 ids: where each piece of each document lies."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # workers serve all stages, so none keeps its words
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_words=False)
 
 
 STAGES = [
