@@ -66,6 +66,8 @@ def _mix(value: str, digits: str, of: re.Pattern) -> str:
 
 
 _DIGIT, _ALNUM = re.compile(r"[0-9]"), re.compile(r"[0-9A-Za-z]")
+#: Ten digits of the North American plan: neither area code nor exchange begins with 0 or 1.
+_NANP = re.compile(r"[2-9][0-9]{2}[2-9][0-9]{6}")
 
 
 def card(f: Feistel, value: str, back: bool = False) -> str | None:
@@ -85,8 +87,11 @@ def phone(f: Feistel, value: str, back: bool = False) -> str | None:
         n = len(d) - 2  # the country's first two digits stay
         return _mix(value, d[:2] + f"{f.permute(int(d[2:]), 10**n, 'phone' + d[:2], back=back):0{n}d}", _DIGIT)
     head, d = d[:-10], d[-10:]
-    if len(d) != 10 or head not in ("", "1") or d[0] in "01" or d[3] in "01":
+    if len(d) != 10 or head not in ("", "1"):
         return None
+    if not _NANP.fullmatch(d):  # a phone by its format only; it stays outside the plan, so both maps can be inverted
+        x = f.permute(int(d), 10**10, "phone10", lambda x: not _NANP.fullmatch(f"{x:010d}"), back)
+        return _mix(value, f"{head}{x:010d}", _DIGIT)
     x = (int(d[0]) - 2) * 8 * 10**8 + int(d[1:3]) * 8 * 10**6 + (int(d[3]) - 2) * 10**6 + int(d[4:])
     x = f.permute(x, 64 * 10**8, "nanp", back=back)
     area, rest = divmod(x, 8 * 10**6)

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -26,6 +27,23 @@ def test_values_keep_their_format(value):
     assert P.pseudonymise(out, F_, back=True) == f"see {value}, please"
 
 
+@pytest.mark.parametrize("value", ["+1 (017) 555-7713", "(132) 555-1352", "(073) 555-8658", "212-155-0199", "+1 100 000 0000", "+10000000000", "019.555.0199"])
+def test_phones_outside_the_plan_are_replaced(value):
+    found: list = []
+    new = P.pseudonymise(f"see {value}, please", F_, found)[4:-8]
+    assert [f[:3] for f in found] == [("phone", 4, len(value))]
+    assert new != value and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", value) and new.startswith("+1") == value.startswith("+1")
+    assert P.pseudonymise(f"see {new}, please", F_, back=True) == f"see {value}, please"
+
+
+def test_phone_map_is_one_to_one():
+    rnd = random.Random(1)
+    values = {f"({rnd.randrange(1000):03d}) {rnd.randrange(1000):03d}-{rnd.randrange(10000):04d}" for _ in range(3000)}
+    new = {v: P.phone(F_, v) for v in values}
+    assert None not in new.values() and len(set(new.values())) == len(values)
+    assert all(P.phone(F_, n, back=True) == v for v, n in new.items())
+
+
 @pytest.mark.parametrize("value", PLAIN)
 def test_other_numbers_stay(value):
     assert P.pseudonymise(value, F_) == value
