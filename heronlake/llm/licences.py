@@ -1,8 +1,9 @@
 """Licence statements by a trained paragraph classifier, in DataFrame and ML functions only.
 
-Sparse word uni- and bigrams of each line feed a multinomial logistic regression over licence families and a class of
-other prose. Its probabilities are tempered on held-out variants, whose lowest percentile sets the bound below which a
-statement is ``unknown``. A prediction stands only if the line shares enough bigrams with a template of that family.
+Sparse word uni- and bigrams of each line, and of each paragraph of several lines, feed a multinomial logistic
+regression over licence families and a class of other prose. Its probabilities are tempered on held-out variants, whose
+lowest percentile sets the bound below which a statement is ``unknown``. A prediction stands only if the unit shares
+enough bigrams with a template of that family.
 """
 
 from __future__ import annotations
@@ -12,14 +13,16 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from heronlake.llm.shared import stage
+
 FEATURES = 1 << 13
-#: Variants made of each template; lines of the corpus taken as other prose, about; least share of a template's bigrams.
+#: Variants made of each template; units of the corpus taken as other prose, about; least share of a template's bigrams.
 VARIANTS, OTHER_LINES, LEAST_CONTAINED = 40, 2_000, 0.5
 NONE, UNKNOWN = "none", "unknown"
-#: A licence statement holds at least one of these; lines without any are other prose by definition.
+#: Units of the corpus with one of these may state a licence of no template, so none is taken as other prose for the fit.
 STATEMENT = r"(?i)licen[cs]|copyright|warrant|spdx|public domain|redistribut|permission|creative commons|\bCC[ -](?:BY|0)|\bCC0|\bGNU\b|\bA?L?GPL"
 
 #: Statements by which well-known licences are named or granted.
@@ -29,6 +32,7 @@ TEMPLATES: dict[str, list[str]] = {
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "This project is released under the Apache 2.0 license.",
+        "Distributed under Apache 2.0.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "mit": [
@@ -63,6 +67,7 @@ TEMPLATES: dict[str, list[str]] = {
     ],
     "bsd": [
         "Licensed under the BSD 3-Clause License.",
+        "BSD 3-Clause",
         "Use of this source code is governed by a BSD-style license.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
@@ -89,6 +94,13 @@ TEMPLATES: dict[str, list[str]] = {
         "Released under CC0 1.0.",
         "To the extent possible under law, the author has waived all copyright and related rights to this work and dedicated it to the public domain under CC0.",
     ],
+    "proprietary": [
+        "All rights reserved.",
+        "Copyright by the authors. All rights reserved.",
+        "This software is proprietary and confidential.",
+        "Unauthorized copying of this file, via any medium, is strictly prohibited.",
+        "No part of this publication may be reproduced, distributed or transmitted in any form or by any means without the prior written permission of the publisher.",
+    ],
 }
 #: Lines that speak of licences, copies or warranties without granting anything.
 OTHER_PROSE = [
@@ -107,11 +119,45 @@ OTHER_PROSE = [
 ]
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _grams(text: Column) -> Column:
+    """Lower-case words and word pairs of a text; marks part words, but a dot within a number stays."""
+    words = F.array_remove(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}.]+|\.(?!\p{N})", " ")), " "), "")
+    pairs = lambda ws: F.transform(F.slice(ws, 2, F.size(ws)), lambda w, i: F.concat_ws(" ", F.get(ws, i), w))
+    return _once(words, lambda ws: F.concat(ws, pairs(ws)))
+
+
 def grams(text: Column) -> Column:
-    """Distinct lower-case words and word pairs of a line; marks part words, but a dot within a number stays."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}.]+|\.(?!\p{N})", " ")), " +"), lambda w: w != "")
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-    return F.array_distinct(F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))))
+    """The distinct n-grams of a text."""
+    return F.array_distinct(_grams(text))
+
+
+def units(docs: DataFrame) -> DataFrame:
+    """``docs`` with, for each line that is not blank and each run of several such lines: block, paragraph, single, statement.
+
+    ``paragraph`` is the unit's first line and ``block`` its run's, both from 0; ``text`` goes.
+    """
+    blank = lambda s: ~s.rlike(r"\S")
+    rest = [c for c in docs.columns if c != "text"]
+    lines = docs.select(*rest, F.split("text", "\n").alias("_lines"))
+    lines = lines.withColumn("_full", F.transform("_lines", lambda s: ~blank(s)))
+    at = F.sequence(F.lit(0), F.size("_lines") - 1)
+    full = lambda i: F.coalesce(F.get("_full", i), F.lit(False))
+    lines = lines.select(*rest, "_lines", F.filter(at, lambda i: full(i) & ~full(i - 1)).alias("_first"), F.filter(at, lambda i: full(i) & ~full(i + 1)).alias("_last"))
+
+    def unit(block: Column, at: Column, single: bool, text: Column) -> Column:
+        return F.struct(block.alias("block"), at.alias("paragraph"), F.lit(single).alias("single"), text.alias("statement"))
+
+    def of(first: Column, last: Column) -> Column:
+        own = F.transform(F.sequence(first, last), lambda i: unit(first, i, True, F.get("_lines", i)))
+        whole = F.array(unit(first, first, False, F.array_join(F.slice("_lines", first + 1, last - first + 1), "\n")))
+        return F.when(last > first, F.concat(whole, own)).otherwise(own)
+
+    return lines.select(*rest, F.explode(F.flatten(F.zip_with("_first", "_last", of))).alias("_unit")).select(*rest, "_unit.*")
 
 
 @dataclass
@@ -131,8 +177,24 @@ def _tempered(prob: Column, temperature: float) -> Column:
     return F.transform(powered, lambda p: p / F.aggregate(powered, F.lit(0.0), lambda a, x: a + x))
 
 
+def _contained(own: Column, texts: list[str]) -> Column:
+    """The largest share of a template's n-grams, of ``texts``, that ``own`` holds."""
+    shares = [F.size(F.array_intersect(own, t)) / F.size(t) for t in (grams(F.lit(t)) for t in texts)]
+    return F.greatest(*shares) if len(shares) > 1 else shares[0]
+
+
+def _other_prose(prose: DataFrame) -> DataFrame:
+    """grams, v: about OTHER_LINES units of the whole table, chosen by hash, that state no licence we know of."""
+    total = prose.select(F.sum(F.size(F.split("text", "\n")))).first()[0] or 0
+    least = int(min(1.0, OTHER_LINES / max(total, 1)) * (1 << 40))
+    chosen = units(prose.select("text")).where(F.pmod(F.xxhash64("statement"), F.lit(1 << 40)) < least)
+    chosen = chosen.where(~F.col("statement").rlike(STATEMENT)).select("statement").distinct()
+    chosen = chosen.select(F.pmod(F.xxhash64("statement", F.lit(1)), F.lit(VARIANTS)).cast("int").alias("v"), grams(F.col("statement")).alias("grams"))
+    return stage(chosen, "other_prose").where(_contained(F.col("grams"), [t for ts in TEMPLATES.values() for t in ts]) < LEAST_CONTAINED)
+
+
 def fit(spark: SparkSession, prose: DataFrame | None = None) -> LicenceModel:
-    """Fit on VARIANTS thinned copies of each template and, as other prose, about OTHER_LINES lines of ``prose`` (text)."""
+    """Fit on VARIANTS thinned copies of each template and, as other prose, about OTHER_LINES units of ``prose`` (text)."""
     families = [NONE, *sorted(TEMPLATES)]
     rows = [(t, families.index(k)) for k, ts in TEMPLATES.items() for t in ts] + [(t, 0) for t in OTHER_PROSE]
     base = spark.createDataFrame(rows, "text string, label int").withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
@@ -142,8 +204,7 @@ def fit(spark: SparkSession, prose: DataFrame | None = None) -> LicenceModel:
     around = F.slice(F.shuffle(F.split(F.lit("and the of in a for to this file is see note by with from it on at be as all text page"), " "), 11), 1, F.col("v") % 6)
     data = base.select("label", "v", F.concat(thinned, F.when(F.col("v") % 2 == 1, around).otherwise(F.array().cast("array<string>"))).alias("grams"))
     if prose is not None:
-        lines = prose.select(F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike(STATEMENT) & (F.pmod(F.xxhash64("line"), F.lit(97)) == 0))
-        data = data.unionByName(lines.limit(OTHER_LINES).select(F.lit(0).alias("label"), F.pmod(F.xxhash64("line"), F.lit(VARIANTS)).cast("int").alias("v"), grams(F.col("line")).alias("grams")))
+        data = data.unionByName(_other_prose(prose).select(F.lit(0).alias("label"), "v", "grams"))
     data = _features(data).cache()
     held = F.col("v") % 5 == 4
     model = LogisticRegression(maxIter=60, regParam=3e-4, family="multinomial").fit(data.where(~held))
@@ -160,25 +221,29 @@ def fit(spark: SparkSession, prose: DataFrame | None = None) -> LicenceModel:
 
 
 def classify(docs: DataFrame, fitted: LicenceModel) -> DataFrame:
-    """doc_id, paragraph (line number from 0), family, probability, contained, confirmed, statement.
-
-    One row for each line of each whole text that states a licence; ``family`` is ``unknown`` where the best family is
-    not probable enough or no template of it confirms the line. Null or empty texts have no rows; repeated rows repeat
-    theirs; ties between families go to the first by name. Lines are independent: no shuffle, nothing collected.
+    """doc_id, paragraph (first line's number from 0), family, probability, contained, confirmed, statement.
+
+    One row for each line of each whole text that states a licence, and one for each run of several lines without a
+    blank one that states a licence which none of its lines does by itself: a confirmed run of a family no line of it
+    confirms, or an unconfirmed run none of whose lines has a row. ``family`` is ``unknown`` where the best family is
+    not probable enough or no template of it confirms the unit. Null or empty texts have no rows; repeated rows repeat
+    theirs; ties between families go to the first by name. Every unit is classified; only those that state a licence
+    are shuffled, and nothing is collected.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = source.where(F.col("text").rlike(STATEMENT)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "statement"))
-    lines = _features(lines.where(F.col("statement").rlike(STATEMENT)).withColumn("grams", grams(F.col("statement"))))
-    prob = _tempered(vector_to_array("probability"), fitted.temperature)
-    scored = fitted.model.transform(lines).select("doc_id", "paragraph", "statement", "grams", prob.alias("p"))
-    names = F.array(*[F.lit(f) for f in fitted.families])
-    best = F.array_max(F.transform("p", lambda p, i: F.struct(p.alias("p"), (-i).alias("i"))))
-    scored = scored.withColumn("best", best).select("*", F.get(names, -F.col("best.i")).alias("named"), F.col("best.p").alias("probability"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    found = units(source.withColumn("_text", F.xxhash64("text"))).withColumn("grams", _grams(F.col("statement")))
+    # the filter stands on the model's own prediction, which tempering does not change
+    scored = fitted.model.transform(_features(found)).where(F.col("prediction") != fitted.families.index(NONE))
+    index = F.col("prediction").cast("int")
+    scored = scored.select("doc_id", "_text", "block", "paragraph", "single", "statement", "grams", F.get(F.array(*[F.lit(f) for f in fitted.families]), index).alias("named"), F.get(_tempered(vector_to_array("probability"), fitted.temperature), index).alias("probability"))
     contained = F.lit(0.0)
     for family, texts in TEMPLATES.items():
-        shares = [F.size(F.array_intersect("grams", own)) / F.size(own) for own in (grams(F.lit(t)) for t in texts)]
-        contained = F.when(F.col("named") == family, F.greatest(*shares) if len(shares) > 1 else shares[0]).otherwise(contained)
-    scored = scored.where(F.col("named") != NONE).withColumn("contained", contained)
+        contained = F.when(F.col("named") == family, _contained(F.col("grams"), texts)).otherwise(contained)
+    scored = scored.withColumn("contained", contained).drop("grams")
     scored = scored.withColumn("confirmed", (F.col("probability") >= fitted.least) & (F.col("contained") >= LEAST_CONTAINED))
+    run = Window.partitionBy("doc_id", "_text", "block")
+    scored = scored.withColumn("_lines", F.max("single").over(run)).withColumn("_by_line", F.collect_set(F.when(F.col("single") & F.col("confirmed"), F.col("named"))).over(run))
+    alone = F.when(F.col("confirmed"), ~F.array_contains("_by_line", F.col("named"))).otherwise(~F.col("_lines"))
+    scored = scored.where(F.col("single") | alone)
     family = F.when(F.col("confirmed"), F.col("named")).otherwise(F.lit(UNKNOWN))
     return scored.select("doc_id", "paragraph", family.alias("family"), F.round("probability", 6).alias("probability"), F.round("contained", 6).alias("contained"), "confirmed", "statement")

@@ -112,3 +112,14 @@ def test_licences(spark, sf):
     assert I.classify(df.limit(0), fitted).count() == 0
     plan = I.classify(docs, fitted)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_line_and_paragraph_is_classified(spark, sf):
+    fitted = I.fit(spark, spark.read.parquet(f"{sf}/documents.parquet"))
+    wrapped = next(t for t in I.TEMPLATES["mit"] if t.startswith("Permission")).replace("any person ", "any person\n").replace("to deal ", "to deal\n").replace("limitation the rights ", "limitation the rights\n").replace("publish, ", "publish,\n")
+    rows = [(1, "Words.\nAll rights reserved.\nMore words."), (2, "Distributed under Apache 2.0"), (3, "BSD 3-Clause"), (4, f"Plain.\n\n{wrapped}\n \nMore plain words."), (5, "Nothing here.\n\n\nNor here.")]
+    got = I.classify(spark.createDataFrame(rows, "doc_id long, text string"), fitted).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.paragraph, r.family, r.confirmed) for r in got if r.confirmed] == [(1, 1, "proprietary", True), (2, 0, "apache-2.0", True), (3, 0, "bsd", True), (4, 2, "mit", True)]
+    assert [r.statement for r in got if r.doc_id == 4 and r.confirmed] == [wrapped] and 5 not in {r.doc_id for r in got}
+    both = spark.createDataFrame([(1, "a\nb\n\n\t\nc\n"), (2, ""), (3, None)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in I.units(both).collect()) == [(1, 0, 0, False, "a\nb"), (1, 0, 0, True, "a"), (1, 0, 1, True, "b"), (1, 4, 4, True, "c")]
