@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where the setting is absent (tests)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where the setting is absent in a local session (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -38,6 +40,36 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the system, so that a worker kept for later stages stays small."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such call in this C library
+        pass
+
+
+#: Keys that join_skewed sends to every task, at most.
+HOT_KEYS = 1_000
+
+
+def join_skewed(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each key and, as ``count``, the number of ``rows`` of that key.
+
+    Keys with more than a thousandth of all rows, of which there are at most a thousand, are broadcast, so that the rows
+    of a hot key stay where they are; the others are joined by a shuffle. Both inputs are read twice.
+    """
+    least = (table.agg(F.sum(count)).first()[0] or 0) / HOT_KEYS
+    hot, other = table.where(F.col(count) > least), table.where(F.col(count) <= least)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(other, key))
+
+
 def ascii_lower(col):
     """Lower-case A-Z only. Pure-ASCII text takes the built-in lower, which is the same there and faster."""
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -72,25 +72,41 @@ def near_copies(n, seed, words=120, change=0.02):
 
 @pytest.mark.parametrize("change", [0.01, 0.03, 0.05])
 def test_border_groups(spark, change, monkeypatch):
-    monkeypatch.setattr(J, "CELL_NODES", 32)
-    monkeypatch.setattr(J, "GROUP_NODES", 16)
+    monkeypatch.setattr(J, "TILE", 16)
+    monkeypatch.setattr(J, "GROUP_PAIRS", 16)
+    monkeypatch.setattr(J, "BATCH", 64)
+    monkeypatch.setattr(J, "BLOCK", 2000)
+    monkeypatch.setattr(J, "BUCKET", 5000)
     texts = near_copies(150, 1, change=change) + near_copies(60, 2, words=300, change=change) + [" ".join(random.Random(9).choices("abcdefghij", k=40))]
     rows = list(enumerate(texts))
     assert got(spark, rows) == brute(rows)
 
 
-def test_tree_keeps_every_link():
+def test_one_word_edits_without_their_base(spark):
+    """Pairs at exactly 0.75 and just below: 35 shingles each, 30 common."""
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for n in (34, 38, 39, 40, 44):
+        for k in range(60):
+            words = base[:n]
+            words[2 + k % (n - 4)] = f"x{n}-{k}"
+            rows.append((len(rows), " ".join(words)))
+    assert got(spark, rows) == brute(rows)
+
+
+def test_forest_keeps_every_link():
     rnd = np.random.default_rng(0)
     base = rnd.integers(0, 2**63, 900, dtype=np.uint64)
     sets = []
-    for k in range(120):
+    for k in range(240):
         own = base[: rnd.integers(300, 900)] if k % 2 else rnd.integers(0, 2**63, rnd.integers(5, 900), dtype=np.uint64)
         sets.append(np.unique(np.where(rnd.random(len(own)) < 0.05, rnd.integers(0, 2**63, len(own), dtype=np.uint64), own)))
-    sizes = np.array([len(s) for s in sets])
-    want = {(i, j) for i in range(120) for j in range(i) if J.linked(len(np.intersect1d(sets[i], sets[j])), sizes[i], sizes[j])}
-    pairs = J.cell_pairs(sizes, [J.bitmap(s) for s in sets], np.arange(120).astype(np.uint64), set(), 10**6)
-    assert want <= {(max(p), min(p)) for p in pairs}
-    assert len(pairs) < 120 * 119 / 4
+    sizes, cell = np.array([len(s) for s in sets]), np.repeat([0, 1, 2, 3], [100, 1, 19, 120])
+    forest = J.Forest(cell, sizes, sizes, sizes, np.stack([J.bitmap(s) for s in sets]), np.arange(240))
+    found = {(min(a, b), max(a, b)) for i, j, _ in forest.pairs() for a, b in zip(i.tolist(), j.tolist())}
+    want = {(i, j) for j in range(240) for i in range(j) if cell[i] == cell[j] and J.linked(len(np.intersect1d(sets[i], sets[j])), sizes[i], sizes[j])}
+    assert want <= found and all(cell[i] == cell[j] for i, j in found)
+    assert len(found) < 240 * 239 / 8
 
 
 def test_components(spark):
