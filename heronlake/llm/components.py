@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.llm.shared import stage
+from heronlake.llm.shared import stage, unstage
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -22,7 +22,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.withColumnRenamed("u", "k"), F.col("u") == F.col("k"))
-        e = stage(low.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), name)
+        before, e = e, stage(low.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), name)
+        unstage(before)
         got = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if got == mark:
             break

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronlake.llm.components import components
-from heronlake.llm.shared import join_skewed, release, stage
+from heronlake.llm.shared import join_skewed, release, stage, unstage
 
 WORDS, LEAD_KEYS = 5, 3
 #: Shingles and distinct nodes of one block of the exchange; shingles of one bucket, about.
@@ -249,7 +249,8 @@ def counted(docs: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, n, hashes (binary) of each node that ``wanted`` (doc_id, node) names, once."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
+    # few and narrow beside the texts: where Spark finds their files small enough it sends them to the texts, else both move
+    ids = stage(wanted.select(F.col("doc_id").alias("wanted_id")).distinct(), "wanted")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -428,7 +429,7 @@ def _candidates(nodes: DataFrame, labels: DataFrame | None, best: bool) -> DataF
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, linked: the exact similarity of the two nodes' shingle sets."""
+    """a, b, linked: the exact similarity of the two nodes' shingle sets, staged."""
     degree = pairs.groupBy("a").agg(F.count("*").alias("d"))
     groups = max(1, pairs.count() // GROUP_PAIRS)
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / GROUP_PAIRS))
@@ -445,7 +446,9 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             out.append((a, b, linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
         return pd.DataFrame(out, columns=["a", "b", "linked"])
 
-    return dealt.groupBy("grp").cogroup(known.groupBy("of")).applyInPandas(compare, "a binary, b binary, linked boolean")
+    found = stage(dealt.groupBy("grp").cogroup(known.groupBy("of")).applyInPandas(compare, "a binary, b binary, linked boolean"), "verified")
+    unstage(dealt)
+    return found
 
 
 def _lead_pairs(nodes: DataFrame) -> DataFrame:
@@ -473,7 +476,7 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 def components_of(docs: DataFrame) -> DataFrame:
     """doc_id, n, label for every row: rows of linked texts share a label, wordless ones have none."""
     meta = stage(counted(docs), "counted")
-    wanted = meta.where("n > 0 AND 4 * shared >= 3 * n").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    wanted = stage(meta.where("n > 0 AND 4 * shared >= 3 * n").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "owners")
     sets = stage(_sets(docs, wanted), "sets")
     nodes = stage(ordered(sets), "nodes")
     labels = tested = None
@@ -484,10 +487,12 @@ def components_of(docs: DataFrame) -> DataFrame:
         pairs = stage(pairs, "candidates")
         if pairs.isEmpty():
             continue
-        found = stage(_verify(pairs, sets), "verified")
+        found = _verify(pairs, sets)
         labels = _joined(labels, found.where("linked").select("a", "b"))
+        unstage(pairs)
         done = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         tested = done if tested is None else tested.unionByName(done)
+    unstage(sets, nodes)
     if labels is None:
         labels = docs.sparkSession.createDataFrame([], "node binary, label binary")
     sized = meta.where("n > 0").groupBy("node").agg(F.count("*").alias("c"), F.min("n").alias("n"))

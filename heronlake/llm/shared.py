@@ -30,7 +30,16 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     path = fresh_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame | None) -> None:
+    """Delete the files of staged tables that nothing lazy reads any more."""
+    for t in tables:
+        if t is not None and "staged_at" in vars(t):
+            remove(t.sparkSession, t.staged_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
