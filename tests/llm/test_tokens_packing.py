@@ -128,11 +128,38 @@ def test_cut_points_move_with_content():
     assert all(y - x <= chunk_store.MOST for x, y in zip([0, *a], a))
 
 
+def _changed(spark, path, rows):
+    table = spark.read.schema(chunk_store._CHUNK if path.endswith("chunks") else chunk_store._DOCUMENT).parquet(path)
+    kept = spark.createDataFrame(rows(table.collect()), table.schema).write.mode("overwrite")
+    (kept.partitionBy("shared") if path.endswith("chunks") else kept).parquet(path)
+
+
 def test_damaged_store_is_an_error(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
-    store = chunk_store.write_store(_docs(spark, [(1, "one two three", "", "")]), path, 1)
-    bad = spark.read.parquet(f"{store}/chunks").selectExpr("digest", "cast('xx' as binary) AS ids")
-    rows = bad.collect()
-    spark.createDataFrame(rows, bad.schema).write.mode("overwrite").parquet(f"{store}/chunks")
-    with pytest.raises(Exception, match="digest"):
-        chunk_store.read_documents(spark, store).collect()
+    texts = ["one two three", "four", "word " * 9000]
+    docs = _docs(spark, [(k, t, "", "") for k, t in enumerate(texts)])
+    for table, change, said in [
+        ("chunks", lambda rows: [r.asDict() | {"ids": b"xx"} for r in rows], "digest"),
+        ("chunks", lambda rows: sorted(rows, key=lambda r: -len(r.ids))[1:], "Merkle|as long"),
+        ("documents", lambda rows: rows[1:], "manifest"),
+        ("documents", lambda rows: [r.asDict() | {"n_tokens": r.n_tokens + 1} for r in rows], "manifest"),
+    ]:
+        store = chunk_store.write_store(docs, path, 1)
+        _changed(spark, f"{store}/{table}", change)
+        with pytest.raises(Exception, match=said):
+            chunk_store.read_documents(spark, store).collect()
+
+
+def test_store_of_wide_ids_and_shared_chunks(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rnd = np.random.default_rng(1)
+    body = " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"], 20_000))
+    texts = [body, "front " + body, body + " back", body, ""]
+    store = chunk_store.write_store(_docs(spark, [(k, t, "", "") for k, t in enumerate(texts)]).repartition(5), path, 70_000)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in chunk_store.read_documents(spark, store).collect()}
+    tok = Tokenizer.from_file(path)
+    for k, t in enumerate(texts):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 70_000], "<u4")
+        assert got[k] == (len(ids), zlib.crc32(ids.tobytes()))
+    stored = sum(len(r.ids) for r in spark.read.parquet(f"{store}/chunks").collect())
+    assert stored < 1.6 * 4 * got[0][0]
