@@ -87,7 +87,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heronlake.llm.sentencepiece_lattice import encode_documents
 
     coded = encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    return coded.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "ids")
+    return coded.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "round_trip", "ids")
 
 
 QUERIES = {f.__name__: f for f in (op1_format_preserving_pii, op2_collision_search, op3_language_id, op4_jaccard_join, op5_chat_format, op6_licence_classifier, op7_best_fit_packing, op8_token_store, op9_exact_dedup, op10_sentencepiece)}

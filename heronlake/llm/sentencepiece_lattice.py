@@ -1,49 +1,99 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Words are cut to units that no piece spans. Each distinct unit's bounded-length substrings are exploded and equi-joined
-to the piece table; the edges are grouped by unit and a higher-order ``aggregate`` folds them to one path. For a unigram
-model that fold is Viterbi. A BPE model is not defined by the best sum of scores, so for it the fold applies the merges
-in order of their scores over the same edges.
+to the piece table; the edges are grouped by unit and a higher-order ``aggregate`` folds them to one path: Viterbi for a
+unigram model. A BPE model is not defined by the best sum of scores, so for it the fold applies the merges in order of
+their scores over the same edges.
 
-Blocks of documents become sequences of block-local unit numbers; only each block's distinct units travel to the lattice
-and back.
+Texts are read once. Blocks of documents become sequences of block-local unit numbers; only each block's distinct units
+travel to the lattice and back.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronlake.llm.shared import stage
+from heronlake.llm.shared import release, stage
 
 BLANK = "▁"
-#: Longest unit whose boundaries fit the bits of a long; characters of text in a block, about.
-MOST_BITS, BLOCK_CHARS = 60, 8_000_000
-_WORD = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
+#: Longest unit whose boundaries fit the bits of a long; characters of text in a block, about; words held at once.
+MOST_BITS, BLOCK_CHARS, HELD_WORDS = 60, 24_000_000, 300_000
+#: Block-unit rows of one lattice task, about.
+LATTICE_ROWS = 200_000
+_WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+UNIGRAM, BPE = 1, 2
+#: Fixed values of the model format: piece types.
+NORMAL, USER_DEFINED, BYTE = 1, 4, 6
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a protocol buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(raw):
+        tag = number()
+        size = {0: 0, 1: 8, 5: 4}.get(tag & 7)
+        if size == 0:
+            yield tag >> 3, number()
+            continue
+        size = number() if size is None else size
+        yield tag >> 3, raw[at : at + size]
+        at += size
 
 
 def piece_table(spark: SparkSession, model_file: str) -> tuple[DataFrame, dict]:
-    """(piece, id, score) of the ordinary pieces, and what else encoding needs. Its size is that of the vocabulary."""
+    """(piece, id, score) of the ordinary pieces, and what else encoding needs. Its size is that of the vocabulary.
+
+    A model that rewrites texts (a normaliser, removed blanks, blanks after words), or has pieces that pre-empt the
+    search, is an error, since its ids would not be the lattice's.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    top = list(_fields(sp.serialized_model_proto()))
+    trainer = dict(_fields(next((v for k, v in top if k == 2), b"")))
+    normal = dict(_fields(next((v for k, v in top if k == 3), b"")))
+    kinds = [dict(_fields(v)).get(3, NORMAL) for k, v in top if k == 1]
+    # the format's defaults: unigram, a blank before the text, extra blanks removed
+    kind, prefix = trainer.get(3, UNIGRAM), bool(normal.get(3, 1))
+    if kind not in (UNIGRAM, BPE):
+        raise ValueError("only unigram and BPE models are supported")
+    if normal.get(2) or normal.get(4, 1) or not normal.get(5, 1) or trainer.get(24) or USER_DEFINED in kinds:
+        raise ValueError("models that rewrite texts or have pieces defined by the user are not supported")
     rows, first_byte = [], None
     for i in range(sp.get_piece_size()):
-        if sp.is_byte(i):
+        if kinds[i] == BYTE:
             first_byte = i if first_byte is None else first_byte
-        elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+        elif kinds[i] == NORMAL:
             rows.append((sp.id_to_piece(i), i, float(sp.get_score(i))))
     names = [r[0] for r in rows]
     if any(BLANK in p.lstrip(BLANK) for p in names):
         raise ValueError("pieces with a blank after a letter are not supported")
     info = {
+        "kind": kind,
+        "prefix": prefix,
         "most": max(map(len, names)),
         "first_byte": first_byte,
         "unk": sp.unk_id(),
+        # a character without a piece costs ten more than the worst piece
+        "unknown": min(r[2] for r in rows) - 10.0,
         "inside": frozenset(pair for p in names for pair in zip(p, p[1:])),
     }
     return spark.createDataFrame(rows, "piece string, id int, score double"), info
@@ -82,15 +132,16 @@ def merge_path(lattice: DataFrame) -> DataFrame:
 
     The state is a bit for each boundary that still stands; a merge clears the one boundary inside its edge.
     """
-    marked = lattice.withColumn("edges", F.transform("edges", lambda e: F.struct(e["start"].alias("start"), e["len"].alias("len"), (-e["score"]).alias("cost"), e["id"].alias("id"), *[b.alias(k) for b, k in zip(_bits(e), "lri")])))
+    marked = lattice.withColumn("edges", F.transform("edges", lambda e: F.struct((-e["score"]).alias("cost"), e["start"].alias("start"), e["len"].alias("len"), e["id"].alias("id"), *[b.alias(k) for b, k in zip(_bits(e), "lri")])))
+    marked = marked.withColumn("merges", F.array_sort(F.filter("edges", lambda e: e["len"] > 1)))
 
     def merge(mask: Column, _: Column) -> Column:
-        can = F.filter("edges", lambda e: (e["len"] > 1) & (mask.bitwiseAND(e["l"]) != 0) & (mask.bitwiseAND(e["r"]) != 0) & (F.bit_count(mask.bitwiseAND(e["i"])) == 1))
-        best = F.array_min(F.transform(can, lambda e: F.struct(e["cost"].alias("cost"), e["start"].alias("start"), e["i"].alias("i"))))
-        return F.coalesce(mask - mask.bitwiseAND(best["i"]), mask)
+        can = F.filter("merges", lambda e: (mask.bitwiseAND(e["l"]) != 0) & (mask.bitwiseAND(e["r"]) != 0) & (F.bit_count(mask.bitwiseAND(e["i"])) == 1))
+        return F.coalesce(mask - mask.bitwiseAND(F.get(can, F.lit(0))["i"]), mask)
 
     full = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n") + 1) - 1
-    folded = marked.withColumn("mask", F.aggregate(F.sequence(F.lit(1), F.col("n")), full, merge))
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.col("n") - 1, F.size("merges"))))
+    folded = marked.withColumn("mask", F.aggregate(steps, full, merge))
     mask = F.col("mask")
     stand = F.filter("edges", lambda e: (mask.bitwiseAND(e["l"]) != 0) & (mask.bitwiseAND(e["r"]) != 0) & (mask.bitwiseAND(e["i"]) == 0))
     return folded.select("unit", F.array_sort(F.transform(stand, lambda e: F.struct(e["start"].alias("start"), e["len"].alias("len"), e["id"].alias("id")))).alias("path"))
@@ -167,7 +218,9 @@ def merged_long(unit: str, rank: dict[str, tuple[float, int]], info: dict) -> by
 
 
 def encode_units(units: DataFrame, pieces: DataFrame, info: dict) -> DataFrame:
-    """unit, ids for every distinct unit."""
+    """unit, ids for every distinct unit. Only BPE units beyond MOST_BITS characters leave the lattice, for a heap."""
+    if info["kind"] == UNIGRAM:
+        return path_ids(viterbi_path(edges(units, pieces, info["most"]), info["unknown"]), info)
     short = units.where(F.char_length("unit") <= MOST_BITS)
     long = units.where(F.char_length("unit") > MOST_BITS).distinct()
     rank = {r["piece"]: (r["score"], r["id"]) for r in pieces.collect()}  # the vocabulary
@@ -179,73 +232,115 @@ def encode_units(units: DataFrame, pieces: DataFrame, info: dict) -> DataFrame:
     return path_ids(merge_path(edges(short, pieces, info["most"])), info).unionByName(long.select("unit", fold("unit").alias("ids")))
 
 
-def _blocks(inside: frozenset, what: str):
-    """Per block of documents, rows of its distinct units or rows of its documents; the block's name is its content's hash."""
+_BLOCK = "kind string, block long, k int, unit string, doc_id long, codes binary, crc long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
 
-        import numpy as np
+class _Block:
+    """Documents of a task as sequences of unit numbers."""
+
+    def __init__(self, info: dict):
+        self.info, self.unit_at, self.words, self.rows, self.chars = info, {}, {}, [], 0
+
+    def word(self, word: str) -> bytes:
+        at = self.unit_at
+        return b"".join(at.setdefault(u, len(at)).to_bytes(4, "little") for u in units_of(word, self.info["inside"]))
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        prefix, own = self.info["prefix"], b""
+        plain = prefix and "  " not in text and BLANK not in text and text[:1] != " " and text[-1:] != " "
+        if plain and text:
+            parts, known = text.split(" "), self.words
+            if len(known) > HELD_WORDS:
+                known.clear()
+            for w in set(parts).difference(known):
+                known[w] = self.word(BLANK + w)
+            own = b"".join(map(known.__getitem__, parts))
+        elif text:
+            marked = (BLANK if prefix else "") + text.replace(" ", BLANK)
+            own = b"".join(map(self.word, _WORD.findall(marked)))
+        raw = text.encode("utf-8", "surrogatepass")
+        # what decoding gives back: a mark in the text itself comes back as a blank
+        self.rows.append((doc_id, own, zlib.crc32(raw.replace(BLANK.encode(), b" ") if BLANK in text else raw)))
+        self.chars += len(text)
+
+    def frames(self, block: int) -> Iterator[pd.DataFrame]:
+        n, m = len(self.unit_at), len(self.rows)
+        if n:
+            yield pd.DataFrame({"kind": "unit", "block": block, "k": pd.array(range(n), "Int32"), "unit": list(self.unit_at), "doc_id": pd.array([None] * n, "Int64"), "codes": None, "crc": pd.array([None] * n, "Int64")})
+        ids, codes, crcs = zip(*self.rows)
+        yield pd.DataFrame({"kind": "document", "block": block, "k": pd.array([None] * m, "Int32"), "unit": None, "doc_id": pd.array(ids, "Int64"), "codes": list(codes), "crc": pd.array(crcs, "Int64")})
 
-        ids: list = []
-        codes: list = []
-        unit_at: dict[str, int] = {}
-        word_at: dict[str, tuple[int, ...]] = {}
-        held = 0
 
-        def flush() -> pd.DataFrame:
-            name = hashlib.blake2b("\0".join(unit_at).encode("utf-8", "surrogatepass") + b"".join(codes) + repr(ids).encode(), digest_size=16).digest()
-            if what == "units":
-                return pd.DataFrame({"block": [name] * len(unit_at), "k": range(len(unit_at)), "unit": list(unit_at)})
-            return pd.DataFrame({"block": [name] * len(ids), "doc_id": pd.array(ids, dtype="Int64"), "codes": codes})
+def _blocks(info: dict):
+    """Per block of documents, rows of its distinct units and of its documents."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        number, block = TaskContext.get().partitionId() << 24, _Block(info)
         for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                own: list[int] = []
-                if isinstance(text, str) and text:
-                    for w in _WORD.findall(BLANK + text.replace(" ", BLANK)):
-                        at = word_at.get(w)
-                        if at is None:
-                            at = word_at[w] = tuple(unit_at.setdefault(u, len(unit_at)) for u in units_of(w, inside))
-                        own += at
-                    held += len(text)
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
-                codes.append(np.array(own, "<u4").tobytes())
-                if held >= BLOCK_CHARS:
-                    yield flush()  # has units, for it has text
-                    ids, codes, unit_at, word_at, held = [], [], {}, {}, 0
-        if ids and (unit_at or what == "documents"):
-            yield flush()
+            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
+                block.add(None if pd.isna(doc_id) else int(doc_id), text if isinstance(text, str) else "")
+                if block.chars >= BLOCK_CHARS:
+                    yield from block.frames(number)
+                    number, block = number + 1, _Block(info)
+        if block.rows:
+            yield from block.frames(number)
+        release()
 
     return run
 
 
+def _piece_bytes(pieces: DataFrame, info: dict) -> dict[int, bytes]:
+    """What each id stands for; the size of the vocabulary."""
+    out = {r["id"]: r["piece"].replace(BLANK, " ").encode("utf-8", "surrogatepass") for r in pieces.collect()}
+    if info["first_byte"] is not None:
+        out |= {info["first_byte"] + b: bytes([b]) for b in range(256)}
+    return out
+
+
 def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit), n_tokens for every row: the ids of each whole text, without marks.
+    """doc_id, ids (little-endian unsigned 32-bit), n_tokens, round_trip for every row: the ids of each whole text, without marks.
 
+    ``round_trip`` tells whether the ids, decoded, give the text again (a character without a piece or bytes does not).
     Null counts as empty, which has no ids. Repeated rows and null doc_ids are rows like any other; other columns are
-    ignored. Very long words are merged with a heap. Empty in, empty out.
+    ignored. Of paths with one score the first found stays. Very long words are merged with a heap. Empty in, empty out.
     """
+    import numpy as np
+
     spark = docs.sparkSession
     pieces, info = piece_table(spark, model_file)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    used = stage(source.mapInPandas(_blocks(info["inside"], "units"), "block binary, k int, unit string"), "used")
-    rows = source.mapInPandas(_blocks(info["inside"], "documents"), "block binary, doc_id long, codes binary")
-    coded = stage(encode_units(used.select("unit"), pieces, info), "units")
-    known = used.join(coded, "unit", "left").select("block", "k", "ids")
+    raw = _piece_bytes(pieces, info)
+    source = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = source.withColumn("doc_id", F.col("doc_id").cast("long").cast("string"))
+    read = stage(source.mapInPandas(_blocks(info), _BLOCK), "blocks", ("kind",))
+    used = read.where("kind = 'unit'").select("block", "k", "unit")
+    rows = read.where("kind = 'document'").select("block", "doc_id", "codes", "crc")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), used.count() // LATTICE_ROWS)
+    coded = stage(encode_units(used.select("unit").repartition(parts, "unit").distinct(), pieces, info), "units")
+    known = used.join(coded, "unit", "left").select(F.col("block").alias("of"), "k", "ids")
+    unk = int(info["unk"]).to_bytes(4, "little") if info["first_byte"] is None and info["kind"] == UNIGRAM else None
+
+    def single(ids: bytes) -> bytes:
+        """Unknown characters in a row are one unknown piece to a unigram model."""
+        codes = [ids[k : k + 4] for k in range(0, len(ids), 4)]
+        return b"".join(c for c, before in zip(codes, [None, *codes]) if c != unk or before != unk)
 
     def put(key, own: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        if own.empty:
-            raise ValueError("the documents of a block differ between two reads")
-        by = [b""] * len(table)
-        for k, ids in zip(table["k"], table["ids"]):
-            by[k] = bytes(ids)
-        out = [b"".join(map(by.__getitem__, np.frombuffer(bytes(c), "<u4").tolist())) for c in own["codes"]]
-        return pd.DataFrame({"doc_id": own["doc_id"].astype("Int64"), "ids": out, "n_tokens": [len(x) // 4 for x in out]})
-
-    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(put, "doc_id long, ids binary, n_tokens long")
+        by, text_by = [b""] * len(table), [b""] * len(table)
+        for k, ids in zip(table["k"].tolist(), table["ids"].tolist()):
+            by[k] = ids
+            text_by[k] = b"".join(raw.get(i, b"") for i in np.frombuffer(ids, "<u4").tolist())
+        out, same = [], []
+        for codes, crc in zip(own["codes"].tolist(), own["crc"].tolist()):
+            at = np.frombuffer(codes, "<u4").tolist()
+            ids = b"".join(map(by.__getitem__, at))
+            out.append(ids if unk is None else single(ids))
+            text = b"".join(map(text_by.__getitem__, at))
+            same.append(zlib.crc32(text[1:] if info["prefix"] else text) == crc)
+        return pd.DataFrame({"doc_id": own["doc_id"].astype("Int64"), "ids": out, "n_tokens": [len(x) // 4 for x in out], "round_trip": same})
+
+    return rows.groupBy("block").cogroup(known.groupBy("of")).applyInPandas(put, "doc_id long, ids binary, n_tokens long, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, model_file: str) -> DataFrame:
@@ -268,5 +363,6 @@ def decode_documents(encoded: DataFrame, model_file: str) -> DataFrame:
     # a repeated row has the same pieces at the same places, so each place is taken once
     joined = met.select("doc_id", "row", "pos", "raw").distinct().groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("own"))
     text = F.replace(F.decode(F.unhex(F.array_join(F.transform("own", lambda x: x["raw"]), "")), "utf-8"), F.lit(BLANK), F.lit(" "))
-    texts = joined.select(F.col("row").alias("r"), F.col("doc_id").alias("d"), F.substring(text, 2, 2**31 - 1).alias("text"))
+    text = F.substring(text, 2, 2**31 - 1) if info["prefix"] else text
+    texts = joined.select(F.col("row").alias("r"), F.col("doc_id").alias("d"), text.alias("text"))
     return rows.join(texts, F.expr("row = r AND doc_id <=> d"), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
