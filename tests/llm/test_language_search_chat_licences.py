@@ -121,5 +121,7 @@ def test_every_line_and_paragraph_is_classified(spark, sf):
     got = I.classify(spark.createDataFrame(rows, "doc_id long, text string"), fitted).orderBy("doc_id").collect()
     assert [(r.doc_id, r.paragraph, r.family, r.confirmed) for r in got if r.confirmed] == [(1, 1, "proprietary", True), (2, 0, "apache-2.0", True), (3, 0, "bsd", True), (4, 2, "mit", True)]
     assert [r.statement for r in got if r.doc_id == 4 and r.confirmed] == [wrapped] and 5 not in {r.doc_id for r in got}
+    assert not {t for t in got if t.family == "unknown" and t.doc_id == 4}
     both = spark.createDataFrame([(1, "a\nb\n\n\t\nc\n"), (2, ""), (3, None)], "doc_id long, text string")
-    assert sorted(tuple(r) for r in I.units(both).collect()) == [(1, 0, 0, False, "a\nb"), (1, 0, 0, True, "a"), (1, 0, 1, True, "b"), (1, 4, 4, True, "c")]
+    every = I.LineModel([0.0] * I.LINE_FEATURES, 0.0)
+    assert sorted(tuple(r) for r in I.units(both, every).collect()) == [(1, 0, 0, False, "a\nb"), (1, 0, 0, True, "a"), (1, 0, 1, True, "b"), (1, 4, 4, True, "c")]
