@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.llm.shared import ascii_lower, stage
+from heronlake.llm.shared import ascii_lower, free_name, join_skewed, numbered, stage
 
 #: A chunk ends after a blank that follows one of n, r, s, t or a mark, from the 1,024th character on; at 8,192 at the latest.
 CHUNK = r"(?s).{1024,8191}?[nrst.,;:!?]\s|.{1,8192}"
@@ -53,14 +53,17 @@ def groups(docs: DataFrame) -> DataFrame:
     repeat a doc_id are members of their groups; of repeats of the kept id all are marked kept. Empty in, empty out.
     """
     listed = verified_ids(stage(recipes(docs), "recipes"))
-    sized = listed.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    member, group = listed.alias("m"), sized.alias("g")
-    return member.join(group, F.col("m.recipe") == F.col("g.recipe")).select(
-        "m.doc_id", "g.keep_id", "g.group_size", F.expr("m.doc_id <=> g.keep_id").alias("kept"), "m.text_sha256"
-    )
+    sized = stage(listed.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    member = join_skewed(listed, sized, "recipe", "group_size")
+    return member.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns kept: one for each distinct text."""
-    kept = groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of ``docs`` for each distinct text, all columns kept: the one with the largest doc_id, of repeats any one.
+
+    Null text counts as empty; a row without doc_id stays only where no row of its text has one. Empty in, empty out.
+    """
+    row = free_name(docs, "_row")
+    rows = numbered(docs, row, nulls_first=True)
+    kept = groups(rows.select(F.col(row).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(free_name(docs, "_kept")))
+    return rows.join(kept, F.col(row) == F.col(free_name(docs, "_kept")), "left_semi").drop(row)

@@ -64,6 +64,29 @@ def release() -> None:
         pass
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underlines added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, name: str, nulls_first: bool) -> DataFrame:
+    """``docs`` with a long column ``name`` that tells rows apart and rises with doc_id.
+
+    It is the doc_id where each row has one of its own. Else the rows are sorted by doc_id, null ids first or last,
+    numbered and written, so that every later read sees the same numbers.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    rows, own = ids.agg(F.count("*"), F.countDistinct("id")).first()
+    if rows == own:
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    order = F.col("doc_id").cast("long")
+    ordered = docs.orderBy(order.asc_nulls_first() if nulls_first else order.asc_nulls_last())
+    return stage(ordered.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 #: Keys that join_skewed sends to every task, at most.
 HOT_KEYS = 1_000
 

@@ -27,7 +27,10 @@ def check(spark, rows):
 
 def test_small_cases(spark):
     docs = check(spark, [(1, "Ab"), (2, "aB"), (3, None), (4, ""), (5, "É"), (6, "é"), (None, "ab"), (8, "long text. " * 5000), (9, "LONG text. " * 5000), (10, "x" * 50_000), (11, "x" * 50_001), (11, "x" * 50_001)])
-    assert sorted(r.doc_id for r in exact_dedup.drop_duplicates(docs).collect()) == [2, 4, 5, 6, 9, 10, 11, 11]
+    assert sorted(r.doc_id for r in exact_dedup.drop_duplicates(docs).collect()) == [2, 4, 5, 6, 9, 10, 11]
+    rows = [(5, "x"), (9, "X"), (5, "y"), (7, "same"), (7, "same"), (None, "n"), (None, "n"), (None, "x")]
+    docs = spark.createDataFrame([(d, t, "k", 1) for d, t in rows], "doc_id long, text string, _kept string, _row long")
+    assert sorted((tuple(r) for r in exact_dedup.drop_duplicates(docs).collect()), key=str) == [(5, "y", "k", 1), (7, "same", "k", 1), (9, "X", "k", 1), (None, "n", "k", 1)]
     check(spark, [])
 
 
