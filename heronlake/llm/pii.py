@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heronlake.llm.shared import free_name
+
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -24,11 +26,13 @@ class Feistel:
     """Keyed permutation of 0..size-1: a balanced Feistel network on two halves, walked until it lands in range."""
 
     def __init__(self, key: bytes):
-        self.key = key
+        if not key:
+            raise ValueError("pseudonyms need a key")
+        self.key = hashlib.blake2b(key, digest_size=64).digest()  # all of the key counts, however long
 
     def _round(self, kind: str, size: int, i: int, half: int) -> int:
         msg = f"{kind}|{size}|{i}|{half}".encode()
-        return int.from_bytes(hashlib.blake2b(msg, key=self.key[:64], digest_size=16).digest(), "big")
+        return int.from_bytes(hashlib.blake2b(msg, key=self.key, digest_size=16).digest(), "big")
 
     def _once(self, x: int, size: int, kind: str, back: bool) -> int:
         base = 1 << ((max(size - 1, 1).bit_length() + 1) // 2)
@@ -123,13 +127,13 @@ def iban(f: Feistel, value: str, back: bool = False) -> str | None:
 
 
 def _permuted_chars(f: Feistel, chars: str, kind: str, back: bool) -> str:
-    """Permute a string within its pattern of digits, small letters and capitals; other characters stay."""
+    """Permute a string within its pattern of digits and letters; case and other characters stay where they are."""
     radix = [10 if c.isdigit() else 26 for c in chars if c.isascii() and c.isalnum()]
     shape = "".join("0" if c in "0123456789" else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else c for c in chars)
     x, size = 0, 1
     for c, r in zip((c for c in chars if c.isascii() and c.isalnum()), radix):
         x, size = x * r + (int(c) if r == 10 else ord(c.lower()) - 97), size * r
-    x = f.permute(x, size, f"{kind}|{shape}", back=back)
+    x = f.permute(x, size, f"{kind}|{shape.lower()}", back=back)
     out = []
     for c in reversed(shape):
         if c not in ("0", "a", "A"):
@@ -171,7 +175,9 @@ def _date(order: str, f: Feistel, value: str, back: bool) -> str | None:
     short = "".join(c for c in "dm" if len(p[c]) == 1)
     size = LAST_DAY - FIRST_DAY + 1
     fits = lambda x: ok(x) and all((at(x).day if c == "d" else at(x).month) < 10 for c in short) and all(len(p[c]) == 2 or c in short for c in "dm")
-    t = at(f.permute(n - FIRST_DAY, size, f"date{order}{sep}{short}", fits, back))
+    # dates of two-digit days and months, year first or day first, share one map, so equal days stay equal
+    kind = "date" if padded and order != "mdy" else f"date{order}{short}"
+    t = at(f.permute(n - FIRST_DAY, size, kind, fits, back))
     w = {"y": f"{t.year:04d}", "m": str(t.month) if "m" in short else f"{t.month:02d}", "d": str(t.day) if "d" in short else f"{t.day:02d}"}
     return sep.join(w[c] for c in order)
 
@@ -189,7 +195,7 @@ KINDS: list[tuple[str, str, Callable]] = [
     ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", iban),
     ("access_key", r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)", access_key),
     ("ipv4", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?\w)", address),
-    ("date", r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![\w/-])", date),
+    ("date", r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?!(?!T[0-9]{2}:)[\w/-])", date),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", ssn),
     ("card", r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])", card),
     ("phone", r"(?<![\w+(])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){1,6}(?!\w)", phone),
@@ -213,12 +219,16 @@ def pseudonymise(text: str, f: Feistel, found: list | None = None, back: bool =
                 return "".join(out)
             for kind, pattern in _ONE:  # a match that does not validate leaves the place to the next kind
                 one = hit if hit.lastgroup == kind else pattern.match(own, hit.start())
-                new = one and _BY_KIND[kind](f, one[0], back)
+                value = one and one[0]
+                new = value and _BY_KIND[kind](f, value, back)
+                while kind == "iban" and value and not new and " " in value:  # a capital word may follow
+                    value = value.rpartition(" ")[0]
+                    new = iban(f, value, back)
                 if new:
                     out += [own[at : one.start()], new]
-                    at = one.end()
+                    at = one.start() + len(value)
                     if found is not None:
-                        found.append((kind, base + one.start(), len(one[0])))
+                        found.append((kind, base + one.start(), len(value)))
                     break
             else:
                 step = _STEP.match(own, hit.start()).end()
@@ -252,5 +262,6 @@ def pseudonymise_documents(docs: DataFrame, key: str, text_col: str = "text") ->
             spans.append([{"kind": k, "start": s, "length": n} for k, s, n in found])
         return pd.DataFrame({"text": out, "pii": spans})
 
-    made = docs.withColumn("_made", run(F.col(text_col).cast("string")))
-    return made.withColumn(text_col, F.col("_made.text")).withColumn("pii", F.col("_made.pii")).drop("_made")
+    name = free_name(docs, "_made")
+    made = docs.withColumn(name, run(F.col(text_col).cast("string")))
+    return made.withColumn(text_col, F.col(f"{name}.text")).withColumn("pii", F.col(f"{name}.pii")).drop(name)

@@ -75,3 +75,21 @@ def test_clean_documents_are_left_alone(spark, sf):
     before = {r.doc_id: r.text for r in df.collect()}
     assert all(r.text == before[r.doc_id] for r in out if not r.pii)
     assert any(r.pii for r in out)
+
+
+def test_equal_values_stay_linked():
+    iso, dotted = P.date(F_, "1980-02-03"), P.date(F_, "03.02.1980")
+    assert iso.split("-") == dotted.split(".")[::-1]
+    assert P.email(F_, "Bob.Smith@x.org").lower() == P.email(F_, "bob.smith@x.org")
+
+
+def test_values_before_other_words():
+    for text in ("IBAN BE68 5390 0754 7034 AND more", "at 2024-01-05T10:00:00Z"):
+        new = P.pseudonymise(text, F_)
+        assert new != text and new.startswith(text[:5]) and new.endswith(text[-4:]) and P.pseudonymise(new, F_, back=True) == text
+
+
+def test_all_of_the_key_counts():
+    assert P.Feistel(b"k" * 64 + b"a").permute(5, 10**9, "x") != P.Feistel(b"k" * 64 + b"b").permute(5, 10**9, "x")
+    with pytest.raises(ValueError, match="key"):
+        P.Feistel(b"")
