@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronlake.llm.shared import free_name, release
 from heronlake.llm.tokens import groups_of
 
 ORDERS = (1, 2, 3, 4)
@@ -24,7 +25,22 @@ HASHES = 3
 FIT_ROWS, FIT_GRAMS, LEAST_SHARE = 2_000, 20_000, 0.2
 MOST_LANGUAGES = 63
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _number_signs() -> str:
+    r"""Ranges of the characters that \w takes and \d does not, yet are no letters, such as a superscript two."""
+    out, first = [], None
+    for code in range(0x80, 0x110001):
+        c = chr(code) if code < 0x110000 else "a"
+        if c.isalnum() and not c.isalpha() and not c.isdecimal():
+            first = code if first is None else first
+        elif first is not None:
+            out.append(f"{chr(first)}-{chr(code - 1)}")
+            first = None
+    return "".join(out)
+
+
+_WORD = re.compile(rf"[^\W\d_{_number_signs()}]+")
 
 
 def gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,9 +181,11 @@ def predict(docs: DataFrame, model: BitmaskFilter) -> DataFrame:
                     best = int(np.argmax(shares))
                     out.append((model.languages[best], float(shares[best])))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
+        release()
 
-    made = docs.withColumn("_made", run(F.col("text").cast("string")))
-    return made.withColumn("lang_pred", F.col("_made.lang_pred")).withColumn("score", F.col("_made.score")).drop("_made")
+    name = free_name(docs, "_made")
+    made = docs.withColumn(name, run(F.col("text").cast("string")))
+    return made.withColumn("lang_pred", F.col(f"{name}.lang_pred")).withColumn("score", F.col(f"{name}.score")).drop(name)
 
 
 def remainder(col) -> "F.Column":
