@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronlake.llm.exact_dedup import drop_duplicates
-from heronlake.llm.jaccard_join import linked_groups
+from heronlake.llm.jaccard_join import drop_linked
 from heronlake.llm.language_id import UNKNOWN, fit, predict, remainder
 from heronlake.llm.packing import pack_documents
 from heronlake.llm.pii import pseudonymise_documents
@@ -19,11 +19,16 @@ from heronlake.llm.shared import stage
 
 #: A document goes if fewer of its n-grams than this belong to any one language.
 LEAST_SCORE = 0.25
+#: Documents in one Arrow batch.
+BATCH_ROWS = 1_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language, ``lang`` set to the one found; those without letters or language go."""
+    """Documents in a known language, ``lang`` set to the one found; those without letters or language go.
+
+    Null text has no language. Repeated rows are judged alike; without any labelled row nothing is learned and all go.
+    """
     model = fit(docs.where(remainder("doc_id") != 2))
     found = predict(docs, model)
     if not model.languages:
@@ -32,25 +37,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
+    """Of equal texts, the row with the largest doc_id; of its repeats one. Null text counts as empty."""
     return drop_duplicates(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id."""
-    stay = linked_groups(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi")
+    """Of each group of linked documents, the one with the smallest doc_id; texts without words all stay."""
+    return drop_linked(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by format-preserving pseudonyms; ``n_chars`` follows the new text."""
+    """Personal data replaced by format-preserving pseudonyms; ``n_chars`` follows the new text. Null text stays null."""
     # the key belongs in a secret store; this one only makes results repeatable
     changed = pseudonymise_documents(docs, key="repeatable-example-key")
     return changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2,048 ids: where each piece of each document lies."""
+    """Token sequences of at most 2,048 ids: where each piece of each document lies. Null text packs as its end mark."""
     # workers serve all stages, so none keeps its words
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_words=False)
 
@@ -69,6 +73,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
-    for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    # whole documents pass through workers that serve all stages: smaller batches keep them small
+    spark.conf.set(setting, BATCH_ROWS)
+    try:
+        for name, step in STAGES[:-1]:
+            docs = stage(step(spark, docs, sf_dir), name)
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        spark.conf.set(setting, before)

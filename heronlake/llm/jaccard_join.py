@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronlake.llm.components import components
-from heronlake.llm.shared import join_skewed, release, stage, unstage
+from heronlake.llm.shared import free_name, join_skewed, numbered, release, stage, unstage
 
 WORDS, LEAD_KEYS = 5, 3
 #: Shingles and distinct nodes of one block of the exchange; shingles of one bucket, about.
@@ -512,3 +512,15 @@ def linked_groups(docs: DataFrame) -> DataFrame:
     least = member.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
     joined = join_skewed(member.where("label IS NOT NULL"), stage(least, "least"), "label", "c").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     return joined.unionByName(member.where("label IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def drop_linked(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each group of linked texts, all columns kept: the one with the smallest doc_id.
+
+    Rows without doc_id come after all others. Wordless texts are linked with nothing and all stay. Empty in, empty out.
+    """
+    row, kept = free_name(docs, "_row"), free_name(docs, "_kept")
+    rows = numbered(docs, row, nulls_first=False)
+    groups = linked_groups(rows.select(F.col(row).alias("doc_id"), "text"))
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias(kept))
+    return rows.join(stay, F.col(row) == F.col(kept), "left_semi").drop(row)

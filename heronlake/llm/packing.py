@@ -30,6 +30,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zlib
 
+        from heronlake.llm.shared import release
         from heronlake.llm.tokens import encoder, groups_of
 
         enc, end = encoder(tokenizer), int(end_id).to_bytes(4, "little")
@@ -50,6 +51,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
                 yield out.astype({"doc_id": "Int64"})
         if not keep_words:
             enc.forget()
+        release()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, schema)

@@ -260,7 +260,7 @@ class _Block:
             own = b"".join(map(self.word, _WORD.findall(marked)))
         raw = text.encode("utf-8", "surrogatepass")
         # what decoding gives back: a mark in the text itself comes back as a blank
-        self.rows.append((doc_id, own, zlib.crc32(raw.replace(BLANK.encode(), b" ") if BLANK in text else raw)))
+        self.rows.append((doc_id, zlib.compress(own, 1), zlib.crc32(raw.replace(BLANK.encode(), b" ") if BLANK in text else raw)))
         self.chars += len(text)
 
     def frames(self, block: int) -> Iterator[pd.DataFrame]:
@@ -333,7 +333,7 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
             text_by[k] = b"".join(raw.get(i, b"") for i in np.frombuffer(ids, "<u4").tolist())
         out, same = [], []
         for codes, crc in zip(own["codes"].tolist(), own["crc"].tolist()):
-            at = np.frombuffer(codes, "<u4").tolist()
+            at = np.frombuffer(zlib.decompress(codes), "<u4").tolist()
             ids = b"".join(map(by.__getitem__, at))
             out.append(ids if unk is None else single(ids))
             text = b"".join(map(text_by.__getitem__, at))

@@ -61,6 +61,10 @@ def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n "), (4, "one two"), (5, "ONE  two"), (6, "one two three"), (None, "a b c d e f"), (None, "A b c d e f"), (9, "a b c d e f"), (7, "q w e r t y u i"), (7, "other words entirely here now"), (10, long), (11, long + "x"), (12, None)]
     assert got(spark, rows) == brute(rows)
     assert got(spark, []) == []
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, near), (5, near + " x"), (3, near + " y"), (3, "other words than those of the rest"), (None, near), (None, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(d, t, "k", 1) for d, t in rows], "doc_id long, text string, _kept string, _row long")
+    assert sorted((r.doc_id or 0, (r.text or "")[-6:]) for r in J.drop_linked(docs).collect()) == sorted([(3, " w59 y"), (3, "e rest"), (0, ""), (4, ""), (4, "")])
 
 
 def near_copies(n, seed, words=120, change=0.02):
