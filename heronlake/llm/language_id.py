@@ -184,7 +184,8 @@ def predict(docs: DataFrame, model: BitmaskFilter) -> DataFrame:
         release()
 
     name = free_name(docs, "_made")
-    made = docs.withColumn(name, run(F.col("text").cast("string")))
+    # else a filter on what it gives would have Spark run it once for the filter and once for the columns
+    made = docs.withColumn(name, run.asNondeterministic()(F.col("text").cast("string")))
     return made.withColumn("lang_pred", F.col(f"{name}.lang_pred")).withColumn("score", F.col(f"{name}.score")).drop(name)
 
 
