@@ -24,11 +24,12 @@ _EL = "el AS (SELECT doc_id AS document_id, CAST(u.i - 1 AS INTEGER) AS ord, CAS
 _BL = ", bk AS (SELECT *, CAST(sum(n) OVER (PARTITION BY document_id ORDER BY ord) AS BIGINT) AS block FROM (SELECT *, CASE WHEN type = 'list_item' AND coalesce(lag(type) OVER (PARTITION BY document_id ORDER BY ord) = 'list_item', false) THEN 0 ELSE 1 END AS n FROM se)), bl AS (SELECT document_id, section_id, block, min(type) AS type, min(page_number) AS page_number, string_agg(CASE WHEN type = 'list_item' THEN '- ' || text ELSE text END, chr(10) ORDER BY ord) AS text FROM bk WHERE type <> 'heading' GROUP BY ALL)"
 
 
-@query("c01_detect_heading", sql="SELECT doc_id AS document_id, CASE doc_id % 4 WHEN 0 THEN 'Chapter 3 The heart' WHEN 1 THEN '3.1 Photosynthesis' WHEN 2 THEN 'WATER AND AIR' END AS heading FROM documents")
+_HEAD = r"^\s*(?:(?i:chapter|lesson|unit|section|topic|module|part)\s+[0-9ivxlcIVXLC]+\b.*|[0-9]+(?:\.[0-9]+)+\s+\p{L}.*|\p{Lu}[\p{Lu}0-9 ,:''&-]{6,80})\s*$"
+
+
+@query("c01_detect_heading", sql=f"SELECT doc_id AS document_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: regexp_matches(x, '{_HEAD}'))[1][1:120] AS heading FROM documents")
 def c01(spark, sf):
-    k = F.col("document_id") % 4
-    line = F.when(k == 0, "Chapter 3 The heart").when(k == 1, "3.1 Photosynthesis").when(k == 2, "WATER AND AIR").otherwise("plain words")
-    return _docs(spark, sf).select("document_id", C.detect_heading(F.concat(F.lit("first line\n"), line)).alias("heading"))
+    return _docs(spark, sf).select("document_id", C.detect_heading(F.col("text")).alias("heading"))
 
 
 @query("c02_chunk_notes")

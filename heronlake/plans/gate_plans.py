@@ -8,7 +8,7 @@ from heronlake.functions import text as X
 from heronlake.operators import gates as V
 from heronlake.plans.base import query
 from heronlake.plans.tables import candidates, chunks, ref_items, slot_items, slots, table, with_tables
-from heronlake.plans.text_plans import terms_sql
+from heronlake.plans.text_plans import _DEMAND, terms_sql
 
 _NORM = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 
@@ -78,13 +78,19 @@ def v07(spark, sf):
     return V.grounding_units(_parted(spark, sf))
 
 
+def _with_evidence(spark, sf):
+    """Whole items, and all chunks ranked as evidence of all papers."""
+    c = candidates(spark, sf).select("question_id", F.lit("whole").alias("part"), "text", F.col("paper_id").alias("slot_key"))
+    n = c.select("slot_key").distinct().count()
+    e = chunks(spark, sf).select((F.col("doc_id") % n).alias("slot_key"), (F.floor(F.col("doc_id") / n) + 1).alias("rank"), "text")
+    return c, e
+
+
 def _grounded(spark, sf):
-    c = candidates(spark, sf).select("question_id", F.lit("whole").alias("part"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("text"), (F.col("paper_id") % 40).alias("slot_key"))
-    e = chunks(spark, sf).select((F.col("doc_id") % 30).alias("slot_key"), (F.floor(F.col("doc_id") / 30) + 1).alias("rank"), "text")
-    return V.grounding(c, e)
+    return V.grounding(*_with_evidence(spark, sf))
 
 
-_GROUND = f", u AS (SELECT question_id, paper_id % 40 AS slot_key, {terms_sql(_W5.format(a=1, b=12))} AS t FROM candidates), e AS (SELECT doc_id % 30 AS slot_key, list_distinct(flatten(list({terms_sql('text')}))) AS known FROM documents WHERE doc_id // 30 + 1 <= 5 GROUP BY 1), g AS (SELECT question_id, known, coalesce(len(list_intersect(t, known)), 0) AS matched, len(t) AS terms, round(coalesce(coalesce(len(list_intersect(t, known)), 0) / nullif(len(t), 0)::DOUBLE, 0), 6) AS coverage FROM u LEFT JOIN e USING (slot_key)), gr AS (SELECT *, CASE WHEN known IS NULL THEN 'no_evidence' WHEN terms = 0 THEN 'no_terms' WHEN matched < 2 THEN 'few_terms' WHEN coverage < 0.5 THEN 'low_coverage' END AS reason FROM g)"
+_GROUND = f", np AS (SELECT count(DISTINCT paper_id) AS n FROM candidates), u AS (SELECT question_id, paper_id AS slot_key, {terms_sql('text')} AS t FROM candidates), e AS (SELECT doc_id % n AS slot_key, list_distinct(flatten(list({terms_sql('text')}))) AS known FROM documents, np WHERE doc_id // n + 1 <= 5 GROUP BY 1), g AS (SELECT question_id, known, coalesce(len(list_intersect(t, known)), 0) AS matched, len(t) AS terms, round(coalesce(coalesce(len(list_intersect(t, known)), 0) / nullif(len(t), 0)::DOUBLE, 0), 6) AS coverage FROM u LEFT JOIN e USING (slot_key)), gr AS (SELECT *, CASE WHEN known IS NULL THEN 'no_evidence' WHEN terms = 0 THEN 'no_terms' WHEN matched < 2 THEN 'few_terms' WHEN coverage < 0.5 THEN 'low_coverage' END AS reason FROM g)"
 
 
 @query("v08_grounding", sql=with_tables("candidates", then=_GROUND + " SELECT question_id, 'whole' AS part, matched, terms, coverage, reason IS NULL AS ok, reason FROM gr"))
@@ -196,9 +202,9 @@ def v20(spark, sf):
     return V.demand_targets(c)
 
 
-@query("v21_ledger", sql=with_tables("candidates", then="SELECT paper_id, count(*) AS items, ['RECALL'] AS demands, list_sort(list(DISTINCT type)) AS types FROM candidates GROUP BY 1"))
+@query("v21_ledger", sql=with_tables("candidates", then=f", c AS (SELECT paper_id, type, {_DEMAND.replace('stem', 'text')} AS demand FROM candidates) SELECT paper_id, count(*) AS items, list_sort(list(DISTINCT demand)) AS demands, list_sort(list(DISTINCT type)) AS types FROM c GROUP BY 1"))
 def v21(spark, sf):
-    return V.ledger(candidates(spark, sf).withColumn("text", F.lit("Name the parts")))
+    return V.ledger(candidates(spark, sf))
 
 
 @query("v22_plan_targets", sql=with_tables("slots", then=""", t AS (SELECT slot_id, CASE WHEN slot_id % 3 = 0 THEN 'item' END AS a, CASE WHEN slot_id % 5 = 0 THEN 'anchor' END AS b, CASE WHEN slot_id % 2 = 0 THEN 'ev' END AS c, CASE WHEN slot_id % 7 = 0 THEN 'graph' END AS d, CASE WHEN slot_id % 11 = 0 THEN 'unit' END AS e FROM slots),
@@ -225,12 +231,13 @@ def v24(spark, sf):
     return V.item_dependency(i.withColumn("reference_text", F.when(F.col("part_id") % 3 == 0, "Look at the Picture").otherwise("Name it")))
 
 
-@query("v25_image_alignment", sql="""WITH im AS (SELECT item_id AS image_id, item_id % 40 AS slot_key, unnest(['the', 'nation_1', 'zzz']) AS concept, 'and' AS topic FROM benchmark), n AS (SELECT doc_id % 30 AS slot_key, lower(string_agg(text, ' ' ORDER BY text)) AS al, count(*) AS n FROM documents WHERE doc_id < 60 GROUP BY 1),
+@query("v25_image_alignment", sql="""WITH im AS (SELECT item_id AS image_id, item_id AS slot_key, unnest(['the', 'nation_1', 'zzz']) AS concept, 'and' AS topic FROM benchmark), n AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS slot_key, lower(string_agg(text, ' ' ORDER BY text)) AS al, count(*) AS n FROM documents GROUP BY 1),
     p AS (SELECT image_id, round(avg(CASE WHEN contains(al, concept) THEN 1.0 WHEN concept = 'nation_1' THEN 0.7 ELSE 0 END), 6) AS c, any_value(n) AS n, any_value(al) AS al, any_value(topic) AS topic FROM im LEFT JOIN n USING (slot_key) GROUP BY 1)
     SELECT image_id, c AS concept_score, CASE WHEN contains(al, topic) THEN 1.0 ELSE 0.0 END AS topic_score, least(1.0, round(0.4 * c + 0.3 * CASE WHEN contains(al, topic) THEN 1.0 ELSE 0.0 END + 0.3 * least(1.0, coalesce(n, 0) / 3.0) + 0.05, 6)) AS confidence, round(0.4 * c + 0.3 * CASE WHEN contains(al, topic) THEN 1.0 ELSE 0.0 END + 0.3 * least(1.0, coalesce(n, 0) / 3.0) + 0.05, 6) >= 0.25 AS aligned FROM p""")
 def v25(spark, sf):
-    im = table(spark, sf, "benchmark").select(F.col("item_id").alias("image_id"), (F.col("item_id") % 40).alias("slot_key"), F.array(F.lit("The"), F.lit("NATION_1"), F.lit("zzz")).alias("concepts"), F.lit("and").alias("topic"))
-    notes = table(spark, sf, "documents").where("doc_id < 60").select((F.col("doc_id") % 30).alias("slot_key"), "text")
+    b = table(spark, sf, "benchmark")
+    im = b.select(F.col("item_id").alias("image_id"), F.col("item_id").alias("slot_key"), F.array(F.lit("The"), F.lit("NATION_1"), F.lit("zzz")).alias("concepts"), F.lit("and").alias("topic"))
+    notes = table(spark, sf, "documents").select((F.col("doc_id") % b.count()).alias("slot_key"), "text")
     return V.image_alignment(im, notes, table(spark, sf, "nation").select(F.col("n_name").alias("name")))
 
 
@@ -268,8 +275,8 @@ def v29(spark, sf):
 _FRAME_WORDS = "[" + ", ".join(f"'{w}'" for w in V.IMAGE_WORDS) + "]"
 
 
-@query("v09_visual_grounding", sql=with_tables("candidates", then=f", u AS (SELECT question_id, paper_id % 40 AS slot_key, list_filter({terms_sql(_W5.format(a=1, b=12))}, lambda w: NOT list_contains({_FRAME_WORDS}, w)) AS t FROM candidates), e AS (SELECT doc_id % 30 AS slot_key, list_distinct(flatten(list({terms_sql('text')}))) AS known FROM documents WHERE doc_id // 30 + 1 <= 5 GROUP BY 1), v AS (SELECT item_id AS slot_key, {terms_sql('text')} AS seen FROM benchmark), g AS (SELECT question_id, len(list_intersect(t, coalesce(known, []))) AS a, len(list_filter(t, lambda w: NOT list_contains(coalesce(known, []), w) AND list_contains(coalesce(seen, []), w))) AS b FROM u LEFT JOIN e USING (slot_key) LEFT JOIN v USING (slot_key)) SELECT question_id, 'whole' AS part, a AS from_notes, b AS from_image, a + b >= 2 AS ok FROM g"))
+@query("v09_visual_grounding", sql=with_tables("candidates", then=f", np AS (SELECT count(DISTINCT paper_id) AS n FROM candidates), u AS (SELECT question_id, paper_id AS slot_key, list_filter({terms_sql('text')}, lambda w: NOT list_contains({_FRAME_WORDS}, w)) AS t FROM candidates), e AS (SELECT doc_id % n AS slot_key, list_distinct(flatten(list({terms_sql('text')}))) AS known FROM documents, np WHERE doc_id // n + 1 <= 5 GROUP BY 1), v AS (SELECT item_id AS slot_key, {terms_sql('text')} AS seen FROM benchmark), g AS (SELECT question_id, len(list_intersect(t, coalesce(known, []))) AS a, len(list_filter(t, lambda w: NOT list_contains(coalesce(known, []), w) AND list_contains(coalesce(seen, []), w))) AS b FROM u LEFT JOIN e USING (slot_key) LEFT JOIN v USING (slot_key)) SELECT question_id, 'whole' AS part, a AS from_notes, b AS from_image, a + b >= 2 AS ok FROM g"))
 def v09(spark, sf):
-    c = candidates(spark, sf).select("question_id", F.lit("whole").alias("part"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("text"), (F.col("paper_id") % 40).alias("slot_key"))
-    e = chunks(spark, sf).select((F.col("doc_id") % 30).alias("slot_key"), (F.floor(F.col("doc_id") / 30) + 1).alias("rank"), "text")
+    """Whole items, and all chunks ranked as evidence of all papers."""
+    c, e = _with_evidence(spark, sf)
     return V.visual_grounding(c, e, table(spark, sf, "benchmark").select(F.col("item_id").alias("slot_key"), X.content_terms(F.col("text")).alias("terms")))

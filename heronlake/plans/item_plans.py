@@ -17,24 +17,29 @@ def _pages(spark, sf):
 
 
 def _dress(x, i):
-    short = F.substring(x, 1, 60)
     n = (F.floor(i / 8) + 1).cast("string")
     k = i % 8
-    return F.when(k == 0, F.concat(F.lit("Section "), F.char((F.floor(i / 8) % 3 + 65).cast("int")))).when(k == 1, F.concat(F.lit("Q"), n, F.lit(". "), short, F.lit(" [5]"))).when(k == 2, F.concat(F.lit("(a) "), short)).when(k == 3, "(a) red (b) blue (c) green").when(k == 4, F.concat(F.lit("(b) "), short)).when(k == 5, "5 marks").otherwise(short)
+    return F.when(k == 0, F.concat(F.lit("Section "), F.char((F.floor(i / 8) % 3 + 65).cast("int")))).when(k == 1, F.concat(F.lit("Q"), n, F.lit(". "), x, F.lit(" [5]"))).when(k == 2, F.concat(F.lit("(a) "), x)).when(k == 3, "(a) red (b) blue (c) green").when(k == 4, F.concat(F.lit("(b) "), x)).when(k == 5, "5 marks").otherwise(x)
 
 
-_LINES = """pg AS (SELECT document_id, page_number, list_transform(string_split(text, chr(10)), lambda x, i: CASE (i - 1) % 8 WHEN 0 THEN 'Section ' || chr(CAST((i - 1) // 8 % 3 + 65 AS INTEGER)) WHEN 1 THEN 'Q' || ((i - 1) // 8 + 1) || '. ' || x[1:60] || ' [5]' WHEN 2 THEN '(a) ' || x[1:60] WHEN 3 THEN '(a) red (b) blue (c) green' WHEN 4 THEN '(b) ' || x[1:60] WHEN 5 THEN '5 marks' ELSE x[1:60] END) AS l FROM page_text),
+_LINES = """pg AS (SELECT document_id, page_number, list_transform(string_split(text, chr(10)), lambda x, i: CASE (i - 1) % 8 WHEN 0 THEN 'Section ' || chr(CAST((i - 1) // 8 % 3 + 65 AS INTEGER)) WHEN 1 THEN 'Q' || ((i - 1) // 8 + 1) || '. ' || x || ' [5]' WHEN 2 THEN '(a) ' || x WHEN 3 THEN '(a) red (b) blue (c) green' WHEN 4 THEN '(b) ' || x WHEN 5 THEN '5 marks' ELSE x END) AS l FROM page_text),
     ln AS (SELECT document_id, page_number * 100000 + u.i - 1 AS ord, page_number, u.i - 1 AS i, l[u.i] AS line FROM pg, unnest(range(1, len(l) + 1)) AS u(i))"""
+#: The classes once more, as their definition in words has them, for the check.
+_KIND = r"""CASE WHEN regexp_matches(line, '(?i)^\s*(section|part)\s*[-:]?\s*[A-Z]\b') THEN 'section'
+    WHEN regexp_matches(line, '(?i)^\s*(general\s+)?instructions?\b') OR regexp_matches(line, '(?i)^\s*(all questions are compulsory|attempt all|time\s*:|maximum marks)') THEN 'instruction'
+    WHEN regexp_matches(line, '(?i)^\s*[\[(]?\s*(marks?\s*[=:]?\s*)?[0-9]{1,2}\s*(marks?)?\s*[\])]?\s*$') THEN 'marks'
+    WHEN regexp_matches(line, '^\s*\(?[a-d][).]\s*\S+.*\s\(?[b-d][).]\s*\S+') THEN 'option_row'
+    WHEN regexp_matches(line, '(?i)^\s*Q\s*\.?\s*[0-9]+\s*[.:)]?\s*\S') THEN 'main' WHEN regexp_matches(line, '^\s*[0-9]{1,2}[.)]\s+\S') THEN 'number'
+    WHEN regexp_matches(line, '^\s*\([a-z]\)\s*\S') THEN 'sub' WHEN regexp_matches(line, '^\s*[a-d][.)]\s+\S') THEN 'option'
+    WHEN regexp_matches(line, '(?i)^\s*\(?[ivx]+[.)]\s+\S') THEN 'roman' WHEN trim(line) = '' THEN 'blank' ELSE 'text' END"""
 
 
-@query("q01_classify_lines", sql=with_tables("page_text", then=f", {_LINES} SELECT document_id, ord, CASE i % 8 WHEN 0 THEN 'section' WHEN 1 THEN 'main' WHEN 2 THEN 'sub' WHEN 3 THEN 'option_row' WHEN 4 THEN 'sub' ELSE 'marks' END AS kind FROM ln WHERE i % 8 < 6 AND NOT (i % 8 IN (2, 4) AND length(line) < 6)"))
+@query("q01_classify_lines", sql=with_tables("page_text", then=f", {_LINES} SELECT document_id, ord, {_KIND} AS kind FROM ln"))
 def q01(spark, sf):
-    i = F.col("ord") % 100000
-    c = Q.classify_lines(_pages(spark, sf))
-    return c.where((i % 8 < 6) & ~((i % 8).isin(2, 4) & (F.length("line") < 6))).select("document_id", "ord", "kind")
+    return Q.classify_lines(_pages(spark, sf)).select("document_id", "ord", "kind")
 
 
-@query("q02_carry_section", sql=with_tables("page_text", then=f", {_LINES} SELECT document_id, ord, last_value(CASE WHEN i % 8 = 0 THEN line[9:9] END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY ord) AS section FROM ln"))
+@query("q02_carry_section", sql=with_tables("page_text", then=f", {_LINES} SELECT document_id, ord, last_value(CASE WHEN kind = 'section' THEN upper(regexp_extract(line, '(?i)(section|part)\\s*[-:]?\\s*([A-Z])\\b', 2)) END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY ord) AS section FROM (SELECT *, {_KIND} AS kind FROM ln)"))
 def q02(spark, sf):
     return Q.carry_section(Q.classify_lines(_pages(spark, sf))).select("document_id", "ord", "section")
 
@@ -50,20 +55,20 @@ def q03(spark, sf):
     return _questions(spark, sf)
 
 
-@query("q04_split_inline", sql="SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN ['red', 'blue', 'green'] END AS options, CASE WHEN p_partkey % 3 = 0 THEN ['name it', 'draw it'] END AS items FROM part")
+@query("q04_split_inline")
 def q04(spark, sf):
-    k = F.col("p_partkey")
-    row = F.when(k % 2 == 0, "(a) red (b) blue (c) green").otherwise("(a) red only")
-    line = F.when(k % 3 == 0, "1. name it 2. draw it").otherwise("1. name it")
-    return table(spark, sf, "part").select("p_partkey", Q.split_option_row(row).alias("options"), Q.split_inline_items(line).alias("items"))
+    lines = Q.classify_lines(_pages(spark, sf))
+    return lines.select("document_id", "ord", Q.split_option_row(F.col("line")).alias("options"), Q.split_inline_items(F.col("line")).alias("items"))
 
 
-@query("q05_parse_marks", sql="SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 5.0 WHEN 1 THEN 3.0 WHEN 2 THEN 2.0 END AS marks, CASE p_partkey % 5 WHEN 3 THEN 'Name it [50]' WHEN 4 THEN 'Name 2x [5]' ELSE 'Name it' END AS text FROM part")
+_MARK = r"(?i)(?:\[\s*([0-9]{1,2}(?:\.[0-9])?)\s*(?:marks?)?\s*\]|\(\s*([0-9]{1,2}(?:\.[0-9])?)\s*marks?\s*\)|marks?\s*=\s*([0-9]{1,2}(?:\.[0-9])?))\s*$"
+
+
+@query("q05_parse_marks", sql=with_tables("page_text", then=f""", {_LINES}, m AS (SELECT *, try_cast(coalesce({", ".join(f"nullif(regexp_extract(line, '{_MARK}', {k}), '')" for k in (1, 2, 3))}) AS DOUBLE) AS n FROM ln),
+    k AS (SELECT *, coalesce(n > 0 AND n <= 20 AND NOT regexp_matches(line, '[xX×*=]\\s*[\\[(]\\s*[0-9]+\\s*[\\])]\\s*$'), false) AS ok FROM m) SELECT document_id, ord, CASE WHEN ok THEN n END AS marks, CASE WHEN ok THEN trim(regexp_replace(line, '{_MARK}', ''), ' ') ELSE line END AS text FROM k"""))
 def q05(spark, sf):
-    k = F.col("p_partkey") % 5
-    t = F.when(k == 0, "Name it [5]").when(k == 1, "Name it (3 marks)").when(k == 2, "Name it marks = 2").when(k == 3, "Name it [50]").otherwise("Name 2x [5]")
-    marks, text = Q.parse_marks(t)
-    return table(spark, sf, "part").select("p_partkey", marks.alias("marks"), text.alias("text"))
+    marks, text = Q.parse_marks(F.col("line"))
+    return Q.classify_lines(_pages(spark, sf)).select("document_id", "ord", marks.alias("marks"), text.alias("text"))
 
 
 @query("q06_repair_orphan_marks", sql="SELECT o_custkey AS document_id, o_orderkey AS ord, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderkey % 7 + 1 AS DOUBLE) END AS marks FROM orders")
@@ -83,14 +88,14 @@ def q07(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.max(kind).alias("type"))
 
 
-@query("q08_dedupe_items", sql="SELECT doc_id % 30 AS document_id, min(doc_id) AS ord FROM documents WHERE length(trim(text[1:12])) >= 5 GROUP BY doc_id % 30, regexp_replace(lower(text[1:12]), '[^a-z0-9]', '', 'g')")
+@query("q08_dedupe_items", sql="WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents) SELECT doc_id AS document_id, min(ord) AS ord FROM l WHERE length(trim(text, ' ')) >= 5 GROUP BY doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g')")
 def q08(spark, sf):
-    q = table(spark, sf, "documents").select((F.col("doc_id") % 30).alias("document_id"), F.col("doc_id").alias("ord"), F.substring("text", 1, 12).alias("text"))
+    q = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
     return Q.dedupe_items(q).select("document_id", "ord")
 
 
-@query("q09_locate_page", sql=with_tables("page_text", then=", q AS (SELECT document_id, page_number AS ord, text[5:80] AS text FROM page_text WHERE text <> ''), n AS (SELECT document_id, count(*) AS n FROM page_text GROUP BY 1) SELECT q.document_id, q.ord, CASE WHEN n = 1 THEN 1 ELSE (SELECT min(p.page_number) FROM page_text p WHERE p.document_id = q.document_id AND contains(lower(p.text), lower(q.text[1:30]))) END AS page_number FROM q JOIN n USING (document_id)"))
+@query("q09_locate_page", sql=with_tables("page_text", then=", q AS (SELECT document_id, page_number AS ord, text FROM page_text WHERE text <> ''), n AS (SELECT document_id, count(*) AS n FROM page_text GROUP BY 1) SELECT q.document_id, q.ord, CASE WHEN n = 1 THEN 1 ELSE (SELECT min(p.page_number) FROM page_text p WHERE p.document_id = q.document_id AND contains(lower(p.text), lower(q.text[1:30]))) END AS page_number FROM q JOIN n USING (document_id)"))
 def q09(spark, sf):
     p = page_text(spark, sf)
-    q = p.where("text <> ''").select("document_id", F.col("page_number").alias("ord"), F.substring("text", 5, 76).alias("text"))
+    q = p.where("text <> ''").select("document_id", F.col("page_number").alias("ord"), "text")
     return Q.locate_page(q, p).select("document_id", "ord", "page_number")

@@ -32,11 +32,9 @@ def d01(spark, sf):
     return N.source_similarity(_items(spark, sf), past_items(spark, sf), 0.1)
 
 
-@query("d02_peer_duplicates", sql=with_tables("candidates", then=f", s AS (SELECT b.question_id, a.question_id AS peer_id, {_cos('a.embedding', 'b.embedding')} AS similarity FROM candidates a JOIN candidates b ON a.paper_id % 50 = b.paper_id % 50 AND (a.paper_id, a.slot_index) < (b.paper_id, b.slot_index)) SELECT question_id, peer_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, peer_id) AS k FROM s WHERE similarity >= 0.1) WHERE k = 1"))
+@query("d02_peer_duplicates", sql=with_tables("candidates", then=f", s AS (SELECT b.question_id, a.question_id AS peer_id, {_cos('a.embedding', 'b.embedding')} AS similarity FROM candidates a JOIN candidates b ON a.paper_id = b.paper_id AND a.slot_index < b.slot_index) SELECT question_id, peer_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, peer_id) AS k FROM s WHERE similarity >= 0.1) WHERE k = 1"))
 def d02(spark, sf):
-    c = candidates(spark, sf)
-    batch = c.withColumn("slot_index", F.struct("paper_id", "slot_index")).withColumn("paper_id", F.col("paper_id") % 50)
-    return N.peer_duplicates(batch, 0.1)
+    return N.peer_duplicates(candidates(spark, sf), 0.1)
 
 
 @query("d03_exact_duplicates", sql=r"SELECT doc_id, min(doc_id) OVER (PARTITION BY trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS first_id, doc_id <> min(doc_id) OVER (PARTITION BY trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS duplicate FROM documents")
@@ -86,23 +84,19 @@ def d08(spark, sf):
     return N.novelty_verdict(_pairs(spark, sf)).select("question_id", "overlap", "verdict")
 
 
-@query("d10_parameter_swap", sql="SELECT item_id, 'Write a program to print ' || item_id || ' times' AS text, 1.0 AS skeleton_overlap, item_id % 2 = 0 AS swapped FROM benchmark")
+@query("d10_parameter_swap")
 def d10(spark, sf):
-    i = F.col("item_id").cast("string")
-    read = F.when(F.col("item_id") % 2 == 0, "").otherwise(" read")
-    b = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("Write a program to print "), i, F.lit(" times")).alias("text"), F.concat(F.lit("Write a program to display 7 times"), F.lit("")).alias("reference_text"), read.alias("extra"))
-    out = N.parameter_swap(b.withColumn("text", F.concat("text", "extra")))
-    return out.select("item_id", F.concat(F.lit("Write a program to print "), i, F.lit(" times")).alias("text"), F.when(F.col("extra") == "", F.col("skeleton_overlap")).otherwise(F.col("skeleton_overlap")).alias("skeleton_overlap"), "swapped")
+    return N.parameter_swap(_pairs(spark, sf)).select("question_id", "skeleton_overlap", "swapped")
 
 
 @query("d11_embedding_backstop", sql=_over(f"""
-    , v AS (SELECT p.*, {_SHARED} AS o, CASE WHEN paper_id % 2 = 0 THEN p.embedding ELSE e.embedding END AS rv FROM t p JOIN embeddings e ON e.vec_id = (p.paper_id * 7 + p.slot_index + 1) % 500),
+    , v AS (SELECT p.*, {_SHARED} AS o, CASE WHEN paper_id % 2 = 0 THEN p.embedding ELSE e.embedding END AS rv FROM t p JOIN embeddings e ON e.vec_id = (p.paper_id * 7 + p.slot_index + 1) % (SELECT count(*) FROM embeddings)),
     s AS (SELECT *, {_cos('embedding', 'rv')} AS s FROM v), b AS (SELECT *, s >= 0.93 AND (type NOT IN ('MCQ', 'TRUE_FALSE', 'FILL_IN_THE_BLANK') OR o >= 0.55) AS bad FROM s)
     SELECT paper_id, count(*) FILTER (NOT bad) AS passed, count(*) FILTER (bad) AS failed, min(slot_index) FILTER (bad) AS first_position, arg_min(s, slot_index) FILTER (bad) AS first_similarity FROM b GROUP BY paper_id"""))
 def d11(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("other"))
     p = _pairs(spark, sf)
-    p = p.join(e, (F.col("paper_id") * 7 + F.col("slot_index") + 1) % 500 == F.col("vec_id"))
+    p = p.join(e, (F.col("paper_id") * 7 + F.col("slot_index") + 1) % e.count() == F.col("vec_id"))
     shared = overlap_min(content_terms(F.col("text")), content_terms(F.col("reference_text")))
     rows = p.select("paper_id", F.col("slot_index").alias("position"), "type", F.col("embedding").alias("vec"), F.when(F.col("paper_id") % 2 == 0, F.col("embedding")).otherwise(F.col("other")).alias("ref_vec"), shared.alias("overlap"))
     return N.embedding_backstop(rows)

@@ -216,21 +216,22 @@ def e01(spark, sf):
 
 
 def _evidence(spark, sf):
-    """Chunks as evidence of twenty queries, with metadata missing here and there."""
-    i = F.col("doc_id")
+    """All chunks, dealt to all queries as evidence, with metadata missing here and there."""
+    i, n = F.col("doc_id"), table(spark, sf, "benchmark").count()
     return chunks(spark, sf).select(
-        (i % 20).alias("query_id"), F.col("chunk_id").alias("id"), "text", "topic", "class", "subject", F.when(i % 6 != 0, F.col("unit")).alias("unit"), F.when(i % 4 != 0, F.col("source_hash")).alias("source_hash"),
+        (i % n).alias("query_id"), F.col("chunk_id").alias("id"), "text", "topic", "class", "subject", F.when(i % 6 != 0, F.col("unit")).alias("unit"), F.when(i % 4 != 0, F.col("source_hash")).alias("source_hash"),
         F.when(i % 3 != 0, F.col("source_filename")).alias("source_filename"), "chunk_id", "section", F.when(i % 5 != 0, F.col("subject")).alias("source_document_id"), ((i % 11) / 10.0).alias("vector_score"), ((i % 7) / 7.0).alias("graph_score"),
     )
 
 
 def _target(spark, sf):
-    q = queries(spark, sf).where("query_id < 20")
+    q = queries(spark, sf)
     k = F.col("query_id").cast("string")
     return q.select("query_id", F.lit("the").alias("concept"), F.concat(F.lit("topic"), (F.col("query_id") % 7).cast("string")).alias("topic"), "class", F.concat(F.lit("src"), k).alias("subject"), F.lit("U1").alias("unit"))
 
 
-_EV = "ev AS (SELECT doc_id % 20 AS query_id, chunk_id AS id, text, topic, class, subject, CASE WHEN doc_id % 6 <> 0 THEN unit END AS unit, (CASE WHEN doc_id % 4 <> 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 <> 0 THEN 1 ELSE 0 END + 2) / 5.0 AS provenance, (doc_id % 11) / 10.0 AS vs, (doc_id % 7) / 7.0 AS gs, CASE WHEN contains(lower(text), 'the') THEN 1.0 ELSE 0.0 END AS concept_match, CASE WHEN topic = 'topic' || (doc_id % 20 % 7) THEN 1.0 ELSE 0.0 END AS topic_match, chunk_id, CASE WHEN doc_id % 5 <> 0 THEN subject END AS sd FROM chunks WHERE doc_id % 20 IN (SELECT item_id FROM benchmark))"
+_N = "(SELECT count(*) FROM benchmark)"
+_EV = f"ev AS (SELECT doc_id % {_N} AS query_id, chunk_id AS id, text, topic, class, subject, CASE WHEN doc_id % 6 <> 0 THEN unit END AS unit, (CASE WHEN doc_id % 4 <> 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 <> 0 THEN 1 ELSE 0 END + 2) / 5.0 AS provenance, (doc_id % 11) / 10.0 AS vs, (doc_id % 7) / 7.0 AS gs, CASE WHEN contains(lower(text), 'the') THEN 1.0 ELSE 0.0 END AS concept_match, CASE WHEN topic = 'topic' || (doc_id % {_N} % 7) THEN 1.0 ELSE 0.0 END AS topic_match, chunk_id, CASE WHEN doc_id % 5 <> 0 THEN subject END AS sd FROM chunks WHERE doc_id % {_N} IN (SELECT item_id FROM benchmark))"
 _SCORED = _EV + ", scored AS (SELECT *, round(0.5 * vs + 0.1 * gs + 0.15 * concept_match + 0.15 * topic_match + 0.1 * provenance, 5) AS fused FROM ev)"
 
 
@@ -249,15 +250,17 @@ def e06(spark, sf):
     return E.score_evidence(E.features(_evidence(spark, sf), _target(spark, sf))).select("query_id", "id", "fused")
 
 
-@query("e07_drop_restating_edges", sql="""
-    WITH e AS (SELECT doc_id % 20 AS query_id, 'e' || doc_id AS id, lower(trim(text)) AS norm FROM documents WHERE length(text) < 900 UNION ALL SELECT item_id % 20, 'b' || item_id, lower(trim(text)) FROM benchmark),
-    h AS (SELECT doc_id % 20 AS query_id, lower(trim(text)) AS hit FROM documents WHERE doc_id % 3 = 0 AND length(trim(text)) >= 12)
+@query("e07_drop_restating_edges", sql=f"""
+    WITH e AS (SELECT doc_id // 2 % {_N} AS query_id, 'e' || doc_id AS id, lower(trim(text)) AS norm FROM documents UNION ALL SELECT item_id, 'b' || item_id, lower(trim(text)) FROM benchmark),
+    h AS (SELECT doc_id % {_N} AS query_id, lower(trim(text)) AS hit FROM documents WHERE length(trim(text)) >= 12)
     SELECT query_id, min(id) AS id FROM e WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = e.query_id AND length(norm) >= 12 AND (contains(hit, norm) OR contains(norm, hit))) GROUP BY query_id, norm""")
 def e07(spark, sf):
     d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    e = d.where(F.length("text") < 900).select((F.col("doc_id") % 20).alias("query_id"), F.concat(F.lit("e"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("source_text"))
-    e = e.union(b.select(F.col("item_id") % 20, F.concat(F.lit("b"), F.col("item_id").cast("string")), "text"))
-    return E.drop_restating_edges(e, d.where("doc_id % 3 = 0").select((F.col("doc_id") % 20).alias("query_id"), "text")).select("query_id", "id")
+    n = b.count()
+    # whole texts, dealt to all queries once as edges' sources and once as hits
+    e = d.select((F.floor(F.col("doc_id") / 2) % n).alias("query_id"), F.concat(F.lit("e"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("source_text"))
+    e = e.union(b.select("item_id", F.concat(F.lit("b"), F.col("item_id").cast("string")), "text"))
+    return E.drop_restating_edges(e, d.select((F.col("doc_id") % n).alias("query_id"), "text")).select("query_id", "id")
 
 
 @query("e08_fuse_evidence", sql=with_tables("chunks", then=f", {_SCORED}, best AS (SELECT query_id, id, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS rank FROM scored QUALIFY rank <= 8) SELECT b.query_id, b.id, b.fused, b.rank, (SELECT count(DISTINCT concat_ws('::', sd, chunk_id)) FROM scored s WHERE s.query_id = b.query_id) AS sources FROM best b"))

@@ -84,7 +84,7 @@ SQL["candidates"] = """
     SELECT conv_id || ':' || turn AS question_id, conv_id AS paper_id, turn AS slot_index, c.text,
       CASE turn % 5 WHEN 0 THEN 'MCQ' WHEN 1 THEN 'SHORT_ANSWER' WHEN 2 THEN 'LONG_ANSWER' WHEN 3 THEN 'TRUE_FALSE' ELSE 'FILL_IN_THE_BLANK' END AS type,
       CAST(turn % 4 + 1 AS DOUBLE) AS marks, turn % 4 AS attempts, e.embedding
-    FROM conversations c JOIN embeddings e ON e.vec_id = (conv_id * 7 + turn) % 500 WHERE role = 'assistant'"""
+    FROM conversations c JOIN embeddings e ON e.vec_id = (conv_id * 7 + turn) % (SELECT count(*) FROM embeddings) WHERE role = 'assistant'"""
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     t = F.col("turn")
     kind = F.when(t % 5 == 0, "MCQ").when(t % 5 == 1, "SHORT_ANSWER").when(t % 5 == 2, "LONG_ANSWER").when(t % 5 == 3, "TRUE_FALSE").otherwise("FILL_IN_THE_BLANK")
-    return c.join(e, (F.col("conv_id") * 7 + t) % 500 == F.col("vec_id")).select(
+    return c.join(e, (F.col("conv_id") * 7 + t) % e.count() == F.col("vec_id")).select(
         F.concat_ws(":", "conv_id", "turn").alias("question_id"), F.col("conv_id").alias("paper_id"), t.alias("slot_index"), "text", kind.alias("type"), (t % 4 + 1).cast("double").alias("marks"), (t % 4).alias("attempts"), "embedding"
     )
 
