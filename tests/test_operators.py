@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from heronlake.functions import text as X
+from heronlake.operators import chunking as C
 from heronlake.operators import graph as G
+from heronlake.operators import items as Q
+from heronlake.operators import novelty as N
 from heronlake.operators import retrieval as R
 from heronlake.operators import spec as B
 from heronlake.sources import store as S
@@ -71,3 +74,40 @@ def test_approximate_search_recall(spark, sf):
 def test_scope_filter_is_pushed_down(spark, sf):
     plan = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").select("doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,en)" in plan and "text" not in plan.split("ReadSchema")[-1]
+
+
+def test_slot_wordings(spark):
+    cases = {
+        "Write T/F": "TRUE_FALSE", "Story writing: a rainy day": "CREATIVE_WRITING", "Make a story using the given words": "CREATIVE_WRITING", "Identify the object picture below": "IMAGE_BASED",
+        "Study the following image": "IMAGE_BASED", "Now draw the leaf": "DRAWING", "Fill in the missing letters": "FILL_IN_THE_BLANK", "Draft a notice": "NOTICE", "Distinguish between a and b": "DIFFERENTIATE",
+        "Tick the correct word": "MCQ", "Match the items": "MATCH_THE_FOLLOWING", "": "UNKNOWN", "Name three": "SHORT_ANSWER",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "stem string")
+    got = {r.stem: r.kind for r in df.select("stem", B.classify_slot_type(F.col("stem"), F.lit(1.0), F.lit(None).cast("double")).alias("kind")).collect()}
+    assert got == cases
+
+
+def test_parameter_swap(spark):
+    rows = [(1, "Write a program to print 3 times", "Write a program to display 7 times"), (2, "Write a program to print 3 times read", "Write a program to display 7 times"), (3, "Name the parts of a leaf", "Write a program to display 7 times")]
+    got = N.parameter_swap(spark.createDataFrame(rows, "k int, text string, reference_text string"))
+    assert {r.k: r.swapped for r in got.collect()} == {1: True, 2: False, 3: False}
+
+
+def test_rows_of_options_and_items(spark):
+    rows = ["(a) red (b) blue (c) green", "(a) red only", "1. name it 2. draw it", "1. name it"]
+    df = spark.createDataFrame([(r,) for r in rows], "line string").select("line", Q.split_option_row(F.col("line")).alias("o"), Q.split_inline_items(F.col("line")).alias("i"))
+    got = {r.line: (r.o, r.i) for r in df.collect()}
+    assert [got[r] for r in rows] == [(["red", "blue", "green"], None), (None, None), (None, ["name it", "draw it"]), (None, None)]
+
+
+def test_segments_of_a_paper(spark):
+    text = "Section A\nQ1. Name the part [5]\nof a leaf\n(a) its stem\n(a) red (b) blue (c) green\nQ.2 Why?\na) one\nb) two\n3. Where"
+    pages = spark.createDataFrame([(1, 1, text)], "document_id int, page_number int, text string")
+    got = [(r.question_number, r.parent_question_number, r.text, r.options, r.section) for r in Q.segment_questions(Q.carry_section(Q.classify_lines(pages))).orderBy("ord").collect()]
+    assert got == [("Q1", None, "Name the part [5] of a leaf", [], "A"), ("Q1(a)", "Q1", "its stem", ["red", "blue", "green"], "A"), ("Q2", None, "Why?", ["one", "two"], "A"), ("Q3", None, "Where", [], "A")]
+
+
+def test_headings(spark):
+    heads = {"x\nChapter 3 The heart": "Chapter 3 The heart", "3.1 Photosynthesis": "3.1 Photosynthesis", "a\nWATER AND AIR": "WATER AND AIR", "plain words": None}
+    df = spark.createDataFrame([(k,) for k in heads], "t string")
+    assert {r.t: r.h for r in df.select("t", C.detect_heading(F.col("t")).alias("h")).collect()} == heads
