@@ -190,7 +190,10 @@ def graph_evidence(nodes: DataFrame, edges: DataFrame, queries: DataFrame, depth
     """
     by_name = queries.join(nodes.select("id", F.lower("name").alias("n")), F.lower("concept") == F.col("n")).select("query_id", "id", F.lit(0).alias("level"))
     by_topic = queries.join(nodes.where("type = 'TOPIC'").select("id", F.lower("name").alias("n")), F.lower("topic") == F.col("n")).select("query_id", "id", F.lit(1).alias("level"))
-    by_unit = queries.select("query_id").crossJoin(F.broadcast(nodes.where("type = 'UNIT'").select("id"))).withColumn("level", F.lit(2))  # a handful of units
+    # units stand in only for queries without a hit; one row holds all their ids
+    lost = queries.select("query_id").join(by_name.unionByName(by_topic).select("query_id").distinct(), "query_id", "left_anti")
+    units = nodes.where("type = 'UNIT'").agg(F.collect_set("id").alias("ids"))
+    by_unit = lost.join(F.broadcast(units)).select("query_id", F.explode("ids").alias("id"), F.lit(2).alias("level"))
     level = Window.partitionBy("query_id")
     starts = by_name.unionByName(by_topic).unionByName(by_unit).withColumn("best", F.min("level").over(level)).where("level = best").select("query_id", "id")
     near = subgraph(edges, starts, depth)

@@ -11,15 +11,24 @@ from heronlake.functions.text import canonical_scope, content_terms, norm_text,
 SCOPE = ["class", "subject"]
 
 
-def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _tokens(chunks: DataFrame) -> DataFrame:
+    """Chunks with their tokens of text, chapter and section, and their length, at least one."""
+    text = F.concat_ws(" ", "text", "chapter", "section")
+    tokens = chunks.select(*SCOPE, "chunk_id", "chunk_type", search_tokens(text).alias("tokens"))
+    return tokens.withColumn("len", F.greatest(F.size("tokens"), F.lit(1)))
+
+
+def bm25_index(chunks: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, term document frequencies, scope statistics), all per class and subject.
 
-    The indexed text is text, chapter and section; a chunk counts at least one token of length; parents are included.
+    A chunk counts at least one token of length; parents are included. With ``terms`` (scope, term), only their postings
+    and frequencies are made: other tokens go before anything is grouped or shuffled.
     """
-    text = F.concat_ws(" ", "text", "chapter", "section")
-    tokens = chunks.select(*SCOPE, "chunk_id", "chunk_type", search_tokens(text).alias("tokens"))
-    tokens = tokens.withColumn("len", F.greatest(F.size("tokens"), F.lit(1)))
-    postings = tokens.select(*SCOPE, "chunk_id", "chunk_type", "len", F.explode("tokens").alias("term")).groupBy(*SCOPE, "term", "chunk_id", "chunk_type", "len").agg(F.count("*").alias("tf"))
+    tokens = _tokens(chunks)
+    listed = tokens.select(*SCOPE, "chunk_id", "chunk_type", "len", F.explode("tokens").alias("term"))
+    if terms is not None:
+        listed = listed.join(terms, [*SCOPE, "term"], "left_semi")
+    postings = listed.groupBy(*SCOPE, "term", "chunk_id", "chunk_type", "len").agg(F.count("*").alias("tf"))
     frequencies = postings.groupBy(*SCOPE, "term").agg(F.count("*").alias("df"))
     stats = tokens.groupBy(*SCOPE).agg(F.count("*").alias("docs"), F.avg("len").alias("avgdl"))
     return postings, frequencies, stats
@@ -32,10 +41,10 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 10, include_parents: bool = False, config: Config = DEFAULT) -> DataFrame:
     """query_id, chunk_id, score (4 digits), rank of the k best of each query within its class and subject.
 
-    Only the queries' own terms are looked up: postings meet the distinct query terms on (scope, term).
+    Only the queries' own terms are indexed: tokens meet the distinct query terms on (scope, term).
     """
-    postings, frequencies, stats = bm25_index(chunks)
     terms = queries.select("query_id", *SCOPE, F.explode(F.array_distinct(search_tokens(F.col("query")))).alias("term"))
+    postings, frequencies, stats = bm25_index(chunks, terms.select(*SCOPE, "term").distinct())
     met = postings.join(terms, [*SCOPE, "term"]).join(frequencies, [*SCOPE, "term"]).join(stats, SCOPE)
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("len") / F.col("avgdl")))
