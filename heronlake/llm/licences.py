@@ -304,7 +304,8 @@ def fit(spark: SparkSession, prose: DataFrame | None = None) -> LicenceModel:
     model = fitted(data)
     scored.unpersist()
     data.unpersist()
-    return LicenceModel(gate, templates, families, model, temperature, float(min(max(least, 0.2), 0.9)))
+    # a family is named only where it is likelier than all else together
+    return LicenceModel(gate, templates, families, model, temperature, float(min(max(least, 0.5), 0.9)))
 
 
 def classify(docs: DataFrame, fitted: LicenceModel) -> DataFrame:
