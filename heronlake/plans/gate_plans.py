@@ -58,7 +58,7 @@ def v02(spark, sf):
 
 @query("v03_grammar_flags")
 def v03(spark, sf):
-    # its SQL states only the planted pairs, since DuckDB has no back-references; tests/test_grammar.py checks the others
+    # DuckDB has no back-references; tests/test_grammar.py compares it with neighbouring words
     return V.grammar_flags(_items(spark, sf)).select("question_id", F.col("doubled_word").alias("has_pair"), "extra_space", "no_capital", "no_mark")
 
 
