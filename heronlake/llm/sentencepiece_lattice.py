@@ -5,8 +5,8 @@ to the piece table; the edges are grouped by unit and a higher-order ``aggregate
 unigram model. A BPE model is not defined by the best sum of scores, so for it the fold applies the merges in order of
 their scores over the same edges.
 
-Texts are read once. Blocks of documents become sequences of block-local unit numbers; only each block's distinct units
-travel to the lattice and back.
+Texts are read once. Blocks of documents become sequences of block-local unit numbers, which stay where they are written;
+only each block's distinct units travel to the lattice and back, packed by a hash of the unit.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronlake.llm.shared import release, stage
+from heronlake.llm.shared import release, stage, stage_bucketed
 
 BLANK = "▁"
 #: Longest unit whose boundaries fit the bits of a long; characters of text in a block, about; words held at once.
 MOST_BITS, BLOCK_CHARS, HELD_WORDS = 60, 24_000_000, 300_000
-#: Block-unit rows of one lattice task, about.
-LATTICE_ROWS = 200_000
+#: Distinct units of one lattice task, about; bytes of text for each bucket of units.
+LATTICE_ROWS, BUCKET_BYTES = 50_000, 8_000_000
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 UNIGRAM, BPE = 1, 2
 #: Fixed values of the model format: piece types.
@@ -232,14 +232,35 @@ def encode_units(units: DataFrame, pieces: DataFrame, info: dict) -> DataFrame:
     return path_ids(merge_path(edges(short, pieces, info["most"])), info).unionByName(long.select("unit", fold("unit").alias("ids")))
 
 
-_BLOCK = "kind string, block long, k int, unit string, doc_id long, codes binary, crc long"
+_BLOCK = "kind string, block long, bucket long, at binary, sizes binary, packed binary, doc_id long, crc long"
+_LISTED = "kind string, bucket long, block long, at binary, numbers binary, unit string"
+_RETURNED = "of long, at binary, sizes binary, packed binary"
+
+
+def _pack(numbers) -> bytes:
+    """Unsigned 32-bit numbers, their first bytes before their second ones, compressed."""
+    import numpy as np
+
+    return zlib.compress(np.asarray(numbers, "<u4").view("u1").reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack(packed: bytes):
+    import numpy as np
+
+    return np.frombuffer(np.frombuffer(zlib.decompress(packed), "u1").reshape(4, -1).T.tobytes(), "<u4")
+
+
+def _cut(whole, sizes) -> list:
+    """``whole``, a text or bytes, cut into pieces of ``sizes``."""
+    ends = sizes.astype("int64").cumsum().tolist()
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class _Block:
     """Documents of a task as sequences of unit numbers."""
 
-    def __init__(self, info: dict):
-        self.info, self.unit_at, self.words, self.rows, self.chars = info, {}, {}, [], 0
+    def __init__(self, info: dict, buckets: int):
+        self.info, self.buckets, self.unit_at, self.words, self.rows, self.chars = info, buckets, {}, {}, [], 0
 
     def word(self, word: str) -> bytes:
         at = self.unit_at
@@ -260,30 +281,44 @@ class _Block:
             own = b"".join(map(self.word, _WORD.findall(marked)))
         raw = text.encode("utf-8", "surrogatepass")
         # what decoding gives back: a mark in the text itself comes back as a blank
-        self.rows.append((doc_id, zlib.compress(own, 1), zlib.crc32(raw.replace(BLANK.encode(), b" ") if BLANK in text else raw)))
+        self.rows.append((doc_id, own, zlib.crc32(raw.replace(BLANK.encode(), b" ") if BLANK in text else raw)))
         self.chars += len(text)
 
     def frames(self, block: int) -> Iterator[pd.DataFrame]:
-        n, m = len(self.unit_at), len(self.rows)
-        if n:
-            yield pd.DataFrame({"kind": "unit", "block": block, "k": pd.array(range(n), "Int32"), "unit": list(self.unit_at), "doc_id": pd.array([None] * n, "Int64"), "codes": None, "crc": pd.array([None] * n, "Int64")})
-        ids, codes, crcs = zip(*self.rows)
-        yield pd.DataFrame({"kind": "document", "block": block, "k": pd.array([None] * m, "Int32"), "unit": None, "doc_id": pd.array(ids, "Int64"), "codes": list(codes), "crc": pd.array(crcs, "Int64")})
-
-
-def _blocks(info: dict):
-    """Per block of documents, rows of its distinct units and of its documents."""
+        """Units are numbered by falling frequency, so that numbers pack well, and packed with their numbers by bucket."""
+        import numpy as np
+
+        n, units = len(self.unit_at), list(self.unit_at)
+        ids, owns, crcs = zip(*self.rows)
+        counts = np.bincount(np.frombuffer(b"".join(owns), "<u4"), minlength=n)
+        order = np.argsort(-counts[:n], kind="stable")
+        rank = np.empty(n, "<u4")
+        rank[order] = np.arange(n)
+        buckets = np.array([zlib.crc32(units[i].encode()) % self.buckets for i in order.tolist()], "int64")
+        rows, by = [], np.argsort(buckets, kind="stable")
+        for at in np.split(by, np.flatnonzero(np.diff(buckets[by])) + 1) if n else []:
+            own = [units[i] for i in order[at].tolist()]
+            rows.append((int(buckets[at[0]]), _pack(np.diff(at, prepend=0)), _pack([len(u) for u in own]), zlib.compress("".join(own).encode())))
+        if rows:
+            bucket, at, sizes, packed = zip(*rows)
+            yield pd.DataFrame({"kind": "unit", "block": block, "bucket": pd.array(bucket, "Int64"), "at": at, "sizes": sizes, "packed": packed, "doc_id": pd.array([None] * len(rows), "Int64"), "crc": pd.array([None] * len(rows), "Int64")})
+        codes, empty = [_pack(rank[np.frombuffer(own, "<u4")]) for own in owns], pd.array([None] * len(ids), "Int64")
+        yield pd.DataFrame({"kind": "document", "block": block, "bucket": empty, "at": None, "sizes": None, "packed": codes, "doc_id": pd.array(ids, "Int64"), "crc": pd.array(crcs, "Int64")})
+
+
+def _blocks(info: dict, buckets: int):
+    """Per block of documents, rows of its distinct units, packed by bucket, and of its documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        number, block = TaskContext.get().partitionId() << 24, _Block(info)
+        number, block = TaskContext.get().partitionId() << 24, _Block(info, buckets)
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
                 block.add(None if pd.isna(doc_id) else int(doc_id), text if isinstance(text, str) else "")
                 if block.chars >= BLOCK_CHARS:
                     yield from block.frames(number)
-                    number, block = number + 1, _Block(info)
+                    number, block = number + 1, _Block(info, buckets)
         if block.rows:
             yield from block.frames(number)
         release()
@@ -291,6 +326,28 @@ def _blocks(info: dict):
     return run
 
 
+def _listed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket: its distinct units, and for each block the places of its units in their sorted list."""
+    owns = [_cut(zlib.decompress(p).decode(), _unpack(n)) for p, n in zip(pdf["packed"], pdf["sizes"])]
+    units = sorted(set().union(*owns))
+    place = {u: k for k, u in enumerate(units)}
+    use = pd.DataFrame({"kind": "use", "bucket": pdf["bucket"], "block": pdf["block"], "at": pdf["at"], "numbers": [_pack([place[u] for u in own]) for own in owns], "unit": None})
+    own = pd.DataFrame({"kind": "unit", "bucket": pdf["bucket"].iloc[0], "block": 0, "at": None, "numbers": None, "unit": units})
+    return pd.concat([use, own], ignore_index=True)
+
+
+def _returned(use: pd.DataFrame, coded: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket: for each block the ids of its units."""
+    import numpy as np
+
+    ids = [i for _, i in sorted(zip(coded["unit"].tolist(), coded["ids"].tolist()))]
+    out = []
+    for block, at, numbers in zip(use["block"].tolist(), use["at"], use["numbers"]):
+        own = [ids[k] for k in _unpack(numbers).tolist()]
+        out.append((block, at, _pack([len(i) for i in own]), _pack(np.frombuffer(b"".join(own), "<u4"))))
+    return pd.DataFrame(out, columns=["of", "at", "sizes", "packed"])
+
+
 def _piece_bytes(pieces: DataFrame, info: dict) -> dict[int, bytes]:
     """What each id stands for; the size of the vocabulary."""
     out = {r["id"]: r["piece"].replace(BLANK, " ").encode("utf-8", "surrogatepass") for r in pieces.collect()}
@@ -313,12 +370,19 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     raw = _piece_bytes(pieces, info)
     source = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     source = source.withColumn("doc_id", F.col("doc_id").cast("long").cast("string"))
-    read = stage(source.mapInPandas(_blocks(info), _BLOCK), "blocks", ("kind",))
-    used = read.where("kind = 'unit'").select("block", "k", "unit")
-    rows = read.where("kind = 'document'").select("block", "doc_id", "codes", "crc")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), used.count() // LATTICE_ROWS)
-    coded = stage(encode_units(used.select("unit").repartition(parts, "unit").distinct(), pieces, info), "units")
-    known = used.join(coded, "unit", "left").select(F.col("block").alias("of"), "k", "ids")
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, tasks = max(1, size // BUCKET_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # bucketed by block, the documents are not moved again to meet their units
+    read = stage_bucketed(source.mapInPandas(_blocks(info, buckets), _BLOCK), "blocks", "block", tasks)
+    rows = read.where("kind = 'document'").select("block", "doc_id", "packed", "crc")
+    packed = read.where("kind = 'unit'").select("bucket", "block", "at", "sizes", "packed")
+    listed = stage(packed.groupBy("bucket").applyInPandas(_listed, _LISTED), "listed", ("kind",))
+    units = listed.where("kind = 'unit'").select("unit")
+    parts = max(tasks, units.count() // LATTICE_ROWS)
+    coded = stage(encode_units(units.repartition(parts, "unit"), pieces, info), "units")
+    coded = coded.withColumn("bucket", F.crc32(F.encode("unit", "utf-8")) % buckets)
+    use = listed.where("kind = 'use'").select("bucket", "block", "at", "numbers")
+    known = use.groupBy("bucket").cogroup(coded.groupBy("bucket")).applyInPandas(_returned, _RETURNED)
     unk = int(info["unk"]).to_bytes(4, "little") if info["first_byte"] is None and info["kind"] == UNIGRAM else None
 
     def single(ids: bytes) -> bytes:
@@ -327,13 +391,15 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
         return b"".join(c for c, before in zip(codes, [None, *codes]) if c != unk or before != unk)
 
     def put(key, own: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        by, text_by = [b""] * len(table), [b""] * len(table)
-        for k, ids in zip(table["k"].tolist(), table["ids"].tolist()):
-            by[k] = ids
-            text_by[k] = b"".join(raw.get(i, b"") for i in np.frombuffer(ids, "<u4").tolist())
+        ats = [_unpack(at).cumsum() for at in table["at"]]
+        by, text_by = [b""] * sum(map(len, ats)), [b""] * sum(map(len, ats))
+        for at, sizes, packed in zip(ats, table["sizes"], table["packed"]):
+            for k, ids in zip(at.tolist(), _cut(_unpack(packed).tobytes(), _unpack(sizes))):
+                by[k] = ids
+                text_by[k] = b"".join(raw.get(i, b"") for i in np.frombuffer(ids, "<u4").tolist())
         out, same = [], []
-        for codes, crc in zip(own["codes"].tolist(), own["crc"].tolist()):
-            at = np.frombuffer(zlib.decompress(codes), "<u4").tolist()
+        for codes, crc in zip(own["packed"].tolist(), own["crc"].tolist()):
+            at = _unpack(codes).tolist()
             ids = b"".join(map(by.__getitem__, at))
             out.append(ids if unk is None else single(ids))
             text = b"".join(map(text_by.__getitem__, at))

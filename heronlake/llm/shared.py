@@ -35,6 +35,16 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     return out
 
 
+def stage_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``stage`` with the rows of one key in one bucket: grouping by ``key`` reads the files without moving them again."""
+    spark = df.sparkSession
+    path, table = fresh_path(spark, name), f"staged_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table)
+    out.staged_at = path
+    return out
+
+
 def unstage(*tables: DataFrame | None) -> None:
     """Delete the files of staged tables that nothing lazy reads any more."""
     for t in tables:
