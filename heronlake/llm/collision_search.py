@@ -5,8 +5,9 @@ a window around its own projection in each array and widens all windows together
 for a radius). A vector seen in enough windows at once is verified by its exact distance. The search stops when the
 k-th verified distance lies within the radius that the windows stand for.
 
-Rows are dealt to shards and queries to blocks; each (block, shard) cell is searched alone and the best k of each query
-are merged, so nothing is held whole.
+Rows are dealt to shards and queries to blocks of equal size; each (block, shard) cell is searched alone and the best k
+of each query are merged, so nothing is held whole. A row travels once for each 8,192 queries and a query once for each
+8,192 rows; a cell sorts its arrays once, which is under a hundredth of the work for its queries.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ DIRECTIONS = 64
 HALF_WIDTH, THRESHOLD = 1.0, 0.56
 #: Step of the radius; the search stops when the k-th verified distance is at most SLACK radii.
 GROWTH, SLACK = 1.1, 1.1
-SHARD_ROWS, BLOCK_QUERIES = 8192, 1024
+SHARD_ROWS, BLOCK_QUERIES = 8192, 8192
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -36,37 +37,54 @@ def directions(dim: int, n: int = 0, seed: int = 7) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((n or DIRECTIONS, dim))
 
 
+def distances(vecs: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances; differences are scaled by a power of two, which is exact, so that no square overflows."""
+    with np.errstate(over="ignore", under="ignore"):
+        diff = vecs - q
+        power = np.frexp(np.abs(diff).max(axis=1, initial=0.0))[1]
+        power = np.where(np.isfinite(diff).all(axis=1), power, 0)
+        diff = np.ldexp(diff, -power[:, None])
+        return np.ldexp(np.sqrt((diff * diff).sum(axis=1)), power)
+
+
 def search_cell(ids: np.ndarray, vecs: np.ndarray, q_ids: np.ndarray, q_vecs: np.ndarray, k: int, found: list | None = None):
-    """Rows (query id, id, distance) of the k nearest found in one cell for each query, itself left out."""
+    """Rows (query id, id, distance) of the k nearest found in one cell for each query, itself left out.
+
+    Projections and radii are of vectors scaled by one power of two, so that all are finite and the windows come to hold
+    every row of the cell at last. ``found`` gathers how many rows were verified, if given.
+    """
     n, a = len(ids), directions(vecs.shape[1])
-    proj, q_proj = (vecs @ a.T).T, (q_vecs @ a.T).T
-    order = np.argsort(proj, axis=1, kind="stable")
+    power = int(np.frexp(max(np.abs(vecs).max(), np.abs(q_vecs).max()))[1])
+    with np.errstate(under="ignore"):
+        small, q_small = np.ldexp(vecs, -power), np.ldexp(q_vecs, -power)
+    proj, q_proj = (small @ a.T).T, (q_small @ a.T).T
+    order = np.argsort(proj, axis=1, kind="stable").astype(np.int32)
     sorted_ = np.take_along_axis(proj, order, axis=1)
-    kind = np.uint16 if n < 65536 else np.uint32
-    place = np.empty(order.shape, kind)  # where each vector stands in each sorted array
-    np.put_along_axis(place, order, np.arange(n, dtype=kind)[None, :], axis=1)
     need = int(np.ceil(THRESHOLD * len(a)))
     out = []
     for j, (qid, q) in enumerate(zip(q_ids, q_vecs)):
-        near = np.sort(np.linalg.norm(vecs[:: max(1, n // 64)] - q, axis=1))
+        with np.errstate(under="ignore"):
+            near = np.sort(np.linalg.norm(small[:: max(1, n // 64)] - q_small[j], axis=1))
         radius = max(float(near[min(k, len(near) - 1)]) / (2 * SLACK), 1e-12)  # only where the windows start
         cand_ids, cand_d = np.zeros(0, np.int64), np.zeros(0)
-        done = ids == qid
+        done, seen = ids == qid, np.zeros(n, np.int64)  # seen: in how many of its windows a row lies
+        left = right = np.array([s.searchsorted(c) for s, c in zip(sorted_, q_proj[:, j])])
         while True:
             lo = np.array([s.searchsorted(c - HALF_WIDTH * radius, "left") for s, c in zip(sorted_, q_proj[:, j])])
             hi = np.array([s.searchsorted(c + HALF_WIDTH * radius, "right") for s, c in zip(sorted_, q_proj[:, j])])
-            inside = (place - lo[:, None].astype(kind)) < (hi - lo)[:, None]  # unsigned: below lo wraps to the top
-            new = np.flatnonzero((inside.sum(axis=0, dtype=np.int16) >= need) & ~done)
+            fresh = [o[i:m] for o, i, m in zip(order, lo, left)] + [o[m:i] for o, m, i in zip(order, right, hi)]
+            seen += np.bincount(np.concatenate(fresh), minlength=n)  # only what the wider windows add is read
+            left, right = lo, hi
+            new = np.flatnonzero((seen >= need) & ~done)
             if len(new):
                 done[new] = True
-                diff = vecs[new] - q
                 cand_ids = np.concatenate([cand_ids, ids[new]])
-                cand_d = np.concatenate([cand_d, np.sqrt((diff * diff).sum(axis=1))])
+                cand_d = np.concatenate([cand_d, distances(vecs[new], q)])
                 best = np.lexsort((cand_ids, cand_d))[:k]
                 if found is not None:
                     found.append(len(new))
                 cand_ids, cand_d = cand_ids[best], cand_d[best]
-            if len(cand_d) >= k and cand_d[-1] <= SLACK * radius or done.all():
+            if len(cand_d) >= k and np.ldexp(cand_d[-1], -power) <= SLACK * radius or done.all():
                 break
             radius *= GROWTH
         out += [(qid, i, d) for i, d in zip(cand_ids, cand_d)]
@@ -78,7 +96,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
 
     Ties go to the smaller id. Null, zero and non-finite vectors take no part, nor do rows without an id; vectors are
     compared within their own dimension. Copies of one vector are candidates like any other; repeated ids keep one row
-    each per copy. A query never finds rows with its own id. Empty in, empty out; other columns are ignored.
+    each per copy. A query never finds rows with its own id. Components may be of any finite size; only a distance above
+    the largest double is infinite. Empty in, empty out; other columns are ignored.
     """
     data, asked = usable(rows, id_col, vec_col), usable(queries, id_col, vec_col)
     n_rows, n_queries = data.count(), asked.count()

@@ -13,16 +13,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.llm.shared import free_name, release
+from heronlake.llm.shared import free_name, release, stage
 from heronlake.llm.tokens import groups_of
 
 ORDERS = (1, 2, 3, 4)
 HASHES = 3
-#: Labelled rows per language that the filter is fitted on, about; n-grams kept per language; least share of an n-gram's best rate.
-FIT_ROWS, FIT_GRAMS, LEAST_SHARE = 2_000, 20_000, 0.2
+#: Bits of a hash that name a filter position, so positions at most 1 << BITS; HASHES of them lie side by side in a hash.
+BITS = 21
+#: Labelled rows per language that the filter is fitted on, about; an n-gram is a language's from this share of its best rate.
+FIT_ROWS, LEAST_SHARE = 2_000, 0.2
 MOST_LANGUAGES = 63
 UNKNOWN = "und"
 
@@ -79,7 +81,7 @@ class BitmaskFilter:
         """The bitmask of languages that contain each n-gram (or seem to)."""
         at, out = np.uint64(len(self.masks) - 1), None
         for k in range(HASHES):
-            m = self.masks[((hashes >> np.uint64(20 * k)) & at).astype(np.int64)]
+            m = self.masks[((hashes >> np.uint64(BITS * k)) & at).astype(np.int64)]
             out = m if out is None else out & m
         return out
 
@@ -96,27 +98,35 @@ class BitmaskFilter:
         return np.clip((hits[:, :-1] - total * self.false_rate) / (1 - self.false_rate) / total, 0.0, 1.0)
 
 
+def positions(n_grams: int) -> int:
+    """Positions of a filter: about ten for each n-gram of a language, a power of two."""
+    return 1 << min(BITS, max(10, int(np.ceil(np.log2(10 * max(1, n_grams))))))
+
+
+def as_filter(languages: list[str], masks: np.ndarray) -> BitmaskFilter:
+    """A filter of these masks, in the narrowest type; false-positive rates follow from each language's share of set bits."""
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(languages))
+    masks = masks.astype(kind)
+    fill = np.array([np.count_nonzero(masks & kind(1 << b)) / len(masks) for b in range(len(languages))])
+    return BitmaskFilter(languages, masks, np.minimum(fill**HASHES, 0.95))
+
+
 def build_filter(grams: dict[str, np.ndarray]) -> BitmaskFilter:
-    """A filter over each language's n-gram hashes, about ten positions for each."""
+    """A filter over each language's n-gram hashes, where they are at hand."""
     names = sorted(grams)
-    total = max(1, sum(map(len, grams.values())))
-    size = 1 << min(20, max(10, int(np.ceil(np.log2(10 * total)))))
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(names))
-    masks = np.zeros(size, dtype=kind)
+    masks = np.zeros(positions(sum(map(len, grams.values()))), dtype=np.uint64)
     for b, name in enumerate(names):
         for k in range(HASHES):
-            at = ((grams[name].astype(np.uint64) >> np.uint64(20 * k)) & np.uint64(size - 1)).astype(np.int64)
-            masks[at] |= kind(1 << b)
-    fill = np.array([np.count_nonzero(masks & kind(1 << b)) / size for b in range(len(names))])
-    return BitmaskFilter(names, masks, np.minimum(fill**HASHES, 0.95))
+            masks[((grams[name].astype(np.uint64) >> np.uint64(BITS * k)) & np.uint64(len(masks) - 1)).astype(np.int64)] |= np.uint64(1 << b)
+    return as_filter(names, masks)
 
 
-def fit(labelled: DataFrame, rows: int = FIT_ROWS, grams: int = FIT_GRAMS) -> BitmaskFilter:
-    """Fit on (text, lang); null texts and languages are left out.
+def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> BitmaskFilter:
+    """Fit on (text, lang); null texts and languages are left out, other columns ignored. Empty in, a filter of no language.
 
-    About ``rows`` whole texts of each language are read, chosen by a hash of the text, and at most ``grams`` n-grams of
-    each kept, so what comes to the driver is bounded. An n-gram counts as a language's if its rate there is at least
-    LEAST_SHARE of its best rate anywhere.
+    About ``rows`` whole texts of each language are read, chosen by a hash of the text, and every n-gram of theirs counts:
+    one is a language's if its rate there is at least LEAST_SHARE of its best rate anywhere. The masks are put together by
+    Spark, so the driver gets at most 1 << BITS numbers, however many n-grams there are.
     """
     labelled = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
@@ -141,14 +151,19 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, grams: int = FIT_GRAMS) -> Bi
                     yield pd.DataFrame({"lang": lang, "gram": keys.view(np.int64), "n": n.astype(np.int64)})
 
     counted = chosen.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rated = counted.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
-    rated = rated.withColumn("best", F.max("rate").over(Window.partitionBy("gram")))
-    own = rated.where((F.col("rate") >= LEAST_SHARE * F.col("best")) & (F.col("n") > 1))
-    top = own.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= grams)
-    kept: dict[str, list[int]] = {k: [] for k in sizes}
-    for r in top.select("lang", "gram").collect():  # at most ``grams`` for each language
-        kept[r["lang"]].append(r["gram"])
-    return build_filter({k: np.array(v, dtype=np.int64).view(np.uint64) for k, v in kept.items()})
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))  # a row per language, at most MOST_LANGUAGES
+    rated = counted.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
+    names = sorted(sizes)
+    bit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(1 << b)) for b, k in enumerate(names)]).cast("long")
+    best = rated.groupBy("gram").agg(F.max("rate").alias("best"), F.collect_list(F.struct("rate", bit.alias("bit"))).alias("at"))
+    owners = F.aggregate("at", F.lit(0).cast("long"), lambda acc, x: F.when(x["rate"] >= LEAST_SHARE * F.col("best"), acc.bitwiseOR(x["bit"])).otherwise(acc))
+    own = stage(best.select("gram", owners.alias("mask")), "language-grams")
+    size = positions(own.agg(F.sum(F.bit_count("mask"))).first()[0] or 0)
+    places = F.explode(F.array(*[F.shiftrightunsigned("gram", BITS * k).bitwiseAND(F.lit(size - 1)) for k in range(HASHES)]))
+    got = own.select(places.alias("place"), "mask").groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
+    masks = np.zeros(size, dtype=np.uint64)
+    masks[got["place"].to_numpy()] = got["mask"].to_numpy().astype(np.uint64)
+    return as_filter(names, masks)
 
 
 def predict(docs: DataFrame, model: BitmaskFilter) -> DataFrame:
