@@ -1,7 +1,8 @@
 """Chat formatting: transcripts to canonical turns by a hidden Markov model over lines.
 
-A line's features are its speaker marker, whether a blank line came before, its length and its opening. Hidden states
-are (role, opens a turn or goes on). Viterbi recovers the states; a turn is a run of lines that one opener starts.
+A line's features are its speaker marker, its length (a blank line is a length of its own) and its opening. Hidden states
+are (role, opens a turn, goes on, or a gap in it). Viterbi recovers the states; a turn is a run of lines that one opener
+starts. Nothing but the lines' own text and order tells where a turn begins: a blank line may part turns or paragraphs.
 
 Lines are sorted across the cluster and cut into blocks of at most BLOCK_LINES. A conversation inside one block is
 decoded there. For a longer one each block gives only its max-plus matrix, the few matrices of the conversation settle
@@ -20,29 +21,36 @@ from pyspark.sql import functions as F
 
 from heronlake.llm.shared import stage
 
-ROLES = ("system", "user", "assistant")
-STATES = [(r, new) for r in ROLES for new in (True, False)]
+ROLES = ("system", "user", "assistant", "other")
+OPENS, GOES_ON, GAP = "opens", "goes on", "gap"
+STATES = [(r, kind) for r in ROLES for kind in (OPENS, GOES_ON, GAP)]
 BLOCK_LINES = 4096
 #: How transcripts name speakers.
 MARKERS = {
     "system": ("system", "instructions"),
     "user": ("user", "human", "question", "customer", "q"),
     "assistant": ("assistant", "ai", "bot", "answer", "agent", "a"),
+    "other": ("other", "tool", "function", "observation"),
 }
 _NAMES = "|".join(n for ns in MARKERS.values() for n in ns)
 MARKER = rf"(?i)^\s*(?:\*\*|\[|<\|?|###? ?)?({_NAMES})(?:\*\*|\]|\|?>)?\s*(?:[:>\-](?:\*\*)?\s*|$|(?<=[\]>])\s*)"
-N_OBS = 4 * 2 * 3 * 2
+N_OBS = (len(ROLES) + 1) * 4 * 2
 
 
-def observe(line: Column, blank_before: Column) -> Column:
-    """The feature code of a line: marker role (or none), blank before, length class, opens with a capital."""
+def is_gap(line: Column) -> Column:
+    """Whether a line is blank."""
+    return ~line.rlike(r"\S")
+
+
+def observe(line: Column) -> Column:
+    """The feature code of a line: marker role (or none), length class (blank is one), opens with a capital."""
     name = F.lower(F.regexp_extract(line, MARKER, 1))
     role = F.lit(0)
     for k, r in enumerate(ROLES):
         role = F.when(name.isin(*MARKERS[r]), F.lit(k + 1)).otherwise(role)
-    size = F.when(F.length(line) < 40, 0).when(F.length(line) < 200, 1).otherwise(2)
+    size = F.when(is_gap(line), 0).when(F.length(line) < 40, 1).when(F.length(line) < 200, 2).otherwise(3)
     capital = line.rlike(r"^\s*\p{Lu}").cast("int")
-    return (((role * 2 + blank_before.cast("int")) * 3 + size) * 2 + capital).cast("int")
+    return ((role * 4 + size) * 2 + capital).cast("int")
 
 
 def body(line: Column) -> Column:
@@ -60,32 +68,42 @@ class Model:
 
 
 def fit(lines: DataFrame) -> Model:
-    """Count (conv_id, turn, idx, role, line, blank_before) with known roles; only the counts, of fixed size, are collected."""
-    order = Window.partitionBy("conv_id", "turn").orderBy("idx")
-    own = lines.where(F.col("role").isin(*ROLES)).select("conv_id", "turn", "idx", "role", observe(F.col("line"), F.col("blank_before")).alias("obs"), F.row_number().over(order).alias("k"))
-    state = F.coalesce(*[F.when((F.col("role") == r) & ((F.col("k") == 1) == new), F.lit(i)) for i, (r, new) in enumerate(STATES)])
+    """Count (conv_id, turn, idx, role, line) with known roles; only the counts, of fixed size, are collected.
+
+    Null lines count as blank, rows of other roles are left out, other columns are ignored. An empty table gives the
+    prior alone.
+    """
+    order = Window.partitionBy("conv_id", "turn").orderBy("idx", "line")
+    text = F.coalesce(F.col("line").cast("string"), F.lit(""))
+    own = lines.where(F.col("role").isin(*ROLES)).select("conv_id", "turn", "idx", "role", text.alias("line"))
+    said = F.sum((~is_gap(F.col("line"))).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    own = own.withColumn("kind", F.when(is_gap(F.col("line")), GAP).when(said == 1, OPENS).otherwise(GOES_ON))
+    state = F.coalesce(*[F.when((F.col("role") == r) & (F.col("kind") == kind), F.lit(i)) for i, (r, kind) in enumerate(STATES)])
+    own = own.select("conv_id", "turn", "idx", state.alias("s"), observe(F.col("line")).alias("obs"), F.lead(state).over(order).alias("next"))
     n = len(STATES)
     emit, step, start = np.ones((n, N_OBS)) * 0.1, np.ones((n, n)) * 0.01, np.ones(n) * 0.1
-    for r in own.select(state.alias("s"), "obs").groupBy("s", "obs").count().collect():
+    for i, (r, kind) in enumerate(STATES):  # a named speaker opens a turn of that role, were there no examples
+        if kind == OPENS:
+            emit[i, (ROLES.index(r) + 1) * 8 : (ROLES.index(r) + 2) * 8] += 1
+            step[:, i] = 0.5
+        else:
+            emit[i, 8:] = 0.001
+    for r in own.groupBy("s", "obs").count().collect():
         emit[r["s"], r["obs"]] += r["count"]
-    inside = own.groupBy("conv_id", "turn", "role").agg(F.count("*").alias("n"))
-    for r in inside.groupBy("role").agg(F.sum("n").alias("n"), F.count("*").alias("turns"), F.sum((F.col("n") > 1).cast("int")).alias("longer")).collect():
-        a, b = STATES.index((r["role"], True)), STATES.index((r["role"], False))
-        step[a, b] += r["longer"]
-        step[b, b] += r["n"] - r["turns"] - r["longer"]
+    for r in own.where("next IS NOT NULL").groupBy("s", "next").count().collect():
+        step[r["s"], r["next"]] += r["count"]
     # what follows a turn: pairs of neighbouring turns, joined on the turn number so that no conversation is held whole
-    turns = inside.select("conv_id", "turn", "role", (F.col("n") > 1).alias("longer"))
-    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
-    for r in turns.join(after, ["conv_id", "turn"], "left").groupBy("role", "longer", "next").count().collect():
-        if r["next"]:
-            step[STATES.index((r["role"], not r["longer"])), STATES.index((r["next"], True))] += r["count"]
-    for r in turns.where("turn = 0").groupBy("role").count().collect():
-        start[STATES.index((r["role"], True))] += r["count"]
-    for i, (r, _) in enumerate(STATES):  # a line that goes on belongs to the role before it
-        for j, (q, new) in enumerate(STATES):
-            if not new and q != r:
+    turns = own.groupBy("conv_id", "turn").agg(F.min_by("s", "idx").alias("first"), F.max_by("s", "idx").alias("last"))
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("first").alias("next"))
+    for r in turns.join(after, ["conv_id", "turn"]).groupBy("last", "next").count().collect():
+        step[r["last"], r["next"]] += r["count"]
+    for r in turns.where("turn = 0").groupBy("first").count().collect():
+        start[r["first"]] += r["count"]
+    for i, (r, kind) in enumerate(STATES):  # a line that goes on, or a gap, belongs to the role before it
+        for j, (q, other) in enumerate(STATES):
+            if other != OPENS and q != r:
                 step[i, j] = 0
-        if not STATES[i][1]:
+        if kind != OPENS:
             start[i] = 0
     with np.errstate(divide="ignore"):
         return Model(np.log(start / start.sum()), np.log(step / step.sum(axis=1, keepdims=True)), np.log(emit / emit.sum(axis=1, keepdims=True)))
@@ -140,13 +158,13 @@ _BLOCK = "conv_id long, part int, block int, whole boolean, turns array<int>, ob
 def parse(lines: DataFrame, model: Model, order: list[str]) -> DataFrame:
     """conv_id, part, block, k, line, state: the state of every line of every conversation.
 
-    ``lines`` has conv_id, line, blank_before and the columns of ``order``. A null line counts as empty. Lines that tie in
-    ``order`` are ordered by their text. A null conv_id is a conversation of its own. Empty in, empty out.
+    ``lines`` has conv_id, line and the columns of ``order``; others are ignored. A null line counts as blank. Lines that
+    tie in ``order`` are ordered by their text. A null conv_id is a conversation of its own. Empty in, empty out.
     """
     spark = lines.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("line").cast("string"), F.lit(""))
-    coded = lines.select("conv_id", *order, text.alias("line"), observe(text, F.coalesce("blank_before", F.lit(False))).alias("obs"))
+    coded = lines.select("conv_id", *order, text.alias("line"), observe(text).alias("obs"))
     keys = ["conv_id", *order, "line", "_salt"]
     coded = coded.withColumn("_salt", F.xxhash64("line", F.rand(11)))  # equal rows may part between tasks
     ranged = coded.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
@@ -212,9 +230,11 @@ def render(parsed: DataFrame) -> DataFrame:
     """conv_id, turn (from 0), role, n_lines, text: canonical turns as ``<|role|>`` line, body, ``<|end|>``.
 
     Turns are counted within each block and the blocks' counts summed, so only one row per block meets in a conversation.
+    Blank lines inside a turn stay, those at its ends go. Lines before any opener are turn -1. Columns other than those of
+    ``parse`` are ignored; empty in, empty out.
     """
     w = Window.partitionBy("conv_id", "part", "block").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    opens = F.array(*[F.lit(int(new)) for _, new in STATES])
+    opens = F.array(*[F.lit(int(kind == OPENS)) for _, kind in STATES])
     names = F.array(*[F.lit(r) for r, _ in STATES])
     numbered = parsed.withColumn("own", F.sum(F.get(opens, F.col("state"))).over(w))
     counts = parsed.groupBy("conv_id", "part", "block").agg(F.sum(F.get(opens, F.col("state"))).alias("n"))
@@ -223,22 +243,25 @@ def render(parsed: DataFrame) -> DataFrame:
     placed = numbered.join(bases, F.expr("conv_id <=> c AND part = p AND block = b")).withColumn("turn", F.col("base") + F.col("own") - 1)
     said = F.struct("part", "block", "k", body(F.col("line")).alias("line"))
     turns = placed.groupBy("conv_id", "turn").agg(F.min(F.get(names, F.col("state"))).alias("role"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(said)).alias("lines"))
-    text = F.trim(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
+    text = F.regexp_replace(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
     return turns.select("conv_id", "turn", "role", "n_lines", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), text, F.lit("\n<|end|>")).alias("text"))
 
 
 def as_transcripts(conversations: DataFrame) -> DataFrame:
-    """Transcript lines of (conv_id, turn, role, text), as people write them down.
+    """conv_id, turn, idx, role, line: transcript lines of (conv_id, turn, role, text), as people write them down.
 
-    Each conversation has one of five marker styles; one turn in eight has lost its marker but keeps the blank line before.
-    Null turns come first, a null role counts as user, null text is an empty line.
+    Each conversation has one of five marker styles. One turn in eight has lost its marker, one line break in three inside
+    a turn is a paragraph break with a blank line, and in three of the styles a blank line follows four turns in five, so
+    neither a marker nor a blank line tells where a turn begins. Null turns come first, a null role counts as user, roles
+    that are none of ROLES as other; null text is a blank line.
     """
     conv = F.coalesce(F.col("conv_id").cast("long"), F.lit(-1))
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
-    role = F.when(F.col("role").cast("string").isin(*ROLES), F.col("role")).otherwise(F.lit("user"))
+    role = F.coalesce(F.lower(F.col("role").cast("string")), F.lit("user"))
+    role = F.when(role.isin(*ROLES), role).otherwise(F.lit("other"))
     style = F.pmod(F.xxhash64(conv), F.lit(5))
-    human = F.when(role == "user", "Human").when(role == "assistant", "AI").otherwise("Instructions")
-    short = F.when(role == "user", "Q").when(role == "assistant", "A").otherwise("System")
+    human = F.when(role == "user", "Human").when(role == "assistant", "AI").when(role == "other", "Tool").otherwise("Instructions")
+    short = F.when(role == "user", "Q").when(role == "assistant", "A").when(role == "other", "Tool").otherwise("System")
     named = F.initcap(role)
     mark = (
         F.when(style == 0, F.concat(named, F.lit(": ")))
@@ -248,6 +271,16 @@ def as_transcripts(conversations: DataFrame) -> DataFrame:
         .otherwise(F.concat(short, F.lit(": ")))
     )
     lost = F.pmod(F.xxhash64(conv, turn), F.lit(8)) == 0
-    said = F.split(F.concat(F.when(lost, F.lit("")).otherwise(mark), F.coalesce(F.col("text").cast("string"), F.lit(""))), "\n")
-    out = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"), role.alias("role"), F.posexplode(said).alias("idx", "line"))
-    return out.withColumn("blank_before", F.col("idx") == 0)
+    parted = (style < 3) & (F.pmod(F.xxhash64(turn, conv), F.lit(5)) != 0)
+    paragraphs = F.transform(
+        F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"),
+        lambda x, i: F.when((i > 0) & (F.pmod(F.xxhash64(conv, turn, i), F.lit(3)) == 0), F.concat(F.lit("\n"), x)).otherwise(x),
+    )
+    said = F.concat(F.when(lost, F.lit("")).otherwise(mark), F.array_join(paragraphs, "\n"), F.when(parted, F.lit("\n")).otherwise(F.lit("")))
+    written = conversations.select(F.col("conv_id").cast("long").alias("c"), turn.alias("t"), role.alias("r"), F.split(said, "\n").alias("said"))
+    return written.select(F.col("c").alias("conv_id"), F.col("t").alias("turn"), F.col("r").alias("role"), F.posexplode("said").alias("idx", "line"))
+
+
+def held_out(conv_id: Column) -> Column:
+    """Conversations that a model is tested on: crc32 of the id as text, modulo 4, is 2. A null id is not among them."""
+    return F.coalesce(F.pmod(F.crc32(conv_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

@@ -43,10 +43,13 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from heronlake.llm.chat import as_transcripts, fit, parse, render
+    from pyspark.sql import functions as F
+
+    from heronlake.llm.chat import as_transcripts, fit, held_out, parse, render
 
     lines = as_transcripts(_table(spark, sf_dir, "conversations"))
-    return render(parse(lines.drop("role"), fit(lines), ["turn", "idx"]))
+    turns = render(parse(lines.drop("role"), fit(lines.where(~held_out(F.col("conv_id")))), ["turn", "idx"]))
+    return turns.withColumn("held_out", held_out(F.col("conv_id")))
 
 
 def op6_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

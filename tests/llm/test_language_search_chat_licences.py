@@ -26,6 +26,15 @@ def test_language_odd_rows(spark):
     assert L.fit(train.limit(0)).languages == []
 
 
+def test_fitted_filter_holds_every_gram_of_the_rows(spark):
+    train = spark.createDataFrame([("hapax eins", "de"), ("one word", "en"), ("two", "en")], "text string, lang string")
+    model = L.fit(train)
+    built = L.build_filter({"de": L.gram_hashes(["hapax", "eins"])[0], "en": L.gram_hashes(["one", "word", "two"])[0]})
+    for b, words in enumerate((["hapax", "eins"], ["one", "word", "two"])):
+        long = L.gram_hashes(words)[0][-3:]  # n-grams of four, which the other language lacks
+        assert ((model.lookup(long) >> b) & 1 == 1).all() and ((built.lookup(long) >> b) & 1 == 1).all()
+
+
 def test_filter_returns_every_language(spark):
     a, b = L.gram_hashes(["eins", "zwei"])[0], L.gram_hashes(["one", "zwei"])[0]
     f = L.build_filter({"de": a, "en": b})
@@ -61,16 +70,72 @@ def test_search_odd_rows(spark):
     assert A.search(df.limit(0), df.limit(0), 3).count() == 0
 
 
-def test_chat_roles_are_recovered(spark, sf):
-    conv = spark.read.parquet(f"{sf}/conversations.parquet")
+def test_search_ends_for_components_of_any_size(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(i, (rnd.standard_normal(8) * 10.0 ** (307, 200, 0, -200)[i % 4]).tolist()) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = A.search(df, df.where("vec_id % 10 = 0"), 3, shard_rows=40).collect()
+    assert len(got) == 8 * 3 and all(np.isfinite(r.score) for r in got)
+    vec = dict(rows)
+    for r in got:
+        diff = np.array(vec[r.query_id]) - np.array(vec[r.vec_id])
+        top = np.abs(diff).max()
+        assert abs(r.score / (np.sqrt(((diff / top) ** 2).sum()) * top) - 1) < 1e-12
+
+
+def test_distances_are_plain_ones_in_the_usual_range():
+    rnd = np.random.default_rng(4)
+    v, q = rnd.standard_normal((500, 64)), rnd.standard_normal(64)
+    assert (A.distances(v, q) == np.sqrt(((v - q) ** 2).sum(axis=1))).all()
+    assert A.distances(np.array([[1.7e308]]), np.array([-1.7e308]))[0] == np.inf
+
+
+def chat_accuracy(spark, conv):
+    """Of held-out conversations: share of lines with the right role, precision and recall of turn openers."""
     lines = H.as_transcripts(conv)
+    model = H.fit(lines.where(~H.held_out(F.col("conv_id"))))
+    asked = lines.where(H.held_out(F.col("conv_id")))
+    want, got = {}, {}
+    for r in asked.orderBy("conv_id", "turn", "idx").collect():
+        said = r.line.strip() != ""
+        before = want.setdefault(r.conv_id, [])
+        opened = any(t == r.turn and o for _, t, o, _ in before)
+        before.append((r.role, r.turn, said and not opened, said))
+    for r in H.parse(asked.drop("role"), model, ["turn", "idx"]).orderBy("conv_id", "part", "block", "k").collect():
+        got.setdefault(r.conv_id, []).append(H.STATES[r.state])
+    assert {k: len(v) for k, v in want.items()} == {k: len(v) for k, v in got.items()}
+    pairs = [(w, g) for k in want for w, g in zip(want[k], got[k]) if w[3]]
+    role = sum(w[0] == g[0] for w, g in pairs) / len(pairs)
+    hit = sum(w[2] and g[1] == H.OPENS for w, g in pairs)
+    return role, hit / sum(g[1] == H.OPENS for _, g in pairs), hit / sum(w[2] for w, _ in pairs)
+
+
+def test_chat_roles_and_turns_are_recovered_in_held_out_conversations(spark, sf):
+    role, precision, recall = chat_accuracy(spark, spark.read.parquet(f"{sf.replace('0.001', '0.01')}/conversations.parquet"))
+    print(role, precision, recall)
+    assert role >= 0.9 and precision >= 0.9 and recall >= 0.85
+
+
+def test_chat_turns_are_rendered(spark, sf):
+    lines = H.as_transcripts(spark.read.parquet(f"{sf}/conversations.parquet"))
     out = H.render(H.parse(lines.drop("role"), H.fit(lines), ["turn", "idx"])).collect()
-    want = {(r.conv_id, r.turn): r.role for r in conv.collect()}
-    got = {(r.conv_id, r.turn): r.role for r in out}
-    assert sum(got.get(k) == v for k, v in want.items()) >= 0.97 * len(want)
+    assert sum(r.n_lines for r in out) == lines.count()
     assert all(r.text.startswith(f"<|{r.role}|>\n") and r.text.endswith("\n<|end|>") for r in out)
 
 
+def test_chat_without_markers_on_every_turn(spark, sf):
+    model = H.fit(H.as_transcripts(spark.read.parquet(f"{sf}/conversations.parquet")))
+    text = "Human: What is it?\n\nAI: It is this.\n\nAnd a second paragraph of the answer.\nHuman: And that?\nTool: 42"
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(text.split("\n"))], "conv_id long, idx long, line string")
+    got = [(r.turn, r.role, r.text) for r in H.render(H.parse(lines, model, ["idx"])).orderBy("turn").collect()]
+    assert got == [
+        (0, "user", "<|user|>\nWhat is it?\n<|end|>"),
+        (1, "assistant", "<|assistant|>\nIt is this.\n\nAnd a second paragraph of the answer.\n<|end|>"),
+        (2, "user", "<|user|>\nAnd that?\n<|end|>"),
+        (3, "other", "<|other|>\n42\n<|end|>"),
+    ]
+
+
 def test_blocks_equal_whole_viterbi():
     rnd = np.random.default_rng(1)
     n = len(H.STATES)
@@ -96,8 +161,9 @@ def test_chat_odd_rows(spark, sf, monkeypatch):
     assert parsed.count() == odd.count()
     monkeypatch.setattr(H, "BLOCK_LINES", 3)
     long = spark.createDataFrame([(9, t, "user" if t % 2 == 0 else "assistant", f"line {t}\nand more") for t in range(40)], "conv_id long, turn long, role string, text string")
-    out = H.render(H.parse(H.as_transcripts(long).drop("role"), model, ["turn", "idx"])).collect()
-    assert sum(r.n_lines for r in out) == 80
+    many = H.as_transcripts(long)
+    out = H.render(H.parse(many.drop("role"), model, ["turn", "idx"])).collect()
+    assert sum(r.n_lines for r in out) == many.count() >= 80
     assert H.parse(odd.drop("role").limit(0), model, ["turn", "idx"]).count() == 0
 
 
