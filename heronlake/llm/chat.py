@@ -80,6 +80,7 @@ def fit(lines: DataFrame) -> Model:
     own = own.withColumn("kind", F.when(is_gap(F.col("line")), GAP).when(said == 1, OPENS).otherwise(GOES_ON))
     state = F.coalesce(*[F.when((F.col("role") == r) & (F.col("kind") == kind), F.lit(i)) for i, (r, kind) in enumerate(STATES)])
     own = own.select("conv_id", "turn", "idx", state.alias("s"), observe(F.col("line")).alias("obs"), F.lead(state).over(order).alias("next"))
+    own = stage(own, "chat-states")  # read by each count below
     n = len(STATES)
     emit, step, start = np.ones((n, N_OBS)) * 0.1, np.ones((n, n)) * 0.01, np.ones(n) * 0.1
     for i, (r, kind) in enumerate(STATES):  # a named speaker opens a turn of that role, were there no examples
