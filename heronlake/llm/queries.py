@@ -93,7 +93,29 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "round_trip", "ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_format_preserving_pii, op2_collision_search, op3_language_id, op4_jaccard_join, op5_chat_format, op6_licence_classifier, op7_best_fit_packing, op8_token_store, op9_exact_dedup, op10_sentencepiece)}
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronlake.llm.phrases import mine
+
+    return mine(_table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from heronlake.llm.alignment import align_documents
+
+    return align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from heronlake.llm.bpe_chunks import encode_documents
+
+    return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_format_preserving_pii, op2_collision_search, op3_language_id, op4_jaccard_join, op5_chat_format, op6_licence_classifier, op7_best_fit_packing, op8_token_store, op9_exact_dedup, op10_sentencepiece, op11_phrase_mining, op12_token_alignment, op13_bpe_chunks)}
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
