@@ -126,4 +126,30 @@ ORACLE_SQL = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.norm) AS text_sha256
         FROM d JOIN g ON d.norm = g.norm
     """,
+    "op11_phrase_mining": f"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_AZ}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
+        f1 AS (SELECT lang, w[i] AS p, count(*) AS f FROM places GROUP BY ALL),
+        f2 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS f FROM places WHERE i < len(w) GROUP BY ALL),
+        f3 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS f FROM places WHERE i + 1 < len(w) GROUP BY ALL HAVING count(*) >= 10),
+        covers AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY ALL),
+        cut AS (
+            SELECT c.lang, c.x || ' ' || c.y AS phrase, c.f AS a, 1 AS k, l.f AS l, r.f AS r
+            FROM f2 c JOIN f1 l ON l.lang = c.lang AND l.p = c.x JOIN f1 r ON r.lang = c.lang AND r.p = c.y
+            LEFT JOIN covers v ON v.lang = c.lang AND v.x = c.x AND v.y = c.y
+            WHERE c.f >= 10 AND NOT coalesce(100 * v.f >= 50 * c.f, FALSE)
+            UNION ALL
+            SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.f, 1, l.f, r.f
+            FROM f3 c JOIN f1 l ON l.lang = c.lang AND l.p = c.x JOIN f2 r ON r.lang = c.lang AND r.x = c.y AND r.y = c.z
+            UNION ALL
+            SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.f, 2, l.f, r.f
+            FROM f3 c JOIN f2 l ON l.lang = c.lang AND l.x = c.x AND l.y = c.y JOIN f1 r ON r.lang = c.lang AND r.p = c.z
+        ), scored AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cut),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest),
+        totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
 }
