@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heronlake.config import DEFAULT
+from heronlake.functions.text import norm_text
 from heronlake.operators.retrieval import top
 
 
@@ -70,16 +71,59 @@ def score_evidence(evidence: DataFrame, weights: dict | None = None) -> DataFram
     return evidence.withColumn("fused", F.round(total, 5))
 
 
+#: Characters of a word's ends, and of the runs within long words, by which texts of one and two words are found.
+_END = 6
+
+
+def _keys(norm: Column, least: int, needed: bool) -> Column:
+    """Hashes that a text and whatever contains it share: all that a text has, or those that its container must have.
+
+    A contained text's inner words are whole words of its container. Of four words on, these are pairs of neighbours; of
+    three, the word between; of two, the longer one's end that meets the blank; a single word lies in a word as long.
+    """
+    words = F.split(norm, " ")
+    n = F.size(words)
+    none = F.array().cast("array<long>")
+    key = lambda kind, *c: F.xxhash64(F.lit(kind), *c)
+    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: key("pair", a, b))
+    last, first = lambda w: key("last", F.right(w, F.lit(_END))), lambda w: key("first", F.left(w, F.lit(_END)))
+    if needed:
+        one, two = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+        ends = F.when(F.length(one) >= F.length(two), last(one)).otherwise(first(two))
+        inner = F.slice(words, F.lit(2), F.greatest(n - 2, F.lit(0)))
+        return F.array_distinct(F.when(n >= 4, pairs(inner)).when(n == 3, F.array(key("word", two))).when(n == 2, F.array(ends)).otherwise(F.array(key("run", F.left(one, F.lit(least))))))
+    once = F.array_distinct(words)
+    long = F.filter(once, lambda w: F.length(w) >= _END)
+    runs = F.flatten(F.transform(F.filter(once, lambda w: F.length(w) >= least), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - least + 1), lambda i: key("run", F.substring(w, i, F.lit(least))))))
+    return F.array_distinct(F.concat(pairs(words), F.transform(once, lambda w: key("word", w)), F.transform(long, last), F.transform(long, first), F.coalesce(runs, none)))
+
+
 def drop_restating_edges(edges: DataFrame, hits: DataFrame, least: int = 12) -> DataFrame:
     """Edges of each query whose source text neither restates a vector hit's text nor repeats an earlier edge.
 
-    Restating is containment either way of texts of at least ``least`` characters. Candidates meet within a query only.
+    Texts compare in lower case with blanks collapsed. Equal texts restate each other, and so does containment either way
+    of texts of at least ``least`` characters. A text meets only those that hold its rarest piece (``_keys``),
+    the one that fewest texts of the other side have.
+    Null and blank texts restate nothing; blank edges of a query count as one. Copies are compared once.
     """
-    e = edges.withColumn("norm", F.lower(F.trim("source_text")))
-    h = hits.select("query_id", F.lower(F.trim("text")).alias("hit")).where(F.length("hit") >= least)
-    same = (e["query_id"] == h["query_id"]) & (F.length(e["norm"]) >= least) & (F.contains(h["hit"], e["norm"]) | F.contains(e["norm"], h["hit"]))
-    left = e.join(h, same, "left_anti")
-    return top(left, ["query_id", "norm"], [F.asc("id")], 1, "_k").drop("_k", "norm")
+    from heronlake.sources.staging import written
+
+    e = edges.withColumn("norm", norm_text(F.coalesce("source_text", F.lit(""))))
+    own = lambda df, side: df.select("query_id", "norm").where("norm <> ''").distinct().select("*", F.lit(side).alias("side"), F.sha2("norm", 256).alias("key"))
+    texts = written(own(e, "edge").unionByName(own(hits.select("query_id", norm_text(F.coalesce("text", F.lit(""))).alias("norm")), "hit")), "restating-texts")
+    equal = texts.groupBy("query_id", "key").agg(F.countDistinct("side").alias("sides")).where("sides = 2").select("query_id", "key")
+    long = texts.where(F.length("norm") >= least)
+    held = written(long.select("query_id", "side", "key", F.explode(_keys(F.col("norm"), least, False)).alias("g")), "restating-keys")
+    seen = held.groupBy("query_id", "side", "g").agg(F.count("*").alias("n"))
+    other = F.when(F.col("side") == "edge", "hit").otherwise("edge")
+    small = long.select("query_id", "key", other.alias("side"), F.explode(_keys(F.col("norm"), least, True)).alias("g"))
+    rarest = small.join(seen, ["query_id", "side", "g"], "left").groupBy("query_id", "key", "side").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m")).where("m.n > 0")
+    met = rarest.select("query_id", "side", F.col("key").alias("small"), F.col("m.g").alias("g")).join(held, ["query_id", "side", "g"]).select("query_id", "side", "small", F.col("key").alias("large"))
+    body = lambda name: texts.select("query_id", F.col("key").alias(name), F.col("norm").alias(f"{name}_norm")).distinct()
+    inside = met.join(body("small"), ["query_id", "small"]).join(body("large"), ["query_id", "large"]).where(F.contains("large_norm", "small_norm"))
+    restated = inside.select("query_id", F.when(F.col("side") == "hit", F.col("small")).otherwise(F.col("large")).alias("key")).unionByName(equal).distinct()
+    left = e.withColumn("key", F.sha2("norm", 256)).join(restated, ["query_id", "key"], "left_anti")
+    return top(left, ["query_id", "norm"], [F.asc("id")], 1, "_k").drop("_k", "norm", "key")
 
 
 def fuse_evidence(evidence: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,15 +164,21 @@ def merge_verdicts(items: DataFrame, verdicts: DataFrame, batch: str) -> DataFra
 GATE_ORDER = ("basic", "topic", "novelty", "embedding", "demand", "grounding", "image", "peer", "source", "verdict")
 
 
-def gate_cascade(items: DataFrame, failures: dict[str, DataFrame]) -> DataFrame:
-    """question_id, gate, reasons: one row per item; null gate where it passes. ``failures``: gate -> (question_id, reasons)."""
-    rows = None
-    for name, df in failures.items():
-        one = df.where(F.size("reasons") > 0).select("question_id", F.lit(GATE_ORDER.index(name)).alias("g"), "reasons")
-        rows = one if rows is None else rows.unionByName(one)
-    first = rows.groupBy("question_id").agg(F.min(F.struct("g", "reasons")).alias("m"))
-    j = items.select("question_id").join(first, "question_id", "left")
-    return j.select("question_id", F.get(F.array(*[F.lit(x) for x in GATE_ORDER]), F.col("m.g")).alias("gate"), F.col("m.reasons").alias("reasons"))
+def gate_cascade(items: DataFrame, gates: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """question_id, gate, reasons: one row per item; null gate where it passes every gate.
+
+    A gate is given the items that are left and returns (question_id, reasons) of any of them; rows with reasons fail and
+    later gates never see them, so a gate may compare items with each other (peers) or be costly. Gates run in
+    ``GATE_ORDER``. What fails is written after each gate; items repeat a question_id only if they fail together.
+    """
+    from heronlake.sources.staging import written
+
+    left, failed = items, None
+    for name in sorted(gates, key=GATE_ORDER.index):
+        bad = written(gates[name](left).where(F.size("reasons") > 0).select("question_id", F.lit(name).alias("gate"), "reasons"), f"gate-{name}")
+        failed = bad if failed is None else failed.unionByName(bad)
+        left = left.join(bad.select("question_id"), "question_id", "left_anti")
+    return items.select("question_id").join(failed, "question_id", "left")
 
 
 def route(items: DataFrame, most: int = DEFAULT.max_retries) -> DataFrame:
@@ -318,9 +326,13 @@ def structure_signature(items: DataFrame) -> DataFrame:
 
 #: Words that frame an image question and claim nothing.
 IMAGE_WORDS = (
-    "observe look identify examine study notice locate view see find read picture image diagram illustration figure photo photograph scene shown show depicted given provided displayed "
-    "refer reference carefully closely clearly mention describe explain tell answer write point foreground background left right top bottom middle center above below behind front beside next side corner position"
-).split()
+    "observe", "look", "identify", "examine", "study", "notice", "locate", "view", "see", "find",
+    "read", "picture", "image", "diagram", "illustration", "figure", "photo", "photograph", "scene", "shown",
+    "show", "depicted", "given", "provided", "displayed", "refer", "reference", "carefully", "closely", "clearly",
+    "mention", "describe", "explain", "tell", "answer", "write", "point", "foreground", "background", "left",
+    "right", "top", "bottom", "middle", "center", "above", "below", "behind", "front", "beside",
+    "next", "side", "corner", "position",
+)
 
 
 def visual_grounding(units: DataFrame, evidence: DataFrame, image_terms: DataFrame, terms: int = DEFAULT.evidence_terms) -> DataFrame:

@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronlake.config import DEFAULT
-from heronlake.functions.text import cognitive_operation, content_terms, information_demand, norm_text, overlap_max, overlap_min, summary_trigger
-from heronlake.operators.retrieval import cosine, dot, normalized, top
+from heronlake.functions.text import content_terms, information_demand, norm_text, overlap_max, overlap_min, summary_trigger
+from heronlake.operators.retrieval import cosine, dense_search, dot, normalized, top
 
 
 def source_similarity(items: DataFrame, past: DataFrame, threshold: float = DEFAULT.similarity, on: list[str] | None = None) -> DataFrame:
     """question_id, max_similarity (6 digits), question_number, duplicate: the nearest past item of the same scope."""
     on = on or ["class", "subject"]
-    p = past.select(*on, "question_number", normalized(F.col("embedding")).alias("p"))
-    met = items.select("question_id", *on, normalized(F.col("embedding")).alias("v")).join(p, on)
-    scored = met.select("question_id", "question_number", F.round(dot(F.col("v"), F.col("p")), 6).alias("max_similarity"))
-    best = top(scored, ["question_id"], [F.desc("max_similarity"), F.asc("question_number")], 1)
-    return best.select("question_id", "max_similarity", "question_number", (F.col("max_similarity") >= threshold).alias("duplicate"))
+    best = dense_search(items.select(F.col("question_id").alias("query_id"), *on, F.col("embedding").alias("query_vec")), past.select(*on, F.col("question_number").alias("chunk_id"), "embedding"), 1, on)
+    return best.select(F.col("query_id").alias("question_id"), F.col("score").alias("max_similarity"), F.col("chunk_id").alias("question_number"), (F.col("score") >= threshold).alias("duplicate"))
 
 
 def peer_duplicates(batch: DataFrame, threshold: float = DEFAULT.similarity, group: str = "paper_id") -> DataFrame:
@@ -86,14 +84,19 @@ def parameter_swap(pairs: DataFrame, threshold: float = 0.75) -> DataFrame:
     return pairs.withColumn("skeleton_overlap", shared).withColumn("swapped", is_task & (shared >= threshold))
 
 
+def backstop_failures(pairs: DataFrame, threshold: float = DEFAULT.embedding_novelty) -> DataFrame:
+    """``pairs`` with s (cosine, 6 digits) and bad."""
+    narrow = F.col("type").isin("MCQ", "TRUE_FALSE", "FILL_IN_THE_BLANK")
+    p = pairs.withColumn("s", F.round(cosine(F.col("vec"), F.col("ref_vec")), 6))
+    return p.withColumn("bad", (F.col("s") >= threshold) & (~narrow | (F.col("overlap") >= OTHER_THRESHOLDS[1])))
+
+
 def embedding_backstop(pairs: DataFrame, threshold: float = DEFAULT.embedding_novelty) -> DataFrame:
     """paper_id, passed, failed, first_position, first_similarity over positional pairs (vec, ref_vec, type, overlap).
 
     A pair fails at the threshold; narrow types fail only if their overlap also reaches the demand floor.
     """
-    narrow = F.col("type").isin("MCQ", "TRUE_FALSE", "FILL_IN_THE_BLANK")
-    p = pairs.withColumn("s", F.round(cosine(F.col("vec"), F.col("ref_vec")), 6))
-    p = p.withColumn("bad", (F.col("s") >= threshold) & (~narrow | (F.col("overlap") >= OTHER_THRESHOLDS[1])))
+    p = backstop_failures(pairs, threshold)
     first = F.min(F.when(F.col("bad"), F.struct("position", "s")))
     g = p.groupBy("paper_id").agg(F.count_if(~F.col("bad")).alias("passed"), F.count_if("bad").alias("failed"), first.alias("f"))
     return g.select("paper_id", "passed", "failed", F.col("f.position").alias("first_position"), F.col("f.s").alias("first_similarity"))
@@ -124,16 +127,63 @@ def pool_diversity(pool: DataFrame) -> DataFrame:
     return t.join(mean, ["pool_id", "id"], "left").select("pool_id", "id", F.round(F.when(F.size("t") == 0, 1.0).otherwise(value), 6).alias("diversity"))
 
 
-def longest_shared_phrase(pairs: DataFrame, least: int = 3, most: int = 12) -> DataFrame:
-    """id, words, phrase: the longest run of up to ``most`` words that both texts have; null below ``least`` words."""
+def longest_run(a: list[str], b: list[str]) -> tuple[int, int]:
+    """(start in ``a``, length) of the longest run of words that ``b`` has too, the first of equal ones.
+
+    A suffix automaton of ``b`` reads ``a`` once: linear in both, however long the run.
+    """
+    step, link, size, last = [{}], [-1], [0], 0
+    for word in b:
+        new, at = len(step), last
+        step.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        while at >= 0 and word not in step[at]:
+            step[at][word] = new
+            at = link[at]
+        if at >= 0:
+            to = step[at][word]
+            if size[to] == size[at] + 1:
+                link[new] = to
+            else:
+                copy = len(step)
+                step.append(dict(step[to]))
+                link.append(link[to])
+                size.append(size[at] + 1)
+                while at >= 0 and step[at].get(word) == to:
+                    step[at][word] = copy
+                    at = link[at]
+                link[to] = link[new] = copy
+        last = new
+    state = run = best = start = 0
+    for i, word in enumerate(a):
+        while state and word not in step[state]:
+            state = link[state]
+            run = size[state]
+        if word in step[state]:
+            state, run = step[state][word], run + 1
+        if run > best:
+            best, start = run, i + 1 - run
+    return start, best
+
+
+def longest_shared_phrase(pairs: DataFrame, least: int = 3) -> DataFrame:
+    """id, words, phrase: the longest run of words that both texts have, of equal ones the first in ``a``; null below ``least`` words.
+
+    A pair's two texts are read in one place, as they stand in one row; null texts have no words.
+    """
+
+    @F.pandas_udf("struct<words int, phrase string>")
+    def shared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(a, b):
+            x = [] if x is None else list(x)
+            start, n = longest_run(x, [] if y is None else list(y))
+            rows.append((n, " ".join(x[start : start + n])) if n >= least else (None, None))
+        return pd.DataFrame(rows, columns=["words", "phrase"]).astype({"words": "Int32"})
+
     w = lambda c: F.filter(F.split(norm_text(F.regexp_replace(F.lower(F.col(c)), r"[^a-z0-9\s]", " ")), " "), lambda x: x != "")
-    runs = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(least), F.lit(most)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(c), F.lit(1))), lambda i: i + n - 1 <= F.size(c)), lambda i: F.array_join(F.slice(c, i, n), " ")))))
-    x = pairs.select("id", w("a").alias("a"), w("b").alias("b"))
-    left = x.select("id", F.explode(runs(F.col("a"))).alias("phrase"))
-    right = x.select("id", F.explode(runs(F.col("b"))).alias("phrase"))
-    n = F.size(F.split("phrase", " "))
-    best = left.join(right, ["id", "phrase"]).groupBy("id").agg(F.min(F.struct((-n).alias("n"), "phrase")).alias("m"))
-    return pairs.select("id").join(best, "id", "left").select("id", (-F.col("m.n")).alias("words"), F.col("m.phrase").alias("phrase"))
+    return pairs.select("id", shared(w("a"), w("b")).alias("m")).select("id", "m.words", "m.phrase")
 
 
 def corpus_contamination(corpus: DataFrame, benchmark: DataFrame, n: int = 8, least: float = 0.5) -> DataFrame:
@@ -147,15 +197,3 @@ def corpus_contamination(corpus: DataFrame, benchmark: DataFrame, n: int = 8, le
     docs = corpus.withColumn("w", w).select("doc_id", F.explode(runs).alias("h"))
     met = docs.join(items.select("item_id", "runs", F.explode("r").alias("h")), "h").groupBy("doc_id", "item_id", "runs").agg(F.count("*").alias("shared"))
     return met.select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("runs"), 6).alias("coverage")).where(F.col("coverage") >= least)
-
-
-def operation_of(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn("operation", cognitive_operation(F.col(col)))
-
-
-def positional_pairs(parts: DataFrame, refs: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """The i-th part with the i-th reference of each group."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    p = parts.withColumn("position", F.row_number().over(w))
-    r = refs.withColumn("position", F.row_number().over(w))
-    return p.join(r.select(*by, "position", "reference_text"), [*by, "position"])

@@ -70,16 +70,57 @@ def normalized(v: Column) -> Column:
     return F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
 
 
+#: Rows of a shard of chunks and of a block of queries; a task holds one of each and their product.
+SHARD_ROWS, BLOCK_ROWS = 8192, 1024
+
+
+def _nearest(k: int, digits: int):
+    """Of a block of queries and a shard of chunks of one scope: each query's k best by one matrix product."""
+
+    def run(q, c):
+        import numpy as np
+        import pandas as pd
+
+        def units(vectors):
+            m = np.array([np.asarray(v, np.float64) for v in vectors])
+            norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+        c = c.sort_values("chunk_id")
+        sizes_q, sizes_c, out = q["v"].map(len), c["v"].map(len), []
+        for size in set(sizes_q) & set(sizes_c) - {0}:
+            own_q, own_c = q[sizes_q == size], c[sizes_c == size]
+            ids = own_c["chunk_id"].to_numpy()
+            scores = np.round(units(own_q["v"]) @ units(own_c["v"]).T, digits) + 0.0
+            least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(own_q), -np.inf)
+            for query_id, row, bar in zip(own_q["query_id"], scores, least):
+                at = np.flatnonzero(row >= bar)
+                at = at[np.argsort(-row[at], kind="stable")[:k]]  # equal scores by chunk_id
+                out.append(pd.DataFrame({"query_id": query_id, "chunk_id": ids[at], "score": row[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "score": []}, dtype=object)
+
+    return run
+
+
 def dense_search(queries: DataFrame, chunks: DataFrame, k: int = 10, on: list[str] | None = None, digits: int = 6) -> DataFrame:
     """query_id, chunk_id, score, rank: the k nearest by cosine within the columns ``on``; parents may be hits.
 
-    Norms are taken once per row, so a pair costs one product.
+    Exact. Chunks of a scope are dealt by a hash to shards and queries to blocks, so that the largest scope is many tasks;
+    each gives its queries' k best from one matrix product, and a rank window merges them. Null vectors take no part,
+    those of another length meet none, a zero vector scores 0; ids may be of any type and order by their text.
     """
     on = SCOPE if on is None else on
-    q = queries.where("query_vec IS NOT NULL").select("query_id", *[canonical_scope(F.col(c)).alias(c) if c in SCOPE else F.col(c) for c in on], normalized(F.col("query_vec")).alias("q"))
-    c = chunks.where("embedding IS NOT NULL").select("chunk_id", *[canonical_scope(F.col(x)).alias(x) if x in SCOPE else F.col(x) for x in on], normalized(F.col("embedding")).alias("v"))
-    scored = c.join(q, on).where(F.size("q") == F.size("v")).select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("v")), digits).alias("score"))
-    return top(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    kinds = {"query_id": queries.schema["query_id"].dataType, "chunk_id": chunks.schema["chunk_id"].dataType}
+    scope = [(canonical_scope(F.col(x)) if x in SCOPE else F.col(x)).alias(f"_k{i}") for i, x in enumerate(on)]
+    keys = [f"_k{i}" for i in range(len(on))] + ["_block", "_shard"]
+    q = queries.where("query_vec IS NOT NULL").select(F.col("query_id").cast("string").alias("query_id"), *scope, F.col("query_vec").cast("array<double>").alias("v"))
+    c = chunks.where("embedding IS NOT NULL").select(F.col("chunk_id").cast("string").alias("chunk_id"), *scope, F.col("embedding").cast("array<double>").alias("v"))
+    shards, blocks = -(-max(1, c.count()) // SHARD_ROWS), -(-max(1, q.count()) // BLOCK_ROWS)
+    dealt = lambda df, col, name, parts, other, others: df.withColumn(name, F.pmod(F.xxhash64(col), F.lit(parts)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    q, c = dealt(q, "query_id", "_block", blocks, "_shard", shards), dealt(c, "chunk_id", "_shard", shards, "_block", blocks)
+    best = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(_nearest(k, digits), "query_id string, chunk_id string, score double")
+    typed = best.select(*[F.col(n).cast(t).alias(n) for n, t in kinds.items()], "score")
+    return top(typed, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
 def dense_search_approx(queries: DataFrame, chunks: DataFrame, k: int = 10, width: float = 1.0, tables: int = 12, radius: float = 1.35) -> DataFrame:
@@ -202,13 +243,51 @@ def query_ladder(tasks: DataFrame, most: int = 3) -> DataFrame:
     return rows.withColumn("attempt", F.row_number().over(w)).where(F.col("attempt") <= most).drop("before")
 
 
-def ladder_retrieve(rungs: DataFrame) -> DataFrame:
-    """task_id, strategy, attempts, sufficient from (task_id, attempt, strategy, sufficient): the first sufficient rung, else the last."""
-    g = rungs.groupBy("task_id").agg(
-        F.min(F.when(F.col("sufficient"), F.struct("attempt", "strategy"))).alias("first"), F.max(F.struct("attempt", "strategy")).alias("last")
-    )
-    use = F.coalesce("first", "last")
-    return g.select("task_id", use["strategy"].alias("strategy"), use["attempt"].alias("attempts"), F.col("first").isNotNull().alias("sufficient"))
+def evidence_sufficient(tasks: DataFrame, hits: DataFrame, terms: int = DEFAULT.evidence_terms, coverage: float = DEFAULT.evidence_coverage) -> DataFrame:
+    """task_id, sufficient: whether the hits' texts cover the task's ``subject``.
+
+    A subject of fewer terms than asked for needs all it has; one without terms is never covered, nor one without hits.
+    """
+    known = hits.select("task_id", F.explode(content_terms(F.col("text"))).alias("w")).distinct()
+    want = tasks.select("task_id", F.explode(F.array_distinct(content_terms(F.col("subject")))).alias("w"))
+    met = want.join(known.withColumn("hit", F.lit(1)), ["task_id", "w"], "left").groupBy("task_id").agg(F.count("*").alias("n"), F.count("hit").alias("m"))
+    enough = (F.col("m") >= F.least(F.lit(terms), F.col("n"))) & (F.col("m") / F.col("n") >= coverage)
+    return tasks.select("task_id").join(met, "task_id", "left").select("task_id", F.coalesce(enough, F.lit(False)).alias("sufficient"))
+
+
+def ladder_retrieve(rungs: DataFrame, chunks: DataFrame, k: int = DEFAULT.context_chunks, on: list[str] | None = None, most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(task_id, strategy, attempts, sufficient; task_id, chunk_id, score, rank of the evidence kept), from ``query_ladder`` rows.
+
+    ``rungs``: task_id, attempt, strategy, query, query_vec, concept and the scope columns ``on``. The first rung of every
+    task is searched; then only tasks whose evidence falls short go on to their next, up to ``most``. The last search made
+    counts. Coverage is of the concept, or of the query where there is none. A task whose first rung has no vector is not
+    searched: 0 attempts. ``query_ladder`` has left out repeats of a query, so none is issued twice in a row.
+    """
+    from heronlake.sources.staging import written
+
+    on = SCOPE if on is None else on
+    subject = F.coalesce(F.nullif(F.trim("concept"), F.lit("")), F.col("query"))
+    rungs = rungs.withColumn("subject", subject)
+    blind = rungs.where("attempt = 1 AND query_vec IS NULL").select("task_id")
+    opened, tried, found = rungs.join(blind, "task_id", "left_anti").select("task_id").distinct(), None, None
+    texts = chunks.select("chunk_id", "text")
+    for attempt in range(1, most + 1):
+        now = written(rungs.where(F.col("attempt") == attempt).join(opened, "task_id", "left_semi"), "rung")
+        if now.isEmpty():
+            break
+        hits = written(dense_search(now.select(F.col("task_id").alias("query_id"), "query_vec", *on), chunks, k, on).withColumnRenamed("query_id", "task_id"), "rung-hits")
+        verdict = evidence_sufficient(now, hits.join(texts, "chunk_id").select("task_id", "text"))
+        done = written(now.select("task_id", "attempt", "strategy").join(verdict, "task_id"), "rung-verdicts")
+        hits = hits.withColumn("attempt", F.lit(attempt))
+        tried, found = (done, hits) if tried is None else (tried.unionByName(done), found.unionByName(hits))
+        opened = done.where("NOT sufficient").select("task_id")
+    first = rungs.where("attempt = 1").select("task_id", "strategy")
+    if tried is None:
+        return first.select("task_id", "strategy", F.lit(0).alias("attempts"), F.lit(False).alias("sufficient")), first.selectExpr("task_id", "'' AS chunk_id", "0.0D AS score", "0 AS rank").limit(0)
+    last = tried.groupBy("task_id").agg(F.max(F.struct("attempt", "strategy", "sufficient")).alias("m")).select("task_id", F.col("m.strategy").alias("strategy"), F.col("m.attempt").alias("attempts"), F.col("m.sufficient").alias("sufficient"))
+    unseen = first.join(blind, "task_id", "left_semi").select("task_id", "strategy", F.lit(0).alias("attempts"), F.lit(False).alias("sufficient"))
+    kept = found.join(last.select("task_id", F.col("attempts").alias("attempt")), ["task_id", "attempt"], "left_semi").drop("attempt")
+    return last.unionByName(unseen), kept
 
 
 def expand_tasks(slots: DataFrame, items: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -297,7 +376,3 @@ def build_queries(slots: DataFrame) -> DataFrame:
         F.concat(F.lit("Class "), "class", F.lit(" "), "subject", F.lit(" "), "topic", F.lit(" "), "difficulty", F.lit(" level questions")).alias("free_query"),
         F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in (F.col("topic"), F.get("anchors", 0), F.col("stem"))]).alias("concept"),
     )
-
-
-def terms_of(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn("terms", content_terms(F.col(col)))

@@ -6,10 +6,15 @@ from pyspark.sql import functions as F
 
 from heronlake.functions import text as X
 from heronlake.operators import gates as V
+from heronlake.operators import novelty as N
+from heronlake.operators.retrieval import dense_search
 from heronlake.plans.base import query
-from heronlake.plans.tables import candidates, chunks, ref_items, slot_items, slots, table, with_tables
-from heronlake.plans.text_plans import _DEMAND, terms_sql
+from heronlake.functions.text import overlap_min
+from heronlake.plans.novelty_plans import _demand
+from heronlake.plans.tables import candidates, chunks, past_items, ref_items, slot_items, slots, table, with_tables
+from heronlake.plans.text_plans import _DEMAND, _TRIGGER, terms_sql
 
+_FRAME_WORDS = "[" + ", ".join(f"'{w}'" for w in V.IMAGE_WORDS) + "]"
 _NORM = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 
 
@@ -78,24 +83,31 @@ def v07(spark, sf):
     return V.grounding_units(_parted(spark, sf))
 
 
-def _with_evidence(spark, sf):
-    """Whole items, and all chunks ranked as evidence of all papers."""
-    c = candidates(spark, sf).select("question_id", F.lit("whole").alias("part"), "text", F.col("paper_id").alias("slot_key"))
-    n = c.select("slot_key").distinct().count()
-    e = chunks(spark, sf).select((F.col("doc_id") % n).alias("slot_key"), (F.floor(F.col("doc_id") / n) + 1).alias("rank"), "text")
-    return c, e
+def _hits(spark, sf, c):
+    """The five English chunks nearest to each item's own vector, as its evidence."""
+    k = chunks(spark, sf)
+    hits = dense_search(c.select(F.col("question_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.lit("en").alias("class")), k, 5, ["class"])
+    return hits.join(k.select("chunk_id", "text"), "chunk_id").select(F.col("query_id").alias("slot_key"), "rank", "text")
+
+
+def _whole(c):
+    return c.select("question_id", F.lit("whole").alias("part"), "text", F.col("question_id").alias("slot_key"))
 
 
-def _grounded(spark, sf):
-    return V.grounding(*_with_evidence(spark, sf))
+def _grounded(spark, sf, c):
+    return V.grounding(_whole(c), _hits(spark, sf, c))
 
 
-_GROUND = f", np AS (SELECT count(DISTINCT paper_id) AS n FROM candidates), u AS (SELECT question_id, paper_id AS slot_key, {terms_sql('text')} AS t FROM candidates), e AS (SELECT doc_id % n AS slot_key, list_distinct(flatten(list({terms_sql('text')}))) AS known FROM documents, np WHERE doc_id // n + 1 <= 5 GROUP BY 1), g AS (SELECT question_id, known, coalesce(len(list_intersect(t, known)), 0) AS matched, len(t) AS terms, round(coalesce(coalesce(len(list_intersect(t, known)), 0) / nullif(len(t), 0)::DOUBLE, 0), 6) AS coverage FROM u LEFT JOIN e USING (slot_key)), gr AS (SELECT *, CASE WHEN known IS NULL THEN 'no_evidence' WHEN terms = 0 THEN 'no_terms' WHEN matched < 2 THEN 'few_terms' WHEN coverage < 0.5 THEN 'low_coverage' END AS reason FROM g)"
+_COS_EC = "round({d} / (sqrt({q}) * sqrt({c})), 6)".format(**{k: "list_sum(list_transform(list_zip({}, {}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))".format(a, b) for k, a, b in (("d", "c.embedding", "k.embedding"), ("q", "c.embedding", "c.embedding"), ("c", "k.embedding", "k.embedding"))})
+#: Evidence of the items of a table or CTE ``of``, by retrieval.
+_KNOWN = """near{n} AS (SELECT c.question_id, k.chunk_id, row_number() OVER (PARTITION BY c.question_id ORDER BY {cos} DESC, k.chunk_id) AS rank FROM {of} c JOIN chunks k ON k.class = 'en' WHERE k.embedding IS NOT NULL QUALIFY rank <= 5),
+    e{n} AS (SELECT question_id, list_distinct(flatten(list({terms}))) AS known FROM near{n} JOIN chunks USING (chunk_id) GROUP BY 1)"""
+_GROUND = ", " + _KNOWN.format(n="", cos=_COS_EC, of="candidates", terms=terms_sql("text")) + f", u AS (SELECT question_id, {terms_sql('text')} AS t FROM candidates), g AS (SELECT question_id, known, coalesce(len(list_intersect(t, known)), 0) AS matched, len(t) AS terms, round(coalesce(coalesce(len(list_intersect(t, known)), 0) / nullif(len(t), 0)::DOUBLE, 0), 6) AS coverage FROM u LEFT JOIN e USING (question_id)), gr AS (SELECT *, CASE WHEN known IS NULL THEN 'no_evidence' WHEN terms = 0 THEN 'no_terms' WHEN matched < 2 THEN 'few_terms' WHEN coverage < 0.5 THEN 'low_coverage' END AS reason FROM g)"
 
 
-@query("v08_grounding", sql=with_tables("candidates", then=_GROUND + " SELECT question_id, 'whole' AS part, matched, terms, coverage, reason IS NULL AS ok, reason FROM gr"))
+@query("v08_grounding", sql=with_tables("candidates", "chunks", then=_GROUND + " SELECT question_id, 'whole' AS part, matched, terms, coverage, reason IS NULL AS ok, reason FROM gr"))
 def v08(spark, sf):
-    return _grounded(spark, sf)
+    return _grounded(spark, sf, candidates(spark, sf))
 
 
 def _want(spark, sf):
@@ -150,12 +162,99 @@ def v14(spark, sf):
     return V.merge_verdicts(i, v, "batch")
 
 
-@query("v15_gate_cascade", sql=_sql(_GROUND.lstrip(", ").join([", ", ""]) + f", b AS (SELECT question_id, {_BASIC} AS r FROM items) SELECT question_id, CASE WHEN len(b.r) > 0 THEN 'basic' WHEN reason IS NOT NULL THEN 'grounding' END AS gate, CASE WHEN len(b.r) > 0 THEN b.r WHEN reason IS NOT NULL THEN [reason] END AS reasons FROM b JOIN gr USING (question_id)"))
+#: Floors of the cascade's query, low enough for the test texts that every gate has items to judge.
+_FLOORS = {"topic": 0.05, "coverage": 0.1, "peer": 0.2, "source": 0.3}
+
+
+def _cascade_items(spark, sf):
+    """Items with their reference; a fifth of the papers repeat it."""
+    i = _items(spark, sf).join(ref_items(spark, sf), ["paper_id", "slot_index"], "left")
+    return i.withColumn("text", F.when((F.col("paper_id") % 7 > 3) & (F.col("paper_id") % 5 == 1), F.coalesce("reference_text", "text")).otherwise(F.col("text")))
+
+
+def _cascade_sql() -> str:
+    items = f"{_ITEMS}, s0 AS (SELECT i.* EXCLUDE (text), reference_text, CASE WHEN paper_id % 7 > 3 AND paper_id % 5 == 1 THEN coalesce(reference_text, text) ELSE text END AS text FROM items i LEFT JOIN ref_items USING (paper_id, slot_index))"
+    x, y = terms_sql("text"), terms_sql("reference_text")
+    shared = "coalesce(len(list_intersect(x, y)) / nullif(least(len(x), len(y)), 0)::DOUBLE, 0)"
+    two = f"(SELECT *, {x} AS x, {y} AS y FROM {{s}} WHERE reference_text IS NOT NULL)"
+    prefix = "least(length(a), length(w)) >= 4 AND a[1:greatest(4, least(length(a), length(w)) - 1)] = w[1:greatest(4, least(length(a), length(w)) - 1)]"
+    cos = _COS_EC
+    gates = [
+        ("basic", f"SELECT question_id, {_BASIC} AS reasons FROM {{s}}"),
+        ("topic", f"""SELECT question_id, ['topic'] AS reasons FROM (SELECT t.question_id, len(y) AS n, count(DISTINCT a) FILTER (a = w OR {prefix}) AS hit FROM (SELECT question_id, y, unnest(y) AS a FROM {two}) t
+            LEFT JOIN (SELECT question_id, unnest(x) AS w FROM {two}) u USING (question_id) GROUP BY ALL) WHERE hit / n::DOUBLE < {_FLOORS['topic']}"""),
+        ("novelty", f"""SELECT question_id, [verdict] AS reasons FROM (SELECT question_id, CASE WHEN {_NORM} = {_NORM.replace('text', 'reference_text')} THEN 'EXACT_COPY'
+            WHEN {_TRIGGER.replace('stem', 'text')} IS NOT NULL AND {_TRIGGER.replace('stem', 'reference_text')} IS NOT NULL THEN 'SAME_DEMAND_SHAPE'
+            WHEN one AND o >= CASE type WHEN 'SHORT_ANSWER' THEN 0.85 WHEN 'LONG_ANSWER' THEN 0.9 ELSE 0.8 END THEN 'NEAR_PARAPHRASE'
+            WHEN one AND o >= CASE type WHEN 'SHORT_ANSWER' THEN 0.65 WHEN 'LONG_ANSWER' THEN 0.7 ELSE 0.55 END THEN 'SAME_INFORMATION_DEMAND' END AS verdict
+            FROM (SELECT *, {shared} AS o, {_demand('text')} = {_demand('reference_text')} AS one FROM {two})) WHERE verdict IS NOT NULL"""),
+        ("embedding", f"""SELECT question_id, ['embedding'] AS reasons FROM (SELECT c.*, {shared} AS o, {cos} AS cs FROM (SELECT *, CASE WHEN paper_id % 11 = 0 THEN embedding END AS own FROM {two}) c
+            JOIN (SELECT vec_id, embedding FROM embeddings) v ON v.vec_id = (c.paper_id * 7 + c.slot_index + 1) % (SELECT count(*) FROM embeddings), LATERAL (SELECT coalesce(c.own, v.embedding) AS embedding) k)
+            WHERE cs >= 0.93 AND (type NOT IN ('MCQ', 'TRUE_FALSE', 'FILL_IN_THE_BLANK') OR o >= 0.55)"""),
+        ("demand", f"""SELECT question_id, ['demand'] AS reasons FROM (SELECT question_id, {_DEMAND.replace('stem', 'text')} AS generated, CASE WHEN paper_id % 6 = 2 THEN 'UNDERSTANDING' ELSE 'RECALL' END AS intended FROM {{s}})
+            JOIN (VALUES {", ".join(f"('{k}', {v})" for k, v in X.DEMAND_RANK.items())}) g(generated, rank) USING (generated) JOIN (VALUES {", ".join(f"('{k}', {v})" for k, v in X.DEMAND_RANK.items())}) i(intended, wanted) USING (intended) WHERE rank < wanted"""),
+        ("grounding", f"""SELECT question_id, [CASE WHEN known IS NULL THEN 'no_evidence' WHEN len(t) = 0 THEN 'no_terms' WHEN len(list_intersect(t, known)) < 2 THEN 'few_terms' ELSE 'low_coverage' END] AS reasons
+            FROM (SELECT question_id, {x} AS t FROM {{s}}) LEFT JOIN e USING (question_id) WHERE NOT coalesce(len(list_intersect(t, known)) >= 2 AND round(len(list_intersect(t, known)) / len(t)::DOUBLE, 6) >= {_FLOORS['coverage']}, FALSE)"""),
+        ("image", f"""SELECT question_id, ['image'] AS reasons FROM (SELECT question_id, list_filter({x}, lambda w: NOT list_contains({_FRAME_WORDS}, w)) AS t, b.seen FROM {{s}} JOIN (SELECT item_id, {x} AS seen FROM benchmark) b ON b.item_id = paper_id) LEFT JOIN e USING (question_id)
+            WHERE len(list_filter(t, lambda w: list_contains(coalesce(known, []), w) OR list_contains(seen, w))) < 2"""),
+        ("peer", f"SELECT DISTINCT c.question_id, ['peer'] AS reasons FROM {{s}} c JOIN {{s}} k ON k.paper_id = c.paper_id AND k.slot_index < c.slot_index WHERE {cos} >= {_FLOORS['peer']}"),
+        ("source", f"SELECT c.question_id, ['source'] AS reasons FROM {{s}} c JOIN past_items k ON k.subject = 'src' || (c.paper_id % 20) GROUP BY 1 HAVING max({cos}) >= {_FLOORS['source']}"),
+        ("verdict", """SELECT question_id, ['verdict'] AS reasons FROM (SELECT question_id, CASE WHEN quality IS NOT NULL THEN quality = 1 AND toxic = 0 ELSE count(quality) OVER (PARTITION BY paper_id) > 0 END AS ok FROM {s} LEFT JOIN labels ON doc_id = paper_id * 3 + slot_index) WHERE NOT ok"""),
+    ]
+    ctes, names = [], []
+    for k, (name, sql) in enumerate(gates):
+        ctes.append(f"f{k} AS MATERIALIZED (SELECT * FROM ({sql.replace('{s}', f's{k}')}) WHERE len(reasons) > 0), s{k + 1} AS MATERIALIZED (SELECT * FROM s{k} WHERE question_id NOT IN (SELECT question_id FROM f{k}))")
+        names.append(f"SELECT question_id, '{name}' AS gate, reasons FROM f{k}")
+    known = _KNOWN.format(n="", cos=cos, of="candidates", terms=terms_sql("text"))
+    return with_tables("candidates", "ref_items", "chunks", "past_items", then=f", {items}, {known}, {', '.join(ctes)}, failed AS ({' UNION ALL '.join(names)}) SELECT question_id, gate, reasons FROM s0 LEFT JOIN failed USING (question_id)")
+
+
+def _cascade_gates(spark, sf):
+    subject = F.concat(F.lit("src"), (F.col("paper_id") % 20).cast("string"))
+    one = lambda name: F.array(F.lit(name)).alias("reasons")
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("other"))
+    n = e.count()
+    seen = table(spark, sf, "benchmark").select(F.col("item_id").alias("paper_id"), X.content_terms(F.col("text")).alias("terms"))
+    labels = table(spark, sf, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("valid"))
+    known = lambda s: s.where("reference_text IS NOT NULL")
+
+    def embedding(s):
+        shared = overlap_min(X.content_terms(F.col("text")), X.content_terms(F.col("reference_text")))
+        p = known(s).join(e, (F.col("paper_id") * 7 + F.col("slot_index") + 1) % n == F.col("vec_id"))
+        p = p.select("question_id", "type", F.col("embedding").alias("vec"), F.when(F.col("paper_id") % 11 == 0, F.col("embedding")).otherwise(F.col("other")).alias("ref_vec"), shared.alias("overlap"))
+        return N.backstop_failures(p).where("bad").select("question_id", one("embedding"))
+
+    def demand(s):
+        wanted = F.when(F.col("paper_id") % 6 == 2, "UNDERSTANDING").otherwise("RECALL")
+        return s.where(X.demand_rank(X.cognitive_demand(F.col("text"))) < X.demand_rank(wanted)).select("question_id", one("demand"))
+
+    def image(s):
+        shown = s.join(seen, "paper_id")
+        v = V.visual_grounding(_whole(shown), _hits(spark, sf, shown), shown.select(F.col("question_id").alias("slot_key"), "terms"))
+        return v.where("NOT ok").select("question_id", one("image"))
+
+    def verdict(s):
+        i = s.select(F.col("question_id").alias("id"), F.col("paper_id").alias("batch"), (F.col("paper_id") * 3 + F.col("slot_index")).alias("doc_id"))
+        v = i.join(labels, "doc_id").select("id", "valid")
+        return V.merge_verdicts(i.drop("doc_id"), v, "batch").where("verdict = 'rejected'").select(F.col("id").alias("question_id"), one("verdict"))
+
+    return {
+        "basic": lambda s: V.basic_checks(s).select("question_id", "reasons"),
+        "topic": lambda s: N.topic_fidelity(known(s).select(F.col("question_id").alias("id"), "text", F.col("reference_text").alias("anchor")), _FLOORS["topic"]).where("NOT passes").select(F.col("id").alias("question_id"), one("topic")),
+        "novelty": lambda s: N.novelty_verdict(known(s)).where("verdict <> 'NOVEL'").select("question_id", F.array("verdict").alias("reasons")),
+        "embedding": embedding,
+        "demand": demand,
+        "grounding": lambda s: V.grounding(_whole(s), _hits(spark, sf, s), coverage=_FLOORS["coverage"]).select("question_id", F.array_compact(F.array("reason")).alias("reasons")),
+        "image": image,
+        "peer": lambda s: N.peer_duplicates(s, _FLOORS["peer"]).select("question_id", one("peer")),
+        "source": lambda s: N.source_similarity(s.withColumns({"class": F.lit("en"), "subject": subject}), past_items(spark, sf), _FLOORS["source"]).where("duplicate").select("question_id", one("source")),
+        "verdict": verdict,
+    }
+
+
+@query("v15_gate_cascade", sql=_cascade_sql())
 def v15(spark, sf):
-    items = _items(spark, sf)
-    basic = V.basic_checks(items).select("question_id", "reasons")
-    g = _grounded(spark, sf).select("question_id", F.array_compact(F.array("reason")).alias("reasons"))
-    return V.gate_cascade(items, {"basic": basic, "grounding": g})
+    return V.gate_cascade(_cascade_items(spark, sf), _cascade_gates(spark, sf))
 
 
 @query("v16_route", sql=with_tables("candidates", "ref_items", then="SELECT question_id, CASE WHEN paper_id % 2 = 0 THEN 'accepted' WHEN attempts >= CASE WHEN paper_id % 3 = 0 THEN 5 ELSE 3 END THEN 'failed' ELSE 'pending' END AS route FROM candidates JOIN ref_items USING (paper_id, slot_index)"))
@@ -272,11 +371,11 @@ def v29(spark, sf):
     return V.structure_signature(s.withColumn("run", F.lit("Easy")).unionByName(hard.withColumn("run", F.lit("Hard"))))
 
 
-_FRAME_WORDS = "[" + ", ".join(f"'{w}'" for w in V.IMAGE_WORDS) + "]"
 
 
-@query("v09_visual_grounding", sql=with_tables("candidates", then=f", np AS (SELECT count(DISTINCT paper_id) AS n FROM candidates), u AS (SELECT question_id, paper_id AS slot_key, list_filter({terms_sql('text')}, lambda w: NOT list_contains({_FRAME_WORDS}, w)) AS t FROM candidates), e AS (SELECT doc_id % n AS slot_key, list_distinct(flatten(list({terms_sql('text')}))) AS known FROM documents, np WHERE doc_id // n + 1 <= 5 GROUP BY 1), v AS (SELECT item_id AS slot_key, {terms_sql('text')} AS seen FROM benchmark), g AS (SELECT question_id, len(list_intersect(t, coalesce(known, []))) AS a, len(list_filter(t, lambda w: NOT list_contains(coalesce(known, []), w) AND list_contains(coalesce(seen, []), w))) AS b FROM u LEFT JOIN e USING (slot_key) LEFT JOIN v USING (slot_key)) SELECT question_id, 'whole' AS part, a AS from_notes, b AS from_image, a + b >= 2 AS ok FROM g"))
+@query("v09_visual_grounding", sql=with_tables("candidates", "chunks", then=", " + _KNOWN.format(n="", cos=_COS_EC, of="candidates", terms=terms_sql("text")) + f", u AS (SELECT question_id, paper_id AS slot_key, list_filter({terms_sql('text')}, lambda w: NOT list_contains({_FRAME_WORDS}, w)) AS t FROM candidates), v AS (SELECT item_id AS slot_key, {terms_sql('text')} AS seen FROM benchmark), g AS (SELECT question_id, len(list_intersect(t, coalesce(known, []))) AS a, len(list_filter(t, lambda w: NOT list_contains(coalesce(known, []), w) AND list_contains(coalesce(seen, []), w))) AS b FROM u LEFT JOIN e USING (question_id) LEFT JOIN v USING (slot_key)) SELECT question_id, 'whole' AS part, a AS from_notes, b AS from_image, a + b >= 2 AS ok FROM g"))
 def v09(spark, sf):
-    """Whole items, and all chunks ranked as evidence of all papers."""
-    c, e = _with_evidence(spark, sf)
-    return V.visual_grounding(c, e, table(spark, sf, "benchmark").select(F.col("item_id").alias("slot_key"), X.content_terms(F.col("text")).alias("terms")))
+    """Whole items against their retrieved chunks; items of a paper that ``benchmark`` numbers also have its words as their image's."""
+    c = candidates(spark, sf)
+    seen = table(spark, sf, "benchmark").select(F.col("item_id").alias("paper_id"), X.content_terms(F.col("text")).alias("terms"))
+    return V.visual_grounding(_whole(c), _hits(spark, sf, c), c.join(seen, "paper_id").select(F.col("question_id").alias("slot_key"), "terms"))

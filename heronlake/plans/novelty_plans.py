@@ -115,14 +115,17 @@ def d13(spark, sf):
     return N.pool_diversity(candidates(spark, sf).select(F.col("paper_id").alias("pool_id"), F.col("question_id").alias("id"), "text"))
 
 
-_RUNS = "list_distinct(flatten(list_transform(range(3, 13), lambda n: list_transform(range(1, greatest(len({w}) - n + 2, 1)), lambda i: array_to_string({w}[i : i + n - 1], ' ')))))"
 _W = r"list_filter(string_split(trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '')"
 
 
 @query("d14_longest_shared_phrase", sql=_over(f"""
-    , w AS (SELECT question_id AS id, {_W.format('text')} AS a, {_W.format('reference_text')} AS b FROM pairs), r AS (SELECT id, unnest(list_intersect({_RUNS.format(w='a')}, {_RUNS.format(w='b')})) AS phrase FROM w)
-    , k AS (SELECT id, phrase, len(string_split(phrase, ' ')) AS words, row_number() OVER (PARTITION BY id ORDER BY len(string_split(phrase, ' ')) DESC, phrase) AS k FROM r)
-    SELECT w.id, k.words, k.phrase FROM w LEFT JOIN k ON k.id = w.id AND k.k = 1"""))
+    , w AS (SELECT question_id AS id, {_W.format('text')} AS a, {_W.format('reference_text')} AS b FROM pairs),
+    pa AS (SELECT id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS word FROM w), pb AS (SELECT id, unnest(range(1, len(b) + 1)) AS j, unnest(b) AS word FROM w),
+    same AS (SELECT id, i, j, word FROM pa JOIN pb USING (id, word)),
+    grown AS (WITH RECURSIVE g AS (SELECT id, i, j, 1 AS n FROM same s WHERE NOT EXISTS (SELECT 1 FROM same t WHERE t.id = s.id AND t.i = s.i - 1 AND t.j = s.j - 1)
+      UNION ALL SELECT g.id, g.i, g.j, n + 1 FROM g JOIN same s ON s.id = g.id AND s.i = g.i + n AND s.j = g.j + n) SELECT id, i, max(n) AS n FROM g GROUP BY id, i),
+    k AS (SELECT id, arg_max(i, n * 100000 - i) AS i, max(n) AS n FROM grown GROUP BY id)
+    SELECT w.id, CASE WHEN n >= 3 THEN n END AS words, CASE WHEN n >= 3 THEN array_to_string(a[i : i + n - 1], ' ') END AS phrase FROM w LEFT JOIN k USING (id)"""))
 def d14(spark, sf):
     return N.longest_shared_phrase(_pairs(spark, sf).select(F.col("question_id").alias("id"), F.col("text").alias("a"), F.col("reference_text").alias("b")))
 

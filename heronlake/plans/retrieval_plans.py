@@ -8,6 +8,7 @@ from heronlake.functions.text import SEARCH_STOPWORDS
 from heronlake.operators import fusion as E
 from heronlake.operators import retrieval as R
 from heronlake.plans.base import query
+from heronlake.plans.text_plans import terms_sql
 from heronlake.plans.tables import SQL, candidates, chunks, edges, nodes, queries, slot_items, slots, table, with_tables
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in SEARCH_STOPWORDS) + "]"
@@ -169,10 +170,43 @@ def r17(spark, sf):
     return R.query_ladder(t)
 
 
-@query("r18_ladder_retrieve", sql="SELECT l_orderkey AS task_id, coalesce(arg_min('S' || n, n) FILTER (ok), arg_max('S' || n, n)) AS strategy, coalesce(min(n) FILTER (ok), max(n)) AS attempts, bool_or(ok) AS sufficient FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, l_quantity > 25 AS ok FROM lineitem) GROUP BY ALL")
+_RUNGS = (("CONCEPT", 1, 6, 0), ("TOPIC_UNIT", 4, 9, 101), ("UNIT_FALLBACK", 1, 12, 202))
+_ROUND = """
+    o{n} AS (SELECT task_id, query, concept, query_vec FROM ladder WHERE attempt = {n}{left}),
+    h{n} AS (SELECT task_id, chunk_id, score, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, chunk_id) AS rank
+      FROM (SELECT q.task_id, c.chunk_id, {cos} AS score FROM o{n} q JOIN chunks c ON c.class = 'en' WHERE c.embedding IS NOT NULL AND q.query_vec IS NOT NULL) QUALIFY rank <= 5),
+    k{n} AS (SELECT DISTINCT task_id, unnest({terms}) AS w FROM h{n} JOIN chunks USING (chunk_id)),
+    w{n} AS (SELECT task_id, unnest(list_distinct({wanted})) AS w FROM o{n}),
+    s{n} AS (SELECT o.task_id, coalesce(m >= least(2, t) AND m / t::DOUBLE >= 0.5, FALSE) AS ok FROM o{n} o LEFT JOIN (SELECT w.task_id, count(*) AS t, count(k.w) AS m FROM w{n} w LEFT JOIN k{n} k ON k.task_id = w.task_id AND k.w = w.w GROUP BY 1) g ON g.task_id = o.task_id)"""
+
+
+def _ladder_sql() -> str:
+    rounds = [_ROUND.format(n=n, cos=_COS, terms=terms_sql("text"), wanted=terms_sql("coalesce(nullif(trim(concept), ''), query)"), left="" if n == 1 else f" AND task_id IN (SELECT task_id FROM s{n - 1} WHERE NOT ok)") for n in (1, 2, 3)]
+    parts = " UNION ALL ".join(
+        f"SELECT item_id AS task_id, {k} AS rung, '{name}' AS strategy, array_to_string(w[{a}:{b}], ' ') AS query, array_to_string(w[1:6], ' ') AS concept, (SELECT embedding FROM embeddings WHERE vec_id = (item_id + {off}) % (SELECT count(*) FROM embeddings)) AS query_vec FROM tasks" for k, (name, a, b, off) in enumerate(_RUNGS)
+    )
+    tried = " UNION ALL ".join(f"SELECT task_id, {n} AS attempts, ok FROM s{n}" for n in (1, 2, 3))
+    hits = " UNION ALL ".join(f"SELECT task_id, {n} AS attempts, chunk_id FROM h{n}" for n in (1, 2, 3))
+    return with_tables("chunks", then=f""", tasks AS (SELECT item_id, string_split_regex(trim(text), '\\s+') AS w FROM benchmark), parts AS ({parts}),
+    kept AS (SELECT *, lag(query) OVER (PARTITION BY task_id ORDER BY rung) AS before FROM parts WHERE trim(query) <> ''),
+    ladder AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY rung) AS attempt FROM kept WHERE before IS NULL OR before <> query), {", ".join(rounds)},
+    tried AS ({tried}), hits AS ({hits}), last AS (SELECT task_id, max(attempts) AS attempts, arg_max(ok, attempts) AS sufficient FROM tried GROUP BY 1)
+    SELECT l.task_id, d.strategy, l.attempts, l.sufficient, (SELECT string_agg(chunk_id, ',' ORDER BY chunk_id) FROM hits h WHERE h.task_id = l.task_id AND h.attempts = l.attempts) AS evidence FROM last l JOIN ladder d ON d.task_id = l.task_id AND d.attempt = l.attempts""")
+
+
+@query("r18_ladder_retrieve", sql=_ladder_sql())
 def r18(spark, sf):
-    i = slot_items(spark, sf)
-    return R.ladder_retrieve(i.select(F.col("slot_id").alias("task_id"), F.col("item_index").alias("attempt"), F.concat(F.lit("S"), F.col("item_index").cast("string")).alias("strategy"), (F.col("marks") > 25).alias("sufficient")))
+    """Items of ``benchmark`` as tasks: rungs are parts of their wording, each with a vector of its own, over the English chunks."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("query_vec"))
+    n = e.count()
+    w = F.split(F.trim("text"), r"\s+")
+    words = lambda a, b: F.array_join(F.slice(w, a, b - a + 1), " ")
+    tasks = table(spark, sf, "benchmark").select(F.col("item_id").alias("task_id"), *[words(a, b).alias(c) for c, (_, a, b, _) in zip(("concept", "topic", "unit"), _RUNGS)])
+    offset = F.get(F.array(*[F.lit(r[3]) for r in _RUNGS]), F.col("rung"))
+    rungs = R.query_ladder(tasks).join(tasks.select("task_id", "concept"), "task_id").withColumns({"vec_id": (F.col("task_id") + offset) % n, "class": F.lit("en")})
+    report, hits = R.ladder_retrieve(rungs.join(e, "vec_id", "left"), chunks(spark, sf), 5, ["class"])
+    evidence = hits.groupBy("task_id").agg(F.array_join(F.array_sort(F.collect_list("chunk_id")), ",").alias("evidence"))  # five a task
+    return report.join(evidence, "task_id", "left")
 
 
 @query("r19_expand_tasks", sql=with_tables("slots", "slot_items", then="""
@@ -186,9 +220,9 @@ def r19(spark, sf):
     return R.expand_tasks(s.select("paper_id", "slot_id"), i, whole.union(split))
 
 
-@query("r20_dedupe_hits", sql="WITH k AS (SELECT conv_id AS paper_id, turn AS slot_index, 1 AS rank, trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))[1:40] AS key FROM conversations), f AS (SELECT *, row_number() OVER (PARTITION BY paper_id, key ORDER BY slot_index, rank) AS b FROM k) SELECT paper_id, slot_index, row_number() OVER (PARTITION BY paper_id ORDER BY slot_index, rank, key) AS paper_rank FROM f WHERE b = 1 QUALIFY paper_rank <= 14")
+@query("r20_dedupe_hits", sql="WITH k AS (SELECT conv_id AS paper_id, turn AS slot_index, 1 AS rank, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS key FROM conversations), f AS (SELECT *, row_number() OVER (PARTITION BY paper_id, key ORDER BY slot_index, rank) AS b FROM k) SELECT paper_id, slot_index, row_number() OVER (PARTITION BY paper_id ORDER BY slot_index, rank, key) AS paper_rank FROM f WHERE b = 1 QUALIFY paper_rank <= 14")
 def r20(spark, sf):
-    hits = table(spark, sf, "conversations").select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("slot_index"), F.lit(1).alias("rank"), F.substring(R.norm_text(F.col("text")), 1, 40).alias("text"))
+    hits = table(spark, sf, "conversations").select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("slot_index"), F.lit(1).alias("rank"), "text")
     return R.dedupe_hits(hits).select("paper_id", "slot_index", "paper_rank")
 
 
@@ -250,10 +284,13 @@ def e06(spark, sf):
     return E.score_evidence(E.features(_evidence(spark, sf), _target(spark, sf))).select("query_id", "id", "fused")
 
 
+_BLANKS = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
+
+
 @query("e07_drop_restating_edges", sql=f"""
-    WITH e AS (SELECT doc_id // 2 % {_N} AS query_id, 'e' || doc_id AS id, lower(trim(text)) AS norm FROM documents UNION ALL SELECT item_id, 'b' || item_id, lower(trim(text)) FROM benchmark),
-    h AS (SELECT doc_id % {_N} AS query_id, lower(trim(text)) AS hit FROM documents WHERE length(trim(text)) >= 12)
-    SELECT query_id, min(id) AS id FROM e WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = e.query_id AND length(norm) >= 12 AND (contains(hit, norm) OR contains(norm, hit))) GROUP BY query_id, norm""")
+    WITH e AS (SELECT doc_id // 2 % {_N} AS query_id, 'e' || doc_id AS id, {_BLANKS} AS norm FROM documents UNION ALL SELECT item_id, 'b' || item_id, {_BLANKS} FROM benchmark),
+    h AS (SELECT doc_id % {_N} AS query_id, {_BLANKS} AS hit FROM documents)
+    SELECT query_id, min(id) AS id FROM e WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = e.query_id AND norm <> '' AND (hit = norm OR length(hit) >= 12 AND length(norm) >= 12 AND (contains(hit, norm) OR contains(norm, hit)))) GROUP BY query_id, norm""")
 def e07(spark, sf):
     d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     n = b.count()

@@ -54,14 +54,14 @@ def b07(spark, sf):
 
 
 @query("b05_group_slots", sql=with_tables(_I, then="""
-    , q AS (SELECT paper_id, slot_id * 100 + item_index AS ord, 'Q' || number AS parent, item_index % 3 = 0 AS sub, reference_text AS text, CASE WHEN item_index % 2 = 0 THEN 'A' END AS section, marks > 25 AS has_marks FROM slot_items),
-    m AS (SELECT *, round(CASE WHEN has_marks THEN 2.0 ELSE 0 END + CASE WHEN section IS NOT NULL THEN 1.0 ELSE 0 END + least(length(text) / 60.0, 0.5), 6) AS richness FROM q WHERE NOT sub),
+    , q AS (SELECT paper_id, slot_id * 100 + item_index AS ord, 'Q' || number AS parent, item_index % 3 = 0 AS sub, reference_text AS text, CASE WHEN item_index % 2 = 0 THEN 'A' END AS section, marks > 25 AS has_marks, part_id % 3 AS n_parts FROM slot_items),
+    m AS (SELECT *, round(CASE WHEN has_marks THEN 2.0 ELSE 0 END + CASE WHEN n_parts > 0 THEN 1.0 ELSE 0 END + CASE WHEN section IS NOT NULL THEN 1.0 ELSE 0 END + least(length(text) / 60.0, 0.5), 6) AS richness FROM q WHERE NOT sub),
     b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY paper_id, parent ORDER BY richness DESC, ord) = 1), i AS (SELECT paper_id, parent, count(*) AS n FROM q WHERE sub GROUP BY ALL)
-    SELECT coalesce(b.paper_id, i.paper_id) AS paper_id, coalesce(b.parent, i.parent) AS parent, b.text, b.section, b.richness, coalesce(i.n, 0) AS n_items, b.ord IS NULL AS made FROM b FULL JOIN i ON b.paper_id = i.paper_id AND b.parent = i.parent"""))
+    SELECT coalesce(b.paper_id, i.paper_id) AS paper_id, coalesce(b.parent, i.parent) AS parent, row_number() OVER (PARTITION BY coalesce(b.paper_id, i.paper_id) ORDER BY CAST(substr(coalesce(b.parent, i.parent), 2) AS BIGINT)) AS position, b.text, b.section, b.richness, coalesce(i.n, 0) AS n_items, b.ord IS NULL AS made FROM b FULL JOIN i ON b.paper_id = i.paper_id AND b.parent = i.parent"""))
 def b05(spark, sf):
     i = slot_items(spark, sf)
     n = F.concat(F.lit("Q"), F.col("number").cast("string"))
-    q = i.select("paper_id", (F.col("slot_id") * 100 + F.col("item_index")).alias("ord"), F.when(F.col("item_index") % 3 == 0, F.concat(n, F.lit("(a)"))).otherwise(n).alias("question_number"), F.col("reference_text").alias("text"), F.when(F.col("item_index") % 2 == 0, "A").alias("section"), (F.col("marks") > 25).alias("has_marks"))
+    q = i.select("paper_id", (F.col("slot_id") * 100 + F.col("item_index")).alias("ord"), F.when(F.col("item_index") % 3 == 0, F.concat(n, F.lit("(a)"))).otherwise(n).alias("question_number"), F.col("reference_text").alias("text"), F.when(F.col("item_index") % 2 == 0, "A").alias("section"), (F.col("marks") > 25).alias("has_marks"), (F.col("part_id") % 3).alias("n_parts"))
     return B.group_slots(q)
 
 
@@ -83,7 +83,7 @@ def b09(spark, sf):
 
 
 _LABELS = ["mcq", " Multiple choice ", "true or false", "Fill in the blank type", "match", "VSA", "Long answer", "differentiate", "Draw a diagram", "story-writing", "choose any", "???", "map work"]
-_MEANT = ["MCQ", "MCQ", "TRUE_FALSE", "FILL_IN_THE_BLANK", "MATCH_THE_FOLLOWING", "VERY_SHORT_ANSWER", "LONG_ANSWER", "DIFFERENTIATE", "DIAGRAM", "CREATIVE_WRITING", "INTERNAL_CHOICE", "UNKNOWN", "UNKNOWN"]
+_MEANT = ["MCQ", "MCQ", "TRUE_FALSE", "FILL_IN_THE_BLANK", "MATCH_THE_FOLLOWING", "VERY_SHORT_ANSWER", "LONG_ANSWER", "DIFFERENTIATE", "DIAGRAM", "CREATIVE_WRITING", "INTERNAL_CHOICE", "UNKNOWN", "MAP"]
 
 
 @query("b10_normalize_type", sql=f"SELECT p_partkey, {_list(_MEANT)}[p_partkey % {len(_LABELS)} + 1] AS type FROM part")

@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from heronlake.sources import store as S
+from heronlake.sources.staging import shared_path as _scratch
 from heronlake.plans.base import query
 from heronlake.plans.tables import chunks, edges, library, nodes, page_text, table, with_tables
 
 
-def _scratch(spark, name: str) -> str:
-    """A fresh folder where the cluster shares files; a temporary one where it names none, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @query("s01_read_structured_documents", sql="""
     SELECT 'd' || doc_id AS document_id, CAST(u.i - 1 AS INTEGER) AS ord, CASE WHEN u.i = 1 THEN 'picture' ELSE 'paragraph' END AS type, CASE WHEN u.i = 1 THEN '' ELSE l[u.i] END AS text
     FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i) WHERE u.i = 1 OR trim(l[u.i]) <> ''""")
