@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heronlake.llm.shared import fresh_path, release, stage
+from heronlake.llm.tokens import _ODD_ASCII, _ODD_SPACE
 
 #: Buckets of pairs: the vocabularies bound the pairs of a bucket. Links gathered before a task packs them.
 BUCKETS, HELD_LINKS = 64, 2_000_000
@@ -26,6 +28,8 @@ BUCKETS, HELD_LINKS = 64, 2_000_000
 RANGE, ARRAY_MOST = 1 << 16, 4096
 CACHE_SEGMENTS = 300_000
 _SEGMENT = re.compile(r"[ \t\n]*[^ \t\n]+|[ \t\n]+\Z")
+#: The same, cut also between a letter and a mark, where byte-level BPE never merges.
+_FINER = re.compile(r"[ \t\n]*[^ \t\n.,;:!?]*[^\W\d_](?=[.,;:!?])|" + _SEGMENT.pattern)
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
@@ -33,12 +37,11 @@ class Aligner:
     """Tokens, groups and links of segments that neither vocabulary's merges leave; of whole texts with other blanks than spaces, tabs and line feeds."""
 
     def __init__(self, path_a: str, path_b: str):
-        import numpy as np
         import sentencepiece
 
         from heronlake.llm.bpe_chunks import _tables
         from heronlake.llm.sentencepiece_lattice import BLANK
-        from heronlake.llm.tokens import SegmentEncoder, _Cache
+        from heronlake.llm.tokens import SegmentEncoder
 
         self.lengths_a = _tables(path_a)[1]
         self.a = SegmentEncoder(path_a)
@@ -48,49 +51,81 @@ class Aligner:
         if any(re.search(r"[\t\n]|[^▁]▁", p) for p in names) or self.b.encode("  a ", out_type=str)[-1] != BLANK:
             raise ValueError("pieces across blanks, or removed blanks, are not supported")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(names)]
-        self.lengths_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.blank = self.b.piece_to_id(BLANK)
-        self.cache = _Cache(CACHE_SEGMENTS, self._segment)
-
-    def _ids_b(self, text: str) -> list[int]:
-        """Ids of ``text``, whose first blank, if it begins with one, stands for the blank that the model adds."""
-        if text[0] == " ":
-            return self.b.encode(text[1:]) if len(text) > 1 else [self.blank]
-        ids = self.b.encode(text)  # before a tab or line end, the added blank is a token by itself
-        if ids[:1] != [self.blank]:
-            raise ValueError("a segment must begin with a blank")
-        return ids[1:]
-
-    def _align(self, text: str, ids_a: bytes) -> tuple | None:
+        self.letter = self.b.piece_to_id(BLANK + "a")
+        finer = not any(re.search(r"[^\W\d_][.,;:!?]", p) for p in names)
+        self.parts = (_FINER if finer else _SEGMENT).findall
+        self.size_a, self.size_b = self.lengths_a.tolist(), [len(x) for x in self.bytes_b]
+        self.name_a, self.name_b = list(map(str, range(len(self.size_a)))), list(map(str, range(len(names))))
+        self.cache: dict[str, tuple | None] = {}
+
+    def _ids_b(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, whose first blank, if it begins with one, stands for the blank that the model adds."""
+        # a letter before a mark is a token by itself
+        out = self.b.encode([t[1:] if t[0] == " " else "a" + t if t[0] in ".,;:!?" else t for t in texts], num_threads=1)
+        for k, t in enumerate(texts):
+            if t == " ":
+                out[k] = [self.blank]
+            elif t[0] != " ":  # before a tab or line feed, the added blank is a token by itself
+                if out[k][:1] != ([self.letter] if t[0] in ".,;:!?" else [self.blank]):
+                    raise ValueError("a segment must begin with a blank")
+                del out[k][0]
+        return out
+
+    def _align(self, text: str, ids_a: bytes, b: list[int]) -> tuple | None:
         """(tokens of A, tokens of B, groups, their text, linked pairs), or None where B's bytes are not the text's."""
-        import numpy as np
-
-        a, b = np.frombuffer(ids_a, "<u4"), np.array(self._ids_b(text), np.int64)
+        a = memoryview(ids_a).cast("I").tolist()
         raw = text.encode()
-        ends_a, ends_b = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
-        if b"".join(self.bytes_b[i] for i in b.tolist()) != raw or (ends_a[-1] if len(a) else 0) != len(raw):
-            return None
-        _, i, j = np.intersect1d(ends_a, ends_b, return_indices=True)
-        shown, names_a, names_b, s, t = [], list(map(str, a.tolist())), list(map(str, b.tolist())), 0, 0
-        for x, y in zip((i + 1).tolist(), (j + 1).tolist()):
-            shown.append(",".join(names_a[s:x]) + "|" + ",".join(names_b[t:y]))
-            s, t = x, y
-        links = (a[i].astype("<u8") << np.uint64(32)) | b[j].astype("<u8")
-        return len(a), len(b), len(i), ";".join(shown).encode(), links.astype("<u8").tobytes()
-
-    def _segment(self, text: str) -> tuple | None:
-        return self._align(text, self.a._segment(text))
-
-    def text(self, text: str | None) -> list[tuple] | None:
-        """The parts of space and text, in order; None for a text without tokens."""
-        if not isinstance(text, str) or not text:
+        if b"".join(map(self.bytes_b.__getitem__, b)) != raw:
             return None
-        whole = " " + text
-        if "\r" in whole or self.a.segments(whole) is None:  # B has pieces that end in a carriage return
-            parts = [self._align(whole, self.a._whole(whole))]
-        else:
-            parts = list(map(self.cache.__getitem__, _SEGMENT.findall(whole)))
-        return None if None in parts else parts
+        size_a, size_b, name_a, name_b = self.size_a, self.size_b, self.name_a, self.name_b
+        shown, links, i, j, s, t, end_a, end_b = [], [], 0, 0, 0, 0, 0, 0
+        n, m = len(a), len(b)
+        while i < n and j < m:
+            if end_a <= end_b:
+                end_a += size_a[a[i]]
+                i += 1
+            while j < m and end_b < end_a:
+                end_b += size_b[b[j]]
+                j += 1
+            if end_a == end_b:
+                shown.append(f"{name_a[a[s]] if i == s + 1 else ','.join(map(name_a.__getitem__, a[s:i]))}|{name_b[b[t]] if j == t + 1 else ','.join(map(name_b.__getitem__, b[t:j]))}")
+                links.append(a[i - 1] << 32 | b[j - 1])
+                s, t = i, j
+        while i < n and end_a < end_b:
+            end_a += size_a[a[i]]
+            i += 1
+            if i == n and end_a == end_b:
+                shown.append(",".join(map(name_a.__getitem__, a[s:i])) + "|" + ",".join(map(name_b.__getitem__, b[t:j])))
+                links.append(a[i - 1] << 32 | b[j - 1])
+        return n, m, len(links), ";".join(shown).encode(), array("Q", links).tobytes()
+
+    def texts(self, texts: list[str | None]) -> list[list[tuple] | None]:
+        """For each text the parts of space and text, in order; None for a text without tokens."""
+        cut, whole_texts = [], set()
+        for text in texts:
+            if not isinstance(text, str) or not text:
+                cut.append([])
+                continue
+            whole = " " + text
+            # B has pieces that end in a carriage return
+            if "\r" in whole or (_ODD_ASCII if whole.isascii() else _ODD_SPACE).search(whole):
+                whole_texts.add(whole)
+                cut.append([whole])
+            else:
+                cut.append(self.parts(whole))
+        known = self.cache
+        new = list({s for parts in cut for s in parts if s not in known})
+        if len(known) + len(new) > CACHE_SEGMENTS:
+            known.clear()
+            new = list({s for parts in cut for s in parts})
+        for s, b in zip(new, self._ids_b(new)):
+            known[s] = self._align(s, self.a._whole(s) if s in whole_texts else self.a._segment(s), b)
+        out = []
+        for parts in cut:
+            got = list(map(known.__getitem__, parts))
+            out.append(None if not got or None in got else got)
+        return out
 
 
 def aligner(path_a: str, path_b: str) -> Aligner:
@@ -206,11 +241,13 @@ def _entries(path_a: str, path_b: str):
     """Each document's own figures, and postings of the task's documents, packed by bucket of pairs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import gc
         import hashlib
 
         import numpy as np
 
         made = aligner(path_a, path_b)
+        gc.disable()  # the cache's many small tuples hold no cycles
 
         def postings(links: list[bytes], rows: list[int]) -> list[dict]:
             pairs = np.frombuffer(b"".join(links), "<u8")
@@ -226,8 +263,7 @@ def _entries(path_a: str, path_b: str):
         links, rows, held = [], [], 0
         for pdf in batches:
             out: list[dict] = []
-            for doc_id, row, text in zip(pdf["doc_id"], pdf["row"], pdf["text"]):
-                parts = made.text(text)
+            for doc_id, row, parts in zip(pdf["doc_id"], pdf["row"], made.texts(pdf["text"].tolist())):
                 doc = {"kind": "doc", "doc_id": doc_id, "row": row, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": ""}
                 if parts:
                     a, b, groups, shown, linked = zip(*parts)
@@ -244,6 +280,7 @@ def _entries(path_a: str, path_b: str):
                 yield _frame(out)
         if links:
             yield _frame(postings(links, rows))
+        gc.enable()
         release()
 
     return run
