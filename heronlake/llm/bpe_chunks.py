@@ -290,7 +290,8 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
         for pdf in batches:
             rows = []
             for root, parts in zip(pdf["root"], pdf["parts"]):
-                ids = join_parts([(p["head"], _wide(p["middle"], tokenizer), p["tail"]) for p in parts], tokenizer)
+                once = {p["seq"]: p for p in parts}.values()
+                ids = join_parts([(p["head"], _wide(p["middle"], tokenizer), p["tail"]) for p in once], tokenizer)
                 rows.append((root, *_hashes(ids, tokenizer)))
             yield pd.DataFrame(rows, columns=["root", *_COLUMNS[-3:]])
         release()
@@ -298,9 +299,9 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     chunks = entries.where("kind = 'chunk'").groupBy("digest").agg(F.first("head").alias("text"))
     coded = chunks.mapInPandas(encode, "digest binary, head string, middle binary, tail string")
     listed = entries.where("kind = 'part'").select("root", "seq", "digest", "head", "middle", "tail")
-    own = listed.where("digest IS NULL").drop("digest").dropDuplicates(["root", "seq"])
+    own = listed.where("digest IS NULL").drop("digest")  # the same from each task that met the root
     other = listed.where("digest IS NOT NULL").select("root", "seq", "digest").distinct().join(coded, "digest")
-    whole = own.unionByName(other.select(own.columns)).groupBy("root").agg(F.array_sort(F.collect_list(F.struct("seq", "head", "middle", "tail"))).alias("parts"))
+    whole = own.unionByName(other.select(own.columns)).groupBy("root").agg(F.array_sort(F.collect_set(F.struct("seq", "head", "middle", "tail"))).alias("parts"))
     sums = whole.mapInPandas(put_together, "root binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
     done = entries.where("kind = 'done'").select("doc_id", *_COLUMNS[-3:])
     opened = entries.where("kind = 'open'").select("doc_id", "root").join(sums, "root").drop("root")
