@@ -13,6 +13,7 @@ of bounded size, which let a few others through; exact counts leave those out ag
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from heronlake.llm.shared import release, stage, unstage
 
 LEAST_COUNT, LEAST_COVER, TOP, SCALE = 10, 50, 2000, 1_000_000
 #: Words a task holds before it counts them; bits of a filter for each key, and at most (8 MB).
-BLOCK_WORDS, KEY_BITS, MOST_FILTER_BITS = 3_000_000, 16, 1 << 26
+BLOCK_WORDS, KEY_BITS, MOST_FILTER_BITS = 2_000_000, 16, 1 << 26
 #: Candidates of two words that reach the first bar, in multiples of TOP; each round has this many times more.
 FIRST, WIDER = 2, 8
 _BREAK = 0xFF  # no byte of UTF-8
@@ -98,13 +99,15 @@ class _Block:
                     return number
 
             self.known[lang] = Numbers({b"\xff": 0})
-        self.texts.append(np.array([*map(self.known[lang].__getitem__, words), 0], np.int64))
+        self.texts.append(np.fromiter(map(self.known[lang].__getitem__, chain(words, (b"\xff",))), np.int32, len(words) + 1))
         self.held += len(words) + 1
 
     def numbers(self):
         import numpy as np
 
-        return np.concatenate(self.texts) if self.texts else np.zeros(0, np.int64), np.array(self.hashes, np.uint64)
+        numbers = np.concatenate(self.texts) if self.texts else np.zeros(0, np.int32)
+        self.texts = []
+        return numbers, np.array(self.hashes, np.uint64)
 
 
 def _turned(h):
@@ -131,7 +134,7 @@ def _grams(block: _Block, size: int, may):
         numbers = np.where(may["word"](hashes)[numbers], numbers, 0)  # words too rare for any phrase
         left, right = numbers[:-1], numbers[1:]
         both = (left != 0) & (right != 0)
-        pairs, counts = np.unique(left[both] * wide + right[both], return_counts=True)
+        pairs, counts = np.unique(left[both] * wide + right[both], return_counts=True)  # ``wide`` makes it 64 bits
         left, right = pairs // wide, pairs % wide
         h = hashes[left] ^ _turned(hashes[right])
         if "pair" in may:
@@ -142,7 +145,7 @@ def _grams(block: _Block, size: int, may):
     both = np.flatnonzero((left != 0) & (right != 0))
     pairs, place = np.unique(left[both] * wide + right[both], return_inverse=True)
     h = hashes[pairs // wide] ^ _turned(hashes[pairs % wide])
-    flags = np.full(len(numbers), -1, np.int64)  # of the pair that begins at each word
+    flags = np.full(len(numbers), -1, np.int32)  # of the pair that begins at each word
     flags[both] = place
     known, front, back, near = (may[k](h) for k in ("pair", "front", "back", "near"))
     first, second = flags[:-1], flags[1:]
@@ -181,8 +184,9 @@ def counted(texts: DataFrame, size: int, filters: dict | None = None, hashed: bo
 
         block = _Block()
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                block.add(lang, text)
+            for part in (batch.slice(at, 200) for at in range(0, batch.num_rows, 200)):
+                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+                    block.add(lang, text)
                 if block.held >= BLOCK_WORDS:
                     yield from sliced(table(block))
                     block = _Block()
