@@ -153,7 +153,8 @@ def edge_states(model: Model, matrices: list[np.ndarray]) -> list[tuple[int, int
     return out[::-1]
 
 
-_BLOCK = "conv_id long, part int, block int, whole boolean, turns array<int>, obs array<int>, lines array<string>, roles array<int>, matrix array<double>"
+# ids travel as strings: beside a null, pandas would turn them to floating point
+_BLOCK = "conv_id string, part int, block int, whole boolean, turns array<int>, obs array<int>, lines array<string>, roles array<int>, matrix array<double>"
 
 
 def parse(lines: DataFrame, model: Model, order: list[str]) -> DataFrame:
@@ -182,12 +183,12 @@ def parse(lines: DataFrame, model: Model, order: list[str]) -> DataFrame:
             return (ids, part, block, whole, None, obs.tolist(), [x[0] for x in held], roles, matrix)
 
         names = ["conv_id", "part", "block", "whole", "turns", "obs", "lines", "roles", "matrix"]
-        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"conv_id": object})
         part = 0
         for pdf in batches:
             rows = []
             for conv, line, obs, part in zip(pdf["conv_id"], pdf["line"], pdf["obs"], pdf["part"]):
-                conv = None if pd.isna(conv) else int(conv)
+                conv = None if pd.isna(conv) else conv
                 if held and conv != at:
                     rows.append(row(at, part, block, block == 0 and not first))  # the task's first may go on from before
                     held, block, first = [], 0, False
@@ -201,16 +202,16 @@ def parse(lines: DataFrame, model: Model, order: list[str]) -> DataFrame:
         if held:
             yield frame([row(at, part, block, False)])
 
-    blocks = stage(ranged.select("conv_id", "line", "obs", "part").mapInPandas(cut, _BLOCK), "chat-blocks")
+    blocks = stage(ranged.select(F.col("conv_id").cast("string").alias("conv_id"), "line", "obs", "part").mapInPandas(cut, _BLOCK), "chat-blocks")
 
     def edges(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["part", "block"])
         s = len(model.start)
         got = edge_states(model, [np.array(m, float).reshape(s, s) for m in pdf["matrix"]])
-        return pd.DataFrame({"conv_id": pdf["conv_id"].astype("Int64"), "part": pdf["part"], "block": pdf["block"], "begin": [a for a, _ in got], "end": [b for _, b in got]})
+        return pd.DataFrame({"conv_id": pdf["conv_id"], "part": pdf["part"], "block": pdf["block"], "begin": [a for a, _ in got], "end": [b for _, b in got]})
 
     # a conversation's matrices number its lines / BLOCK_LINES; those of a third of 10^9 lines are 80,000 small rows
-    settled = blocks.where("NOT whole").select("conv_id", "part", "block", "matrix").groupBy("conv_id").applyInPandas(edges, "conv_id long, part int, block int, begin int, end int")
+    settled = blocks.where("NOT whole").select("conv_id", "part", "block", "matrix").groupBy("conv_id").applyInPandas(edges, "conv_id string, part int, block int, begin int, end int")
 
     @F.pandas_udf("array<int>")
     def decode(obs: pd.Series, begin: pd.Series, end: pd.Series) -> pd.Series:
@@ -224,6 +225,7 @@ def parse(lines: DataFrame, model: Model, order: list[str]) -> DataFrame:
     open_ = blocks.where("NOT whole").alias("b").join(settled.alias("s"), F.expr("b.conv_id <=> s.conv_id AND b.part = s.part AND b.block = s.block"))
     open_ = open_.select("b.conv_id", "b.part", "b.block", "b.lines", decode("b.obs", "s.begin", "s.end").alias("roles"))
     done = blocks.where("whole").select("conv_id", "part", "block", "lines", "roles").unionByName(open_)
+    done = done.withColumn("conv_id", F.col("conv_id").cast(lines.schema["conv_id"].dataType))
     return done.select("conv_id", "part", "block", F.posexplode(F.arrays_zip("lines", "roles")).alias("k", "x")).select("conv_id", "part", "block", "k", F.col("x.lines").alias("line"), F.col("x.roles").alias("state"))
 
 

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from heronlake.llm.shared import fresh_path, release, remove, running_start
 
 WINDOW, MASK_BITS, LEAST, MOST = 8, 10, 256, 8192  # ids
+#: Digests that a task remembers.
+MOST_SEEN = 500_000
 #: Parts of the documents table that the manifest sums up.
 BUCKETS = 256
 
@@ -96,6 +98,8 @@ def _entries(tokenizer: str, end_id: int):
                     rows.append(("document", doc_id, len(ids), root, None, None, None))
                     if root in seen:
                         continue
+                    if len(seen) > MOST_SEEN:
+                        seen.clear()  # what is then sent again is dropped where chunks meet
                     seen.add(root)
                     for k, (d, chunk) in enumerate(chunks):
                         rows.append(("recipe", None, None, root, k, d, None))
@@ -103,7 +107,7 @@ def _entries(tokenizer: str, end_id: int):
                             seen.add(d)
                             rows.append(("chunk", None, None, root, k, d, chunk))
                 out = pd.DataFrame(rows, columns=["kind", "doc_id", "n_tokens", "root", "seq", "digest", "ids"])
-                yield out.astype({"doc_id": "Int64", "n_tokens": "Int64", "seq": "Int32"})
+                yield out.astype({"doc_id": object, "n_tokens": "Int64", "seq": "Int32"})
         release()
 
     return run
@@ -136,8 +140,10 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str | None =
     spark = docs.sparkSession
     path = path or fresh_path(spark, "chunk-store")
     loose = fresh_path(spark, "loose")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    source.mapInPandas(_entries(tokenizer, end_id), _ENTRY).write.partitionBy("kind").option("compression", "zstd").parquet(loose)
+    # ids travel as strings: beside a null, pandas would turn them to floating point
+    source = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    met = source.mapInPandas(_entries(tokenizer, end_id), _ENTRY.replace("doc_id long", "doc_id string"))
+    met.withColumn("doc_id", F.col("doc_id").cast("long")).write.partitionBy("kind").option("compression", "zstd").parquet(loose)
     entries = spark.read.schema(_ENTRY).parquet(loose)
     recipes = entries.where("kind = 'recipe'").select("root", "seq", "digest").distinct()
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")

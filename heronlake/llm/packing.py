@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronlake.llm.shared import free_name
+
 CAPACITY = 2048
 #: Pieces of one length and salt that meet in one window group, about.
 GROUP_ROWS = 20_000
@@ -47,14 +49,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
                         own = data[4 * at : 4 * (at + size)]
                         rows.append((doc_id, k, at, size, zlib.crc32(own)) + ((own,) if with_ids else ()))
                         at, k, size = at + size, k + 1, capacity
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
-                yield out.astype({"doc_id": "Int64"})
+                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids).astype({"doc_id": object})
+                yield out
         if not keep_words:
             enc.forget()
         release()
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, schema)
+    # ids travel as strings: beside a null, pandas would turn them to floating point
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInPandas(cut, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -121,25 +125,30 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, piece, length, ...); extra columns are kept. Empty in, empty out."""
+    """Add sequence_id and offset to pieces (doc_id, piece, length, ...). Empty in, empty out.
+
+    Extra columns, whatever their names, are kept as they are. Null ids sort first; which of two equal rows comes first
+    does not matter, as they are of one length. A very long text is pieces like any others.
+    """
     spark = pieces.sparkSession
     hist = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     salts = max(1, sum(hist.values()) // GROUP_ROWS)
     rows = plan(hist, capacity)
     by = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in by]), F.lit(salts)).cast("int"))
-    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("length", "_salt").orderBy(*[F.col(c).asc_nulls_first() for c in by])
-    ranked = salted.join(bases, ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.row_number().over(within) - 1)
+    salt, rank, first = (free_name(pieces, n) for n in ("_salt", "_rank", "_first"))
+    salted = pieces.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in by]), F.lit(salts)).cast("int"))
+    sizes = salted.groupBy("length", salt).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("length", salt, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(first))
+    within = Window.partitionBy("length", salt).orderBy(*[F.col(c).asc_nulls_first() for c in by])
+    ranked = salted.join(bases, ["length", salt]).withColumn(rank, F.col(first) + F.row_number().over(within) - 1)
     schema = "length long, _first long, _end long, _sequence long, _offset long"
     intervals = F.broadcast(spark.createDataFrame(rows or [(0, 0, 0, 0, 0)], schema))  # bounded by the capacity
     kept = [F.col(f"r.{c}").alias(c) for c in pieces.columns]
     return (
         ranked.alias("r")
-        .join(intervals.alias("i"), (F.col("r.length") == F.col("i.length")) & (F.col("r._rank") >= F.col("i._first")) & (F.col("r._rank") < F.col("i._end")))
-        .select(*kept, (F.col("i._sequence") + F.col("r._rank") - F.col("i._first")).alias("sequence_id"), F.col("i._offset").alias("offset"))
+        .join(intervals.alias("i"), (F.col("r.length") == F.col("i.length")) & (F.col(f"r.{rank}") >= F.col("i._first")) & (F.col(f"r.{rank}") < F.col("i._end")))
+        .select(*kept, (F.col("i._sequence") + F.col(f"r.{rank}") - F.col("i._first")).alias("sequence_id"), F.col("i._offset").alias("offset"))
     )
 
 
