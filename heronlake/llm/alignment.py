@@ -23,7 +23,7 @@ from heronlake.llm.shared import fresh_path, release, stage
 from heronlake.llm.tokens import _ODD_ASCII, _ODD_SPACE
 
 #: Buckets of pairs: the vocabularies bound the pairs of a bucket. Links gathered before a task packs them.
-BUCKETS, HELD_LINKS = 64, 2_000_000
+BUCKETS, HELD_LINKS = 64, 1_000_000
 #: Documents of a container's range, and the most that it lists one by one.
 RANGE, ARRAY_MOST = 1 << 16, 4096
 CACHE_SEGMENTS = 300_000
@@ -246,6 +246,8 @@ def _entries(path_a: str, path_b: str):
 
         import numpy as np
 
+        from heronlake.llm.tokens import groups_of
+
         made = aligner(path_a, path_b)
         gc.disable()  # the cache's many small tuples hold no cycles
 
@@ -262,21 +264,22 @@ def _entries(path_a: str, path_b: str):
 
         links, rows, held = [], [], 0
         for pdf in batches:
-            out: list[dict] = []
-            for doc_id, row, parts in zip(pdf["doc_id"], pdf["row"], made.texts(pdf["text"].tolist())):
-                doc = {"kind": "doc", "doc_id": doc_id, "row": row, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": ""}
-                if parts:
-                    a, b, groups, shown, linked = zip(*parts)
-                    n = sum(groups)
-                    doc |= {"n_a": sum(a), "n_b": sum(b), "n_groups": n, "n_links": n, "groups_sha256": hashlib.sha256(b";".join(shown)).hexdigest()}
-                    links.append(b"".join(linked))
-                    rows.append(row)
-                    held += n
-                out.append(doc)
-                if held > HELD_LINKS:
-                    out += postings(links, rows)
-                    links, rows, held = [], [], 0
-            if out:
+            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+            for part in groups_of(texts, 1_000_000):  # the segments of a whole batch would be many small objects
+                out: list[dict] = []
+                for doc_id, row, parts in zip(pdf["doc_id"].iloc[part], pdf["row"].iloc[part], made.texts(texts[part])):
+                    doc = {"kind": "doc", "doc_id": doc_id, "row": row, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": ""}
+                    if parts:
+                        a, b, groups, shown, linked = zip(*parts)
+                        n = sum(groups)
+                        doc |= {"n_a": sum(a), "n_b": sum(b), "n_groups": n, "n_links": n, "groups_sha256": hashlib.sha256(b";".join(shown)).hexdigest()}
+                        links.append(b"".join(linked))
+                        rows.append(row)
+                        held += n
+                    out.append(doc)
+                    if held > HELD_LINKS:
+                        out += postings(links, rows)
+                        links, rows, held = [], [], 0
                 yield _frame(out)
         if links:
             yield _frame(postings(links, rows))
