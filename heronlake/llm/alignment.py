@@ -23,10 +23,10 @@ from heronlake.llm.shared import fresh_path, release, stage
 from heronlake.llm.tokens import _ODD_ASCII, _ODD_SPACE
 
 #: Buckets of pairs: the vocabularies bound the pairs of a bucket. Links gathered before a task packs them.
-BUCKETS, HELD_LINKS = 64, 1_000_000
+BUCKETS, HELD_LINKS = 64, 2_000_000
 #: Documents of a container's range, and the most that it lists one by one.
 RANGE, ARRAY_MOST = 1 << 16, 4096
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS = 400_000
 _SEGMENT = re.compile(r"[ \t\n]*[^ \t\n]+|[ \t\n]+\Z")
 #: The same, cut also between a letter and a mark, where byte-level BPE never merges.
 _FINER = re.compile(r"[ \t\n]*[^ \t\n.,;:!?]*[^\W\d_](?=[.,;:!?])|" + _SEGMENT.pattern)
@@ -159,7 +159,9 @@ class Postings:
     def _from_keys(cls, pairs, keys):
         import numpy as np
 
-        places, sizes = np.unique(keys >> 16, return_counts=True)
+        place = keys >> 16  # sorted
+        begin = np.flatnonzero(np.diff(place, prepend=-1))
+        places, sizes = place[begin], np.diff(begin, append=len(place))
         return cls(pairs[places >> 8], (places & 0xFF).astype("u1"), sizes.astype("<i8"), (keys & 0xFFFF).astype("<u2"))
 
     @classmethod
@@ -171,13 +173,15 @@ class Postings:
         planes, sizes = np.concatenate([p.planes for p in many]), np.concatenate([p.sizes for p in many])
         place = (number.astype(np.int64) << 8) | planes
         keys = (np.repeat(place, sizes) << 16) | np.concatenate([p.lows for p in many])
-        return cls._from_keys(pairs, np.unique(keys))
+        keys.sort(kind="stable")  # runs that are sorted already are merged
+        return cls._from_keys(pairs, keys[np.diff(keys, prepend=-1) > 0])
 
     def counts(self):
         """(pairs, documents, links): popcount of the planes' union, and popcounts weighted by the planes."""
         import numpy as np
 
-        pairs, number = np.unique(self.pairs, return_inverse=True)
+        begin = np.diff(self.pairs, prepend=~self.pairs[:1]) != 0  # pairs are sorted
+        pairs, number = self.pairs[begin], np.cumsum(begin) - 1
         weighted = np.bincount(number, self.sizes << self.planes.astype(np.int64), len(pairs)).astype(np.int64)
         union = np.unique((np.repeat(number.astype(np.int64), self.sizes) << 16) | self.lows)
         return pairs, np.bincount(union >> 16, minlength=len(pairs)), weighted
@@ -265,7 +269,7 @@ def _entries(path_a: str, path_b: str):
         links, rows, held = [], [], 0
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            for part in groups_of(texts, 1_000_000):  # the segments of a whole batch would be many small objects
+            for part in groups_of(texts, 2_000_000):  # the segments of a whole batch would be many small objects
                 out: list[dict] = []
                 for doc_id, row, parts in zip(pdf["doc_id"].iloc[part], pdf["row"].iloc[part], made.texts(texts[part])):
                     doc = {"kind": "doc", "doc_id": doc_id, "row": row, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": ""}
