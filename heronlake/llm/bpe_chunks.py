@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronlake.llm.shared import fresh_path, release
+from heronlake.llm.shared import bitmap, fresh_path, release, stage, unstage
 
 #: Bytes: of the rolling window, of a chunk at least, at most, and (as a power of two) on average beyond the least.
 WINDOW, LEAST, MOST, MASK_BITS = 16, 128, 8192, 9
@@ -170,22 +170,15 @@ def shared_filter(texts: DataFrame) -> tuple[bytes, int]:
 
     Spark puts the bytes together; the driver gets at most MOST_FILTER_BITS / 8 of them, however many chunks there are.
     """
-    import numpy as np
-
-    from heronlake.llm.shared import stage, unstage
-
     places = texts.mapInPandas(_met, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     places = stage(places, "shared-chunks")
     bits = 1 << 12
     while bits < min(MOST_FILTER_BITS, 16 * places.count()):
         bits *= 2
     slot = F.col("h").bitwiseAND(F.lit(bits - 1))
-    words = places.select(F.shiftright(slot, 5).cast("int").alias("at"), F.expr("shiftleft(1L, cast(h & 31 AS int))").alias("bit"))
-    rows = words.groupBy("at").agg(F.bit_or("bit").alias("word")).toPandas()
-    out = np.zeros(bits // 32, "<u4")
-    out[rows["at"].to_numpy()] = rows["word"].to_numpy().astype("<u4")
+    out = bitmap(places.select(slot.alias("slot")), bits)
     unstage(places)
-    return out.tobytes(), bits - 1
+    return out, bits - 1
 
 
 _ENTRY = "kind string, doc_id string, root binary, seq int, digest binary, head string, middle binary, tail string, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -12,7 +12,6 @@ of bounded size, which let a few others through; exact counts leave those out ag
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -20,13 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heronlake.llm.shared import release, stage, unstage
+from heronlake.llm.shared import bitmap, release, stage, unstage
 
 LEAST_COUNT, LEAST_COVER, TOP, SCALE = 10, 50, 2000, 1_000_000
 #: Words a task holds before it counts them; bits of a filter for each key, and at most (8 MB).
 BLOCK_WORDS, KEY_BITS, MOST_FILTER_BITS = 2_000_000, 16, 1 << 26
-#: 32-bit words of a filter that a task packs at once, as a power of two: 128 KB.
-FILTER_BLOCK = 15
 #: Candidates of two words that reach the first bar, in multiples of TOP; each round has this many times more.
 FIRST, WIDER = 2, 8
 _BREAK = 0xFF  # no byte of UTF-8
@@ -44,27 +41,13 @@ def chained(left: Column, right: Column) -> Column:
 
 def key_filter(hashes: DataFrame) -> bytes:
     """A Bloom filter of the distinct column ``h`` with two probes. Spark ORs and packs the bits; the driver gets MOST_FILTER_BITS / 8 bytes at most."""
-    import numpy as np
-
     bits = 1 << 12
     count = hashes.count()
     while bits < min(MOST_FILTER_BITS, KEY_BITS * count):
         bits *= 2
     slots = [F.col("h").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(bits - 1))]
     probes = hashes.select(F.explode(F.array(*slots)).alias("slot"))
-    words = probes.select(F.shiftright("slot", 5).cast("int").alias("at"), F.expr("shiftleft(1L, cast(slot & 31 AS int))").alias("bit"))
-    words = words.groupBy("at").agg(F.bit_or("bit").alias("word")).withColumn("block", F.shiftright("at", FILTER_BLOCK))
-
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = np.zeros(1 << FILTER_BLOCK, "<u4")
-        own[pdf["at"].to_numpy() & (len(own) - 1)] = pdf["word"].to_numpy().astype("<u4")
-        return pd.DataFrame({"block": [key[0]], "packed": [zlib.compress(own.tobytes(), 1)]})
-
-    out = np.zeros(bits // 32, "<u4")
-    for row in words.groupBy("block").applyInPandas(pack, "block int, packed binary").collect():
-        own = np.frombuffer(zlib.decompress(row["packed"]), "<u4")[: len(out)]
-        out[row["block"] << FILTER_BLOCK :][: len(own)] = own
-    return out.tobytes()
+    return bitmap(probes, bits)
 
 
 class Filter:

@@ -74,6 +74,35 @@ def release() -> None:
         pass
 
 
+#: 32-bit words of a bitmap that a task packs at once, as a power of two: 128 KB.
+BITMAP_BLOCK = 15
+
+
+def bitmap(slots: DataFrame, bits: int) -> bytes:
+    """The bitmap of ``bits`` (a power of two of at least 32) bits whose places stand in the column ``slot``.
+
+    Spark ORs the bits and packs them in tasks, so the driver gets a row for each 128 KB, however many places there are.
+    """
+    import zlib
+
+    import numpy as np
+    import pandas as pd
+
+    words = slots.select(F.shiftright("slot", 5).cast("int").alias("at"), F.expr("shiftleft(1L, cast(slot & 31 AS int))").alias("bit"))
+    words = words.groupBy("at").agg(F.bit_or("bit").alias("word")).withColumn("block", F.shiftright("at", BITMAP_BLOCK))
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(1 << BITMAP_BLOCK, "<u4")
+        own[pdf["at"].to_numpy() & (len(own) - 1)] = pdf["word"].to_numpy().astype("<u4")
+        return pd.DataFrame({"block": [key[0]], "packed": [zlib.compress(own.tobytes(), 1)]})
+
+    out = np.zeros(bits // 32, "<u4")
+    for row in words.groupBy("block").applyInPandas(pack, "block int, packed binary").collect():
+        own = np.frombuffer(zlib.decompress(row["packed"]), "<u4")[: len(out)]
+        out[row["block"] << BITMAP_BLOCK :][: len(own)] = own
+    return out.tobytes()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underlines added until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
