@@ -11,24 +11,26 @@ from heronlake.functions.text import canonical_scope, content_terms, norm_text,
 SCOPE = ["class", "subject"]
 
 
-def _tokens(chunks: DataFrame) -> DataFrame:
+def chunk_tokens(chunks: DataFrame) -> DataFrame:
     """Chunks with their tokens of text, chapter and section, and their length, at least one."""
     text = F.concat_ws(" ", "text", "chapter", "section")
     tokens = chunks.select(*SCOPE, "chunk_id", "chunk_type", search_tokens(text).alias("tokens"))
     return tokens.withColumn("len", F.greatest(F.size("tokens"), F.lit(1)))
 
 
-def bm25_index(chunks: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def postings_of(tokens: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, term, chunk_id, chunk_type, len, tf: how often each chunk has each term."""
+    listed = tokens.select(*by, "chunk_id", "chunk_type", "len", F.explode("tokens").alias("term"))
+    return listed.groupBy(*by, "term", "chunk_id", "chunk_type", "len").agg(F.count("*").alias("tf"))
+
+
+def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, term document frequencies, scope statistics), all per class and subject.
 
-    A chunk counts at least one token of length; parents are included. With ``terms`` (scope, term), only their postings
-    and frequencies are made: other tokens go before anything is grouped or shuffled.
+    A chunk counts at least one token of length; parents are included. ``sources.lexical_index`` keeps them by scope.
     """
-    tokens = _tokens(chunks)
-    listed = tokens.select(*SCOPE, "chunk_id", "chunk_type", "len", F.explode("tokens").alias("term"))
-    if terms is not None:
-        listed = listed.join(terms, [*SCOPE, "term"], "left_semi")
-    postings = listed.groupBy(*SCOPE, "term", "chunk_id", "chunk_type", "len").agg(F.count("*").alias("tf"))
+    tokens = chunk_tokens(chunks)
+    postings = postings_of(tokens, SCOPE)
     frequencies = postings.groupBy(*SCOPE, "term").agg(F.count("*").alias("df"))
     stats = tokens.groupBy(*SCOPE).agg(F.count("*").alias("docs"), F.avg("len").alias("avgdl"))
     return postings, frequencies, stats
@@ -38,14 +40,25 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 10, include_parents: bool = False, config: Config = DEFAULT) -> DataFrame:
+def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 10, include_parents: bool = False, config: Config = DEFAULT, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """query_id, chunk_id, score (4 digits), rank of the k best of each query within its class and subject.
 
-    Only the queries' own terms are indexed: tokens meet the distinct query terms on (scope, term).
+    With ``index``, as ``sources.lexical_index`` opens it after a refresh from ``chunks``, only the files of the queries'
+    scopes are read, and no chunk. Without it only the queries' own terms are indexed: other tokens go before the shuffle.
     """
     terms = queries.select("query_id", *SCOPE, F.explode(F.array_distinct(search_tokens(F.col("query")))).alias("term"))
-    postings, frequencies, stats = bm25_index(chunks, terms.select(*SCOPE, "term").distinct())
-    met = postings.join(terms, [*SCOPE, "term"]).join(frequencies, [*SCOPE, "term"]).join(stats, SCOPE)
+    terms = terms.where(F.col("class").isNotNull() & F.col("subject").isNotNull())
+    if index is not None:
+        # terms carry their scope's folder, by which Spark prunes the files of the postings
+        terms = terms.join(index["stats"].where("docs > 0").select("scope", *SCOPE), SCOPE).select("query_id", "scope", "term")
+        met = index["postings"].join(terms, ["scope", "term"]).join(index["frequencies"], ["scope", "term"]).join(index["stats"].select("scope", "docs", "avgdl"), "scope")
+    else:
+        tokens, wanted = chunk_tokens(chunks), [*SCOPE, "term"]
+        listed = tokens.select(*SCOPE, "chunk_id", "chunk_type", "len", F.explode("tokens").alias("term")).join(terms.select(*wanted).distinct(), wanted, "left_semi")
+        postings = listed.groupBy(*wanted, "chunk_id", "chunk_type", "len").agg(F.count("*").alias("tf"))
+        frequencies = postings.groupBy(*wanted).agg(F.count("*").alias("df"))
+        stats = tokens.groupBy(*SCOPE).agg(F.count("*").alias("docs"), F.avg("len").alias("avgdl"))
+        met = postings.join(terms, wanted).join(frequencies, wanted).join(stats, SCOPE)
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("len") / F.col("avgdl")))
     scored = met.groupBy("query_id", "chunk_id", "chunk_type").agg(F.round(F.sum(part), 4).alias("score")).where("score > 0")
@@ -224,10 +237,10 @@ def compress_context(queries: DataFrame, hits: DataFrame, budget: int = DEFAULT.
     return g.withColumn("f", F.aggregate("all", first, fit)).select("query_id", F.col("f.n").alias("tokens"), F.col("f.b").alias("blocks"))
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, on: list[str] | None = None, config: Config = DEFAULT) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, on: list[str] | None = None, config: Config = DEFAULT, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """Dense and lexical legs, fused, reranked and gated: query_id, chunk_id, score, fused_rank, rank."""
     dense = dense_search(queries, chunks, config.leg_k, on)
-    lexical = bm25_search(queries, chunks, config.leg_k, config=config)
+    lexical = bm25_search(queries, chunks, config.leg_k, config=config, index=index)
     best = rerank(queries, rrf_fuse(dense, lexical, config.rrf_k, config.pool), chunks, config.context_chunks, config)
     meta = chunks.select("chunk_id", "class", "subject", "unit", "corpus", "source_type")
     scope = queries.select("query_id", "class", "subject", F.lit(None).cast("string").alias("unit"))
