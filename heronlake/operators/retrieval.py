@@ -51,7 +51,9 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 10, include_pare
     if index is not None:
         # terms carry their scope's folder, by which Spark prunes the files of the postings
         terms = terms.join(index["stats"].where("docs > 0").select("scope", *SCOPE), SCOPE).select("query_id", "scope", "term")
-        met = index["postings"].join(terms, ["scope", "term"]).join(index["frequencies"], ["scope", "term"]).join(index["stats"].select("scope", "docs", "avgdl"), "scope")
+        postings = index["postings"].join(terms.select("scope", "term").distinct(), ["scope", "term"], "left_semi")
+        frequencies = postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
+        met = postings.join(terms, ["scope", "term"]).join(frequencies, ["scope", "term"]).join(index["stats"].select("scope", "docs", "avgdl"), "scope")
     else:
         tokens, wanted = chunk_tokens(chunks), [*SCOPE, "term"]
         listed = tokens.select(*SCOPE, "chunk_id", "chunk_type", "len", F.explode("tokens").alias("term")).join(terms.select(*wanted).distinct(), wanted, "left_semi")

@@ -76,9 +76,9 @@ def _index(spark, sf, c):
 @query("r02_bm25_index", sql=_sql([_BM25], "SELECT class, subject, term, count(*) AS df, sum(tf) AS tf, max(dl) AS longest FROM posts GROUP BY ALL"))
 def r02(spark, sf):
     index = _index(spark, sf, chunks(spark, sf))
-    terms = index["postings"].groupBy("scope", "term").agg(F.sum("tf").alias("tf"), F.max("len").alias("longest"))
+    terms = index["postings"].groupBy("scope", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.max("len").alias("longest"))
     scopes = index["stats"].where("docs > 0").select("scope", "class", "subject")
-    return terms.join(index["frequencies"], ["scope", "term"]).join(scopes, "scope").select("class", "subject", "term", "df", "tf", "longest")
+    return terms.join(scopes, "scope").select("class", "subject", "term", "df", "tf", "longest")
 
 
 @query("r03_bm25_search", sql=_sql([_BM25], "SELECT * FROM lexical"))

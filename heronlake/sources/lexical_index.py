@@ -1,4 +1,4 @@
-"""A kept lexical index: postings, term frequencies and statistics by scope, of which a refresh rebuilds stale scopes only."""
+"""A kept lexical index: postings by scope, of which a refresh rebuilds stale scopes only, and a log of scope statistics."""
 
 from __future__ import annotations
 
@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronlake.operators.retrieval import SCOPE, chunk_tokens, postings_of
-from heronlake.sources.staging import remove, written
+from heronlake.sources.staging import written
 
 _SCHEMAS = {
     "postings": "term string, chunk_id string, chunk_type string, len int, tf long, scope string",
-    "frequencies": "term string, df long, scope string",
-    "stats": "class string, subject string, docs long, avgdl double, cache_key string, scope string",
+    "stats": "scope string, class string, subject string, docs long, avgdl double, cache_key string, version long",
 }
 _READ = ("chunk_id", "chunk_type", "text", "chapter", "section", "source_hash")
 
@@ -30,43 +29,41 @@ def content_keys(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(scope_key().alias("scope"), *SCOPE).agg(F.concat_ws("-", F.count("*"), F.sum(row)).alias("cache_key"))
 
 
-def _write(df: DataFrame, path: str, name: str, order: list[str]) -> None:
-    """Replace the scopes that ``df`` has rows of. Files hold few scopes, and a large scope is several files."""
-    even = df.sparkSession.sql("SELECT /*+ REBALANCE(scope) */ * FROM {df}", df=df).sortWithinPartitions(*order)
-    even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scope").parquet(f"{path}/{name}")
-
-
 def open_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The index's tables by name; before the first refresh they are empty."""
+    """postings and stats, one row a scope: the last of its log. Before the first refresh both are empty."""
     files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/stats")
-    if not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
-        return {name: spark.createDataFrame([], schema) for name, schema in _SCHEMAS.items()}
-    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in _SCHEMAS.items()}
+    there = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files)
+    out = {name: spark.read.schema(schema).parquet(f"{path}/{name}") if there else spark.createDataFrame([], schema) for name, schema in _SCHEMAS.items()}
+    last = out["stats"].groupBy("scope").agg(F.max_by(F.struct(*SCOPE, "docs", "avgdl", "cache_key"), "version").alias("s"), F.max("version").alias("version"))
+    return out | {"stats": last.select("scope", "s.*", "version")}
 
 
 def refresh(chunks: DataFrame, path: str) -> DataFrame:
     """Bring the index at ``path`` up to date and return what was rebuilt: scope, class, subject, cache_key.
 
-    Scopes whose key is the stored one are not read again. Statistics, which hold the key, are written last: a refresh
-    that dies leaves its scopes stale, and the next rebuilds them. A scope that lost all its chunks keeps a row with no
-    chunks and a null key, which no search meets. One refresh at a time; repeated chunk ids count together.
+    Scopes whose key is the stored one are not read again. Statistics, which hold the key, are appended to their log last:
+    a refresh that dies leaves its scopes stale, and the next rebuilds them. A scope that lost all its chunks gets a row
+    with no chunks and a null key, which no search meets. One refresh at a time; repeated chunk ids count together.
     """
     spark = chunks.sparkSession
-    stored, now = open_index(spark, path)["stats"], content_keys(chunks)
-    changed = written(now.join(stored.select("scope", "cache_key"), ["scope", "cache_key"], "left_anti").select("scope", *SCOPE, "cache_key"), "stale-scopes")
+    stored = open_index(spark, path)["stats"]
+    now = written(content_keys(chunks), "scope-keys")
+    changed = now.join(stored.select("scope", "cache_key"), ["scope", "cache_key"], "left_anti").select("scope", *SCOPE, "cache_key")
     gone = stored.where("docs > 0").join(now.select("scope"), "scope", "left_anti").select("scope", *SCOPE)
-    gone = gone.select(*SCOPE, F.lit(0).cast("long").alias("docs"), F.lit(None).cast("double").alias("avgdl"), F.lit(None).cast("string").alias("cache_key"), "scope")
-    if changed.isEmpty():
-        if not gone.isEmpty():
-            _write(written(gone, "gone-scopes"), path, "stats", ["scope"])
+    changed = written(changed, "stale-scopes")
+    log = gone.select("*", F.lit(0).cast("long").alias("docs"), F.lit(None).cast("double").alias("avgdl"), F.lit(None).cast("string").alias("cache_key"))
+    if not changed.isEmpty():
+        stale = chunks.withColumn("scope", scope_key()).join(changed.select("scope"), "scope", "left_semi")
+        tokens = written(chunk_tokens(stale).withColumn("scope", scope_key()), "scope-tokens")
+        postings = postings_of(tokens, ["scope"]).select("term", "chunk_id", "chunk_type", "len", "tf", "scope")
+        # files hold few scopes, and a large scope is several files
+        even = spark.sql("SELECT /*+ REBALANCE(scope) */ * FROM {p}", p=postings).sortWithinPartitions("scope", "term")
+        even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scope").parquet(f"{path}/postings")
+        stats = tokens.groupBy("scope").agg(F.count("*").alias("docs"), F.avg("len").alias("avgdl")).join(changed, "scope")
+        log = log.unionByName(stats.select("scope", *SCOPE, "docs", "avgdl", "cache_key"))
+    elif gone.isEmpty():
         return changed
-    stale = chunks.withColumn("scope", scope_key()).join(changed.select("scope"), "scope", "left_semi")
-    tokens = written(chunk_tokens(stale).withColumn("scope", scope_key()), "scope-tokens")
-    _write(postings_of(tokens, ["scope"]).select("term", "chunk_id", "chunk_type", "len", "tf", "scope"), path, "postings", ["scope", "term"])
-    fresh = spark.read.schema(_SCHEMAS["postings"]).parquet(f"{path}/postings").join(changed.select("scope"), "scope", "left_semi")
-    _write(fresh.groupBy("scope", "term").agg(F.count("*").alias("df")).select("term", "df", "scope"), path, "frequencies", ["scope", "term"])
-    stats = tokens.groupBy("scope").agg(F.count("*").alias("docs"), F.avg("len").alias("avgdl")).join(changed, "scope")
-    stats = stats.select(*SCOPE, "docs", "avgdl", "cache_key", "scope").unionByName(gone)
-    _write(written(stats, "scope-stats"), path, "stats", ["scope"])  # read from the table it replaces, hence written before
-    remove(tokens)
+    version = (stored.agg(F.max("version")).first()[0] or 0) + 1
+    log = written(log.withColumn("version", F.lit(version).cast("long")), "scope-stats")  # it reads the log that it goes to
+    log.coalesce(1).write.mode("append").parquet(f"{path}/stats")
     return changed

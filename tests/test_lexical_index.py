@@ -31,12 +31,12 @@ def test_a_changed_scope_alone_is_rebuilt_and_a_lost_one_is_met_no_more(spark):
     assert open_index(spark, path)["stats"].count() == 0
     assert refresh(_chunks(spark), path).count() == 6
     assert refresh(_chunks(spark), path).count() == 0
-    before = _files(path)
+    before = _files(f"{path}/postings")
     assert _rows(retrieval.bm25_search(q, _chunks(spark), 3, index=open_index(spark, path))) == _rows(retrieval.bm25_search(q, _chunks(spark), 3))
 
     new = _chunks(spark, "streams")
     assert [(r["class"], r["subject"]) for r in refresh(new, path).collect()] == [("a", "x")]
-    after = _files(path)
+    after = _files(f"{path}/postings")
     touched = {f.split("/")[-2] for f in before.keys() ^ after.keys()}
     assert len(touched) == 1 and all(after[f] == t for f, t in before.items() if f in after)
     assert _rows(retrieval.bm25_search(q, new, 3, index=open_index(spark, path))) == _rows(retrieval.bm25_search(q, new, 3))
