@@ -126,21 +126,54 @@ def merge_by_id(rows: DataFrame, id_col: str = "id", tie: str = "chunk_id") -> D
     return top(rows, [id_col], [F.desc("confidence"), F.asc(tie)], 1, "_k").drop("_k")
 
 
+ACRONYM = r"^[A-Z]{2,6}$"
+
+
 def acronym_aliases(nodes: DataFrame, least: float = 0.5) -> DataFrame:
     """id, canonical_id: an acronym joins the names whose initials it is, within one scope and type.
 
-    An equi join on initials, not a comparison of pairs. As an acronym group is a star around one spelling, its
-    component is that spelling's group: the longest name is canonical, then the most confident, then the first by name.
+    An equi join on initials, not a comparison of pairs. A name has one key (its initials, or itself if it is an
+    acronym), so the names that links connect are those of one key, and no rounds over links are needed. The longest
+    name is canonical, then the most confident, then the first by name. Nodes below ``least``, or without a name,
+    confidence or initials, are in no group; a null scope is a scope of its own.
     """
     scope = ["scope", "type"]
-    n = nodes.where(F.col("confidence") >= least)
-    words = F.filter(F.split(F.trim("name"), r"[\s_-]+"), lambda w: w != "")
+    words = F.filter(F.split(F.trim("name"), r"\s+"), lambda w: w != "")
     initials = F.when(F.size(words) >= 2, F.upper(F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")))
-    keyed = n.withColumn("key", F.coalesce(initials, F.when(F.col("name").rlike(r"^[A-Z]{2,6}$"), F.col("name"))))
-    keyed = keyed.where("key IS NOT NULL").withColumn("short", F.col("name").rlike(r"^[A-Z]{2,6}$"))
+    short = F.col("name").rlike(ACRONYM)
+    n = nodes.where(F.col("confidence") >= least).select("id", *scope, "name", "confidence", F.coalesce(initials, F.when(short, F.col("name"))).alias("key"), short.alias("short")).where("key IS NOT NULL")
     order = F.struct((-F.length("name")).alias("a"), (-F.col("confidence")).alias("b"), "name", "id")
-    g = keyed.groupBy(*scope, "key").agg(F.bool_or("short").alias("has_short"), F.count_if(~F.col("short")).alias("long"), F.min(order).alias("m")).where("has_short AND long > 0")
-    return keyed.join(g.select(*scope, "key", F.col("m.id").alias("canonical_id")), [*scope, "key"]).select("id", "canonical_id")
+    g = n.groupBy(*scope, "key").agg(F.bool_or("short").alias("has_short"), F.count_if(~F.col("short")).alias("long"), F.min(order).alias("m")).where("has_short AND long > 0")
+    g = g.select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("key").alias("_key"), F.col("m.id").alias("canonical_id"))
+    met = F.col("key") == F.col("_key")
+    for c in scope:
+        met = met & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return n.join(g, met).select("id", "canonical_id")
+
+
+def merged_nodes(nodes: DataFrame, id_map: DataFrame) -> DataFrame:
+    """``nodes`` (id, name, confidence, aliases) with one row for each group of ``id_map``: the canonical node's.
+
+    It has the greatest confidence of its members, and as aliases, sorted, all their aliases and the other members'
+    names but its own name. Nodes outside the map stay as they are. Labels are made distinct before they are gathered,
+    so a row holds what its node holds. Null aliases count as none; other columns are the canonical node's.
+    """
+    m = id_map.select("id", "canonical_id").distinct()
+    members = nodes.select("id", "name", "confidence", "aliases").join(m, "id")
+    labels = members.select("canonical_id", F.explode(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("name"))).alias("label")).where("label IS NOT NULL").distinct()
+    gathered = labels.groupBy("canonical_id").agg(F.sort_array(F.collect_list("label")).alias("_labels"))
+    best = members.groupBy("canonical_id").agg(F.max("confidence").alias("_best"))
+    merged = best.join(gathered, "canonical_id", "left").withColumnRenamed("canonical_id", "id")
+    rows = nodes.select("id", F.struct("*").alias("node")).join(m.where("id <> canonical_id").select("id"), "id", "left_anti").join(merged, "id", "left")
+    own = F.coalesce(F.filter("_labels", lambda x: ~x.eqNullSafe(F.col("node.name"))), F.array().cast("array<string>"))
+    changed = {"aliases": F.when(F.col("_best").isNotNull(), own).otherwise(F.col("node.aliases")), "confidence": F.coalesce("_best", "node.confidence")}
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(f"node.`{c}`") for c in nodes.columns])
+
+
+def merges(nodes: DataFrame, id_map: DataFrame) -> DataFrame:
+    """from_id, to_id, alias: each node that went into another, with the name it had."""
+    m = id_map.where("id <> canonical_id").select(F.col("id").alias("from_id"), F.col("canonical_id").alias("to_id")).distinct()
+    return m.join(nodes.select(F.col("id").alias("from_id"), F.col("name").alias("alias")), "from_id").select("from_id", "to_id", "alias")
 
 
 def remap_edges(edges: DataFrame, id_map: DataFrame) -> DataFrame:

@@ -64,6 +64,30 @@ def g07(spark, sf):
     return G.acronym_aliases(_names(spark, sf))
 
 
+def _labelled(spark, sf):
+    """The names, each with its upper-case form as alias; every fifth with none."""
+    n = _names(spark, sf)
+    return n.withColumn("aliases", F.when(F.length("name") % 5 != 0, F.array(F.upper("name"))))
+
+
+_LABELS = f"""WITH {_ALIAS}, nl AS (SELECT *, CASE WHEN length(name) % 5 <> 0 THEN [upper(name)] END AS aliases FROM nm),
+    mem AS (SELECT canonical_id, nl.* FROM nl JOIN al USING (id)),
+    lab AS (SELECT DISTINCT canonical_id, unnest(list_append(coalesce(aliases, []), name)) AS label FROM mem),
+    gat AS (SELECT canonical_id, list(label ORDER BY label) AS labels FROM lab GROUP BY 1), best AS (SELECT canonical_id, max(confidence) AS best FROM mem GROUP BY 1)"""
+
+
+@query("g07_merged_nodes", sql=f"{_LABELS} SELECT nl.id, scope, 'CONCEPT' AS type, name, coalesce(best, confidence) AS confidence, CASE WHEN best IS NOT NULL THEN list_filter(labels, lambda x: x <> name) ELSE aliases END AS aliases FROM nl LEFT JOIN best b ON b.canonical_id = nl.id LEFT JOIN gat g ON g.canonical_id = nl.id WHERE nl.id NOT IN (SELECT id FROM al WHERE id <> canonical_id)")
+def g07_merged(spark, sf):
+    n = _labelled(spark, sf)
+    return G.merged_nodes(n, G.acronym_aliases(n))
+
+
+@query("g07_merges", sql=f"WITH {_ALIAS} SELECT id AS from_id, canonical_id AS to_id, name AS alias FROM al JOIN nm USING (id) WHERE id <> canonical_id")
+def g07_merges(spark, sf):
+    n = _names(spark, sf)
+    return G.merges(n, G.acronym_aliases(n))
+
+
 def _part_edges(spark, sf):
     l = table(spark, sf, "lineitem")
     return l.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("source"), F.lit("RELATED_TO").alias("relation"), F.concat(F.lit("p"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 2000).cast("string")).alias("target"), F.col("l_discount").alias("confidence"))
