@@ -84,15 +84,28 @@ def plain_text_to_elements(docs: DataFrame, most: int = CHUNK_MAX) -> DataFrame:
     return g.select("document_id", F.row_number().over(Window.partitionBy("document_id").orderBy("i")).alias("ord"), "page_number", named.alias("type"), F.when(F.col("kind") == "list_item", F.regexp_replace("text", r"^[-*•]\s+", "")).otherwise(F.col("text")).alias("text"))
 
 
-def heading_path(elements: DataFrame) -> DataFrame:
-    """Elements with path: a heading at level k cuts the stack to k - 1 and is pushed after it; a heading carries its parents' path."""
-    h = elements.where("type = 'heading'").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("heading_level", F.lit(1)).alias("level"), "text"))).alias("hs"))
-    j = elements.join(h, "document_id", "left")
-    before = F.filter("hs", lambda x: x["ord"] < F.col("ord"))
-    push = lambda a, x: F.concat(F.filter(a, lambda y: y["level"] < x["level"]), F.array(F.struct(x["level"].alias("level"), x["text"].alias("text"))))
-    stack = F.aggregate(F.coalesce(before, F.array().cast("array<struct<ord int, level int, text string>>")), F.array().cast("array<struct<level int, text string>>"), push)
-    own = F.when(F.col("type") == "heading", F.filter(stack, lambda y: y["level"] < F.coalesce("heading_level", F.lit(1)))).otherwise(stack)
-    return j.withColumn("path", F.transform(own, lambda x: x["text"])).drop("hs")
+HEADING_LEVELS = 9
+
+
+def heading_path(elements: DataFrame, levels: int = HEADING_LEVELS) -> DataFrame:
+    """Elements with path: the open headings above each, outermost first; a heading carries its parents' path.
+
+    A heading closes those of its own level and deeper. So the open one of a level is the last before the element,
+    unless a shallower one came after it: one running maximum for each level, over one window. Null levels are 1;
+    levels beyond ``levels`` (office formats end at 9) count as ``levels``, those below 1 as 1. Headings at one place
+    (equal ord) are read by level, at one level the greatest text stays, and none is above another. Rows of a null
+    document_id are one document.
+    """
+    before = Window.partitionBy("document_id").orderBy("ord").rangeBetween(Window.unboundedPreceding, -1)
+    heading = F.col("type").eqNullSafe(F.lit("heading"))
+    level = F.greatest(F.lit(1), F.least(F.lit(levels), F.coalesce("heading_level", F.lit(1))))
+    rows = elements.select("document_id", "ord", "text", F.when(heading, level).alias("level"), F.struct("*").alias("element"))
+    last = F.array(*[F.max(F.when(F.col("level") == k, F.struct("ord", "text"))).over(before) for k in range(1, levels + 1)])
+    rows = rows.select("element", "level", last.alias("last"))
+    shallower = lambda k: F.array_max(F.transform(F.slice("last", 1, k), lambda y: y["ord"]))
+    open_ = F.filter("last", lambda x, k: x.isNotNull() & (F.col("level").isNull() | (k + 1 < F.col("level"))) & F.coalesce(x["ord"] >= shallower(k), F.lit(True)))
+    rows = rows.select("element", F.transform(open_, lambda x: x["text"]).alias("path"))
+    return rows.select(*[F.col(f"element.`{c}`") for c in elements.columns if c != "path"], "path")
 
 
 def build_sections(elements: DataFrame) -> DataFrame:
