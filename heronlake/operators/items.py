@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,48 +36,42 @@ def carry_section(lines: DataFrame) -> DataFrame:
     return lines.withColumn("section", F.last(letter, ignorenulls=True).over(w))
 
 
-def _segment(rows: list[tuple]) -> list[tuple]:
-    """One document's items from (line, kind, section): a main opens, a lettered sub becomes its item, options attach, the rest continues."""
-    out: list[list] = []
-    main, open_ = None, None
-
-    def start(number: str, parent: str | None, text: str, section) -> list:
-        out.append([number, parent, text, [], section])
-        return out[-1]
-
-    for line, kind, section in rows:
-        text = line.strip()
-        if kind in ("section", "instruction", "blank"):
-            open_ = None if kind == "section" else open_
-        elif kind == "main" or kind == "number" and (main is None or not main.startswith("Q!")):
-            m = re.match(r"(?i)\s*(Q)?\s*\.?\s*(\d+)\s*[.:)]?\s*(.*)", line)
-            main = "Q" + m[2]
-            open_ = start(main, None, m[3], section)
-        elif kind == "sub" and main:
-            m = re.match(r"\s*\(([a-z])\)\s*(.*)", line)
-            open_ = start(f"{main}({m[1]})", main, m[2], section)
-        elif kind in ("option", "roman") and open_:
-            open_[3].append(re.sub(r"^\s*\(?\w+[.)]\s*", "", line).strip())
-        elif kind == "option_row" and open_:
-            open_[3] += [x.strip() for x in re.split(r"\s*\(?\b[a-d][).]\s*", line) if x.strip()]
-        elif open_:
-            open_[2] = f"{open_[2]} {text}".strip()
-    return [tuple(x) for x in out]
-
-
 def segment_questions(lines: DataFrame) -> DataFrame:
-    """document_id, ord, question_number, parent_question_number, text, options, section.
+    """document_id, ord (from 0), question_number, parent_question_number, text, options, section.
 
-    What a line means depends on the last opener, so a document's lines are folded together; documents are independent.
+    A main opens an item, a lettered sub opens one under the last main; until the next opener or section header, options
+    attach to the open item and other lines continue its text. A segmented scan: running counts and last values over a
+    document's lines tell each line its item, and items are put together from their own lines. Lines before the first
+    opener belong to no item, a sub without a main is no item; null lines count as blank, rows of a null document_id
+    are one document.
     """
-
-    @F.pandas_udf("array<struct<question_number string, parent_question_number string, text string, options array<string>, section string>>")
-    def run(rows: pd.Series) -> pd.Series:
-        names = ("question_number", "parent_question_number", "text", "options", "section")
-        return rows.map(lambda r: [dict(zip(names, q)) for q in _segment([(x["line"], x["kind"], x["section"]) for x in r])])
-
-    g = lines.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ord", "line", "kind", "section"))).alias("rows"))
-    return g.select("document_id", F.posexplode(run("rows")).alias("ord", "q")).select("document_id", "ord", "q.*")
+    rows = lines.select("document_id", "ord", "kind", "section", F.coalesce("line", F.lit("")).alias("line"))
+    upto = Window.partitionBy("document_id").orderBy("ord", "line").rowsBetween(Window.unboundedPreceding, 0)
+    kind = F.col("kind")
+    is_main = kind.isin("main", "number")
+    body = r"(?is)^\s*Q?\s*\.?\s*(\d+)\s*[.:)]?\s*(.*)$"
+    rows = rows.withColumn("main", F.last(F.when(is_main, F.concat(F.lit("Q"), F.regexp_extract("line", body, 1))), ignorenulls=True).over(upto))
+    opens = F.coalesce(is_main | ((kind == "sub") & F.col("main").isNotNull()), F.lit(False))
+    rows = rows.withColumn("opens", opens)
+    live = F.last(F.when(F.col("opens"), True).when(kind == "section", False), ignorenulls=True).over(upto)
+    rows = rows.withColumns({"item": F.sum(F.col("opens").cast("int")).over(upto), "live": live})
+    rows = rows.where("live AND (opens OR kind NOT IN ('section', 'instruction', 'blank'))")
+
+    letter = F.concat("main", F.lit("("), F.regexp_extract("line", r"^\s*\(([a-z])\)", 1), F.lit(")"))
+    sub_text = F.regexp_extract("line", r"(?s)^\s*\([a-z]\)\s*(.*)$", 1)
+    first = F.struct(F.when(is_main, F.col("main")).otherwise(letter).alias("question_number"), F.when(~is_main, F.col("main")).alias("parent"), F.when(is_main, F.regexp_extract("line", body, 2)).otherwise(sub_text).alias("text"), "section")
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    row_options = F.filter(F.transform(F.split("line", r"\s*\(?\b[a-d][).]\s*"), trimmed), lambda x: x != "")
+    option = F.when(kind.isin("option", "roman"), F.array(trimmed(F.regexp_replace("line", r"^\s*\(?\w+[.)]\s*", "")))).when(kind == "option_row", row_options)
+    more = ~F.col("opens") & ~F.coalesce(kind.isin("option", "roman", "option_row"), F.lit(False))
+    in_order = lambda when, value: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("ord", F.col("line").alias("l"), value.alias("v"))))), lambda x: x["v"])
+    g = rows.groupBy("document_id", "item").agg(
+        F.max(F.when(F.col("opens"), first)).alias("q"),
+        in_order(more, trimmed(F.col("line"))).alias("more"),
+        F.flatten(in_order(~F.col("opens") & option.isNotNull(), option)).alias("options"),
+    )
+    text = F.when(F.size("more") == 0, F.col("q.text")).otherwise(trimmed(F.array_join(F.concat(F.array("q.text"), F.col("more")), " ")))
+    return g.select("document_id", (F.col("item") - 1).cast("int").alias("ord"), "q.question_number", F.col("q.parent").alias("parent_question_number"), text.alias("text"), "options", "q.section")
 
 
 def split_option_row(text: Column) -> Column:

@@ -50,11 +50,6 @@ def _questions(spark, sf):
     return q.withColumn("marks", marks).withColumn("text", text)
 
 
-@query("q03_segment_questions")
-def q03(spark, sf):
-    return _questions(spark, sf)
-
-
 @query("q04_split_inline")
 def q04(spark, sf):
     lines = Q.classify_lines(_pages(spark, sf))
@@ -64,6 +59,30 @@ def q04(spark, sf):
 _MARK = r"(?i)(?:\[\s*([0-9]{1,2}(?:\.[0-9])?)\s*(?:marks?)?\s*\]|\(\s*([0-9]{1,2}(?:\.[0-9])?)\s*marks?\s*\)|marks?\s*=\s*([0-9]{1,2}(?:\.[0-9])?))\s*$"
 
 
+_BARE = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_OPTION = _BARE.format(r"regexp_replace(line, '^\s*\(?\w+[.)]\s*', '')")
+
+
+@query("q03_segment_questions", sql=with_tables("page_text", then=rf""", {_LINES},
+    kd AS (SELECT document_id, ord, line, {_KIND} AS kind FROM ln),
+    mn AS (SELECT *, last_value(CASE WHEN kind = 'section' THEN upper(regexp_extract(line, '(?i)(section|part)\s*[-:]?\s*([A-Z])\b', 2)) END IGNORE NULLS) OVER w AS section,
+      last_value(CASE WHEN kind IN ('main', 'number') THEN 'Q' || regexp_extract(line, '[0-9]+') END IGNORE NULLS) OVER w AS main FROM kd WINDOW w AS (PARTITION BY document_id ORDER BY ord)),
+    op AS (SELECT *, kind IN ('main', 'number') OR kind = 'sub' AND main IS NOT NULL AS opens FROM mn),
+    it AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER w AS item, last_value(CASE WHEN opens THEN 1 WHEN kind = 'section' THEN 0 END IGNORE NULLS) OVER w AS live FROM op WINDOW w AS (PARTITION BY document_id ORDER BY ord)),
+    li AS (SELECT *, CASE WHEN kind = 'sub' THEN regexp_extract(line, '^\s*\([a-z]\)\s*(.*)$', 1) WHEN opens THEN regexp_extract(line, '(?i)^\s*Q?\s*\.?\s*[0-9]+\s*[.:)]?\s*(.*)$', 1) ELSE {_BARE.format('line')} END AS words,
+      CASE WHEN kind IN ('option', 'roman') THEN [{_OPTION}] WHEN kind = 'option_row' THEN list_filter(list_transform(string_split_regex(line, '\s*\(?\b[a-d][).]\s*'), lambda x: {_BARE.format('x')}), lambda x: x <> '') END AS options
+      FROM it WHERE live = 1 AND (opens OR kind NOT IN ('section', 'instruction', 'blank'))),
+    qs AS (SELECT document_id, item, max(CASE WHEN opens THEN CASE WHEN kind = 'sub' THEN main || '(' || regexp_extract(line, '\(([a-z])\)', 1) || ')' ELSE main END END) AS question_number,
+      max(CASE WHEN opens AND kind = 'sub' THEN main END) AS parent_question_number, max(CASE WHEN opens THEN section END) AS section,
+      CASE WHEN count(*) FILTER (NOT opens AND options IS NULL) = 0 THEN max(CASE WHEN opens THEN words END) ELSE {_BARE.format("string_agg(words, ' ' ORDER BY ord) FILTER (options IS NULL)")} END AS words,
+      coalesce(flatten(list(options ORDER BY ord) FILTER (options IS NOT NULL)), []) AS options FROM li GROUP BY ALL),
+    n AS (SELECT *, try_cast(coalesce({", ".join(f"nullif(regexp_extract(words, '{_MARK}', {k}), '')" for k in (1, 2, 3))}) AS DOUBLE) AS n FROM qs),
+    k AS (SELECT *, coalesce(n > 0 AND n <= 20 AND NOT regexp_matches(words, '[xX×*=]\s*[\[(]\s*[0-9]+\s*[\])]\s*$'), false) AS ok FROM n)
+    SELECT document_id, CAST(item - 1 AS INTEGER) AS ord, question_number, parent_question_number, CASE WHEN ok THEN trim(regexp_replace(words, '{_MARK}', ''), ' ') ELSE words END AS text, options, section, CASE WHEN ok THEN n END AS marks FROM k"""))
+def q03(spark, sf):
+    return _questions(spark, sf)
+
+
 @query("q05_parse_marks", sql=with_tables("page_text", then=f""", {_LINES}, m AS (SELECT *, try_cast(coalesce({", ".join(f"nullif(regexp_extract(line, '{_MARK}', {k}), '')" for k in (1, 2, 3))}) AS DOUBLE) AS n FROM ln),
     k AS (SELECT *, coalesce(n > 0 AND n <= 20 AND NOT regexp_matches(line, '[xX×*=]\\s*[\\[(]\\s*[0-9]+\\s*[\\])]\\s*$'), false) AS ok FROM m) SELECT document_id, ord, CASE WHEN ok THEN n END AS marks, CASE WHEN ok THEN trim(regexp_replace(line, '{_MARK}', ''), ' ') ELSE line END AS text FROM k"""))
 def q05(spark, sf):
