@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronlake.config import DEFAULT
-from heronlake.functions.text import content_terms, information_demand, norm_text, overlap_max, overlap_min, summary_trigger
+from heronlake.functions.text import content_terms, information_demand, norm_text, overlap_max, overlap_min, sentences, summary_trigger
 from heronlake.operators.retrieval import cosine, dense_search, dot, normalized, top
 
 
@@ -197,3 +197,43 @@ def corpus_contamination(corpus: DataFrame, benchmark: DataFrame, n: int = 8, le
     docs = corpus.withColumn("w", w).select("doc_id", F.explode(runs).alias("h"))
     met = docs.join(items.select("item_id", "runs", F.explode("r").alias("h")), "h").groupBy("doc_id", "item_id", "runs").agg(F.count("*").alias("shared"))
     return met.select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("runs"), 6).alias("coverage")).where(F.col("coverage") >= least)
+
+
+def corpus_restatements(corpus: DataFrame, benchmark: DataFrame, percent: int = 70, least: float = 0.5, shortest: int = 3) -> DataFrame:
+    """doc_id, item_id, restated, coverage of documents that restate at least ``least`` of an item's sentences.
+
+    A sentence restates another where they share ``percent`` of the content terms of the longer; sentences of fewer than
+    ``shortest`` terms say too little. No pair at the bound is lost: of n terms a partner shares n * percent / 100
+    rounded up, so both have one of the others plus one that are rarest in the benchmark, and sentences meet at these
+    alone. A document's terms that no item has come first in that order and meet nothing, so most sentences leave with
+    the terms' equi join. Equal term sets are compared once however often they stand in the corpus; shared terms are
+    counted exactly. Null or empty texts restate nothing; repeated rows and sentences count once; rows of a null id
+    are one document or item; other columns are ignored.
+    """
+
+    def said(rows: DataFrame, id_col: str) -> DataFrame:
+        one = rows.select(id_col, F.explode(F.array_distinct(sentences(F.col("text")))).alias("s")).select(id_col, F.array_sort(content_terms(F.col("s"))).alias("terms"))
+        return one.where(F.size("terms") >= shortest).withColumn("key", F.unhex(F.sha2(F.array_join("terms", " "), 256)))
+
+    def rarest(sets: DataFrame, counts: DataFrame) -> DataFrame:
+        known = sets.select("key", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(counts, "term")
+        place = known.groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("held", "term"))).alias("ts"))
+        # unknown terms, n - size(ts) of them, stand before all others; the first n - shared + 1 places are kept
+        free = F.size("ts") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+        return place.where(free > 0).select("key", "n", F.explode(F.transform(F.slice("ts", 1, free), lambda x: x["term"])).alias("term"))
+
+    docs, items = said(corpus, "doc_id"), said(benchmark, "item_id")
+    doc_sets, item_sets = (x.select("key", "terms").dropDuplicates(["key"]) for x in (docs, items))
+    counts = item_sets.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("held"))
+    a = rarest(doc_sets, counts).select("term", F.col("key").alias("d"), F.col("n").alias("dn"))
+    b = rarest(item_sets, counts).select("term", F.col("key").alias("i"), F.col("n").alias("bn"))
+    fits = F.least("dn", "bn") * 100 >= F.greatest("dn", "bn") * percent
+    met = a.join(b, "term").where(fits).select("d", "i").distinct()
+    held = met.join(doc_sets.select(F.col("key").alias("d"), F.col("terms").alias("x")), "d").join(item_sets.select(F.col("key").alias("i"), F.col("terms").alias("y")), "i")
+    same = held.where(F.size(F.array_intersect("x", "y")) * 100 >= F.greatest(F.size("x"), F.size("y")) * percent).select("d", "i")
+    in_items = items.select("item_id", F.col("key").alias("i")).distinct()
+    total = in_items.groupBy("item_id").agg(F.count("*").alias("said"))
+    # an item's sentence counts once for a document, whichever of the document's sentences restate it
+    hits = docs.select("doc_id", F.col("key").alias("d")).distinct().join(same, "d").select("doc_id", "i").distinct().join(in_items, "i")
+    found = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("restated")).join(total.withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item")))
+    return found.select("doc_id", "item_id", "restated", F.round(F.col("restated") / F.col("said"), 6).alias("coverage")).where(F.col("coverage") >= least)

@@ -138,3 +138,16 @@ _GRAMS = r"(SELECT {id}, list_distinct(list_transform(range(1, greatest(len(w) -
     SELECT doc_id, item_id, count(*) AS shared, round(count(*) / runs::DOUBLE, 6) AS coverage FROM d JOIN i USING (h) GROUP BY doc_id, item_id, runs HAVING round(count(*) / runs::DOUBLE, 6) >= 0.5""")
 def d16(spark, sf):
     return N.corpus_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+_SAID = r"""(SELECT DISTINCT {id}, t, array_to_string(t, ' ') AS k FROM (SELECT {id}, {terms} AS t FROM (SELECT {id}, unnest(regexp_extract_all(trim(regexp_replace(text, '\s+', ' ', 'g')), '([^.!?]+(?:[.!?]+["'')\]]*|$))', 1)) AS s FROM {table})) WHERE len(t) >= 3)"""
+
+
+@query("d16_corpus_restatements", sql=f"""
+    WITH d AS {_SAID.format(id='doc_id', terms=terms_sql('s'), table='documents')}, i AS {_SAID.format(id='item_id', terms=terms_sql('s'), table='benchmark')},
+    dt AS (SELECT k, len(t) AS n, unnest(t) AS term FROM (SELECT DISTINCT k, t FROM d)), it AS (SELECT k, len(t) AS n, unnest(t) AS term FROM (SELECT DISTINCT k, t FROM i)),
+    same AS (SELECT dt.k AS dk, it.k AS ik FROM dt JOIN it USING (term) GROUP BY dt.k, it.k, dt.n, it.n HAVING 100 * count(*) >= 70 * greatest(dt.n, it.n)),
+    hit AS (SELECT DISTINCT doc_id, ik FROM d JOIN same ON dk = d.k), own AS (SELECT DISTINCT item_id, k FROM i), n AS (SELECT item_id, count(*) AS n FROM own GROUP BY 1)
+    SELECT doc_id, item_id, count(*) AS restated, round(count(*) / n::DOUBLE, 6) AS coverage FROM hit JOIN own ON k = ik JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING round(count(*) / n::DOUBLE, 6) >= 0.5""")
+def d16_restatements(spark, sf):
+    return N.corpus_restatements(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
