@@ -38,7 +38,7 @@ def test_restatements_equal_all_pairs(spark, sf):
         # every sixth word goes, or the words turn round within their sentence's half
         docs.append((10_000 + i, " ".join(w for k, w in enumerate(words) if k % 6 or w[-1] in ".?!")))
         docs.append((20_000 + i, ". ".join(" ".join(reversed(s.split())) for s in re.split(r"[.?!]\s*", text))))
-    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string").repartition(8)
     got = pick(N.corpus_restatements(frame(docs, "doc_id"), frame(items, "item_id")))
     assert got == brute(spark, docs, items)
     copies = {(d, i) for d, i, _, _ in got}
@@ -48,7 +48,7 @@ def test_restatements_equal_all_pairs(spark, sf):
 def test_restatements_of_odd_rows(spark):
     items = [(1, "Plants turn sunlight into sugar. Roots drink water below ground."), (1, "Plants turn sunlight into sugar. Roots drink water below ground."), (2, None), (3, ""), (4, "Go on."), (None, "Rivers carry sand towards seas.")]
     docs = [(1, "Sugar, plants turn sunlight into!"), (1, "Sugar, plants turn sunlight into!"), (2, None), (3, ""), (4, "word " * 50_000 + ". Roots drink cold water below ground."), (5, "Plants like sunlight."), (None, "Towards seas rivers carry sand. Rivers carry sand towards seas.")]
-    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string").withColumns({"key": F.lit("x"), "terms": F.lit(1), "_item": F.lit(2)})
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string").repartition(4).withColumns({"key": F.lit("x"), "terms": F.lit(1), "_item": F.lit(2)})
     d, i = frame(docs, "doc_id"), frame(items, "item_id")
     assert pick(N.corpus_restatements(d, i)) == sorted([(1, 1, 1, 0.5), (4, 1, 1, 0.5), (None, None, 1, 1.0)], key=repr)
     assert N.corpus_restatements(d.limit(0), i).count() == N.corpus_restatements(d, i.limit(0)).count() == 0
