@@ -58,9 +58,13 @@ TEMPLATES: dict[str, list[str]] = {
         "This work is licensed under the GNU General Public License, version 2.",
         "Licensed under the GNU General Public License v2.0.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ],
+    "gpl": [
+        "Licensed under the GNU General Public License.",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
-        "SPDX-License-Identifier: GPL-2.0-only",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     ],
     "lgpl": [
         "Licensed under the GNU Lesser General Public License, version 3.",
@@ -112,6 +116,8 @@ TEMPLATES: dict[str, list[str]] = {
         "No part of this publication may be reproduced, distributed or transmitted in any form or by any means without the prior written permission of the publisher.",
     ],
 }
+#: A family whose statements name no version, and those that its neighbours may tell it is.
+VERSIONLESS, VERSIONS = "gpl", ("gpl-2.0", "gpl-3.0")
 #: Lines that speak of licences, copies or warranties without granting anything.
 OTHER_PROSE = [
     "Her driving licence was renewed last spring.",
@@ -314,6 +320,8 @@ def classify(docs: DataFrame, fitted: LicenceModel) -> DataFrame:
     One row for each line of each whole text that states a licence and for each paragraph (run of several such lines)
     that does. A confirmed paragraph stands for its lines, except those that confirm another family; an unconfirmed one
     has a row only where none of its lines has.
+    A statement that every version of a licence has word for word takes the version from the nearest statement before it
+    in its text that names one, else from the nearest after it; without either its family is VERSIONLESS.
     ``family`` is ``unknown`` where the best family is not probable enough or no template of it confirms the unit. Null
     or empty texts have no rows; repeated rows repeat theirs; ties between families go to the first by name; columns
     other than doc_id and text are ignored. Every line is scored; only those that may state a licence are shuffled.
@@ -332,7 +340,13 @@ def classify(docs: DataFrame, fitted: LicenceModel) -> DataFrame:
     run = Window.partitionBy("doc_id", "_text", "block")
     scored = scored.withColumn("_lines", F.max("single").over(run)).withColumn("_whole", F.max(F.when(~F.col("single") & F.col("confirmed"), F.col("named"))).over(run))
     # a confirmed paragraph stands for its lines, except those that confirm another family
-    line = F.col("_whole").isNull() | (F.col("confirmed") & (F.col("named") != F.col("_whole")))
+    part = (F.col("named") == VERSIONLESS) & F.col("_whole").isin(*VERSIONS)
+    line = F.col("_whole").isNull() | (F.col("confirmed") & (F.col("named") != F.col("_whole")) & ~part)
     scored = scored.where(F.when(F.col("single"), line).otherwise(F.col("confirmed") | ~F.col("_lines")))
+    text = Window.partitionBy("doc_id", "_text").orderBy("paragraph", "single")
+    version = F.when(F.col("confirmed") & F.col("named").isin(*VERSIONS), F.col("named"))
+    before = F.last(version, ignorenulls=True).over(text.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(version, ignorenulls=True).over(text.rowsBetween(1, Window.unboundedFollowing))
+    scored = scored.withColumn("named", F.when(F.col("named") == VERSIONLESS, F.coalesce(before, after, "named")).otherwise(F.col("named")))
     family = F.when(F.col("confirmed"), F.col("named")).otherwise(F.lit(UNKNOWN))
     return scored.select("doc_id", "paragraph", family.alias("family"), F.round("probability", 6).alias("probability"), F.round("contained", 6).alias("contained"), "confirmed", "statement")

@@ -191,3 +191,20 @@ def test_every_line_and_paragraph_is_classified(spark, sf):
     both = spark.createDataFrame([(1, "a\nb\n\n\t\nc\n"), (2, ""), (3, None)], "doc_id long, text string")
     every = I.LineModel([0.0] * I.LINE_FEATURES, 0.0)
     assert sorted(tuple(r) for r in I.units(both, every).collect()) == [(1, 0, 0, False, "a\nb"), (1, 0, 0, True, "a"), (1, 0, 1, True, "b"), (1, 4, 4, True, "c")]
+
+
+def test_statements_without_a_version_take_their_neighbours(spark, sf):
+    fitted = I.fit(spark, spark.read.parquet(f"{sf}/documents.parquet"))
+    three, two = (next(t for t in I.TEMPLATES[k] if t.startswith("This program")) for k in ("gpl-3.0", "gpl-2.0"))
+    hope, got_copy = next(t for t in I.TEMPLATES["gpl"] if "hope" in t), I.TEMPLATES["gpl"][-1]
+    rows = [(1, f"{three}\n\n{hope}\n\n{got_copy}"), (2, hope), (3, f"{two}\n\n{hope}\n\nWords."), (4, f"{hope}\n\n{three}"), (4, f"{hope}\n\n{three}"), (None, hope), (5, f"{hope}\n\nReleased under the MIT License.")]
+    out = I.classify(spark.createDataFrame(rows, "doc_id long, text string"), fitted).collect()
+    assert sorted((r.doc_id or 0, r.paragraph, r.family, r.confirmed) for r in out) == [
+        (0, 0, "gpl", True),
+        *[(1, k, "gpl-3.0", True) for k in (0, 2, 4)],
+        (2, 0, "gpl", True),
+        *[(3, k, "gpl-2.0", True) for k in (0, 2)],
+        *[(4, k, "gpl-3.0", True) for k in (0, 0, 2, 2)],
+        (5, 0, "gpl", True),
+        (5, 2, "mit", True),
+    ]
