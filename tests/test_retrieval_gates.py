@@ -128,6 +128,22 @@ def test_drop_restating_edges_equals_all_pairs(spark):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_restating_edges_write_little_beside_their_texts(spark, monkeypatch):
+    from heronlake.sources import staging
+
+    rnd = random.Random(5)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 14))) for _ in range(n))
+    hits = [(k % 3, text(rnd.randint(1, 60))) for k in range(120)]
+    edges = [(k % 3, f"e{k:03}", text(rnd.randint(1, 60))) for k in range(120)] + [(k % 3, f"p{k:03}", t[k % 5 :][: 30 + k]) for k, (_, t) in enumerate(hits) if len(t) > 40]
+    rows, plain = {}, staging.written
+    monkeypatch.setattr(staging, "written", lambda df, name: rows.setdefault(name, plain(df, name)))
+    got = fusion.drop_restating_edges(spark.createDataFrame(edges, "query_id int, id string, source_text string"), spark.createDataFrame(hits, "query_id int, text string"))
+    want = sorted((q, i) for q, i, t in edges if not any(q == p and _restates(t, h) for p, h in hits))
+    assert sorted((r.query_id, r.id) for r in got.select("query_id", "id").collect()) == want
+    # one piece a text is kept, not one for each of its words
+    assert sum(df.count() for name, df in rows.items() if name != "restating-texts") < 6 * (len(hits) + len(edges))
+
+
 def test_group_slots_prefers_parts_and_orders_by_number(spark):
     rows = [(1, 1, "Q10", "page ten", "A", False, 0), (1, 2, "Q2", "x" * 60, "A", False, 0), (1, 3, "Q2", "y", "A", False, 2), (1, 4, "Q7(a)", "part", None, False, 0), (1, 5, "Q2", "y2", "A", False, 2)]
     df = spark.createDataFrame(rows, "paper_id int, ord long, question_number string, text string, section string, has_marks boolean, n_parts int")
