@@ -216,11 +216,33 @@ def subgraph(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
     return seen
 
 
+def nearest_nodes(edges: DataFrame, starts: DataFrame, depth: int, limit: int) -> DataFrame:
+    """start, id, hops: of ``subgraph`` at least the first ``limit`` nodes of each start by hops and id.
+
+    A start with ``limit`` nodes goes no further. Of a node's neighbours the 2 ``limit`` first by id suffice: fewer than
+    ``limit`` are seen already, so the others fill the rest. So a start has at most ``limit`` rows a hop, however large its hubs.
+    """
+    from heronlake.sources.staging import written
+
+    ends = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
+    both = written(top(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), ["a"], [F.asc("b")], 2 * limit).select("a", "b"), "near-ends")
+    seen = front = written(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hops")).distinct(), "near-starts")
+    for hop in range(1, max(0, min(5, depth)) + 1):
+        open_ = seen.groupBy("start").agg(F.count("*").alias("n")).where(F.col("n") < limit).select("start")
+        step = front.join(open_, "start", "left_semi").join(both, F.col("id") == F.col("a")).select("start", F.col("b").alias("id")).distinct()
+        new = step.join(seen, ["start", "id"], "left_anti").withColumn("hops", F.lit(hop))
+        front = written(top(new, ["start"], [F.asc("id")], limit, "_k").drop("_k"), "near-front")
+        seen = seen.unionByName(front)
+    return seen
+
+
 def graph_evidence(nodes: DataFrame, edges: DataFrame, queries: DataFrame, depth: int = 2, limit: int = 20) -> DataFrame:
     """query_id, nodes, edges, sources, confidence: the neighbourhood of each query's concept, or of its topic's nodes, or of the units.
 
     Only the first ``limit`` nodes by hops and id stay, and the edges between them.
     """
+    from heronlake.sources.staging import written
+
     by_name = queries.join(nodes.select("id", F.lower("name").alias("n")), F.lower("concept") == F.col("n")).select("query_id", "id", F.lit(0).alias("level"))
     by_topic = queries.join(nodes.where("type = 'TOPIC'").select("id", F.lower("name").alias("n")), F.lower("topic") == F.col("n")).select("query_id", "id", F.lit(1).alias("level"))
     # units stand in only for queries without a hit; one row holds all their ids
@@ -229,11 +251,20 @@ def graph_evidence(nodes: DataFrame, edges: DataFrame, queries: DataFrame, depth
     by_unit = lost.join(F.broadcast(units)).select("query_id", F.explode("ids").alias("id"), F.lit(2).alias("level"))
     level = Window.partitionBy("query_id")
     starts = by_name.unionByName(by_topic).unionByName(by_unit).withColumn("best", F.min("level").over(level)).where("level = best").select("query_id", "id")
-    near = subgraph(edges, starts, depth)
+    starts = written(starts, "evidence-starts")
+    near = nearest_nodes(edges, starts.select("id"), depth, limit)
     reached = starts.withColumnRenamed("id", "start").join(near, "start").groupBy("query_id", "id").agg(F.min("hops").alias("hops"))
-    kept = top(reached, ["query_id"], [F.asc("hops"), F.asc("id")], limit).select("query_id", "id").join(nodes.select("id", F.col("confidence").alias("c"), "source_document_id"), "id")
-    a, b = (kept.select("query_id", F.col("id").alias(k)) for k in ("source", "target"))
-    inner = edges.join(a, "source").join(b, ["query_id", "target"]).select("query_id", F.col("confidence").alias("c"), "source_document_id")
+    kept = top(reached, ["query_id"], [F.asc("hops"), F.asc("id")], limit).select("query_id", "id")
+    kept = written(kept, "evidence-nodes").join(nodes.select("id", F.col("confidence").alias("c"), "source_document_id"), "id")
+    # an edge meets the queries of its end with fewer edges first, so a hub's edges do not meet all queries that keep the hub
+    degree = edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    e = edges
+    for end in ("source", "target"):
+        e = e.join(degree.select(F.col("id").alias(end), F.col("n").alias(f"_{end}")), end)
+    low = F.col("_source") <= F.col("_target")
+    e = e.select(F.when(low, F.col("source")).otherwise(F.col("target")).alias("low"), F.when(low, F.col("target")).otherwise(F.col("source")).alias("high"), F.col("confidence").alias("c"), "source_document_id")
+    a, b = (kept.select("query_id", F.col("id").alias(k)) for k in ("low", "high"))
+    inner = e.join(a, "low").join(b, ["query_id", "high"]).select("query_id", "c", "source_document_id")
     n = kept.select("query_id", "c", "source_document_id", F.lit(1).alias("node")).unionByName(inner.withColumn("node", F.lit(0)))
     return n.groupBy("query_id").agg(F.sum("node").alias("nodes"), F.count_if(F.col("node") == 0).alias("edges"), F.countDistinct("source_document_id").alias("sources"), F.round(F.avg("c"), 6).alias("confidence"))
 
