@@ -157,3 +157,24 @@ def test_labels_by_prefix(spark, label, kind):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(spec.normalize_type(F.lit(label)).alias("t")).first().t == kind
+
+
+def test_dense_search_approx_equals_the_join_of_equal_hashes(spark):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    rnd = np.random.default_rng(4)
+    c = spark.createDataFrame([(f"c{k:02}", rnd.normal(size=6).tolist()) for k in range(60)] + [("none", None), ("zero", [0.0] * 6)], "chunk_id string, embedding array<double>")
+    q = spark.createDataFrame([(k, rnd.normal(size=6).tolist()) for k in range(9)] + [(20, None)], "query_id int, query_vec array<double>")
+    for width, tables, radius in ((1.0, 12, 1.35), (0.4, 2, 1.1)):
+        got = retrieval.dense_search_approx(q, c, 4, width, tables, radius)
+        unit = lambda df, key, v: spark.createDataFrame([r for r in df.collect() if r[v] is not None], df.schema).select(key, array_to_vector(retrieval.normalized(F.col(v))).alias("v"), F.col(v).alias("w"))
+        a, b = unit(c, "chunk_id", "embedding"), unit(q, "query_id", "query_vec")
+        pairs = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(a).approxSimilarityJoin(a, b, radius)
+        scored = pairs.select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.chunk_id").alias("chunk_id"), F.round(retrieval.cosine(F.col("datasetA.w"), F.col("datasetB.w")), 6).alias("score"))
+        want = retrieval.top(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], 4)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        # pairs do not travel: no join, and no row for each hash
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Generate") <= 4
