@@ -340,7 +340,7 @@ def v25(spark, sf):
     return V.image_alignment(im, notes, table(spark, sf, "nation").select(F.col("n_name").alias("name")))
 
 
-@query("v26_visual_fidelity", sql=f"WITH t AS (SELECT item_id, {terms_sql('text')} AS t FROM benchmark) SELECT item_id AS question_id, {_reasons(('NOT list_contains(t, ' + repr('than') + ') AND len(list_intersect(t, [' + repr('thing') + ', ' + repr('with') + '])) = 0 AND NOT list_contains(t, ' + repr('tion') + ')', 'no_shared_term'), ('item_id % 2 = 0', 'no_visual_cue'), ('len(list_filter(t, lambda x: x <> ' + repr('tion') + ')) >= 3 AND NOT list_contains(t, ' + repr('tion') + ')', 'unsupported_claims'))} AS reasons FROM t")
+@query("v26_visual_fidelity", sql=f"WITH t AS (SELECT item_id, text, {terms_sql('text')} AS t FROM benchmark) SELECT item_id AS question_id, {_reasons(('NOT list_contains(t, ' + repr('tion') + ')', 'no_shared_term'), ('item_id % 2 = 0 AND NOT coalesce(regexp_matches(text, ' + chr(39) + V.VISUAL_CUE + chr(39) + '), false)', 'no_visual_cue'), ('len(list_filter(t, lambda x: x <> ' + repr('tion') + ')) >= 3 AND NOT list_contains(t, ' + repr('tion') + ')', 'unsupported_claims'))} AS reasons FROM t")
 def v26(spark, sf):
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), "text", F.array(F.lit("tion")).alias("image_terms"), (F.col("item_id") % 2 == 0).alias("dependent"))
     return V.visual_fidelity(b)
