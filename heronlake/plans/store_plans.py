@@ -54,7 +54,8 @@ def s05(spark, sf):
 
 @query("s07_upsert", sql="""
     WITH b AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS q, max(l_shipdate) AS d FROM lineitem GROUP BY ALL),
-    n AS (SELECT l_orderkey + CASE WHEN l_orderkey % 13 = 0 THEN 1000000 ELSE 0 END AS l_orderkey, l_linenumber, q + 100 AS q, d FROM b WHERE l_orderkey % 7 = 0 OR l_orderkey % 13 = 0)
+    s AS (SELECT l_orderkey + CASE WHEN l_orderkey % 13 = 0 THEN 1000000 ELSE 0 END AS l_orderkey, l_linenumber, q + 100 AS q, d FROM b WHERE l_orderkey % 7 = 0 OR l_orderkey % 13 = 0),
+    n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY d DESC NULLS LAST, q DESC NULLS LAST) = 1)
     SELECT coalesce(n.l_orderkey, b.l_orderkey) AS l_orderkey, coalesce(n.l_linenumber, b.l_linenumber) AS l_linenumber, coalesce(n.q, b.q) AS q FROM b FULL JOIN n ON b.l_orderkey = n.l_orderkey AND b.l_linenumber = n.l_linenumber""")
 def s07(spark, sf):
     base = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.max("l_shipdate").alias("d"))

@@ -60,9 +60,13 @@ def validate_points(df: DataFrame, dimension: int | None = None) -> DataFrame:
 
 
 def upsert(base: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Rows of both by ``key``; a new row replaces an old one, and of new rows the latest by ``order`` wins."""
+    """Rows of both by ``key``; a new row replaces an old one, and of new rows the latest by ``order`` wins.
+
+    Of equally late ones it is the greatest by the other columns of ``base`` in turn; maps, which have no order, do not count.
+    """
     both = base.withColumn("_src", F.lit(0)).unionByName(new.withColumn("_src", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy(F.desc("_src"), F.desc(order))
+    rest = [f.name for f in base.schema.fields if f.name not in (*key, order) and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    w = Window.partitionBy(*key).orderBy(F.desc("_src"), F.desc(order), *[F.desc(c) for c in rest])
     return both.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_src", "_k")
 
 
