@@ -201,17 +201,29 @@ def neighbors(edges: DataFrame, starts: DataFrame, direction: str = "both", rela
     return rows.join(starts.select(F.col("id").alias("start")), "start", "left_semi")
 
 
+#: Rows of one step that a task makes distinct.
+STEP_ROWS = 1 << 21
+
+
 def subgraph(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
     """start, id, hops: nodes within ``depth`` (0..5) edges of each start, either way, each visited once.
 
-    At most five joins, so the plan stays small and no lineage needs cutting.
+    A step's rows are counted by degree before they are made and dealt by start and node to as many tasks as they need,
+    so a task holds about ``STEP_ROWS`` of them, whatever hubs there are. Steps but the last are written.
     """
+    from heronlake.sources.staging import written
+
     both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
+    degree = both.groupBy("a").agg(F.count("*").alias("n"))
+    least, last = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(0, min(5, depth))
     seen = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hops")).distinct()
     front = seen
-    for hop in range(1, max(0, min(5, depth)) + 1):
-        step = front.join(both, front["id"] == both["a"]).select("start", F.col("b").alias("id")).distinct()
+    for hop in range(1, last + 1):
+        rows = front.groupBy("id").agg(F.count("*").alias("m")).join(degree, F.col("id") == F.col("a")).agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0
+        parts = max(least, -(-rows // STEP_ROWS))
+        step = front.join(both, F.col("id") == F.col("a")).select("start", F.col("b").alias("id")).repartition(parts, "start", "id").distinct()
         front = step.join(seen, ["start", "id"], "left_anti").withColumn("hops", F.lit(hop))
+        front = written(front, "subgraph-step") if hop < last else front
         seen = seen.unionByName(front)
     return seen
 

@@ -209,3 +209,17 @@ def test_sql_of_upsert_and_fidelity_states_the_rule_of_the_query(spark, tmp_path
         cur = con.execute(ORACLE_SQL[name])
         at = [[d[0] for d in cur.description].index(c) for c in df.columns]
         assert sorted(map(repr, map(tuple, df.collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in cur.fetchall()), name
+
+
+def test_subgraph_deals_a_step_to_as_many_tasks_as_its_rows_need(spark, monkeypatch):
+    from heronlake.operators import graph
+
+    monkeypatch.setattr(graph, "STEP_ROWS", 10)
+    edges = spark.createDataFrame([("hub", f"s{k}") for k in range(20)] + [("s0", "far")], "source string, target string")
+    starts = spark.createDataFrame([("s0",), ("s1",)], "id string")
+    got = graph.subgraph(edges, starts)
+    want = [("s0", "s0", 0), ("s0", "hub", 1), ("s0", "far", 1), ("s1", "s1", 0), ("s1", "hub", 1)]
+    want += [(s, f"s{k}", 2) for s in ("s0", "s1") for k in range(20) if s != f"s{k}"]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    # the number of tasks follows the rows, and is not the session's setting
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
