@@ -9,10 +9,11 @@ from heronlake.operators import gates as V
 from heronlake.operators import novelty as N
 from heronlake.operators.retrieval import dense_search
 from heronlake.plans.base import query
-from heronlake.functions.text import overlap_min
+from heronlake.functions.text import canonical_scope, overlap_min
 from heronlake.plans.novelty_plans import _demand
 from heronlake.plans.tables import candidates, chunks, past_items, ref_items, slot_items, slots, table, with_tables
 from heronlake.plans.text_plans import _DEMAND, _TRIGGER, terms_sql
+from heronlake.sources.staging import written
 
 _FRAME_WORDS = "[" + ", ".join(f"'{w}'" for w in V.IMAGE_WORDS) + "]"
 _NORM = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
@@ -85,9 +86,11 @@ def v07(spark, sf):
 
 def _hits(spark, sf, c):
     """The five English chunks nearest to each item's own vector, as its evidence."""
-    k = chunks(spark, sf)
+    k = chunks(spark, sf).where(canonical_scope(F.col("class")) == "en")
+    texts = chunks(spark, sf, vectors=False).where(canonical_scope(F.col("class")) == "en")
     hits = dense_search(c.select(F.col("question_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.lit("en").alias("class")), k, 5, ["class"])
-    return hits.join(k.select("chunk_id", "text"), "chunk_id").select(F.col("query_id").alias("slot_key"), "rank", "text")
+    # written, so that their size is known: few are sent to the texts
+    return written(hits, "evidence-hits").join(texts.select("chunk_id", "text"), "chunk_id").select(F.col("query_id").alias("slot_key"), "rank", "text")
 
 
 def _whole(c):

@@ -59,3 +59,19 @@ def test_search_reads_the_scopes_of_the_queries_only(spark):
 def test_empty_chunks_give_an_empty_index(spark):
     path = tempfile.mkdtemp(prefix="spark-")
     assert refresh(spark.createDataFrame([], _SCHEMA), path).count() == 0 and open_index(spark, path)["postings"].count() == 0
+
+
+def test_repeated_chunks_count_together_and_postings_stay_where_they_are(spark):
+    path = tempfile.mkdtemp(prefix="spark-")
+    rows = [("a1", "child", "a", "x", "Water's water, THE river \u0130 a", None, "s", "h"), ("a1", "child", "a", "x", "rivers water water s", None, None, "h"), ("a1", "parent", "a", "x", "water", None, "s", "h"), (None, "child", "a", "x", "water", None, None, "h"), (None, "child", "a", "x", "water", None, None, "h"), ("a2", "child", "a", "x", "", None, None, "h"), ("a3", "child", "a", "x", "water rivers", None, "s", "h")]
+    c = spark.createDataFrame(rows, _SCHEMA)
+    q = spark.createDataFrame([(1, "a", "x", "water rivers water's"), (2, "a", "x", "rivers")], "query_id long, class string, subject string, query string")
+    refresh(c, path)
+    index = open_index(spark, path)
+    postings, _, stats = retrieval.bm25_index(c)
+    assert _rows(index["postings"].select("term", F.coalesce("chunk_id", F.lit("-")), "chunk_type", "len", "tf")) == _rows(postings.select("term", F.coalesce("chunk_id", F.lit("-")), "chunk_type", "len", "tf"))
+    assert _rows(index["stats"].select("docs", "avgdl")) == _rows(stats.select("docs", "avgdl"))
+    found = retrieval.bm25_search(q, c, 5, index=index)
+    assert _rows(found.na.fill({"chunk_id": "-"})) == _rows(retrieval.bm25_search(q, c, 5).na.fill({"chunk_id": "-"}))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(scope" not in plan

@@ -178,3 +178,42 @@ def test_dense_search_approx_equals_the_join_of_equal_hashes(spark):
         # pairs do not travel: no join, and no row for each hash
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and plan.count("Generate") <= 4
+
+
+def test_dense_search_in_small_steps_and_many_cells_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "CELLS", 25)
+    monkeypatch.setattr(retrieval, "_CELL_PAIRS", 16)
+    rnd = np.random.default_rng(8)
+    c = [(f"c{k:02}", "a", rnd.integers(-1, 2, 3).astype(float).tolist()) for k in range(20)]
+    q = [(k, "a", rnd.integers(-1, 2, 3).astype(float).tolist()) for k in range(11)]
+    for kind in ("float", "double"):
+        got = retrieval.dense_search(spark.createDataFrame(q, f"query_id long, class string, query_vec array<{kind}>"), spark.createDataFrame(c, f"chunk_id string, class string, embedding array<{kind}>"), 4, ["class"]).collect()
+        want = []
+        for i, _, v in q:
+            norm = lambda w: np.linalg.norm(v) * np.linalg.norm(w)  # noqa: B023, E731
+            found = sorted((-(round(float(np.dot(v, w) / norm(w)), 6) if norm(w) else 0.0), j) for j, _, w in c)
+            want += [(i, j, -s + 0.0, r) for r, (s, j) in enumerate(found[:4], 1)]
+        assert sorted((r.query_id, r.chunk_id, r.score, r.rank) for r in got) == sorted(want)
+
+
+def test_chunks_do_not_move_once_for_each_thousand_queries(spark, monkeypatch):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(retrieval, "_nearest", lambda *a: lambda q, c: pd.DataFrame({"query_id": [str(len(q))], "chunk_id": [str(len(c))], "score": [0.0]}))
+    v = F.array(F.lit(1.0), F.col("id").cast("double"))
+    q, c = spark.range(3000).select(F.col("id").alias("query_id"), F.lit("a").alias("class"), v.alias("query_vec")), spark.range(20).select(F.col("id").alias("chunk_id"), F.lit("a").alias("class"), v.alias("embedding"))
+    assert [(r.query_id, r.chunk_id) for r in retrieval.dense_search(q, c, 2, ["class"]).collect()] == [(3000, 20)]
+
+
+def test_chunks_without_vectors_are_the_same_rows_and_meet_no_vectors(spark, tmp_path):
+    from heronlake.plans.tables import chunks
+
+    for times in ((1, 2, 4), (1, 2, 2, 2, 4, 4)):
+        sf = str(tmp_path / f"{len(times)}")
+        spark.createDataFrame([(k, f"text {k}", "en", "s") for k in range(6)], "doc_id long, text string, lang string, source string").write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(k, [1.0]) for k in times], "vec_id long, embedding array<float>").write.parquet(f"{sf}/embeddings.parquet")
+        got = chunks(spark, sf, vectors=False)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, chunks(spark, sf).drop("embedding").collect()))
+        if len(times) == 3:
+            assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
