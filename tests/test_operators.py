@@ -111,3 +111,13 @@ def test_headings(spark):
     heads = {"x\nChapter 3 The heart": "Chapter 3 The heart", "3.1 Photosynthesis": "3.1 Photosynthesis", "a\nWATER AND AIR": "WATER AND AIR", "plain words": None}
     df = spark.createDataFrame([(k,) for k in heads], "t string")
     assert {r.t: r.h for r in df.select("t", C.detect_heading(F.col("t")).alias("h")).collect()} == heads
+
+
+def test_balanced_json_with_escapes_quotes_and_no_end(spark):
+    cases = {
+        'say "hi { {"a": 1} then': None, '\\"{"a": "\\"}"} }': '{"a": "\\"}"}', "{\n}x": "{\n}", "}{}": "{}", '{"a': None, "none": None, "": None, '{"a": "\\\\"}}': '{"a": "\\\\"}', '{"k": "\U0001f600{"} z': '{"k": "\U0001f600{"}', "{" + "x" * 9000 + "}": "{" + "x" * 9000 + "}",
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", X.balanced_json(F.col("t")).alias("j"))
+    assert [r.j for r in sorted(rows.collect())] == list(cases.values())
+    parsed = spark.createDataFrame([('x {"s": "y"} z',)], "t string").select(X.parse_model_json(F.col("t"), "s string").alias("g"))
+    assert parsed.select("g.s").first().s == "y" and parsed._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
