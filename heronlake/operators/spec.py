@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronlake.functions.text import NUMBER_WORDS, first_match, normalize_unit_label
+from heronlake.sources.staging import dealt
 
 # --- fixed values -----------------------------------------------------------------------------------------------------
 TYPES = (
@@ -236,10 +237,14 @@ def reconcile(papers: DataFrame, slots: DataFrame, items: DataFrame) -> DataFram
     return rows
 
 
-def pad_missing_items(slots: DataFrame, items: DataFrame) -> DataFrame:
-    """paper_id, slot_id, item_index, reference_text, recovered: declared items that were not found become empty ones."""
+def pad_missing_items(slots: DataFrame, items: DataFrame, rows: int = 0) -> DataFrame:
+    """paper_id, slot_id, item_index, reference_text, recovered: declared items that were not found become empty ones.
+
+    Joins by item are dealt for ``rows`` items, here and below; 0 leaves that to the session.
+    """
     have = items.select("slot_id", "item_index", "reference_text", F.lit(True).alias("recovered"))
     want = slots.where("declared_items > 0").select("slot_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("declared_items").cast("long"))).alias("item_index"))
+    want, have = (dealt(x, rows, "slot_id", "item_index") for x in (want, have))
     return want.join(have, ["slot_id", "item_index"], "full_outer").select("slot_id", "item_index", "reference_text", F.coalesce("recovered", F.lit(False)).alias("recovered"))
 
 
@@ -260,7 +265,12 @@ def paper_summary(slots: DataFrame, diagnostics: DataFrame) -> DataFrame:
 
 
 def validate_spec(slots: DataFrame, items: DataFrame, sections: DataFrame) -> DataFrame:
-    """paper_id, slot_id, issue of slots that break the structure's rules."""
+    """paper_id, slot_id, issue of slots that break the structure's rules.
+
+    Slots are counted, and meet their sections in as many tasks as they need.
+    """
+    n = slots.count()
+    placed, named = (dealt(x, n, "paper_id", "section") for x in (slots, sections))
     g = items.groupBy("slot_id").agg(F.count("*").alias("n"), F.round(F.sum("marks"), 1).alias("s"))
     s = slots.join(g, "slot_id", "left")
     pick = lambda df, issue: df.select("paper_id", "slot_id", F.lit(issue).alias("issue"))
@@ -268,8 +278,8 @@ def validate_spec(slots: DataFrame, items: DataFrame, sections: DataFrame) -> Da
         pick(s.where("n IS NULL"), "empty"),
         pick(s.where("declared_items > 0 AND coalesce(n, 0) <> declared_items"), "item_count"),
         pick(s.where("n > 0 AND s <> total_marks"), "item_sum"),
-        pick(slots.join(sections, ["paper_id", "section"], "left_anti"), "unknown_section"),
-        sections.join(slots, ["paper_id", "section"], "left_anti").select("paper_id", F.lit(None).cast("long").alias("slot_id"), F.lit("orphan_section").alias("issue")),
+        pick(placed.join(named, ["paper_id", "section"], "left_anti"), "unknown_section"),
+        named.join(placed, ["paper_id", "section"], "left_anti").select("paper_id", F.lit(None).cast("long").alias("slot_id"), F.lit("orphan_section").alias("issue")),
     ]
     out = rows[0]
     for r in rows[1:]:
@@ -277,23 +287,25 @@ def validate_spec(slots: DataFrame, items: DataFrame, sections: DataFrame) -> Da
     return out
 
 
-def validate_assignments(slots: DataFrame, items: DataFrame, assignments: DataFrame, known_units: DataFrame) -> DataFrame:
+def validate_assignments(slots: DataFrame, items: DataFrame, assignments: DataFrame, known_units: DataFrame, rows: int = 0) -> DataFrame:
     """slot_id, issue: unknown or missing slots, both or neither of unit and items, locked slots, unknown items, units without notes."""
     a = assignments.groupBy("slot_id").agg(F.count_if(F.col("item_index").isNull()).alias("whole"), F.count("item_index").alias("split"), F.count_if(F.trim("unit") == "").alias("blank"))
     j = slots.select("slot_id", "locked").join(a, "slot_id", "full_outer")
     pick = lambda df, issue: df.select("slot_id", F.lit(issue).alias("issue"))
     have = F.col("whole").isNotNull()
-    rows = [
+    split = assignments.where("item_index IS NOT NULL")
+    split, items = (dealt(x.select("slot_id", "item_index"), rows, "slot_id", "item_index") for x in (split, items))
+    picked = [
         pick(j.where(F.col("locked").isNull()), "unknown_slot"),
         pick(j.where(~have), "missing_slot"),
         pick(j.where(have & ((F.col("whole") > 0) == (F.col("split") > 0))), "unit_or_items"),
         pick(j.where(F.col("locked") & (F.col("split") > 0)), "locked_split"),
         pick(j.where(F.col("blank") > 0), "blank_unit"),
-        pick(assignments.where("item_index IS NOT NULL").join(items, ["slot_id", "item_index"], "left_anti").join(slots, "slot_id", "left_semi"), "unknown_item"),
+        pick(split.join(items, ["slot_id", "item_index"], "left_anti").join(slots, "slot_id", "left_semi"), "unknown_item"),
         pick(assignments.where("trim(unit) <> ''").join(known_units, "unit", "left_anti").select("slot_id").distinct(), "unit_without_notes"),
     ]
-    out = rows[0]
-    for r in rows[1:]:
+    out = picked[0]
+    for r in picked[1:]:
         out = out.unionByName(r)
     return out
 
@@ -316,11 +328,12 @@ def slot_unit_map(assignments: DataFrame) -> DataFrame:
     return g.select("slot_id", F.when(F.col("n") == 1, F.col("u")).alias("unit"), F.when(F.col("n") > 1, F.col("m")).alias("items"))
 
 
-def marks_per_unit(items: DataFrame, assignments: DataFrame, units: DataFrame) -> DataFrame:
+def marks_per_unit(items: DataFrame, assignments: DataFrame, units: DataFrame, rows: int = 0) -> DataFrame:
     """unit, marks, unknown: sums of item marks by unit, zero rows kept, unassigned items under a null unit."""
     own = assignments.where("item_index IS NOT NULL").select("slot_id", "item_index", F.col("unit").alias("iu"))
     whole = assignments.where("item_index IS NULL").select("slot_id", F.col("unit").alias("su"))
-    j = items.join(own, ["slot_id", "item_index"], "left").join(whole, "slot_id", "left").withColumn("unit", F.coalesce("iu", "su"))
+    items, own = (dealt(x, rows, "slot_id", "item_index") for x in (items, own))
+    j = items.join(own, ["slot_id", "item_index"], "left").join(dealt(whole, rows, "slot_id"), "slot_id", "left").withColumn("unit", F.coalesce("iu", "su"))
     g = j.groupBy("unit").agg(F.round(F.sum("marks"), 1).alias("marks"), F.count_if(F.col("marks").isNull()).alias("unknown"))
     zero = units.select("unit").distinct().join(g, "unit", "left_anti").select("unit", F.lit(0.0).alias("marks"), F.lit(0).cast("long").alias("unknown"))
     return g.unionByName(zero)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from heronlake.operators import documents as D
 from heronlake.operators import spec as B
 from heronlake.plans.base import query
-from heronlake.plans.tables import SQL, page_text, papers, slot_items, slots, table, units, with_tables
+from heronlake.plans.tables import SQL, by_slot, item_rows, page_text, papers, slot_items, slots, table, units, with_tables
 
 _S, _I = "slots", "slot_items"
 
@@ -139,7 +139,7 @@ def b13(spark, sf):
 
 @query("b14_pad_missing_items", sql=with_tables(_S, _I, then=", w AS (SELECT slot_id, unnest(range(1, declared_items + 1)) AS item_index FROM slots WHERE declared_items > 0) SELECT coalesce(w.slot_id, i.slot_id) AS slot_id, coalesce(w.item_index, i.item_index) AS item_index, i.reference_text, i.slot_id IS NOT NULL AS recovered FROM w FULL JOIN slot_items i ON i.slot_id = w.slot_id AND i.item_index = w.item_index"))
 def b14(spark, sf):
-    return B.pad_missing_items(slots(spark, sf), slot_items(spark, sf))
+    return B.pad_missing_items(by_slot(spark, sf, slots(spark, sf)), slot_items(spark, sf), item_rows(spark, sf))
 
 
 _CONF = ", d AS (SELECT paper_id, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w FROM diag GROUP BY 1), n AS (SELECT paper_id, count(*) AS n, count(*) - count(total_marks) AS u FROM sl GROUP BY 1)"
@@ -230,14 +230,14 @@ def _assignments(spark, sf):
     a = s.where("slot_id % 10 <> 0").select("slot_id", none.alias("item_index"), F.when(F.col("slot_id") % 25 == 0, " ").otherwise(F.concat(F.lit("Brand#"), (F.col("slot_id") % 20 + 1).cast("string"))).alias("unit"))
     a = a.union(i.where("slot_id % 9 = 0").select("slot_id", "item_index", F.concat(F.lit("Brand#"), (F.col("item_index") % 3 + 1).cast("string"))))
     a = a.union(s.limit(1).select(F.lit(9999999).cast("long"), none, F.lit("Brand#1")))
-    return a.union(s.where("slot_id % 90 = 0").select("slot_id", F.lit(99).cast("long"), F.lit("Brand#1")))
+    return by_slot(spark, sf, a.union(s.where("slot_id % 90 = 0").select("slot_id", F.lit(99).cast("long"), F.lit("Brand#1"))))
 
 
 @query("b26_validate_assignments", sql=with_tables(_S, _I, "units", then=f""", {_ASSIGN}, g AS (SELECT slot_id, count(*) FILTER (item_index IS NULL) AS w, count(item_index) AS sp, count(*) FILTER (trim(unit) = '') AS bl FROM a GROUP BY 1), j AS (SELECT coalesce(s.slot_id, g.slot_id) AS slot_id, locked, w, sp, bl FROM slots s FULL JOIN g ON g.slot_id = s.slot_id)
     SELECT slot_id, 'unknown_slot' AS issue FROM j WHERE locked IS NULL UNION ALL SELECT slot_id, 'missing_slot' FROM j WHERE w IS NULL UNION ALL SELECT slot_id, 'unit_or_items' FROM j WHERE w IS NOT NULL AND (w > 0) = (sp > 0) UNION ALL SELECT slot_id, 'locked_split' FROM j WHERE locked AND sp > 0 UNION ALL SELECT slot_id, 'blank_unit' FROM j WHERE bl > 0
     UNION ALL SELECT slot_id, 'unknown_item' FROM a WHERE item_index = 99 UNION ALL SELECT DISTINCT slot_id, 'unit_without_notes' FROM a WHERE trim(unit) <> '' AND unit NOT IN (SELECT unit FROM units WHERE unit <> 'Brand#7')"""))
 def b26(spark, sf):
-    return B.validate_assignments(slots(spark, sf), slot_items(spark, sf), _assignments(spark, sf), units(spark, sf).where("unit <> 'Brand#7'"))
+    return B.validate_assignments(by_slot(spark, sf, slots(spark, sf)), slot_items(spark, sf), _assignments(spark, sf), units(spark, sf).where("unit <> 'Brand#7'"), item_rows(spark, sf))
 
 
 @query("b27_default_assign", sql=with_tables(_S, "units", then=", p AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS k, count(*) OVER () AS n FROM units), f AS (SELECT paper_id, slot_id, row_number() OVER (PARTITION BY paper_id ORDER BY slot_index) - 1 AS i FROM slots WHERE slot_id % 6 <> 0) SELECT paper_id, slot_id, unit FROM f JOIN p ON i % n = k UNION ALL SELECT paper_id, slot_id, 'Brand#' || (slot_id % 20 + 1) FROM slots WHERE slot_id % 6 = 0"))
@@ -253,7 +253,7 @@ def b28(spark, sf):
 
 @query("b29_marks_per_unit", sql=with_tables(_S, _I, "units", then=f", {_ITEMS_NULL}, {_ASSIGN}, o AS (SELECT slot_id, item_index, unit AS iu FROM a WHERE item_index IS NOT NULL), w AS (SELECT slot_id, unit AS su FROM a WHERE item_index IS NULL), g AS (SELECT coalesce(iu, su) AS unit, round(sum(marks), 1) AS marks, count(*) - count(marks) AS unknown FROM it LEFT JOIN o USING (slot_id, item_index) LEFT JOIN w USING (slot_id) GROUP BY 1) SELECT * FROM g UNION ALL SELECT unit, 0.0, 0 FROM units WHERE unit NOT IN (SELECT unit FROM g WHERE unit IS NOT NULL)"))
 def b29(spark, sf):
-    return B.marks_per_unit(_items_null(spark, sf), _assignments(spark, sf), units(spark, sf))
+    return B.marks_per_unit(_items_null(spark, sf), _assignments(spark, sf), units(spark, sf), item_rows(spark, sf))
 
 
 @query("b30_total_drift", sql=with_tables("papers", _S, _I, then=f", {_ITEMS_NULL}, g AS (SELECT slot_id, CASE WHEN count(marks) = count(*) THEN sum(marks) END AS s FROM it GROUP BY 1), t AS (SELECT paper_id, round(sum(coalesce(s, total_marks)), 1) AS total FROM slots LEFT JOIN g USING (slot_id) GROUP BY 1) SELECT paper_id, declared_total, total, declared_total <> total AS drifted FROM papers JOIN t USING (paper_id)"))
