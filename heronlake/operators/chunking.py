@@ -118,28 +118,40 @@ def build_sections(elements: DataFrame) -> DataFrame:
 
 def section_blocks(elements: DataFrame) -> DataFrame:
     """document_id, section_id, block, type, page_number, text: neighbouring list items form one block; headings are left out."""
+    return _titled_blocks(elements).drop("title")
+
+
+def _titled_blocks(elements: DataFrame) -> DataFrame:
+    """Blocks of sections with the section's title. A document moves once, by its id; all further groups lie inside it."""
     w = Window.partitionBy("document_id").orderBy("ord")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     e = elements.withColumn("section_id", F.sum((F.col("type") == "heading").cast("int")).over(upto))
     new = F.when((F.col("type") == "list_item") & F.coalesce(F.lag("type").over(w) == "list_item", F.lit(False)), 0).otherwise(1)
-    e = e.withColumn("block", F.sum(new).over(upto)).where("type <> 'heading'")
+    e = e.withColumn("block", F.sum(new).over(upto))
+    e = e.withColumn("title", F.max(F.when(F.col("type") == "heading", F.col("text"))).over(Window.partitionBy("document_id", "section_id"))).where("type <> 'heading'")
     line = F.when(F.col("type") == "list_item", F.concat(F.lit("- "), "text")).otherwise(F.col("text"))
-    return e.groupBy("document_id", "section_id", "block").agg(F.min("type").alias("type"), F.min("page_number").alias("page_number"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]), "\n")
+    return e.groupBy("document_id", "section_id", "block").agg(F.min("type").alias("type"), F.min("page_number").alias("page_number"), text.alias("text"), F.min("title").alias("title"))
 
 
 def parent_runs(blocks: DataFrame, most: int = CHUNK_MAX) -> DataFrame:
-    """Blocks with run: greedy runs of at most ``most`` tokens within a section; a longer block is a run of its own."""
+    """Blocks with run: greedy runs of at most ``most`` tokens within a section; a longer block is a run of its own.
+
+    A section's blocks stay with their numbers while these are folded, so that they are not joined to them again.
+    """
     b = blocks.withColumn("n", token_count(F.col("text")))
-    g = b.groupBy("document_id", "section_id").agg(F.array_sort(F.collect_list(F.struct("block", "n"))).alias("bs"))
+    rest = [c for c in b.columns if c not in ("document_id", "section_id", "block")]
+    g = b.groupBy("document_id", "section_id").agg(F.array_sort(F.collect_list(F.struct("block", *rest))).alias("bs"))
 
-    def step(a: Column, x: Column) -> Column:
-        new = (a["held"] > 0) & (a["held"] + x["n"] > most)
+    def step(a: Column, n: Column) -> Column:
+        new = (a["held"] > 0) & (a["held"] + n > most)
         run = F.when(new, a["run"] + 1).otherwise(a["run"])
-        return F.struct(F.when(new, x["n"]).otherwise(a["held"] + x["n"]).alias("held"), run.alias("run"), F.concat(a["out"], F.array(F.struct(x["block"].alias("block"), run.alias("run")))).alias("out"))
+        return F.struct(F.when(new, n).otherwise(a["held"] + n).alias("held"), run.alias("run"), F.concat(a["out"], F.array(run)).alias("out"))
 
-    start = F.struct(F.lit(0).alias("held"), F.lit(0).alias("run"), F.array().cast("array<struct<block long, run int>>").alias("out"))
-    runs = g.select("document_id", "section_id", F.explode(F.aggregate("bs", start, step)["out"]).alias("r")).select("document_id", "section_id", "r.block", "r.run")
-    return b.join(runs, ["document_id", "section_id", "block"])
+    start = F.struct(F.lit(0).alias("held"), F.lit(0).alias("run"), F.array().cast("array<int>").alias("out"))
+    runs = g.withColumn("runs", F.aggregate(F.transform("bs", lambda x: x["n"]), start, step)["out"])
+    rows = runs.select("document_id", "section_id", F.explode(F.arrays_zip("bs", "runs")).alias("r"))
+    return rows.select("document_id", "section_id", "r.bs.block", *[F.col(f"r.bs.`{c}`") for c in rest], F.col("r.runs").alias("run"))
 
 
 def _parts(blocks: list[str], most: int, overlap: int, least: int) -> list[str]:
@@ -171,36 +183,45 @@ def _parts(blocks: list[str], most: int, overlap: int, least: int) -> list[str]:
     return out
 
 
-def child_parts(runs: DataFrame, most: int = CHUNK_MAX, overlap: int = CHUNK_OVERLAP, least: int = CHUNK_MIN) -> DataFrame:
-    """document_id, section_id, run, part, text: the children of each parent run."""
+def _cut_runs(runs: DataFrame, most: int, overlap: int, least: int) -> DataFrame:
+    """A row per run with its blocks' texts, parts, page_number and any title. Python gets few runs at a time, whatever their number."""
+
+    @F.udf("array<string>", useArrow=False)
+    def cut(blocks):
+        return _parts(blocks, most, overlap, least)
+
+    own = [F.min("title").alias("title")] if "title" in runs.columns else []
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"])
+    g = runs.groupBy("document_id", "section_id", "run").agg(blocks.alias("blocks"), F.min("page_number").alias("page_number"), *own)
+    return g.withColumn("parts", cut("blocks"))
 
-    @F.pandas_udf("array<string>")
-    def cut(blocks: pd.Series) -> pd.Series:
-        return blocks.map(lambda b: _parts(list(b), most, overlap, least))
 
-    g = runs.groupBy("document_id", "section_id", "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]).alias("blocks"), F.min("page_number").alias("page_number"))
-    return g.select("document_id", "section_id", "run", "page_number", F.posexplode(cut("blocks")).alias("part", "text"))
+def child_parts(runs: DataFrame, most: int = CHUNK_MAX, overlap: int = CHUNK_OVERLAP, least: int = CHUNK_MIN) -> DataFrame:
+    """document_id, section_id, run, part, text: the children of each parent run."""
+    return _cut_runs(runs, most, overlap, least).select("document_id", "section_id", "run", "page_number", F.posexplode("parts").alias("part", "text"))
 
 
 def emit_parent_child(elements: DataFrame, most: int = 2 * CHUNK_MAX) -> DataFrame:
     """document_id, section_id, chunk_id, parent_chunk_id, chunk_type, chunk_index, page_number, text.
 
     A parent is its heading and blocks; children get the heading in front where there are several. Ids come from the
-    text; parents are numbered before children, from 0 in each section.
+    text; parents are numbered before children, from 0 in each section. A run's parent and children come from its one row.
     """
-    titles = build_sections(elements).select("document_id", "section_id", "title")
-    runs = parent_runs(section_blocks(elements), most)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n\n")
-    parents = runs.groupBy("document_id", "section_id", "run").agg(text.alias("body"), F.min("page_number").alias("page_number")).join(titles, ["document_id", "section_id"], "left")
-    parents = parents.withColumn("text", F.concat_ws("\n", "title", "body")).withColumn("chunk_id", stable_id("p-", 16, F.col("document_id").cast("string"), F.col("text")))
-    kids = child_parts(runs)
-    several = kids.groupBy("document_id", "section_id", "run").agg(F.count("*").alias("n"))
-    kids = kids.join(several, ["document_id", "section_id", "run"]).join(parents.select("document_id", "section_id", "run", "title", F.col("chunk_id").alias("parent_chunk_id")), ["document_id", "section_id", "run"])
-    prefix = (F.col("n") > 1) & F.col("title").isNotNull() & ~F.startswith("text", F.col("title"))
-    kids = kids.withColumn("text", F.when(prefix, F.concat_ws("\n", "title", "text")).otherwise(F.col("text")))
-    kids = kids.withColumn("chunk_id", stable_id("c-", 16, F.col("parent_chunk_id"), F.col("part").cast("string"), F.col("text")))
-    rows = parents.select("document_id", "section_id", "run", F.lit(-1).alias("part"), "chunk_id", F.lit(None).cast("string").alias("parent_chunk_id"), F.lit("parent").alias("chunk_type"), "page_number", "text")
-    rows = rows.unionByName(kids.select("document_id", "section_id", "run", "part", "chunk_id", "parent_chunk_id", F.lit("child").alias("chunk_type"), "page_number", "text"))
+    runs = _cut_runs(parent_runs(_titled_blocks(elements), most), CHUNK_MAX, CHUNK_OVERLAP, CHUNK_MIN)
+    runs = runs.withColumn("parent", F.concat_ws("\n", "title", F.array_join("blocks", "\n\n"))).drop("blocks")
+    runs = runs.withColumn("parent_id", stable_id("p-", 16, F.col("document_id").cast("string"), F.col("parent")))
+
+    def titled(text: Column) -> Column:
+        prefix = (F.size("parts") > 1) & F.col("title").isNotNull() & ~F.startswith(text, F.col("title"))
+        return F.when(prefix, F.concat_ws("\n", "title", text)).otherwise(text)
+
+    own = F.struct(F.lit(-1).alias("part"), F.lit("parent").alias("chunk_type"), F.col("parent").alias("text"))
+    kids = F.transform("parts", lambda t, k: F.struct(k.alias("part"), F.lit("child").alias("chunk_type"), titled(t).alias("text")))
+    rows = runs.select("document_id", "section_id", "run", "page_number", "parent_id", F.explode(F.concat(F.array(own), kids)).alias("c"))
+    rows = rows.select("document_id", "section_id", "run", "page_number", "parent_id", "c.*")
+    child = F.col("chunk_type") == "child"
+    chunk_id = F.when(child, stable_id("c-", 16, F.col("parent_id"), F.col("part").cast("string"), F.col("text"))).otherwise(F.col("parent_id"))
+    rows = rows.select("document_id", "section_id", "run", "part", chunk_id.alias("chunk_id"), F.when(child, F.col("parent_id")).alias("parent_chunk_id"), "chunk_type", "page_number", "text")
     return number_chunks(rows).drop("run", "part")
 
 

@@ -244,3 +244,33 @@ def test_items_and_what_meets_them_are_dealt_to_as_many_tasks_as_they_need(spark
         assert re.search(r"hashpartitioning\(l_orderkey#\d+L?, 11\), REPARTITION_BY_NUM", plan), name
         assert name[:3] == "b26" or not re.search(r"hashpartitioning\((?:slot_id|l_orderkey|o_orderkey)[^()]*, 8\)", plan), name
         assert sorted(map(repr, df.collect())) == want[name], name
+
+
+def test_parents_and_children_move_a_document_once_by_its_id(spark, sf):
+    from heronlake.operators import chunking as C
+    from heronlake.registry import QUERIES
+
+    plan = QUERIES["c11_emit_parent_child"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert plan.count("Exchange hashpartitioning(document_id") <= 2  # for the elements, and for the numbers
+    line = lambda o, t, kind="paragraph": (1, o, kind, t, 1)
+    elements = [line(0, "before any heading"), line(1, "Title", "heading"), line(2, "one two three."), line(3, "item", "list_item"), line(4, "next", "list_item")]
+    elements += [line(5, "Alone", "heading"), line(6, "Long", "heading")] + [line(7 + k, " ".join(f"w{k}x{j}" for j in range(300)) + ".") for k in range(3)]
+    df = spark.createDataFrame(elements, "document_id long, ord int, type string, text string, page_number int")
+    got = sorted(C.emit_parent_child(df, 700).collect(), key=lambda r: (r.section_id, r.chunk_index))
+    body = [e[3] for e in elements[7:]]
+    assert [(r.section_id, r.chunk_type, r.chunk_index, r.text) for r in got] == [
+        (0, "parent", 0, "before any heading"), (0, "child", 1, "before any heading"),
+        (1, "parent", 0, "Title\none two three.\n\n- item\n- next"), (1, "child", 1, "one two three.\n- item\n- next"),
+        (3, "parent", 0, "Long\n" + "\n\n".join(body[:2])), (3, "parent", 1, "Long\n" + body[2]),
+        (3, "child", 2, "Long\n" + body[0]), (3, "child", 3, "Long\n" + body[1]), (3, "child", 4, body[2]),
+    ]
+    ids = {r.chunk_id for r in got if r.chunk_type == "parent"}
+    assert {r.parent_chunk_id for r in got if r.chunk_type == "child"} == ids
+
+
+def test_children_reach_python_in_small_batches(spark, sf):
+    from heronlake.registry import QUERIES
+
+    plan = QUERIES["c09_child_parts"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan
