@@ -95,14 +95,16 @@ def _term(words: Column) -> Column:
 def connector_triples(chunks: DataFrame) -> DataFrame:
     """chunk_id, source_name, relation, target_name, sentence: terms either side of a sentence's first longest phrase.
 
-    The phrases are tried longest first in one pattern, so a sentence is read once and joined with nothing.
+    The phrases are tried longest first in one pattern, so a sentence is read once and joined with nothing. Most sentences
+    have no phrase even as plain letters, and leave before a pattern is tried.
     """
     order = sorted(PHRASES, key=lambda p: -len(p[0]))
     pattern = r"(?i)^(.*?)\b(" + "|".join(p for p, _ in order) + r")\b(.*)$"
     relation = F.create_map(*[F.lit(x) for p, r in PHRASES for x in (p, r)])
-    s = chunks.select("chunk_id", F.explode(sentences(F.col("text"))).alias("sentence"))
+    both = F.transform(sentences(F.col("text")), lambda s: F.struct(s.alias("sentence"), F.lower(s).alias("low")))
+    s = chunks.select("chunk_id", F.explode(both).alias("s")).select("chunk_id", "s.sentence", "s.low")
     # the longest phrase that occurs anywhere decides, then its first place
-    found = F.coalesce(*[F.when(F.lower("sentence").rlike(rf"\b{p}\b"), F.lit(p)) for p, _ in order])
+    found = F.coalesce(*[F.when(F.col("low").contains(p) & F.col("low").rlike(rf"\b{p}\b"), F.lit(p)) for p, _ in order])
     s = s.withColumn("bare", F.trim(F.regexp_replace("sentence", r"\([^)]*\)", " "))).withColumn("phrase", found).where(F.col("phrase").isNotNull() & F.col("bare").rlike(pattern))
     place = F.position(F.col("phrase"), F.lower("bare"))
     left, right = F.substring(F.col("bare"), F.lit(1), place - 1), F.substring(F.col("bare"), place + F.length("phrase"), F.length("bare"))

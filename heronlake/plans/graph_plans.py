@@ -27,7 +27,7 @@ def g03(spark, sf):
 
 @query("g04_connector_triples")
 def g04(spark, sf):
-    return G.connector_triples(chunks(spark, sf))
+    return G.connector_triples(chunks(spark, sf, vectors=False))
 
 
 @query("g05_term_confidence", sql="SELECT doc_id, w AS name, round(least(0.9, 0.55 + CASE WHEN regexp_matches(w, '^\\p{Lu}') THEN 0.15 ELSE 0 END + CASE WHEN len(string_split(lower(text), lower(w))) - 1 > 1 THEN 0.1 ELSE 0 END), 6) AS confidence, CASE WHEN regexp_matches(w, '^[A-Z]{2,6}$') THEN 'TERM' ELSE 'CONCEPT' END AS type FROM (SELECT doc_id, text, string_split(text, ' ')[2] AS w FROM documents) WHERE w <> '' AND w IS NOT NULL")

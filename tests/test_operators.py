@@ -9,6 +9,7 @@ from heronlake.operators import items as Q
 from heronlake.operators import novelty as N
 from heronlake.operators import retrieval as R
 from heronlake.operators import spec as B
+from heronlake.registry import QUERIES
 from heronlake.sources import store as S
 
 
@@ -38,6 +39,16 @@ def test_connectors(spark):
     assert got == [("heart", "PART_OF", "body"), ("mammal", "IS_A", "animal")]
 
 
+def test_connectors_need_whole_words(spark, sf):
+    text = "An unlikely phase of the hash produces heat. A phase of the unlikely hash. Bats, UNLIKE birds, have fur. Clay (which has lime) contains sand. The owl has eyes that produces fear."
+    df = spark.createDataFrame([("c1", text), ("c2", None)], "chunk_id string, text string")
+    got = sorted((r.source_name, r.relation, r.target_name) for r in G.connector_triples(df).collect())
+    assert got == [("Clay", "CONTAINS", "sand"), ("owl has eyes", "PRODUCES", "fear"), ("phase hash", "PRODUCES", "heat")]
+    # texts are read where they lie: without vectors to fetch they meet no other table
+    plan = QUERIES["g04_connector_triples"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_marks(spark):
     cases = {"1x5=5": (1, 5, 5), "4X2=8": (4, 2, 8), "draw 4+1": (5, 1, 5), "name it 5": (5, 1, 5), "in 1999": None, "x": None}
     for t, want in cases.items():
