@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from heronlake.config import DEFAULT
 from heronlake.functions.text import content_terms, information_demand, norm_text, overlap_max, overlap_min, sentences, summary_trigger
 from heronlake.operators.retrieval import cosine, dense_search, dot, normalized, top
+from heronlake.sources.staging import written
 
 
 def source_similarity(items: DataFrame, past: DataFrame, threshold: float = DEFAULT.similarity, on: list[str] | None = None) -> DataFrame:
@@ -212,8 +213,10 @@ def corpus_restatements(corpus: DataFrame, benchmark: DataFrame, percent: int =
     """
 
     def said(rows: DataFrame, id_col: str) -> DataFrame:
-        one = rows.select(id_col, F.explode(F.array_distinct(sentences(F.col("text")))).alias("s")).select(id_col, F.array_sort(content_terms(F.col("s"))).alias("terms"))
-        return one.where(F.size("terms") >= shortest).withColumn("key", F.unhex(F.sha2(F.array_join("terms", " "), 256)))
+        # terms are found and counted before they become rows, so a filter does not find them again
+        sets = F.transform(F.array_distinct(sentences(F.col("text"))), lambda s: F.array_sort(content_terms(s)))
+        one = rows.select(id_col, F.explode(F.array_distinct(F.filter(sets, lambda t: F.size(t) >= shortest))).alias("terms"))
+        return one.withColumn("key", F.unhex(F.sha2(F.array_join("terms", " "), 256)))
 
     def rarest(sets: DataFrame, counts: DataFrame) -> DataFrame:
         known = sets.select("key", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(counts, "term")
@@ -222,7 +225,8 @@ def corpus_restatements(corpus: DataFrame, benchmark: DataFrame, percent: int =
         free = F.size("ts") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
         return place.where(free > 0).select("key", "n", F.explode(F.transform(F.slice("ts", 1, free), lambda x: x["term"])).alias("term"))
 
-    docs, items = said(corpus, "doc_id"), said(benchmark, "item_id")
+    # texts are parsed once: the sets are read three times
+    docs, items = written(said(corpus, "doc_id"), "sentence-terms"), written(said(benchmark, "item_id"), "item-terms")
     doc_sets, item_sets = (x.select("key", "terms").dropDuplicates(["key"]) for x in (docs, items))
     counts = item_sets.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("held"))
     a = rarest(doc_sets, counts).select("term", F.col("key").alias("d"), F.col("n").alias("dn"))

@@ -52,3 +52,11 @@ def test_restatements_of_odd_rows(spark):
     d, i = frame(docs, "doc_id"), frame(items, "item_id")
     assert pick(N.corpus_restatements(d, i)) == sorted([(1, 1, 1, 0.5), (4, 1, 1, 0.5), (None, None, 1, 1.0)], key=repr)
     assert N.corpus_restatements(d.limit(0), i).count() == N.corpus_restatements(d, i.limit(0)).count() == 0
+
+
+def test_texts_are_parsed_once(spark):
+    d = spark.createDataFrame([(1, "Plants turn sunlight into sugar. Go on.")], "doc_id long, text string")
+    found = N.corpus_restatements(d, d.withColumnRenamed("doc_id", "item_id"))
+    # its sets are read from files, not found again for each use
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert pick(found) == [(1, 1, 1, 1.0)]
