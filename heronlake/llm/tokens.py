@@ -16,6 +16,7 @@ _ODD_SPACE = re.compile("[" + "".join(map(chr, (0x0B, 0x0C, *range(0x1C, 0x20),
 _ODD_ASCII = re.compile("[\x0b\x0c\x1c-\x1f]")
 #: Letters beyond this are left to the tokenizer, whose Unicode tables may be of another version.
 _PLAIN_BELOW = "ɐ"
+_ODD_PLAIN = re.compile(f"[\x0b\x0c\x1c-\x1f\x85\xa0{_PLAIN_BELOW}-\U0010ffff]")
 #: The word patterns of byte-level BPE, with and without blanks.
 _BLANK_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BARE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -60,6 +61,9 @@ class SegmentEncoder:
             pre.get("type") == "Sequence" and (norm or {}).get("normalizers") == known and parts[0].get("pattern", {}).get("Regex") == _BARE_WORDS and parts[0].get("behavior") == "Removed"
         )
         self.words = regex.compile(_BLANK_WORDS if self.keeps_spaces else _BARE_WORDS)
+        # _BARE_WORDS for lower-cased plain letters, the most frequent first, in the standard library's faster patterns
+        letters, numbers = ("".join(c for c in map(chr, range(ord(_PLAIN_BELOW))) if regex.match(kind, c)) for kind in (r"\p{L}", r"\p{N}"))
+        self.plain_words = re.compile(rf"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^ \t\r\n{letters}{numbers}]+").findall
         self.special = tuple(t["content"] for t in spec.get("added_tokens") or [])
         self.special_start = re.compile("[" + re.escape("".join({t[0] for t in self.special})) + "]" if self.special else r"(?!)")
         self.letters = byte_letters()
@@ -88,14 +92,15 @@ class SegmentEncoder:
         bare = text[1:] if text[0] == " " and self.keeps_spaces else text
         if not (text.isascii() or max(text) < _PLAIN_BELOW):
             return self._whole(text)
+        raw = text
         if not self.keeps_spaces:
             text = bare = text.lower()
         if bare.isalpha():  # one word, the usual case
             return self.word_cache[text]
         if bare[:-1].isalpha() and bare[-1] in ".,;:!?":
             return self.word_cache[text[:-1]] + self.word_cache[text[-1]]
-        if self.special_start.search(text) and any(s in text for s in self.special):
-            return self._whole(text)
+        if self.special_start.search(raw) and any(s in raw for s in self.special):
+            return self._whole(raw)
         return b"".join(map(self.word_cache.__getitem__, self.words.findall(text)))
 
     def segments(self, text: str) -> list[str] | None:
@@ -109,7 +114,18 @@ class SegmentEncoder:
         """Every space and newline stands alone between other characters, and there is no other blank."""
         return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\t", "\r"))
 
+    def _bare_words(self, text: str) -> list[str] | None:
+        """Words of a whole text of plain letters, without blanks; distinct words are fewer than distinct segments."""
+        if any(s in text for s in self.special):
+            return None
+        if (_ODD_ASCII if text.isascii() else _ODD_PLAIN).search(text):
+            return None
+        return self.plain_words(text.lower())
+
     def _text(self, text: str) -> bytes:
+        words = self._bare_words(text) if self.drops_spaces else None
+        if words is not None:
+            return b"".join(map(self.word_cache.__getitem__, words))
         segs = self.segments(text) if self.drops_spaces else None
         if segs is None and self.keeps_spaces and self._lone_blanks(text) and not (_ODD_ASCII if text.isascii() else _ODD_SPACE).search(text):
             first, after, out = self.cache.__getitem__, self.after_blank.__getitem__, []

@@ -29,6 +29,13 @@ def test_segment_encoding_any_spaces(text):
     assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_encoding_equals_whole_text():
+    name = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["a <|ENDOFTEXT|> b", "x<|EndOfText|>y 漢字", "a<|endoftext|>B", "İstanbul ''s don'T ½² ǅ a_b", "l'l'll 12é4 ª", "A\x1cb\x85C\xa0'D", "ɏɐ'LL\tß"]
+    plain = Tokenizer.from_file(name).encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(b, "<u4").tolist() for b in SegmentEncoder(name).encode(texts)] == [e.ids for e in plain]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 40), max_size=25))
 def test_plan_places_every_piece_once(counts):
