@@ -144,6 +144,49 @@ def test_restating_edges_write_little_beside_their_texts(spark, monkeypatch):
     assert sum(df.count() for name, df in rows.items() if name != "restating-texts") < 6 * (len(hits) + len(edges))
 
 
+def test_restating_edges_move_only_texts_that_met(spark, monkeypatch):
+    from heronlake.sources import staging
+
+    rnd = random.Random(7)
+    word = lambda n: "".join(rnd.choice("abcdefghijéü") for _ in range(n))
+    text = lambda n: " ".join(word(rnd.randint(1, 9)) for _ in range(n))
+    # a line that all texts hold, of their longest words, and texts too short to have a piece beside it
+    line = " ".join(word(14) for _ in range(12))
+    cut = lambda n: f"{text(n)}\n{line}\t {text(n)}"
+    hits = [(k % 2, cut(rnd.randint(20, 60))) for k in range(120)] + [(0, f"ab {line}"), (1, "  " + word(30) + "\x0b")]
+    edges = [(k % 2, f"e{k:03}", cut(rnd.randint(20, 60))) for k in range(120)]
+    edges += [(q, f"p{k:03}", t[rnd.randint(0, 9) :][: 12 + 3 * k]) for k, (q, t) in enumerate(hits[:20])]
+    edges += [(q, f"q{k:03}", f"{text(3)} {t.upper()}{text(2)}") for k, (q, t) in enumerate(hits[20:30])] + [(1, "r1", hits[-1][1][5:25]), (1, "r2", "x"), (0, "r3", " \n")]
+    rows, plain = {}, staging.written
+    monkeypatch.setattr(staging, "written", lambda df, name: rows.setdefault(name, plain(df, name)))
+    got = fusion.drop_restating_edges(spark.createDataFrame(edges, "query_id int, id string, source_text string"), spark.createDataFrame(hits, "query_id int, text string"))
+    same = [(t, q, h) for q, _, t in edges for p, h in hits if q == p and _restates(t, h)]
+    want = sorted((q, i) for q, i, t in edges if not any(q == p and _restates(t, h) for p, h in hits))
+    assert sorted((r.query_id, r.id) for r in got.select("query_id", "id").collect()) == want
+    assert 25 < len(edges) - len(want) < 40
+    # the line alone lets few texts meet, and only those that met are written
+    assert len(same) <= rows["restating-met"].count() < len(same) + len(hits)
+    written = [df.selectExpr("sum(length(norm)) AS n").first().n or 0 for df in rows.values() if "norm" in df.columns]
+    assert sum(written) < 0.5 * sum(len(r[-1]) for r in hits + edges)
+
+
+@pytest.mark.parametrize("least", [1, 5, 12])
+def test_drop_restating_edges_of_few_words(spark, least):
+    rnd = random.Random(least)
+    text = lambda n: rnd.choice(["", " ", "\n"]) + rnd.choice([" ", "  ", "\t"]).join("".join(rnd.choice("aäB") for _ in range(rnd.choice([1, 2, 3, 4, 5, 12, 15]))) for _ in range(n))
+    hits = [(q, text(rnd.randint(1, 9))) for q in (1, 2) for _ in range(60)]
+    edges = [(q, f"e{k:03}", text(rnd.randint(1, 9))) for q in (1, 2) for k in range(60)]
+    edges += [(q, f"f{k:03}", t[rnd.randint(0, 9) :][: rnd.randint(1, 60)]) for k, (q, t) in enumerate(hits)]
+    got = fusion.drop_restating_edges(spark.createDataFrame(edges, "query_id int, id string, source_text string"), spark.createDataFrame(hits, "query_id int, text string"), least)
+    norm = lambda t: " ".join(t.lower().split())
+    alike = lambda a, b: a != "" and (a == b or min(len(a), len(b)) >= least and (a in b or b in a))
+    want = {}
+    for q, i, t in edges:
+        if not any(q == p and alike(norm(t), norm(h)) for p, h in hits):
+            want.setdefault((q, norm(t)), i)
+    assert sorted((r.query_id, r.id) for r in got.select("query_id", "id").collect()) == sorted((q, i) for (q, _), i in want.items())
+
+
 def test_group_slots_prefers_parts_and_orders_by_number(spark):
     rows = [(1, 1, "Q10", "page ten", "A", False, 0), (1, 2, "Q2", "x" * 60, "A", False, 0), (1, 3, "Q2", "y", "A", False, 2), (1, 4, "Q7(a)", "part", None, False, 0), (1, 5, "Q2", "y2", "A", False, 2)]
     df = spark.createDataFrame(rows, "paper_id int, ord long, question_number string, text string, section string, has_marks boolean, n_parts int")
